@@ -23,7 +23,7 @@ def relative_frequencies(
 
     A category that a split lacks has no share there (null).
     """
-    counts = df.groupBy(category).pivot(split, list(names)).agg(F.count("*"))
+    counts = df.groupBy(category).pivot(split, list(names)).agg(F.count(F.lit(1)))
     counts, _ = bounded(counts)
     totals = counts.agg(*[F.sum(n).alias(n) for n in names]).first()
     shares = [round_even(F.col(n) / F.lit(totals[n]), 3).alias(n) for n in names]

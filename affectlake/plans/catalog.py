@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from affectlake.plans import text_queries  # noqa: F401
+from affectlake.plans import score_queries, table_queries, text_queries  # noqa: F401
 from affectlake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

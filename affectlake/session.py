@@ -46,7 +46,18 @@ def bounded(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]
     is then computed once and safe to broadcast.  A larger frame comes back
     untouched with ``False``, and the caller must use a shuffle join.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    For costly rows that several passes need: later passes read only the columns
+    they use, and a lost executor costs a re-read, not a recomputation.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
