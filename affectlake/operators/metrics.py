@@ -35,9 +35,17 @@ def _prf(tp: Column, predicted: Column, support: Column) -> list[Column]:
 def pearson(
     df: DataFrame, predicted: Sequence[str], gold: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Pearson r and row count per axis, all axes in one aggregate."""
+    """Pearson r and row count per axis, all axes in one aggregate.
+
+    A constant column has no correlation (null); ``corr`` would fail on it.
+    """
     pairs = list(zip(AXES, predicted, gold))
-    aggs = [F.corr(p, g).alias(f"r_{a}") for a, p, g in pairs]
+
+    def r(p, g):
+        spread = F.sqrt(F.var_pop(p)) * F.sqrt(F.var_pop(g))
+        return F.covar_pop(p, g) / F.nullif(spread, F.lit(0.0))
+
+    aggs = [r(p, g).alias(f"r_{a}") for a, p, g in pairs]
     wide = df.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
     entries = [F.struct(F.lit(a).alias("axis"), F.col(f"r_{a}").alias("r")) for a, _, _ in pairs]
     return wide.select(*by, "n", F.inline(F.array(*entries)))
@@ -257,4 +265,4 @@ def result_row(metrics: DataFrame, by: str, wanted: dict[str, tuple[str, str, st
         for split in ("valid", "test")
         for out, (g, n, m) in wanted.items()
     ]
-    return metrics.agg(*aggs)
+    return bounded(metrics.agg(*aggs))[0]

@@ -61,11 +61,11 @@ j AS (
 n AS (
   SELECT *, p / (sum(p) OVER w + 1e-5) - y / (sum(y) OVER w + 1e-5) AS diff
   FROM j WINDOW w AS (PARTITION BY vec_id, ax_no)),
-c AS (
+cm AS (
   SELECT *, sum(diff) OVER (PARTITION BY vec_id, ax_no ORDER BY pos) AS cum FROM n),
 per AS (
   SELECT vec_id, ax_no, sum(gap * cum * cum) AS between_, sum((p - y) * (p - y)) / 10 AS within_
-  FROM c GROUP BY vec_id, ax_no)
+  FROM cm GROUP BY vec_id, ax_no)
 """
 MULTI_EMD = EMD.format(probs=V.PROBS + ", gold_k AS (SELECT vec_id, label_idx, y FROM gold)", source="pr")
 SINGLE_EMD = EMD.format(probs=V.SOFT + ", gold_k AS (SELECT vec_id, label_idx, (label_idx = label)::INT AS y FROM gold)", source="sm")
@@ -243,10 +243,10 @@ def a12(spark, sf):
 
 
 CLASSES = V.PRED + """,
-    k AS (SELECT label_idx, sum(y * p)::DOUBLE AS tp, sum(p)::DOUBLE AS np, sum(y)::DOUBLE AS ng FROM both GROUP BY label_idx),
+    k AS (SELECT label_idx, sum(y * p)::DOUBLE AS tp, sum(p)::DOUBLE AS np, sum(y)::DOUBLE AS ng FROM yp GROUP BY label_idx),
     f AS (SELECT *, coalesce(tp / nullif(np, 0), 0) AS precision, coalesce(tp / nullif(ng, 0), 0) AS recall,
             coalesce(2 * tp / nullif(np + ng, 0), 0) AS f1, coalesce(tp / nullif(np + ng - tp, 0), 0) AS jaccard FROM k),
-    rw AS (SELECT vec_id, sum(y * p)::DOUBLE AS i, sum(p)::DOUBLE AS np, sum(y)::DOUBLE AS ng FROM both GROUP BY vec_id)"""
+    rw AS (SELECT vec_id, sum(y * p)::DOUBLE AS i, sum(p)::DOUBLE AS np, sum(y)::DOUBLE AS ng FROM yp GROUP BY vec_id)"""
 NAMES = ("precision", "recall", "f1", "jaccard")
 
 

@@ -206,7 +206,7 @@ pred AS (
   GROUP BY pr.vec_id, ord.label_idx),
 cls AS (
   SELECT vec_id, arg_min(label_idx, (-xs, label_idx)) AS c FROM pred GROUP BY vec_id),
-both AS (
+yp AS (
   SELECT g.vec_id, g.label, g.label_idx, g.y, pred.p FROM gold g JOIN pred USING (vec_id, label_idx))"""
 EXPECTED = "WITH" + ORD + "," + PROBS + """,
 ev AS (

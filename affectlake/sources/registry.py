@@ -154,14 +154,17 @@ ALLOWED = {
 }
 
 
-def read_job(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON job specification as one row."""
-    schema = ", ".join([f"{k} string" for k in ALLOWED] + [
+def read_job_schema() -> str:
+    return ", ".join([f"{k} string" for k in ALLOWED] + [
         "load_dataset string", "load_task string", "csv_file_name string", "use_emd boolean",
         "max_seq_len int", "train_batch_size int", "eval_batch_size int", "few_shot_ratio double",
         "max_freeze_epoch int", "max_epoch int", "save_dir string",
     ])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_job(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON job specification as one row."""
+    return spark.read.schema(read_job_schema()).option("multiLine", True).json(path)
 
 
 def job_violations(jobs: DataFrame) -> DataFrame:
