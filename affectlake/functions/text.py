@@ -7,6 +7,7 @@ written so that they mean the same in Java and in RE2.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -53,6 +54,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once, however often ``use`` mentions it.
+
+    A condition with the text in its test and its branches would otherwise run
+    the whole cleaning before it several times.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 # ---------------------------------------------------------------- single steps
 
 def strip_space(col: Column | str) -> Column:
@@ -79,7 +89,7 @@ def drop_escaped_newline(col: Column | str) -> Column:
 
 
 def squeeze_blanks(col: Column | str) -> Column:
-    return F.regexp_replace(_c(col), " +", " ")
+    return F.regexp_replace(_c(col), " {2,}", " ")
 
 
 def drop_urls_mentions(col: Column | str) -> Column:
@@ -97,10 +107,14 @@ def strip_html(col: Column | str) -> Column:
     """HTML fragment to visible text with patterns only (no Python worker)."""
     out = F.regexp_replace(_c(col), hidden_html_pattern(), "")
     out = F.regexp_replace(out, r"(?s)</?[A-Za-z!?][^>]*>", "")
-    decoded = out
-    for entity, char in ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(F.contains(out, F.lit("&")), decoded).otherwise(out)
+
+    def decode(text):
+        decoded = text
+        for entity, char in ENTITIES:
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+    return _once(out, decode)
 
 
 def strip_html_exact(col: Column | str) -> Column:
@@ -161,21 +175,46 @@ def emoji_names() -> dict[str, str]:
     return {**names, **EMOJI_NAMES}
 
 
+def _code_blocks(codes: list[int], gap: int = 256) -> list[tuple[int, int]]:
+    """Code points as few ranges; gaps up to ``gap`` are bridged."""
+    blocks: list[list[int]] = []
+    for code in sorted(codes):
+        if blocks and code <= blocks[-1][1] + gap:
+            blocks[-1][1] = code
+        else:
+            blocks.append([code, code])
+    return [(a, b) for a, b in blocks]
+
+
 def demojize(col: Column | str, names: dict[str, str] | None = None) -> Column:
-    """Emoji to ``:name:``.  Only texts that hold an emoji are taken apart."""
+    """Emoji (single characters) to ``:name:``.
+
+    Only texts that hold one are taken apart: the pieces between emoji, and the
+    emoji, whose names stand at their code points in constant tables.
+    """
     names = emoji_names() if names is None else names
-    keys = sorted(names)
-    table = F.map_from_arrays(
-        F.split(F.lit("\n".join(keys)), "\n"),
-        F.split(F.lit("\n".join(f":{names[k]}:" for k in keys)), "\n"),
-    )
-    col, lowest = _c(col), keys[0]
-    chars = F.split(F.replace(col, F.lit("\ufe0f"), F.lit("")), "")
-    named = F.transform(
-        chars, lambda c: F.when(c >= lowest, F.coalesce(F.element_at(table, c), c)).otherwise(c)
-    )
-    inside = f"[\\x{{{ord(lowest):x}}}-\\x{{1ffff}}]"
-    return F.when(col.rlike(inside), F.array_join(named, "")).otherwise(col)
+    if any(len(k) != 1 for k in names):
+        raise ValueError("emoji keys must be single characters")
+    blocks = _code_blocks([ord(k) for k in names])
+    inside = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in blocks) + "]"
+
+    def name_of(char):
+        code, out = F.ascii(char), char
+        for a, b in blocks:
+            shown = [f":{names[c]}:" if c in names else c for c in map(chr, range(a, b + 1))]
+            table = F.split(F.lit("\n".join(shown)), "\n")
+            out = F.when(code.between(a, b), F.get(table, code - a)).otherwise(out)
+        return out
+
+    def rename(text):
+        plain = F.replace(text, F.lit("\ufe0f"), F.lit(""))
+        emoji = F.regexp_extract_all(plain, F.lit(f"({inside})"), F.lit(1))
+        joined = F.zip_with(
+            F.split(plain, inside), emoji, lambda p, e: F.concat(p, F.coalesce(name_of(e), F.lit("")))
+        )
+        return F.when(F.rlike(text, F.lit(inside)), F.array_join(joined, "")).otherwise(text)
+
+    return _once(_c(col), rename)
 
 
 def pad_emoji_names(col: Column | str) -> Column:
