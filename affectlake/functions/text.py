@@ -20,6 +20,9 @@ WS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same set for Java: a property test and a range, much faster than the ranges.
+UNICODE = "(?U)"
+SPACE = r"\s\x1c-\x1f"
 # ASCII punctuation that gets padded (the backslash does not).
 PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~"""
 
@@ -80,7 +83,7 @@ def pad_punctuation(col: Column | str) -> Column:
 
 def squeeze_space(col: Column | str) -> Column:
     """Two or more white-space characters become one space; a single tab stays."""
-    return F.regexp_replace(_c(col), f"[{WS}]{{2,}}", " ")
+    return F.regexp_replace(_c(col), f"{UNICODE}[{SPACE}]{{2,}}", " ")
 
 
 def drop_escaped_newline(col: Column | str) -> Column:
@@ -95,12 +98,13 @@ def squeeze_blanks(col: Column | str) -> Column:
 def drop_urls_mentions(col: Column | str) -> Column:
     out = F.regexp_replace(_c(col), URL_PATTERN, "")
     out = F.regexp_replace(out, MENTION_PATTERN, "")
-    return strip_space(F.regexp_replace(out, f"[{WS}]+", " "))
+    return strip_space(F.regexp_replace(out, f"{UNICODE}[{SPACE}]+", " "))
 
 
 def hidden_html_pattern() -> str:
-    parts = [rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in HIDDEN_ELEMENTS]
-    return "(?is)" + "|".join(parts) + "|<!--.*?-->"
+    """Hidden elements and comments; one leading ``<`` rejects most positions."""
+    parts = [rf"{tag}\b[^>]*>.*?</{tag}\s*>" for tag in HIDDEN_ELEMENTS]
+    return "(?is)<(?:" + "|".join(parts) + "|!--.*?-->)"
 
 
 def strip_html(col: Column | str) -> Column:
@@ -218,7 +222,7 @@ def demojize(col: Column | str, names: dict[str, str] | None = None) -> Column:
 
 
 def pad_emoji_names(col: Column | str) -> Column:
-    out = F.regexp_replace(_c(col), f"(:[^{WS}]+:)", " $1 ")
+    out = F.regexp_replace(_c(col), f"{UNICODE}(:[^{SPACE}]+:)", " $1 ")
     return squeeze_space(F.replace(out, F.lit("::"), F.lit(": :")))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from affectlake.session import bounded
 
-HASH_DIGITS = 4
+ROWS_PER_HASH_BUCKET = 50_000
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 20
@@ -31,7 +31,12 @@ def hash_key(key: Column | str, seed: int | str = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
 
 
-def hash_bucket(hashed: Column | str, digits: int = HASH_DIGITS) -> Column:
+def hash_digits(rows: int) -> int:
+    """Hex digits that make buckets of at most some ten thousand rows."""
+    return min(6, max(2, math.ceil(math.log(max(rows, 1) / ROWS_PER_HASH_BUCKET, 16))))
+
+
+def hash_bucket(hashed: Column | str, digits: int) -> Column:
     hashed = F.col(hashed) if isinstance(hashed, str) else hashed
     return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int")
 
@@ -58,26 +63,28 @@ def cut_keys(
     hashed: str,
     strata: Sequence[str],
     cuts: DataFrame,
+    rows: int,
 ) -> DataFrame:
     """The hash key found at given ranks.
 
     ``df`` holds the strata and the column ``hashed``; ``cuts`` holds the strata,
-    ``cut`` and ``k`` (1-based rank).  Returns ``(*strata, cut, key)``.  No row
-    is shuffled except those in the bucket of a cut, 1/65,536 of a stratum each.
+    ``cut`` and ``k`` (1-based rank).  Returns ``(*strata, cut, key)``.  ``rows``
+    is the table's size, which sets the number of buckets.  No row is shuffled
+    except those in the bucket of a cut, some ten thousand each.
     """
     strata = list(strata)
-    keyed = df.select(*strata, F.col(hashed).alias("__h")).withColumn("__b", hash_bucket("__h"))
+    keyed = df.select(*strata, F.col(hashed).alias("__h")).withColumn("__b", hash_bucket("__h", hash_digits(rows)))
     counts = keyed.groupBy(*strata, "__b").agg(F.count("*").alias("__n"))
     running = Window.partitionBy(*strata).orderBy("__b")
     placed = counts.withColumn("__upto", F.sum("__n").over(running))
     if strata:
         hit = small_join(placed, cuts, strata, "inner")
     else:
-        cut_rows = cuts.collect()
-        hit = placed.withColumn(
-            "__c",
-            F.explode(F.array(*[F.struct(F.lit(r["cut"]).alias("cut"), F.lit(r["k"]).cast("long").alias("k")) for r in cut_rows])),
-        ).select("*", "__c.cut", "__c.k")
+        edges = [
+            F.struct(F.lit(r["cut"]).alias("cut"), F.lit(r["k"]).cast("long").alias("k"))
+            for r in cuts.collect()
+        ]
+        hit = placed.select("*", F.inline(F.array(*edges)))
     hit = hit.filter((F.col("k") > F.col("__upto") - F.col("__n")) & (F.col("k") <= F.col("__upto")))
     hit = hit.select(
         *strata, "__b", "cut", (F.col("k") - F.col("__upto") + F.col("__n")).alias("__local")

@@ -33,9 +33,11 @@ def held_out_quotas(sizes: DataFrame, stratum: str, held_out: int, total: int, n
     ).drop("__base", "__rest")
 
 
-def _assign(df: DataFrame, key: str, strata: Sequence[str], cuts: DataFrame, names, rest: str) -> DataFrame:
+def _assign(
+    df: DataFrame, key: str, strata: Sequence[str], cuts: DataFrame, names: Sequence[str], rest: str, rows: int
+) -> DataFrame:
     """Compare every row's hash with the cut keys of its stratum."""
-    found = cut_keys(df, key, strata, cuts)
+    found = cut_keys(df, key, strata, cuts, rows)
     if strata:
         wide = found.groupBy(*strata).pivot("cut", list(names)).agg(F.first("key"))
         out = small_join(df, wide, strata, "left")
@@ -87,25 +89,26 @@ def stratified_split(
     )
     cuts = quotas.select(stratum, F.explode(edges).alias("e")).select(stratum, "e.cut", "e.k")
     keyed = df.withColumn("__key", hash_key(id_col, seed))
-    return _assign(keyed, "__key", [stratum], cuts, names, rest)
+    return _assign(keyed, "__key", [stratum], cuts, names, rest, rows)
 
 
 def shuffled_split(
-    df: DataFrame, id_col: str, sizes: dict[str, int], rest: str, seed: int = 42
+    df: DataFrame, id_col: str, sizes: dict[str, int], rest: str, rows: int, seed: int = 42
 ) -> DataFrame:
     """Unstratified split: consecutive runs of the hash order, the rest last."""
-    spark, edge, rows = df.sparkSession, 0, []
+    spark, edge, edges = df.sparkSession, 0, []
     for name, size in sizes.items():
         edge += size
-        rows.append((name, edge))
-    cuts = spark.createDataFrame(rows, "cut string, k long")
+        edges.append((name, edge))
+    cuts = spark.createDataFrame(edges, "cut string, k long")
     keyed = df.withColumn("__key", hash_key(id_col, seed))
-    return _assign(keyed, "__key", [], cuts, list(sizes), rest)
+    return _assign(keyed, "__key", [], cuts, list(sizes), rest, rows)
 
 
 def train_valid_split(df: DataFrame, id_col: str, valid_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Unstratified train/valid; the valid part is rounded up."""
-    return shuffled_split(df, id_col, {"valid": math.ceil(valid_share * df.count())}, "train", seed)
+    rows = df.count()
+    return shuffled_split(df, id_col, {"valid": math.ceil(valid_share * rows)}, "train", rows, seed)
 
 
 def train_valid_test_split(
@@ -114,7 +117,7 @@ def train_valid_test_split(
     """Shuffle, then cut; train and valid are rounded down, test is the rest."""
     rows = df.count()
     sizes = {"train": int(rows * train), "valid": int(rows * valid)}
-    return shuffled_split(df, id_col, sizes, "test", seed)
+    return shuffled_split(df, id_col, sizes, "test", rows, seed)
 
 
 def few_shot(df: DataFrame, id_col: str, share: float) -> DataFrame:

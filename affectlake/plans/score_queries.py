@@ -412,7 +412,7 @@ def line_rows(spark, sf):
         for j in range(3 * LINE_K)
     ]
     gold = [f"int((l_linenumber + l_suppkey * {j + 1}) % 4 = 0)" for j in range(LINE_K)]
-    return V.table(spark, sf, "lineitem").select(
+    return V.spread_table(spark, sf, "lineitem", "l_orderkey").select(
         "l_returnflag", F.expr(f"array({', '.join(logits)})").alias("logits"), F.expr(f"array({', '.join(gold)})").alias("gold")
     )
 

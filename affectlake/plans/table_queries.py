@@ -9,7 +9,7 @@ from affectlake.functions import text as T
 from affectlake.operators import annotators, joins, lexicon, ranking, splits, stats
 from affectlake.plans import views as V
 from affectlake.plans.registry import query
-from affectlake.session import saved
+from affectlake.session import saved, spread
 
 SEED = 42
 
@@ -45,8 +45,10 @@ def split_documents(spark, sf, clean=False):
     """Documents with a tenth held out for test and a tenth for validation, by language."""
     docs = V.table(spark, sf, "documents")
     if clean:
-        docs = stats.drop_empty(docs.withColumn("text", T.clean_basic("text")))
-        docs = saved(docs.select("doc_id", "lang"))
+        docs = spread(docs.select("doc_id", "lang", "text"), "doc_id")
+        left = F.coalesce(T.clean_basic("text"), F.lit("")) != ""
+        # A flag and not a filter, which would move to the unspread scan.
+        docs = saved(docs.select("doc_id", "lang", left.alias("left_over"))).filter("left_over")
     held = docs.count() // 10
     return splits.stratified_split(docs, "doc_id", "lang", held, held)
 

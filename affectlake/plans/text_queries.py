@@ -8,6 +8,7 @@ from affectlake.functions import text as T
 from affectlake.functions.labels import rename_codes
 from affectlake.plans import views as V
 from affectlake.plans.registry import query
+from affectlake.session import spread
 
 # Text with quotes, tabs and doubled blanks around and inside.
 DECORATED = (
@@ -39,13 +40,13 @@ def _over_documents(name, spark_text, fn, sql_text, sql_fn):
 
     @query(name, sql)
     def run(spark, sf):
-        return V.table(spark, sf, "documents").select("doc_id", fn(F.expr(spark_text)).alias("out"))
+        return spread(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", fn(F.expr(spark_text)).alias("out"))
 
 
 def _over_pages(name, fn, sql_fn, text="html", sql_text="html"):
     @query(name, f"SELECT page_id, {sql_fn(sql_text)} AS out FROM pages")
     def run(spark, sf):
-        return V.table(spark, sf, "pages").select("page_id", fn(F.expr(text)).alias("out"))
+        return V.spread_table(spark, sf, "pages", "page_id").select("page_id", fn(F.expr(text)).alias("out"))
 
 
 _over_documents("f1_strip_quotes", DECORATED, T.strip_quotes, SQL_DECORATED, V.sql_strip_quotes)
@@ -75,7 +76,7 @@ _over_documents("c3_clean_statement", "text", T.clean_statement, "text", V.sql_s
 
 @query("c4_clean_dialogue", f"SELECT conv_id, turn, {V.sql_dialogue('text')} AS out FROM conversations")
 def c4(spark, sf):
-    return V.table(spark, sf, "conversations").select("conv_id", "turn", T.clean_dialogue("text").alias("out"))
+    return V.spread_table(spark, sf, "conversations", "conv_id").select("conv_id", "turn", T.clean_dialogue("text").alias("out"))
 
 
 @query("f12_own_name", """

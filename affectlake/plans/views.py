@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from affectlake.functions.rounding import round_even
 from affectlake.functions.text import (
-    ENTITIES, HIDDEN_ELEMENTS, PUNCTUATION, WHITESPACE, WS, hidden_html_pattern,
+    ENTITIES, HIDDEN_ELEMENTS, PUNCTUATION, WHITESPACE, WS,
 )
 from affectlake.functions.vectors import linear_head
 from affectlake.operators.lexicon import LabelAxes, label_axes
+from affectlake.session import spread
 
 K = 10
 WIDTH = 64
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table whose rows get costly work: see :func:`affectlake.session.spread`."""
+    return spread(table(spark, sf, name), key)
+
+
 def r6(value: Column | str) -> Column:
     """Doubles for comparison: six places, no negative zero."""
     value = F.col(value) if isinstance(value, str) else value
@@ -82,7 +88,6 @@ def sql_urls(e: str) -> str:
 
 def sql_html(e: str) -> str:
     hidden = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in HIDDEN_ELEMENTS) + "|<!--.*?-->"
-    assert hidden in hidden_html_pattern()
     out = f"regexp_replace({e}, {sql_text(hidden)}, '', 'gis')"
     out = f"regexp_replace({out}, '</?[A-Za-z!?][^>]*>', '', 'gs')"
     for entity, char in ENTITIES:
@@ -250,7 +255,7 @@ def word_rows(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, pos, word)`` for the plain lower-case words of all documents."""
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
         .select("doc_id", F.posexplode(words).alias("pos", "word"))
         .filter(F.col("word").rlike("^[a-z]+$"))
     )

@@ -61,3 +61,17 @@ def saved(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table over all cores if its scan cannot fill them.
+
+    Costly per-row work (cleaning, Arrow functions) on a table below one split
+    per core would run in few tasks, so its rows are hashed by ``key`` first.
+    Larger tables come back as they are: their splits already fill the cores.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split else df

@@ -63,6 +63,14 @@ def test_white_space_is_the_unicode_set():
     assert set(T.WHITESPACE) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
 
 
+def test_white_space_patterns_agree_on_every_character(spark):
+    codes = [c for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}{chr(c)}" for c in codes[i:i + 64]) for i in range(0, len(codes), 64)]
+    assert column(spark, texts, T.squeeze_space) == [re.sub(r"\s{2,}", " ", t) for t in texts]
+    collapsed = column(spark, texts, T.drop_urls_mentions)
+    assert collapsed == [" ".join(re.sub(r"@\w*", "", t).split()) for t in texts]
+
+
 def test_tweet_cleaning(spark):
     tweet = "“see” https://t.co/x @joe &amp; <b>bold</b><style>p{}</style><!-- no --> 😂😂❤️ 日本!"
     want = 'see " & bold :face_with_tears_of_joy: :face_with_tears_of_joy: :red_heart: 日本 !'
