@@ -6,9 +6,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from affectlake.functions.vectors import EPSILON, axis_part, relu, sigmoid
 from affectlake.operators.lexicon import LabelAxes
@@ -240,6 +240,21 @@ def fit_two_stage(
     return fitted[:, :-1], fitted[:, -1], point[cut:].reshape(3, size), losses
 
 
+# --------------------------------------------------------------------- scoring
+
+def score_batches(
+    df: DataFrame, vector: str, make_model: Callable[[], Callable], width: int,
+    out: str = "logits", batch_size: int = 1024,
+) -> DataFrame:
+    """Score vectors with any model: ``make_model`` runs once per Python worker
+    and returns a function from a (rows, width) array to a (rows, outputs) array."""
+    score = predict_batch_udf(
+        make_model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+        input_tensor_shapes=[[width]],
+    )
+    return df.withColumn(out, score(F.col(vector).cast("array<double>")))
+
+
 # --------------------------------------------------------------------- storage
 
 def save_weights(spark: SparkSession, tensors: dict[str, np.ndarray], path: str) -> None:
@@ -269,8 +284,3 @@ def load_weights(
             matrix[i, j] = value
         out[name] = matrix
     return out
-
-
-def rectified(columns: Sequence[str]):
-    """Rectified regression outputs."""
-    return [relu(c).alias(c) for c in columns]

@@ -13,11 +13,12 @@ AXES = ("v", "a", "d")
 
 
 def lexicon_scores(raw: DataFrame, line: str = "line_no") -> DataFrame:
-    """One row per word with scores rounded to three places; the last line wins."""
-    scores = F.struct(*[round_even(a, 3).alias(a) for a in AXES])
-    return (
-        raw.groupBy("word").agg(F.max_by(scores, F.col(line)).alias("s")).select("word", "s.*")
-    )
+    """One row per word with scores rounded to three places; the last line wins.
+
+    Three aggregates of plain numbers hash; one of a struct would sort all lines.
+    """
+    last = [F.max_by(a, line).alias(a) for a in AXES]
+    return raw.groupBy("word").agg(*last).select("word", *[round_even(a, 3).alias(a) for a in AXES])
 
 
 def label_coordinates(labels: DataFrame, lexicon: DataFrame) -> DataFrame:

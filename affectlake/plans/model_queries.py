@@ -204,6 +204,18 @@ def g5(spark, sf):
     return metrics.accuracy(scored, "label", "class", ["split"])
 
 
+@query("g6_model_batches", "WITH" + V.LOGITS + f" SELECT vec_id, ax_no * {V.K} + pos AS pos, {V.sql_r6('x')} AS x FROM lg")
+def g6_model(spark, sf):
+    """A user's model, here the fixed head, applied batch by batch."""
+    weights, bias = np.array(V.WEIGHTS).T, np.array(V.BIAS)
+
+    def make_model():
+        return lambda batch: batch.astype("float64") @ weights + bias
+
+    rows = heads.score_batches(V.table(spark, sf, "embeddings"), "embedding", make_model, V.WIDTH)
+    return rows.select("vec_id", F.posexplode("logits").alias("pos", "v")).select("vec_id", "pos", V.r6("v").alias("x"))
+
+
 @query("g8_saved_head", V.PRED + f" SELECT vec_id, {V.sql_r6('x')} AS x FROM lg WHERE ax_no = 0 AND pos = 0")
 def g8(spark, sf):
     """Save the fixed head under two names, reload without the old output head."""

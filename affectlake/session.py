@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -26,16 +27,22 @@ def local_session(cpus: int | str = 8, app: str = "affectlake") -> SparkSession:
     return spark
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="affectlake-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path under the folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (tests, laptops) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session
+    without that setting (tests, laptops) gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="affectlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
