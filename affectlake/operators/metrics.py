@@ -232,7 +232,9 @@ def evaluate(
 
     means = averages(counts, kind, by)
     out = unpivot(per_class_report(counts, by), F.col("label_idx").cast("string"), (*report, "support"), "class")
-    out = out.unionByName(unpivot(means.filter("average != 'accuracy'"), F.col("average"), report, "average"))
+    # The micro average of single labels is the accuracy, which stands on its own.
+    shown = ("micro", "macro", "weighted", "samples") if kind == "multi" else ("macro", "weighted")
+    out = out.unionByName(unpivot(means.filter(F.col("average").isin(*shown)), F.col("average"), report, "average"))
     if kind == "multi":
         scores = means.filter("average in ('micro', 'macro', 'samples')")
         return out.unionByName(unpivot(scores, F.col("average"), ("jaccard",), "jaccard"))

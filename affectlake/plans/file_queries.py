@@ -158,6 +158,33 @@ def s7(spark, sf):
     return corpus.select("id", "split", F.md5("text").alias("text_md5"), F.concat(F.lit("["), F.array_join(found.cast("array<string>"), ", "), F.lit("]")).alias("ids"))
 
 
+@query("s13_vad_corpus", f"""
+    SELECT doc_id::VARCHAR AS id, 'emobank' AS dataset, {SPLIT_OF.format(id='doc_id', valid='valid')} AS split,
+      1 + n_chars % 41 / 10::DOUBLE AS v, 1 + n_chars % 31 / 10::DOUBLE AS a, 1 + n_chars % 21 / 10::DOUBLE AS d,
+      md5({V.sql_basic('text')}) AS text_md5 FROM documents""")
+def s13_vad(spark, sf):
+    """A registered corpus in its one long shape: cleaned text, scores, split."""
+    root = shared_folder(spark)
+    results.write_split_corpus(_documents_corpus(spark, sf), f"{root}/emobank.csv")
+    corpus = registry.load_corpus(spark, "emobank", root)
+    return corpus.select("id", "dataset", "split", "label.v", "label.a", "label.d", F.md5("text").alias("text_md5"))
+
+
+@query("s13_ekman_corpus", f"""
+    SELECT event_id::VARCHAR AS id, {SPLIT_OF.format(id='event_id', valid='valid')} AS split, i::INT AS label_idx,
+      (i = event_id % 7 OR i = (event_id * 3 + 1) % 7)::INT AS y
+    FROM events, range(7) t(i)""")
+def s13_ekman(spark, sf):
+    root = shared_folder(spark)
+    rows = V.table(spark, sf, "events").withColumn("split", _split("event_id", "valid"))
+    ids = F.concat_ws(",", (F.col("event_id") % 7).cast("string"), ((F.col("event_id") * 3 + 1) % 7).cast("string"))
+    for split, part in files.FORUM_FILES.items():
+        one = rows.filter(F.col("split") == split).select("event_type", ids.alias("l"), "event_id")
+        _write(one, f"{root}/{part}.tsv", sep="\t", header=False)
+    corpus = registry.load_corpus(spark, "ekman", root)
+    return corpus.select("id", "split", F.posexplode("label").alias("label_idx", "y"))
+
+
 @query("s11_lexicon_file", LEXICON + " SELECT * FROM lex")
 def s11_file(spark, sf):
     path = shared_folder(spark)

@@ -353,7 +353,7 @@ def a23(spark, sf):
 
 
 @query("a23_evaluate_single", SINGLE + f""",
-    av AS ({MACRO} UNION ALL {WEIGHTED} UNION ALL {MICRO}),
+    av AS ({MACRO} UNION ALL {WEIGHTED}),
     cl AS (""" + " UNION ALL ".join(f"SELECT 'class' AS metric_group, label_idx::VARCHAR AS name, '{m}' AS metric, {V.sql_r6(m if m != 'support' else 'ng')} AS value FROM f" for m in ("precision", "recall", "f1", "support")) + f""")
     SELECT * FROM cl UNION ALL {AVG_LONG}
     UNION ALL SELECT 'accuracy', 'all', 'accuracy', {V.sql_r6('avg((g = p)::INT)')} FROM s""")

@@ -532,13 +532,8 @@ def w1(spark, sf):
 
 @query("w2_inverse_order", "WITH" + V.ORD + " SELECT axis, label_idx, pos::INT AS position FROM ord")
 def w2(spark, sf):
-    constant = V.axes(spark, sf)
-    rows = [
-        (axis, label, position)
-        for axis, order in zip("vad", constant.orders)
-        for label, position in enumerate(L.invert(order))
-    ]
-    return spark.createDataFrame(rows, "axis string, label_idx int, position int")
+    """The same frame keyed by label: sorted position of each label per axis."""
+    return lexicon.label_order(V.label_table(spark, sf)).select("axis", "label_idx", "position")
 
 
 @query("w3_gap_weights", "WITH" + V.GAP + " SELECT axis, pos::INT AS position, " + V.sql_r6("gap") + " AS gap FROM gaps")

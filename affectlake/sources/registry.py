@@ -1,7 +1,9 @@
 """Named corpora in one long shape, and job specifications.
 
-Every loader returns ``(dataset, id, split, text, label)``, lazily: ``label``
-is an index (single), a 0/1 array (multi) or a struct of v, a and d.
+Every loader returns ``(dataset, id, split, text, label)``: ``label`` is an
+index (single), a 0/1 array (multi) or a struct of v, a and d.  Corpora that
+come with their splits are read lazily.  The others need a few passes to be
+split, so their parsed rows are first written to the shared folder once.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from affectlake.operators.annotators import attach_transcripts
 from affectlake.operators.splits import (
     stratified_split, train_valid_split, train_valid_test_split,
 )
+from affectlake.session import saved
 from affectlake.sources import files
 
 
@@ -49,7 +52,7 @@ def load_tweets(spark: SparkSession, path: str, clean: bool = True, html: str =
 
 
 def load_statements(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
-    rows = _with_row_ids(files.read_statements(spark, path))
+    rows = saved(_with_row_ids(files.read_statements(spark, path)))
     split = stratified_split(rows, "id", "Field1", 0.15, 0.15)
     return _long(
         split, "isear", "id", _text("SIT", T.clean_statement, clean),
@@ -67,7 +70,7 @@ def load_stance_tweets(
         numbered = files.with_row_numbers(rows).filter(F.col("row_no") > skip)
         return numbered.select(*columns, F.concat(F.lit(f"{name}:"), "row_no").alias("id"))
 
-    train = train_valid_split(read("train", skip_first), "id")
+    train = train_valid_split(saved(read("train", skip_first)), "id")
     rows = train.unionByName(read("test", 0).withColumn("split", F.lit("test")))
     hot = F.array(*[T.is_own_name(name, name) for name in L.STANCE_LABELS])
     return _long(rows, "ssec", "id", _text("text", T.clean_basic, clean), hot)
@@ -102,14 +105,14 @@ def dialogue_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dialogue_categories(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
-    rows = train_valid_test_split(dialogue_rows(spark, path), "id")
+    rows = train_valid_test_split(saved(dialogue_rows(spark, path)), "id")
     return _long(
         rows, "iemocap-cat", "id", _text("transcription", T.clean_dialogue, clean), F.col("emotion")
     )
 
 
 def load_dialogue_vad(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
-    rows = train_valid_test_split(dialogue_rows(spark, path), "id")
+    rows = train_valid_test_split(saved(dialogue_rows(spark, path)), "id")
     return _long(
         rows, "iemocap-vad", "id", _text("transcription", T.clean_dialogue, clean),
         L.vad_struct("v", "a", "d"),
