@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from affectlake.functions.vectors import shift_left
+from affectlake.operators.stats import drop_empty
 
 # Special tokens and their ids; 0 is padding and is never a target.
 SPECIAL_TOKENS = ("<pad>", "<unk>", "<s>", "</s>")
@@ -61,7 +62,7 @@ def encode(df: DataFrame, vocab: DataFrame, max_len: int = 256, text: str = "tex
     Rows without text are left out.
     """
     body = F.slice(tokens(text), 1, max_len - 2)
-    ids = df.filter(F.coalesce(text, F.lit("")) != "").withColumn("__w", token_ids(body, vocab))
+    ids = drop_empty(df, text).withColumn("__w", token_ids(body, vocab))
     marked = F.concat(F.array(F.lit(START)), "__w", F.array(F.lit(END)))
     ids = ids.withColumn("__m", marked).withColumn("__n", F.size("__w") + 2)
     blank = F.lit(max_len) - F.col("__n")

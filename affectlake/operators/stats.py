@@ -73,8 +73,13 @@ def empty_texts(df: DataFrame, text: str = "text", split: str = "split") -> Data
 
 
 def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that still have text; a null text counts as empty."""
-    return df.filter(F.coalesce(F.col(text), F.lit("")) != "")
+    """Rows that still have text; a null text counts as empty.
+
+    An explode of a list of none or one text, because a plain filter moves
+    below the cleaning and so cleans every text twice.
+    """
+    kept = F.explode(F.filter(F.array(F.col(text)), lambda t: t != "")).alias(text)
+    return df.select(*[kept if c == text else F.col(c) for c in df.columns])
 
 
 def corpus_stats(df: DataFrame, dataset: str, size: int) -> DataFrame:

@@ -46,9 +46,8 @@ def split_documents(spark, sf, clean=False):
     docs = V.table(spark, sf, "documents")
     if clean:
         docs = spread(docs.select("doc_id", "lang", "text"), "doc_id")
-        left = F.coalesce(T.clean_basic("text"), F.lit("")) != ""
-        # A flag and not a filter, which would move to the unspread scan.
-        docs = saved(docs.select("doc_id", "lang", left.alias("left_over"))).filter("left_over")
+        docs = stats.drop_empty(docs.withColumn("text", T.clean_basic("text")))
+        docs = saved(docs.select("doc_id", "lang"))
     held = docs.count() // 10
     return splits.stratified_split(docs, "doc_id", "lang", held, held)
 
@@ -151,7 +150,7 @@ def p2(spark, sf):
     return rows.select("o_orderkey", annotators.relabel({"P": "valid", "O": "test", "F": "train"}, "o_orderstatus").alias("split"))
 
 
-_half_empty = "CASE WHEN doc_id % 7 = 0 THEN ' \"\" ' ELSE text END"
+_half_empty = "CASE WHEN doc_id % 7 = 0 THEN '\" \"' ELSE text END"
 
 
 @query("p3_drop_empty", f"SELECT doc_id, {V.sql_basic(_half_empty)} AS text FROM documents WHERE {V.sql_basic(_half_empty)} <> ''")

@@ -104,6 +104,15 @@ def test_statistics(spark):
     assert sizes[("all", "label")] == 3 and sizes[("all", "text")] == 2
 
 
+def test_dropping_empty_texts_cleans_once(spark):
+    from affectlake.functions.text import clean_basic
+
+    rows = spark.createDataFrame([(1, "\" \"", 7), (2, None, 8), (3, "a", 9)], "id int, text string, x int")
+    kept = stats.drop_empty(rows.withColumn("text", clean_basic("text")))
+    assert kept.columns == ["id", "text", "x"] and [tuple(r) for r in kept.collect()] == [(3, "a", 9)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+
+
 def test_lookup_joins_are_broadcast(spark):
     big = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") % 5).alias("name"))
     labels = spark.createDataFrame([(i, f"k{i}") for i in range(4)], "label_idx int, label string")

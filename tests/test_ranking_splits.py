@@ -73,6 +73,21 @@ def test_stratified_exact_sizes_with_a_hot_stratum(spark, parts):
     assert len(place) == 901
 
 
+def test_split_when_nothing_is_small_enough_to_broadcast(spark, monkeypatch):
+    rows = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("c"))
+    usual = {r["id"]: r["split"] for r in splits.stratified_split(rows, "id", "c", 60, 50).collect()}
+    monkeypatch.setattr(ranking, "bounded", lambda df: (df, False))
+    monkeypatch.setattr(splits, "bounded", lambda df: (df, False))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = splits.stratified_split(rows, "id", "c", 60, 50)
+        assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert {r["id"]: r["split"] for r in shuffled.collect()} == usual
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_stratified_shares(spark):
     rows = [(i, "abc"[i % 3]) for i in range(101)]
     out = splits.stratified_split(spark.createDataFrame(rows, "id long, c string"), "id", "c", 0.15, 0.15).collect()
