@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from affectlake.session import saved
 
@@ -93,3 +95,30 @@ def _pairs(edges: DataFrame) -> DataFrame:
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
+def arrow_map(
+    docs: DataFrame, text_col: str, work: Callable[[], Callable], fields: Sequence[tuple[str, str, pa.DataType]],
+) -> DataFrame:
+    """``row`` (all columns of ``docs``) beside what ``work`` makes of each text.
+
+    ``work()`` runs once per task and returns a function from a list of texts, as
+    UTF-8 bytes or None, to one list per field ``(name, SQL type, Arrow type)``.  Rows
+    travel in Arrow batches and stay where they are: no shuffle, no state between
+    tasks.  Input columns are kept inside ``row``, so their names cannot clash.
+    """
+    source = docs.select(F.struct("*").alias("row"))
+    at = docs.columns.index(text_col)
+    made_schema = T.StructType.fromDDL(", ".join(f"{name} {sql_type}" for name, sql_type, _ in fields))
+    schema = T.StructType([*source.schema.fields, *made_schema.fields])
+    names, types = ["row", *(f[0] for f in fields)], [f[2] for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = work()
+        for batch in batches:
+            rows = batch.column(0)
+            texts = rows.field(at).cast(pa.large_binary()).to_pylist()
+            made = [pa.array(x, type=t) for x, t in zip(each(texts), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows, *made], names=names)
+
+    return source.mapInArrow(run, schema)
