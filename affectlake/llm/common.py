@@ -41,17 +41,18 @@ def lower_ascii(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def join_hot(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, counted: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per key, without a hot task.
 
     ``counted`` holds in column ``n`` how many of the ``total`` rows have the key.
     Keys above one part in HOT_SHARE, fewer than HOT_SHARE by count, are broadcast;
     every other key is too small to make a task large, and is shuffled.
     """
+    keys = [key] if isinstance(key, str) else key
     hot = counted.filter(F.col(n) * HOT_SHARE > total).drop(n)
     cold = counted.filter(F.col(n) * HOT_SHARE <= total).drop(n)
-    return rows.join(F.broadcast(hot), key).unionByName(
-        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), keys).unionByName(
+        rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     )
 
 
