@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affectlake.llm import ngram_join
+from affectlake.llm import embedding_dedup, ngram_join
 from affectlake.llm.common import table
 from affectlake.llm.registry import query
 
@@ -38,3 +38,8 @@ from affectlake.llm.registry import query
     """)
 def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+@query("op3_embedding_dedup")
+def embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.components(table(spark, sf_dir, "embeddings"))
