@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from affectlake.llm import urls
+from affectlake.llm import html_extract, urls
 from affectlake.llm.common import table
 from affectlake.llm.registry import query
 
@@ -78,3 +78,10 @@ from affectlake.llm.registry import query
     """)
 def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op7_main_text")
+def main_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.fit(pages))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
