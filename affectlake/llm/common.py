@@ -100,16 +100,17 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def arrow_map(
     docs: DataFrame, text_col: str, work: Callable[[], Callable], fields: Sequence[tuple[str, str, pa.DataType]],
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """``row`` (all columns of ``docs``) beside what ``work`` makes of each text.
 
     ``work()`` runs once per task and returns a function from a list of texts, as
-    UTF-8 bytes or None, to one list per field ``(name, SQL type, Arrow type)``.  Rows
-    travel in Arrow batches and stay where they are: no shuffle, no state between
+    UTF-8 bytes or None, and the values of the columns in ``also``, to one list per field
+    ``(name, SQL type, Arrow type)``.  Rows travel in Arrow batches and stay where they are: no shuffle, no state between
     tasks.  Input columns are kept inside ``row``, so their names cannot clash.
     """
     source = docs.select(F.struct("*").alias("row"))
-    at = docs.columns.index(text_col)
+    at, others = docs.columns.index(text_col), [docs.columns.index(c) for c in also]
     made_schema = T.StructType.fromDDL(", ".join(f"{name} {sql_type}" for name, sql_type, _ in fields))
     schema = T.StructType([*source.schema.fields, *made_schema.fields])
     names, types = ["row", *(f[0] for f in fields)], [f[2] for f in fields]
@@ -119,7 +120,8 @@ def arrow_map(
         for batch in batches:
             rows = batch.column(0)
             texts = rows.field(at).cast(pa.large_binary()).to_pylist()
-            made = [pa.array(x, type=t) for x, t in zip(each(texts), types, strict=True)]
+            values = each(texts, *(rows.field(i).to_pylist() for i in others))
+            made = [pa.array(x, type=t) for x, t in zip(values, types, strict=True)]
             yield pa.RecordBatch.from_arrays([rows, *made], names=names)
 
     return source.mapInArrow(run, schema)

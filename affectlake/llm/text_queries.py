@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from affectlake.llm import decontamination, language, licenses
+from affectlake.llm import decontamination, language, licenses, secrets
 from affectlake.llm.common import table
 from affectlake.llm.registry import query
 
@@ -69,3 +69,12 @@ def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min("base_starts").alias("first_word"), F.array_max("base_starts").alias("last_word"),
         F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score",
     )
+
+
+@query("op8_secret_scan")
+def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per candidate, judged."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    trees = secrets.train(secrets.labelled_findings(docs))
+    found = secrets.scan(docs, trees).select("row.doc_id", F.inline("findings"))
+    return found.withColumnsRenamed({"start": "start_char", "end": "end_char", "secret": "is_secret"})
