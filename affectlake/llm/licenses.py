@@ -1,10 +1,11 @@
 """Licence notices: a positional index of templates' rare words.
 
 A template is the word sequence of a notice, with a key phrase it must hold.  Words are
-weighed by their inverse document frequency over all documents; each template is indexed
-under its RARE rarest words, with their positions.  A file looks up those words: every
-occurrence votes for the template at the place where it would start, and places with two
-votes of different index words are candidates.  A candidate counts if the key phrase
+weighed by their inverse document frequency over all documents, and indexed with their
+positions in each template.  A file that has a template's key words looks up the RARE
+highest-weighed of that template's words that it has: every occurrence votes for the
+place where the template would start, and places with two votes of different words are
+candidates.  A candidate counts if the key phrase
 stands at its place, word by word; its score is the share of the template's words that
 stand at theirs.
 
@@ -70,16 +71,14 @@ def document_frequencies(docs: DataFrame, words: set[str], text_col: str = "text
     return {r["word"]: r["n"] for r in rows}
 
 
-def build_index(templates: list[tuple[str, str, str]], idf: dict[str, float], rare: int = RARE) -> dict:
-    """word -> [(template number, position)] for each template's rarest words."""
-    index = defaultdict(list)
-    for number, (_, text, _) in enumerate(templates):
+def build_index(templates: list[tuple[str, str, str]], idf: dict[str, float]) -> list[dict[bytes, list[int]]]:
+    """Per template: word -> positions, words in order of falling weight."""
+    index = []
+    for _, text, _ in templates:
         words = text.split()
-        kept = sorted(set(words), key=lambda w: (-idf[w], w))[:rare]
-        for position, word in enumerate(words):
-            if word in kept:
-                index[word.encode()].append((number, position))
-    return dict(index)
+        ranked = sorted(set(words), key=lambda w: (-idf[w], w))
+        index.append({w.encode(): [i for i, x in enumerate(words) if x == w] for w in ranked})
+    return index
 
 
 def scan(
@@ -96,7 +95,7 @@ def scan(
     total = docs.count()
     df = document_frequencies(docs, vocabulary, text_col)
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary}
-    index = build_index(templates, idf, rare)
+    index = build_index(templates, idf)
     match = pa.struct([("label", pa.string()), ("first", pa.int64()), ("score", pa.float64())])
     fields = [
         ("n_words", "bigint", pa.int64()),
@@ -111,17 +110,24 @@ def scan(
         words, wanted = text.encode().split(), key.encode().split()
         at = next(i for i in range(len(words)) if words[i : i + len(wanted)] == wanted)
         shapes.append((label, words, wanted, at))
-    indexed = frozenset(index)
+    indexed = frozenset(w for postings in index for w in postings)
 
     def work():
         def match_templates(words: list[bytes]) -> list[dict]:
             present = indexed.intersection(words)
             if not present:
                 return []
+            looked_up = defaultdict(list)
+            for number, (_, _, key, _) in enumerate(shapes):
+                if present.issuperset(key):
+                    for word in [w for w in index[number] if w in present][:rare]:
+                        looked_up[word].append(number)
+            if not looked_up:
+                return []
             places = defaultdict(set)
             for place, word in enumerate(words):
-                if word in present:
-                    for number, position in index[word]:
+                for number in looked_up.get(word, ()):
+                    for position in index[number][word]:
                         places[number, place - position].add(word)
             found = []
             for (number, first), voters in places.items():
