@@ -1,16 +1,27 @@
-"""Token sequences: vocabulary, ids, masks, decoding and a bigram loss."""
+"""Token sequences: vocabulary, windows of ids, masks, decoding and a bigram loss.
+
+Every token of every text is encoded.  A text longer than a window becomes several
+windows; the vocabulary holds every token of the corpus and stays a table: ids come by
+join, and nothing of it passes the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from affectlake.functions.vectors import shift_left
+from affectlake.operators.ranking import ranked_by
 from affectlake.operators.stats import drop_empty
+from affectlake.session import saved
 
 # Special tokens and their ids; 0 is padding and is never a target.
 SPECIAL_TOKENS = ("<pad>", "<unk>", "<s>", "</s>")
 PAD, UNKNOWN, START, END = range(4)
-VOCABULARY_SIZE = 50_000
+WINDOW = 256
+#: The most frequent tokens, which few texts lack, are looked up by broadcast.
+FREQUENT = 2_000
 
 
 def tokens(text: Column | str) -> Column:
@@ -19,75 +30,70 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(text, " "), lambda t: t != "")
 
 
-def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The ``size`` most frequent tokens with ids after the special ones.
+def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
+    """``(token, token_id, n)`` of every token, by falling count and then token order.
 
-    A tokenizer's vocabulary has a fixed size; other tokens become ``<unk>``.
-    Equal counts go in token order.
+    Ids follow the special ones.  The rank is exact and bucketed, so that no task sorts
+    the whole vocabulary.
     """
-    counts = df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(size).collect()
-    first = len(SPECIAL_TOKENS)
-    rows = [(r["token"], i + first, r["n"]) for i, r in enumerate(top)]
-    return df.sparkSession.createDataFrame(rows, "token string, token_id int, n long")
-
-
-def _token_list(vocab: DataFrame) -> list[str]:
-    """Token per id; the vocabulary size bounds what travels to the tasks."""
-    return [*SPECIAL_TOKENS, *[r["token"] for r in vocab.orderBy("token_id").collect()]]
-
-
-def token_ids(words: Column | str, vocab: DataFrame) -> Column:
-    """Tokens to ids through one hash lookup per Arrow batch; no shuffle."""
-    known = _token_list(vocab)
+    counts = saved(
+        df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    )
+    key = F.concat(F.lpad((F.lit(10**18) - F.col("n")).cast("string"), 19, "0"), F.lit(" "), "token")
+    ranked = ranked_by(counts.withColumn("__key", key), "__key", "__rank")
+    return ranked.select("token", (F.col("__rank") + len(SPECIAL_TOKENS) - 1).alias("token_id"), "n")
 
-    @F.arrow_udf("array<int>")
-    def look_up(batch):
-        import pyarrow as pa
-        import pyarrow.compute as pc
 
-        batch = pc.if_else(batch.is_valid(), batch, pa.scalar([], batch.type))
-        ids = pc.index_in(batch.flatten(), value_set=pa.array(known, pa.string()))
-        lengths = pc.list_value_length(batch).to_numpy(zero_copy_only=False)
-        ends = [0, *lengths.cumsum().tolist()]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.fill_null(ids, UNKNOWN))
+def _looked_up(rows: DataFrame, vocab: DataFrame, key: str, value: str) -> DataFrame:
+    """Left join of exploded rows with the vocabulary.
 
-    return look_up(F.col(words) if isinstance(words, str) else words)
+    The FREQUENT first ids are broadcast, a bounded table that takes the hot keys; each
+    of the other tokens is too rare to make a task large, and is shuffled.
+    """
+    edge = FREQUENT + len(SPECIAL_TOKENS)
+    frequent = F.broadcast(vocab.filter(F.col("token_id") < edge).select(key, value))
+    rest = vocab.filter(F.col("token_id") >= edge).select(key, value)
+    return rows.join(frequent, key).unionByName(
+        rows.join(frequent.select(key), key, "left_anti").join(rest, key, "left")
+    )
 
 
-def encode(df: DataFrame, vocab: DataFrame, max_len: int = 256, text: str = "text") -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask`` of length ``max_len``; labels stay.
+def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], window: int = WINDOW, text: str = "text") -> DataFrame:
+    """``(*keys, window_no, input_ids, attention_mask)``: all tokens, in windows of ``window`` ids.
 
-    Start and end marks are added, long sequences are cut, short ones padded.
-    Rows without text are left out.
+    A window holds a start mark, up to ``window - 2`` tokens, an end mark and padding.
+    ``keys`` name a row; rows without text are left out, as are null keys' claims to be
+    one row.  Tokens outside the vocabulary are ``<unk>``.
     """
-    body = F.slice(tokens(text), 1, max_len - 2)
-    ids = drop_empty(df, text).withColumn("__w", token_ids(body, vocab))
-    marked = F.concat(F.array(F.lit(START)), "__w", F.array(F.lit(END)))
-    ids = ids.withColumn("__m", marked).withColumn("__n", F.size("__w") + 2)
-    blank = F.lit(max_len) - F.col("__n")
-    return ids.select(
-        *df.columns,
+    body = window - 2
+    words = drop_empty(df, text).select(*keys, F.posexplode(tokens(text)).alias("__pos", "token"))
+    known = _looked_up(saved(words), vocab, "token", "token_id")
+    placed = known.select(
+        *keys, F.floor(F.col("__pos") / body).alias("window_no"),
+        F.struct("__pos", F.coalesce("token_id", F.lit(UNKNOWN)).cast("int").alias("id")).alias("__one"),
+    )
+    grouped = placed.groupBy(*keys, "window_no").agg(F.array_sort(F.collect_list("__one"))["id"].alias("__ids"))
+    marked = grouped.withColumn("__m", F.concat(F.array(F.lit(START)), "__ids", F.array(F.lit(END))))
+    real = F.size("__m")
+    blank = F.lit(window) - real
+    return marked.select(
+        *keys, "window_no",
         F.concat("__m", F.array_repeat(F.lit(PAD), blank)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.col("__n")), F.array_repeat(F.lit(0), blank)).alias("attention_mask"),
+        F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), blank)).alias("attention_mask"),
     )
 
 
-def decode(ids: Column | str, vocab: DataFrame, special: bool = True) -> Column:
-    """Ids back to a text; special tokens are shown unless ``special`` is off."""
-    known, skip = _token_list(vocab), 0 if special else len(SPECIAL_TOKENS)
-
-    @F.arrow_udf("array<string>")
-    def look_up(batch):
-        import pyarrow as pa
-
-        words = pa.array(known, pa.string()).take(batch.flatten())
-        lengths = batch.value_lengths().to_numpy(zero_copy_only=False)
-        ends = pa.array([0, *lengths.cumsum().tolist()], pa.int32())
-        return pa.ListArray.from_arrays(ends, words)
-
-    ids = F.col(ids) if isinstance(ids, str) else ids
-    return F.array_join(look_up(F.filter(ids, lambda i: i >= skip)), " ")
+def decode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], ids: str = "input_ids", special: bool = True) -> DataFrame:
+    """``(*keys, text)``: ids back to a text; special tokens are shown unless ``special`` is off."""
+    names = F.array(*[F.lit(t) for t in SPECIAL_TOKENS])
+    flat = df.select(*keys, F.posexplode(ids).alias("__pos", "token_id"))
+    marks = flat.filter(F.col("token_id") < len(SPECIAL_TOKENS)).withColumn("token", F.get(names, F.col("token_id")))
+    words = _looked_up(flat.filter(F.col("token_id") >= len(SPECIAL_TOKENS)), vocab, "token_id", "token")
+    shown = words.unionByName(marks) if special else words
+    one = F.struct("__pos", "token").alias("__one")
+    return shown.select(*keys, one).groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list("__one"))["token"], " ").alias("text")
+    )
 
 
 def bigram_counts(df: DataFrame, ids: str = "input_ids") -> DataFrame:
@@ -100,17 +106,12 @@ def bigram_counts(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     return df.select(F.inline(kept)).groupBy("cur", "target").agg(F.count("*").alias("n"))
 
 
-def bigram_model(counts: DataFrame) -> DataFrame:
-    """``log_p`` of each target given its token; a token has at most K targets."""
-    mass = F.sum("n").over(Window.partitionBy("cur"))
-    return counts.withColumn("log_p", F.log(F.col("n") / mass))
-
-
 def bigram_loss(counts: DataFrame) -> DataFrame:
-    """Mean cross-entropy of all targets, from the counts alone.
+    """Mean cross-entropy of all targets under the counts' own model.
 
-    Every occurrence of a pair has the same loss, so the tokens need not be
-    joined back to the model.
+    With N occurrences of a token and n of a pair it is
+    (sum N ln N - sum n ln n) / sum n: two aggregates, no window over a token's targets.
     """
-    model = bigram_model(counts)
-    return model.agg((-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("lm_loss"))
+    per_token = counts.groupBy("cur").agg(F.sum("n").alias("mass"), F.sum(F.col("n") * F.log("n")).alias("pairs"))
+    mass = F.col("mass").cast("double")
+    return per_token.agg(((F.sum(mass * F.log(mass)) - F.sum("pairs")) / F.sum(mass)).alias("lm_loss"))

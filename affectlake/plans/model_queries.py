@@ -13,85 +13,99 @@ from affectlake.plans.registry import query
 from affectlake.plans.score_queries import MULTI_EMD
 from affectlake.session import saved, shared_folder
 
-MAX_LEN = 64
-VOCABULARY = 1000
+WINDOW = 256
+KEYS = ["conv_id", "turn", "role"]
 
 
 # ------------------------------------------------------------------- sequences
 
 def cleaned_turns(spark, sf):
     turns = V.table(spark, sf, "conversations")
-    return turns.select("conv_id", "turn", "role", T.clean_dialogue(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
+    return turns.select(*KEYS, T.clean_dialogue(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
 
 
 def encoded_turns(spark, sf):
     rows = saved(cleaned_turns(spark, sf))
-    vocab = sequences.vocabulary(rows, size=VOCABULARY)
-    return sequences.encode(rows, vocab, MAX_LEN), vocab
+    vocab = saved(sequences.vocabulary(rows))
+    return sequences.encode(rows, vocab, KEYS, WINDOW), vocab
 
 
 TURN_TEXT = V.sql_dialogue("replace(text, chr(10), ' ')")
+BODY = WINDOW - 2
 SEQUENCE = f"""
 WITH c AS (SELECT conv_id, turn, role, {TURN_TEXT} AS text FROM conversations),
 tk AS (SELECT conv_id, turn, role, list_filter(string_split(text, ' '), lambda t: t <> '') AS ws FROM c WHERE text <> ''),
 cnt AS (SELECT token, count(*) AS n FROM (SELECT unnest(ws) AS token FROM tk) GROUP BY token),
-vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM cnt
-          ORDER BY n DESC, token LIMIT {VOCABULARY}),
+vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM cnt),
 body AS (
-  SELECT conv_id, turn, role, pos, coalesce(token_id, 1) AS id FROM (
-    SELECT conv_id, turn, role, unnest(ws[1:{MAX_LEN - 2}]) AS token, unnest(range(1, least(len(ws), {MAX_LEN - 2}) + 1)) AS pos
-    FROM tk) LEFT JOIN vocab USING (token)),
-lens AS (SELECT conv_id, turn, role, least(len(ws), {MAX_LEN - 2}) AS n FROM tk),
+  SELECT conv_id, turn, role, (place - 1) // {BODY} AS window_no, (place - 1) % {BODY} + 1 AS pos, token_id AS id FROM (
+    SELECT conv_id, turn, role, unnest(ws) AS token, unnest(range(1, len(ws) + 1)) AS place FROM tk) JOIN vocab USING (token)),
+lens AS (SELECT conv_id, turn, role, window_no, count(*) AS n FROM body GROUP BY ALL),
 seq AS (
-  SELECT conv_id, turn, role, p::INT AS pos,
+  SELECT lens.conv_id, lens.turn, lens.role, lens.window_no, p::INT AS pos,
     CASE WHEN p = 0 THEN 2 WHEN p = n + 1 THEN 3 WHEN p > n + 1 THEN 0 ELSE id END::INT AS id, (p <= n + 1)::INT AS mask
-  FROM lens CROSS JOIN range({MAX_LEN}) t(p) LEFT JOIN body USING (conv_id, turn, role)
-  WHERE (p BETWEEN 1 AND n AND body.pos = p) OR ((p = 0 OR p > n) AND (body.pos = 1 OR body.pos IS NULL)))"""
+  FROM lens CROSS JOIN range({WINDOW}) t(p) LEFT JOIN body
+    ON body.conv_id = lens.conv_id AND body.turn = lens.turn AND body.role = lens.role
+    AND body.window_no = lens.window_no AND body.pos = p)"""
 
 
-@query("t1_vocabulary", SEQUENCE + " SELECT token, token_id::INT AS token_id, n FROM vocab")
+@query("t1_vocabulary", SEQUENCE + " SELECT token, token_id, n FROM vocab")
 def t1_vocabulary(spark, sf):
-    return sequences.vocabulary(cleaned_turns(spark, sf), size=VOCABULARY)
+    return sequences.vocabulary(cleaned_turns(spark, sf))
 
 
-@query("t1_input_ids", SEQUENCE + " SELECT conv_id, turn, pos, id FROM seq")
+@query("t1_input_ids", SEQUENCE + " SELECT conv_id, turn, window_no, pos, id FROM seq")
 def t1(spark, sf):
     rows, _ = encoded_turns(spark, sf)
-    return rows.select("conv_id", "turn", F.posexplode("input_ids").alias("pos", "id"))
+    return rows.select("conv_id", "turn", "window_no", F.posexplode("input_ids").alias("pos", "id"))
 
 
-@query("t2_attention_mask", SEQUENCE + " SELECT conv_id, turn, sum(mask)::BIGINT AS n_real, count(*) AS n FROM seq GROUP BY conv_id, turn")
+@query("t1_no_token_lost", SEQUENCE + """
+    SELECT (SELECT sum(len(ws))::BIGINT FROM tk) AS n_words, (SELECT sum(n)::BIGINT FROM vocab) AS n_counted,
+           (SELECT count(*) FROM seq WHERE id > 3) AS n_encoded, (SELECT count(*) FROM seq WHERE id = 1) AS n_unknown""")
+def t1_total(spark, sf):
+    """Words of the texts, of the vocabulary and of the windows: one number three times."""
+    rows, vocab = encoded_turns(spark, sf)
+    words = cleaned_turns(spark, sf).agg(F.sum(F.size(sequences.tokens("text"))).alias("n_words"))
+    known = F.size(F.filter("input_ids", lambda i: i > sequences.END))
+    unknown = F.size(F.filter("input_ids", lambda i: i == sequences.UNKNOWN))
+    return words.join(vocab.agg(F.sum("n").alias("n_counted")), how="cross").join(
+        rows.agg(F.sum(known).alias("n_encoded"), F.sum(unknown).alias("n_unknown")), how="cross")
+
+
+@query("t2_attention_mask", SEQUENCE + " SELECT conv_id, turn, window_no, sum(mask)::BIGINT AS n_real, count(*) AS n FROM seq GROUP BY ALL")
 def t2(spark, sf):
     rows, _ = encoded_turns(spark, sf)
     ones = F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x)
-    return rows.select("conv_id", "turn", ones.cast("long").alias("n_real"), F.size("attention_mask").cast("long").alias("n"))
+    return rows.select("conv_id", "turn", "window_no", ones.cast("long").alias("n_real"), F.size("attention_mask").cast("long").alias("n"))
 
 
 @query("t3_decode", SEQUENCE + """
-    SELECT conv_id, turn, string_agg(token, ' ' ORDER BY pos) AS text
-    FROM body JOIN vocab ON id = token_id GROUP BY conv_id, turn""")
+    SELECT conv_id, turn, window_no, string_agg(token, ' ' ORDER BY pos) AS text
+    FROM body JOIN vocab ON id = token_id GROUP BY ALL""")
 def t3(spark, sf):
-    """Unknown words are specials, so only known words come back."""
     rows, vocab = encoded_turns(spark, sf)
-    out = rows.select("conv_id", "turn", sequences.decode("input_ids", vocab, special=False).alias("text"))
-    return out.filter("text <> ''")
+    return sequences.decode(rows, vocab, ["conv_id", "turn", "window_no"], special=False)
 
 
-@query("t4_encode_splits", SEQUENCE + " SELECT role AS split, count(*) FILTER (mask = 1) AS n_tokens, count(DISTINCT (conv_id, turn)) AS n_rows FROM seq GROUP BY role")
+@query("t4_encode_splits", SEQUENCE + " SELECT role AS split, count(*) FILTER (mask = 1) AS n_tokens, count(DISTINCT (conv_id, turn, window_no)) AS n_rows FROM seq GROUP BY role")
 def t4(spark, sf):
     rows, _ = encoded_turns(spark, sf)
     ones = F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x)
     return rows.groupBy(F.col("role").alias("split")).agg(F.sum(ones).alias("n_tokens"), F.count("*").alias("n_rows"))
 
 
-@query("m17_shift_left", SEQUENCE + " SELECT conv_id, turn, pos, coalesce(lead(id) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0)::INT AS target FROM seq")
+SHIFTED = "lead(id) OVER (PARTITION BY conv_id, turn, window_no ORDER BY pos)"
+
+
+@query("m17_shift_left", SEQUENCE + f" SELECT conv_id, turn, window_no, pos, coalesce({SHIFTED}, 0)::INT AS target FROM seq")
 def m17(spark, sf):
     rows, _ = encoded_turns(spark, sf)
-    return rows.select("conv_id", "turn", F.posexplode(X.shift_left("input_ids")).alias("pos", "target"))
+    return rows.select("conv_id", "turn", "window_no", F.posexplode(X.shift_left("input_ids")).alias("pos", "target"))
 
 
-BIGRAM = SEQUENCE + """,
-nx AS (SELECT id AS cur, lead(id) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS target FROM seq),
+BIGRAM = SEQUENCE + f""",
+nx AS (SELECT id AS cur, {SHIFTED} AS target FROM seq),
 pc AS (SELECT cur, target, count(*) AS n FROM nx WHERE target <> 0 GROUP BY cur, target),
 lm AS (SELECT n, ln(n / sum(n) OVER (PARTITION BY cur)) AS log_p FROM pc)"""
 

@@ -117,34 +117,41 @@ def texts(spark):
     return spark.createDataFrame([(0, "train", "a b a c"), (1, "valid", "a b"), (2, "test", ""), (3, "train", None), (4, "train", "b z")], "id int, split string, text string").repartition(3)
 
 
-def test_vocabulary_and_encoding(texts):
-    vocab = sequences.vocabulary(texts, size=3)
-    assert [(r["token"], r["token_id"], r["n"]) for r in vocab.orderBy("token_id").collect()] == [("a", 4, 3), ("b", 5, 3), ("c", 6, 1)]
-    rows = {r["id"]: r for r in sequences.encode(texts, vocab, 5).collect()}
-    assert sorted(rows) == [0, 1, 4]
-    assert rows[0]["input_ids"] == [2, 4, 5, 4, 3] and rows[0]["attention_mask"] == [1] * 5
-    assert rows[1]["input_ids"] == [2, 4, 5, 3, 0] and rows[1]["attention_mask"] == [1, 1, 1, 1, 0] and rows[1]["split"] == "valid"
-    assert rows[4]["input_ids"] == [2, 5, 1, 3, 0]
+def test_vocabulary_holds_every_token(texts):
+    vocab = sequences.vocabulary(texts)
+    assert [(r["token"], r["token_id"], r["n"]) for r in vocab.orderBy("token_id").collect()] == [
+        ("a", 4, 3), ("b", 5, 3), ("c", 6, 1), ("z", 7, 1)]
 
 
-def test_decoding(texts):
-    vocab = sequences.vocabulary(texts, size=3)
-    rows = sequences.encode(texts, vocab, 5)
-    shown = {r["id"]: r["o"] for r in rows.select("id", sequences.decode("input_ids", vocab).alias("o")).collect()}
-    assert shown[1] == "<s> a b </s> <pad>"
-    plain = {r["id"]: r["o"] for r in rows.select("id", sequences.decode("input_ids", vocab, special=False).alias("o")).collect()}
-    assert plain == {0: "a b a", 1: "a b", 4: "b"}
+@pytest.mark.parametrize("frequent", [0, 2, 2_000])
+def test_every_token_is_encoded(texts, monkeypatch, frequent):
+    monkeypatch.setattr(sequences, "FREQUENT", frequent)
+    vocab = sequences.vocabulary(texts)
+    rows = {(r["id"], r["window_no"]): r for r in sequences.encode(texts, vocab, ["id", "split"], 5).collect()}
+    assert sorted(rows) == [(0, 0), (0, 1), (1, 0), (4, 0)]
+    assert rows[0, 0]["input_ids"] == [2, 4, 5, 4, 3] and rows[0, 0]["attention_mask"] == [1] * 5
+    assert rows[0, 1]["input_ids"] == [2, 6, 3, 0, 0] and rows[0, 1]["split"] == "train"
+    assert rows[1, 0]["input_ids"] == [2, 4, 5, 3, 0] and rows[1, 0]["attention_mask"] == [1, 1, 1, 1, 0]
+
 
+def test_tokens_outside_the_vocabulary(texts):
+    vocab = sequences.vocabulary(texts).filter("token <> 'z'")
+    rows = {r["id"]: r for r in sequences.encode(texts, vocab, ["id"], 6).collect()}
+    assert rows[4]["input_ids"] == [2, 5, 1, 3, 0, 0]
 
-def test_encoding_does_not_shuffle(texts):
-    vocab = sequences.vocabulary(texts, size=3)
-    plan = sequences.encode(texts.coalesce(1), vocab, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan and "ArrowEvalPython" in plan
+
+def test_decoding(texts):
+    vocab = sequences.vocabulary(texts)
+    rows = sequences.encode(texts, vocab, ["id"], 6)
+    shown = {r["id"]: r["text"] for r in sequences.decode(rows, vocab, ["id"]).collect()}
+    assert shown[1] == "<s> a b </s> <pad> <pad>"
+    plain = {r["id"]: r["text"] for r in sequences.decode(rows, vocab, ["id"], special=False).collect()}
+    assert plain == {0: "a b a c", 1: "a b", 4: "b z"}
 
 
 def test_bigram_loss(texts):
-    vocab = sequences.vocabulary(texts, size=3)
-    rows = sequences.encode(texts, vocab, 6)
+    vocab = sequences.vocabulary(texts)
+    rows = sequences.encode(texts, vocab, ["id"], 6)
     pairs = []
     for r in rows.collect():
         ids = r["input_ids"]
