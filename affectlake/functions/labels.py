@@ -33,23 +33,23 @@ DIALOGUE_CODES = {
     "ang": "anger", "hap": "happy", "sad": "sadness", "fru": "frustrate", "exc": "excite",
     "fea": "fear", "sur": "surprise", "dis": "disgust", "neu": "neutral",
 }
-# Numeric ids of the statement corpus (only the names are used).
-STATEMENT_IDS = {
-    1: "joy", 2: "fear", 3: "anger", 4: "sadness", 5: "disgust", 6: "shame", 7: "guilt",
-}
-
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def multi_hot(ids: Column | str, size: int) -> Column:
-    """Index list to a 0/1 array of length ``size``."""
+    """Index list to a 0/1 array of length ``size``.
+
+    A negative index counts from the end; an index outside the labels is an error.
+    """
     ids = _c(ids)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.array_contains(ids, i).cast("int"),
+    outside = F.raise_error(F.concat(F.lit(f"label index outside 0..{size - 1}: "), ids.cast("string")))
+    inside = F.transform(ids, lambda i: F.when(i < 0, i + size).otherwise(i))
+    flags = F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(inside, i).cast("int")
     )
+    return F.when(F.exists(ids, lambda i: (i >= size) | (i < -size)), outside.cast("array<int>")).otherwise(flags)
 
 
 def one_hot(index: Column | str, size: int) -> Column:

@@ -26,9 +26,13 @@ SAMPLES_PER_BUCKET = 20
 
 
 def hash_key(key: Column | str, seed: int | str = 42) -> Column:
-    """The md5 text of key and seed: the same order in every engine and layout."""
+    """The md5 text of key and seed: the same order in every engine and layout.
+
+    A null key is an error: such a row has no place in the order.
+    """
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
+    named = F.coalesce(key.cast("string"), F.raise_error(F.lit("a row without id has no place in an order")).cast("string"))
+    return F.md5(F.concat(named, F.lit(f"#{seed}")))
 
 
 def hash_digits(rows: int) -> int:
@@ -70,7 +74,8 @@ def cut_keys(
     ``df`` holds the strata and the column ``hashed``; ``cuts`` holds the strata,
     ``cut`` and ``k`` (1-based rank).  Returns ``(*strata, cut, key)``.  ``rows``
     is the table's size, which sets the number of buckets.  No row is shuffled
-    except those in the bucket of a cut, some ten thousand each.
+    except those in the bucket of a cut, some ten thousand each.  Two rows with the
+    key of a cut are an error: no cut could part them.
     """
     strata = list(strata)
     keyed = df.select(*strata, F.col(hashed).alias("__h")).withColumn("__b", hash_bucket("__h", hash_digits(rows)))
@@ -91,10 +96,12 @@ def cut_keys(
     )
     near = small_join(keyed, hit, [*strata, "__b"], "inner")
     order = Window.partitionBy(*strata, "__b", "cut").orderBy("__h")
+    repeated = F.raise_error(F.lit("an id at a cut is repeated; ids must be unique")).cast("string")
     return (
         near.withColumn("__r", F.row_number().over(order))
+        .withColumn("__key", F.when(F.lead("__h").over(order) == F.col("__h"), repeated).otherwise(F.col("__h")))
         .filter(F.col("__r") == F.col("__local"))
-        .select(*strata, "cut", F.col("__h").alias("key"))
+        .select(*strata, "cut", F.col("__key").alias("key"))
     )
 
 
@@ -159,8 +166,11 @@ def rank_threshold(df: DataFrame, key: str, k: int, rows_per_bucket: int = ROWS_
     """The key value at rank ``k`` (None for k < 1), found without sorting the table.
 
     Each round narrows the range to the one bucket that holds the rank, until it
-    is small enough to be ordered in one task.
+    is small enough to be ordered in one task.  Null keys, and a key at the rank that
+    is repeated, are errors.
     """
+    if df.filter(F.col(key).isNull()).limit(1).count():
+        raise ValueError(f"{key} is null in some rows, which have no rank")
     if k < 1:
         return None
     part, rank = df.select(key), k
@@ -185,7 +195,14 @@ def rank_threshold(df: DataFrame, key: str, k: int, rows_per_bucket: int = ROWS_
             part = part.filter(F.col(key) < F.lit(high))
         if counts[bucket] >= rows:
             break
-    return part.orderBy(key).limit(rank).agg(F.max(key)).first()[0]
+    edge, at_edge, up_to = part.orderBy(key).limit(rank + 1).select(
+        F.col(key), F.row_number().over(Window.orderBy(key)).alias("__r")
+    ).agg(
+        F.max(F.when(F.col("__r") == rank, F.col(key))), F.max(F.when(F.col("__r") == rank + 1, F.col(key))), F.count("*")
+    ).first()
+    if up_to > rank and edge == at_edge:
+        raise ValueError(f"{key} {edge!r} is repeated at the cut; keys must be unique")
+    return edge
 
 
 def take_first(df: DataFrame, key: str, k: int) -> DataFrame:

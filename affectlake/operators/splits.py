@@ -2,7 +2,8 @@
 
 A row's place is fixed by the md5 of its id and a seed.  Sizes and per-stratum
 counts are exact, parts are disjoint and complete, and nothing depends on the
-layout of the data.  Ids must be unique.
+layout of the data.  Ids must be unique and not null: a null id, and a repeated id at
+a cut, are errors.
 """
 
 from __future__ import annotations

@@ -47,11 +47,18 @@ def multi_hot_counts(df: DataFrame, column: str, size: int) -> DataFrame:
 
 
 def index_counts(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """Occurrences of each label index in index lists (or single indexes)."""
+    """Occurrences of each label index in index lists (or single indexes).
+
+    An index that the label table lacks is an error.
+    """
     is_list = df.schema[column].dataType.typeName() == "array"
     flat = df.select((F.explode(column) if is_list else F.col(column)).alias("label_idx"))
     counts = flat.groupBy("label_idx").agg(F.count("*").alias("n"))
-    return labels.select("label_idx").join(counts, "label_idx", "left").fillna(0, ["n"])
+    listed = labels.select("label_idx", F.lit(True).alias("__listed"))
+    unlisted = F.raise_error(F.concat(F.lit("label index not listed: "), F.coalesce(F.col("label_idx").cast("string"), F.lit("null"))))
+    return listed.join(counts, "label_idx", "full").select(
+        "label_idx", F.when(F.col("__listed"), F.coalesce("n", F.lit(0))).otherwise(unlisted.cast("long")).alias("n")
+    )
 
 
 def label_entropy(counts: DataFrame, size: int) -> DataFrame:

@@ -128,19 +128,19 @@ def s5(spark, sf):
     return files.read_statements(spark, path).select("EMOT", F.md5("SIT").alias("text_md5"), "Field1")
 
 
-@query("s6_stance_files", """
-    SELECT upper(event_type) || '-' || event_id AS text, (event_type = 'click')::INT AS anger, (event_type = 'view')::INT AS trust
-    FROM events""")
+@query("s6_stance_files", "SELECT upper(event_type) || '-' || event_id AS text, " + ", ".join(
+    f"((event_id + {i}) % 3 = 0)::INT AS {name}" for i, name in enumerate(L.STANCE_LABELS)) + " FROM events")
 def s6(spark, sf):
+    """Every label column is written with its own name or a dash, and read back."""
     path = shared_folder(spark)
-    cells = {"anger": "click", "trust": "view"}
     columns = [
-        F.when(F.col("event_type") == cells.get(name, "-"), F.initcap(F.lit(name))).otherwise("---").alias(name) for name in L.STANCE_LABELS
+        F.when((F.col("event_id") + i) % 3 == 0, F.initcap(F.lit(name))).otherwise("---").alias(name)
+        for i, name in enumerate(L.STANCE_LABELS)
     ]
     text = F.concat(F.upper("event_type"), F.lit("-"), F.col("event_id").cast("string"))
     _write(V.table(spark, sf, "events").select(*columns, text.alias("text")), path, sep="\t", header=False)
     rows = files.read_stance_tweets(spark, path)
-    return rows.select("text", T.is_own_name("anger", "anger").alias("anger"), T.is_own_name("trust", "trust").alias("trust"))
+    return rows.select("text", *[T.is_own_name(name, name).alias(name) for name in L.STANCE_LABELS])
 
 
 @query("s7_forum_files", f"""

@@ -138,7 +138,8 @@ def m19(spark, sf):
 def vectors(spark, sf):
     rows = V.table(spark, sf, "embeddings")
     gold = [(3 + 4 * F.col("embedding")[i].cast("double")).alias(n) for i, n in ((10, "gv"), (11, "ga"), (12, "gd"))]
-    vector = F.slice("embedding", 14, 50).cast("array<double>").alias("vector")
+    # All components but the three that the gold scores are made of.
+    vector = F.concat(F.slice("embedding", 1, 10), F.slice("embedding", 14, V.WIDTH - 13)).cast("array<double>").alias("vector")
     part = F.when(F.col("vec_id") % 5 == 0, "test").when(F.col("vec_id") % 5 == 1, "valid").otherwise("train")
     return rows.select("vec_id", "label", V.gold_array().alias("gold"), vector, part.alias("split"), *gold)
 
@@ -174,7 +175,7 @@ def g2(spark, sf):
 def _category_head(spark, sf, steps=12):
     axes, rows = V.axes(spark, sf), vectors(spark, sf)
     weights, bias, losses = heads.fit_vad_from_categories(
-        rows.filter("split = 'train'").select("vector", "gold"), "vector", "gold", axes, 50, steps=steps
+        rows.filter("split = 'train'").select("vector", "gold"), "vector", "gold", axes, V.WIDTH - 3, steps=steps
     )
     return axes, rows, weights, bias, losses
 
@@ -230,7 +231,7 @@ def g6_model(spark, sf):
     return rows.select("vec_id", F.posexplode("logits").alias("pos", "v")).select("vec_id", "pos", V.r6("v").alias("x"))
 
 
-@query("g8_saved_head", V.PRED + f" SELECT vec_id, {V.sql_r6('x')} AS x FROM lg WHERE ax_no = 0 AND pos = 0")
+@query("g8_saved_head", "WITH" + V.LOGITS + f" SELECT vec_id, ax_no * {V.K} + pos AS pos, {V.sql_r6('x')} AS x FROM lg")
 def g8(spark, sf):
     """Save the fixed head under two names, reload without the old output head."""
     path = shared_folder(spark)
@@ -240,5 +241,6 @@ def g8(spark, sf):
     loaded = heads.load_weights(spark, path)
     if sorted(loaded) != ["v.bias", "v.weight"]:
         raise RuntimeError(f"unexpected tensors: {sorted(loaded)}")
-    rows = V.table(spark, sf, "embeddings").select("vec_id", X.linear_head("embedding", loaded["v.weight"], loaded["v.bias"][0]).alias("x"))
-    return rows.select("vec_id", V.r6(F.col("x")[0]).alias("x"))
+    head = X.linear_head("embedding", loaded["v.weight"], loaded["v.bias"][0])
+    rows = V.table(spark, sf, "embeddings").select("vec_id", F.posexplode(head).alias("pos", "v"))
+    return rows.select("vec_id", "pos", V.r6("v").alias("x"))

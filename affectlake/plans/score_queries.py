@@ -18,6 +18,15 @@ def _cells(rows, array, name="x"):
     )
 
 
+def _axis_cells(spark, sf, made, name="x"):
+    """What ``made`` gives for the logits of each of the three axes."""
+    parts = F.array(*[made(X.axis_part("logits", i, K)) for i in range(3)])
+    rows = V.logit_rows(spark, sf).select("vec_id", F.posexplode(parts).alias("ax_no", "part"))
+    return rows.select("vec_id", "ax_no", F.posexplode("part").alias("pos", "value")).select(
+        "vec_id", "ax_no", "pos", V.r6("value").alias(name)
+    )
+
+
 # ---------------------------------------------------------------- element-wise
 
 @query("m15_linear_head", "WITH" + V.LOGITS + f" SELECT vec_id, ax_no * {K} + pos AS pos, {V.sql_r6('x')} AS x FROM lg")
@@ -25,30 +34,30 @@ def m15(spark, sf):
     return _cells(V.logit_rows(spark, sf), "logits")
 
 
-@query("m1_axis_parts", "WITH" + V.LOGITS + f" SELECT vec_id, pos, {V.sql_r6('x')} AS x FROM lg WHERE ax_no = 1")
+@query("m1_axis_parts", "WITH" + V.LOGITS + f" SELECT vec_id, ax_no, pos, {V.sql_r6('x')} AS x FROM lg")
 def m1(spark, sf):
-    return _cells(V.logit_rows(spark, sf), X.axis_part("logits", 1, K))
+    return _axis_cells(spark, sf, lambda part: part)
 
 
-@query("m2_sigmoid", "WITH" + V.PROBS + f" SELECT vec_id, pos, {V.sql_r6('p')} AS p FROM pr WHERE ax_no = 0")
+@query("m2_sigmoid", "WITH" + V.PROBS + f" SELECT vec_id, ax_no, pos, {V.sql_r6('p')} AS p FROM pr")
 def m2(spark, sf):
-    return _cells(V.logit_rows(spark, sf), X.sigmoid(X.axis_part("logits", 0, K)), "p")
+    return _axis_cells(spark, sf, X.sigmoid, "p")
 
 
-@query("m2_softmax", "WITH" + V.SOFT + f" SELECT vec_id, pos, {V.sql_r6('p')} AS p FROM sm WHERE ax_no = 0")
+@query("m2_softmax", "WITH" + V.SOFT + f" SELECT vec_id, ax_no, pos, {V.sql_r6('p')} AS p FROM sm")
 def m2_softmax(spark, sf):
-    return _cells(V.logit_rows(spark, sf), X.softmax(X.axis_part("logits", 0, K)), "p")
+    return _axis_cells(spark, sf, X.softmax, "p")
 
 
-@query("m2_relu", "WITH" + V.LOGITS + f" SELECT vec_id, pos, {V.sql_r6('greatest(x, 0)')} AS x FROM lg WHERE ax_no = 2")
+@query("m2_relu", "WITH" + V.LOGITS + f" SELECT vec_id, ax_no, pos, {V.sql_r6('greatest(x, 0)')} AS x FROM lg")
 def m2_relu(spark, sf):
-    return _cells(V.logit_rows(spark, sf), F.transform(X.axis_part("logits", 2, K), X.relu))
+    return _axis_cells(spark, sf, lambda part: F.transform(part, X.relu))
 
 
-@query("m3_normalise", "WITH" + V.PROBS + f""" SELECT vec_id, pos,
-    {V.sql_r6('p / (sum(p) OVER (PARTITION BY vec_id, ax_no) + 1e-5)')} AS p FROM pr WHERE ax_no = 0""")
+@query("m3_normalise", "WITH" + V.PROBS + f""" SELECT vec_id, ax_no, pos,
+    {V.sql_r6('p / (sum(p) OVER (PARTITION BY vec_id, ax_no) + 1e-5)')} AS p FROM pr""")
 def m3(spark, sf):
-    return _cells(V.logit_rows(spark, sf), X.normalise(X.sigmoid(X.axis_part("logits", 0, K))), "p")
+    return _axis_cells(spark, sf, lambda part: X.normalise(X.sigmoid(part)), "p")
 
 
 # ---------------------------------------------------------------------- losses
@@ -87,13 +96,16 @@ def m4(spark, sf):
     return _emd(spark, sf, parts=True).select("vec_id", F.posexplode(parts).alias("ax_no", "l")).select("vec_id", "ax_no", V.r6("l").alias("loss"))
 
 
-@query("m5_within_class_loss", MULTI_EMD + f"SELECT vec_id, {V.sql_r6('within_')} AS loss FROM per WHERE ax_no = 0")
+@query("m5_within_class_loss", MULTI_EMD + f"SELECT vec_id, ax_no::INT AS ax_no, {V.sql_r6('within_')} AS loss FROM per")
 def m5(spark, sf):
     from affectlake.functions.labels import permute
 
-    order = V.axes(spark, sf).orders[0]
-    probs = X.sigmoid(X.axis_part("logits", 0, K))
-    return V.logit_rows(spark, sf).select("vec_id", V.r6(X.within_class_loss(probs, permute("gold", order), K)).alias("loss"))
+    losses = [
+        X.within_class_loss(X.sigmoid(X.axis_part("logits", i, K)), permute("gold", order), K)
+        for i, order in enumerate(V.axes(spark, sf).orders)
+    ]
+    rows = V.logit_rows(spark, sf).select("vec_id", F.posexplode(F.array(*losses)).alias("ax_no", "l"))
+    return rows.select("vec_id", "ax_no", V.r6("l").alias("loss"))
 
 
 @query("m6_emd_loss", MULTI_EMD + f"SELECT vec_id, {V.sql_r6('sum(between_ + within_) / 3')} AS loss FROM per GROUP BY vec_id")
@@ -170,11 +182,12 @@ def m10(spark, sf):
     return predictions(spark, sf).select("vec_id", *[V.r6(f"e.{a}").alias(f"e_{a}") for a in "vad"])
 
 
-@query("m10_expected_vad_native", V.EXPECTED + f" SELECT vec_id, {V.sql_r6('e_a')} AS e_a FROM wide")
+@query("m10_expected_vad_native", V.EXPECTED + " SELECT vec_id, " + ", ".join(f"{V.sql_r6(f'e_{a}')} AS e_{a}" for a in "vad") + " FROM wide")
 def m10_native(spark, sf):
-    scores = V.axes(spark, sf).scores[1]
-    probs = X.sigmoid(X.axis_part("logits", 1, K))
-    return V.logit_rows(spark, sf).select("vec_id", V.r6(X.weighted_sum(probs, scores)).alias("e_a"))
+    scores = V.axes(spark, sf).scores
+    return V.logit_rows(spark, sf).select("vec_id", *[
+        V.r6(X.weighted_sum(X.sigmoid(X.axis_part("logits", i, K)), scores[i])).alias(f"e_{a}") for i, a in enumerate("vad")
+    ])
 
 
 @query("m11_multi_classes", V.PRED + " SELECT vec_id, label_idx, p FROM pred")
@@ -381,14 +394,16 @@ def g7(spark, sf):
     return row.select(*[V.r6(c).alias(c) for c in row.columns])
 
 
-@query("g6_batch_scoring", V.PRED.replace("WITH", "WITH", 1) + f""",
-    ev AS (SELECT pr.vec_id, sum(pr.p * ord.score) FILTER (pr.ax_no = 0) AS v FROM pr JOIN ord ON pr.ax_no = ord.ax_no AND pr.pos = ord.pos GROUP BY pr.vec_id)
-    SELECT ev.vec_id, {V.sql_r6('v')} AS v, string_agg(p::VARCHAR, ',' ORDER BY label_idx) AS classes
-    FROM ev JOIN pred USING (vec_id) GROUP BY ev.vec_id, v""")
+@query("g6_batch_scoring", V.PRED + """,
+    ev AS (SELECT pr.vec_id, """ + ", ".join(f"sum(pr.p * ord.score) FILTER (pr.ax_no = {i}) AS {a}" for i, a in enumerate("vad")) + """
+           FROM pr JOIN ord ON pr.ax_no = ord.ax_no AND pr.pos = ord.pos GROUP BY pr.vec_id)
+    SELECT ev.vec_id, """ + ", ".join(f"{V.sql_r6(a)} AS {a}" for a in "vad") + """, string_agg(p::VARCHAR, ',' ORDER BY label_idx) AS classes
+    FROM ev JOIN pred USING (vec_id) GROUP BY ev.vec_id, v, a, d""")
 def g6(spark, sf):
     """The flagship of the bench: vectors to scores and classes in one scan."""
     return predictions(spark, sf).select(
-        "vec_id", V.r6("e.v").alias("v"), F.array_join(F.col("e.classes").cast("array<string>"), ",").alias("classes")
+        "vec_id", *[V.r6(f"e.{a}").alias(a) for a in "vad"],
+        F.array_join(F.col("e.classes").cast("array<string>"), ",").alias("classes"),
     )
 
 

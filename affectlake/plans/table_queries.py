@@ -259,11 +259,11 @@ def j3_missing(spark, sf):
 
 
 @query("j4_attach_transcript", """
-    SELECT conv_id AS id, turn, text AS transcription FROM conversations WHERE role = 'user'""")
+    SELECT conv_id AS id, turn, text AS transcription FROM conversations""")
 def j4(spark, sf):
     turns = V.table(spark, sf, "conversations").withColumn("id", F.concat_ws("_", "conv_id", "turn"))
     spoken = turns.select("id", F.col("text").alias("transcription"))
-    out = annotators.attach_transcripts(turns.filter("role = 'user'").select("id", "conv_id", "turn"), spoken)
+    out = annotators.attach_transcripts(turns.select("id", "conv_id", "turn"), spoken)
     return out.select(F.col("conv_id").alias("id"), "turn", "transcription")
 
 
@@ -465,13 +465,16 @@ def e5(spark, sf):
     return combined(spark, sf).select("id", L.vad_struct("V", "A", "D").alias("s")).select("id", "s.*")
 
 
-@query("e6_permute", "WITH" + V.ORD + "," + V.GOLD + " SELECT vec_id, pos::INT AS pos, y, y AS back FROM gold JOIN ord USING (label_idx) WHERE axis = 'd'")
+@query("e6_permute", "WITH" + V.ORD + "," + V.GOLD + " SELECT vec_id, ax_no, pos::INT AS pos, y, y AS back FROM gold JOIN ord USING (label_idx)")
 def e6(spark, sf):
-    order = V.axes(spark, sf).orders[2]
-    rows = V.gold_rows(spark, sf).withColumn("sorted", L.permute("gold", order))
-    again = L.permute(L.permute("sorted", L.invert(order)), order)
-    return rows.select("vec_id", F.posexplode(F.arrays_zip("sorted", again.alias("again"))).alias("pos", "e")).select(
-        "vec_id", "pos", F.col("e.sorted").alias("y"), F.col("e.again").alias("back")
+    both = []
+    for order in V.axes(spark, sf).orders:
+        there = L.permute("gold", order)
+        again = L.permute(L.permute(there, L.invert(order)), order)
+        both.append(F.arrays_zip(there.alias("y"), again.alias("back")))
+    rows = V.gold_rows(spark, sf).select("vec_id", F.posexplode(F.array(*both)).alias("ax_no", "cells"))
+    return rows.select("vec_id", "ax_no", F.posexplode("cells").alias("pos", "e")).select(
+        "vec_id", "ax_no", "pos", F.col("e.y").alias("y"), F.col("e.back").alias("back")
     )
 
 
@@ -541,9 +544,10 @@ def w3(spark, sf):
 
 
 @query("w4_running_sum", "WITH" + V.ORD + "," + V.GOLD + """
-    SELECT vec_id, pos::INT AS position, sum(y) OVER (PARTITION BY vec_id ORDER BY pos)::BIGINT AS c
-    FROM gold JOIN ord USING (label_idx) WHERE axis = 'a'""")
+    SELECT vec_id, ax_no, pos::INT AS position, sum(y) OVER (PARTITION BY vec_id, ax_no ORDER BY pos)::BIGINT AS c
+    FROM gold JOIN ord USING (label_idx)""")
 def w4(spark, sf):
-    order = V.axes(spark, sf).orders[1]
-    rows = V.gold_rows(spark, sf).select("vec_id", F.posexplode(L.permute("gold", order)).alias("position", "y"))
-    return rows.select("vec_id", "position", lexicon.running_sum("y", ["vec_id"], "position").alias("c"))
+    sorted_by_axis = F.array(*[L.permute("gold", order) for order in V.axes(spark, sf).orders])
+    rows = V.gold_rows(spark, sf).select("vec_id", F.posexplode(sorted_by_axis).alias("ax_no", "ys"))
+    rows = rows.select("vec_id", "ax_no", F.posexplode("ys").alias("position", "y"))
+    return rows.select("vec_id", "ax_no", "position", lexicon.running_sum("y", ["vec_id", "ax_no"], "position").alias("c"))

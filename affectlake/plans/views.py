@@ -252,12 +252,12 @@ ANNOTATORS = sql_annotator("reader", "O") + "," + sql_annotator("writer", "F")
 # ------------------------------------------------------------------------ words
 
 def word_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """``(doc_id, pos, word)`` for the plain lower-case words of all documents."""
+    """``(doc_id, pos, word)`` for all words of all documents."""
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     return (
         spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
         .select("doc_id", F.posexplode(words).alias("pos", "word"))
-        .filter(F.col("word").rlike("^[a-z]+$"))
+        .filter("word <> ''")
     )
 
 
@@ -267,7 +267,7 @@ words AS (
     SELECT doc_id, unnest(list_zip(range(1, len(ws) + 1), ws)) AS z FROM (
       SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM documents)) q,
     LATERAL (SELECT z[1] AS pos, z[2] AS word) u
-  WHERE regexp_full_match(u.word, '[a-z]+'))"""
+  WHERE u.word <> '')"""
 
 
 def md5_share(value: Column, start: int) -> Column:

@@ -120,3 +120,15 @@ def test_lookup_joins_are_broadcast(spark):
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 800
     assert [tuple(r) for r in joins.unlisted_labels(big, "name", labels).collect()] == [("k4", 200)]
+
+
+def test_indexes_outside_the_labels_are_errors(spark):
+    row = spark.range(1)
+    hot = lambda *ids: row.select(L.multi_hot(F.array(*map(F.lit, ids)), 3).alias("h")).first().h
+    assert hot(1, -1) == [0, 1, 1]
+    for bad in (3, 28, -4):
+        with pytest.raises(Exception, match="outside 0..2"):
+            hot(1, bad)
+    listed = spark.createDataFrame([(0,), (1,)], "label_idx int")
+    with pytest.raises(Exception, match="not listed: 99"):
+        stats.index_counts(spark.createDataFrame([([0, 99],)], "ids array<int>"), "ids", listed).collect()

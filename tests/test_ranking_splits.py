@@ -131,3 +131,23 @@ def test_compare_splits(spark):
     b = spark.createDataFrame([(1, "train"), (2, "valid"), (3, "valid")], "id long, split string")
     got = {r["split"]: r["same"] for r in splits.compare_splits(a, b, "id").collect()}
     assert got == {"train": True, "test": False, "valid": False}
+
+
+# ------------------------------------------------------------- rows without a place
+
+def test_null_ids_are_errors(spark):
+    rows = spark.createDataFrame([(i if i % 10 else None, "s") for i in range(100)], "id int, s string")
+    for cut in (ranking.take_first, ranking.skip_first):
+        with pytest.raises(ValueError, match="null"):
+            cut(rows, "id", 20)
+    with pytest.raises(Exception, match="without id"):
+        splits.stratified_split(rows, "id", "s", 20, 20).collect()
+
+
+def test_repeated_ids_at_a_cut_are_errors(spark):
+    rows = spark.createDataFrame([(i // 20, "s") for i in range(100)], "id int, s string")
+    with pytest.raises(ValueError, match="repeated"):
+        ranking.take_first(rows, "id", 10)
+    assert ranking.take_first(rows, "id", 20).count() == 20
+    with pytest.raises(Exception, match="repeated"):
+        splits.stratified_split(rows, "id", "s", 10, 10).collect()
