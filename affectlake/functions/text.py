@@ -6,8 +6,10 @@ written so that they mean the same in Java and in RE2.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -34,23 +36,57 @@ HIDDEN_ELEMENTS = (
     "script", "style", "textarea", "select", "button",
     "applet", "iframe", "frameset", "noframes",
 )
-# Entities decoded by the native mode; the ampersand comes last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&#34;", '"'), ("&nbsp;", "\xa0"), ("&copy;", "\xa9"),
-    ("&reg;", "\xae"), ("&middot;", "\xb7"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"),
-    ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&amp;", "&"),
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# A quote in a tag holds an attribute value only after "=", and may then hold ">".
+TAG = r"""</?[A-Za-z!?](?:(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,200}+>|[^>]*+>)"""
+# Code points with the Emoji property, as ranges, and the gaps within the long ones.
+EMOJI_RANGES = (
+    "203c 2049 2122 2139 2194-2199 21a9-21aa 231a-231b 2328 23cf 23e9-23f3 23f8-23fa 24c2 25aa-25ab 25b6 25c0 "
+    "25fb-25fe 2600-2604 260e 2611 2614-2615 2618 261d 2620 2622-2623 2626 262a 262e-262f 2638-263a 2640 2642 "
+    "2648-2653 265f-2660 2663 2665-2666 2668 267b 267e-267f 2692-2697 2699 269b-269c 26a0-26a1 26a7 26aa-26ab "
+    "26b0-26b1 26bd-26be 26c4-26c5 26c8 26ce-26cf 26d1 26d3-26d4 26e9-26ea 26f0-26f5 26f7-26fa 26fd 2702 2705 "
+    "2708-270d 270f 2712 2714 2716 271d 2721 2728 2733-2734 2744 2747 274c 274e 2753-2755 2757 2763-2764 2795-2797 "
+    "27a1 27b0 27bf 2934-2935 2b05-2b07 2b1b-2b1c 2b50 2b55 3030 303d 3297 3299 1f004 1f0cf 1f170-1f171 1f17e-1f17f "
+    "1f18e 1f191-1f19a 1f201-1f202 1f21a 1f22f 1f232-1f23a 1f250-1f251 1f300-1f64f 1f680-1f6ff 1f7e0-1f7eb "
+    "1f90c-1f9ff 1fa70-1faff"
 )
-# Emoji whose common name is not their character name.
+NOT_EMOJI_RANGES = (
+    "1f322-1f323 1f394-1f395 1f398 1f39c-1f39d 1f3f1-1f3f2 1f3f6 1f4fe 1f53e-1f548 1f54f 1f568-1f56e 1f571-1f572 "
+    "1f57b-1f586 1f588-1f589 1f58e-1f58f 1f591-1f594 1f597-1f5a3 1f5a6-1f5a7 1f5a9-1f5b0 1f5b3-1f5bb 1f5bd-1f5c1 "
+    "1f5c5-1f5d0 1f5d4-1f5db 1f5df-1f5e0 1f5e2 1f5e4-1f5e7 1f5e9-1f5ee 1f5f0-1f5f2 1f5f4-1f5f9 1f6c6-1f6ca "
+    "1f6d3-1f6d4 1f6e6-1f6e8 1f6ea 1f6f1-1f6f2 1f93b 1f946"
+)
+# Emoji whose short name is not their character name.
 EMOJI_NAMES = {
-    "❤": "red_heart", "☺": "smiling_face", "☹": "frowning_face",
-    "\U0001f621": "pouting_face", "\U0001f620": "angry_face",
-    "\U0001f44d": "thumbs_up", "\U0001f44e": "thumbs_down",
-    "\U0001f614": "pensive_face", "\U0001f525": "fire",
-    "\U0001f602": "face_with_tears_of_joy", "\U0001f62d": "loudly_crying_face",
+    "❤": "red_heart", "☺": "smiling_face", "☹": "frowning_face", "⭐": "star", "⏰": "alarm_clock", "✨": "sparkles",
+    "✅": "check_mark_button", "✔": "check_mark", "❌": "cross_mark", "⚡": "high_voltage", "☀": "sun", "☕": "hot_beverage",
+    "✌": "victory_hand", "☝": "index_pointing_up", "✊": "raised_fist", "✋": "raised_hand", "❗": "red_exclamation_mark",
+    "❓": "red_question_mark", "⚽": "soccer_ball", "♥": "heart_suit",
+    "😀": "grinning_face", "😁": "beaming_face_with_smiling_eyes", "😂": "face_with_tears_of_joy",
+    "😃": "grinning_face_with_big_eyes", "😄": "grinning_face_with_smiling_eyes", "😅": "grinning_face_with_sweat",
+    "😆": "grinning_squinting_face", "😇": "smiling_face_with_halo", "😉": "winking_face",
+    "😊": "smiling_face_with_smiling_eyes", "😋": "face_savoring_food", "😌": "relieved_face",
+    "😍": "smiling_face_with_heart-eyes", "😎": "smiling_face_with_sunglasses", "😏": "smirking_face",
+    "😐": "neutral_face", "😑": "expressionless_face", "😒": "unamused_face", "😓": "downcast_face_with_sweat",
+    "😔": "pensive_face", "😕": "confused_face", "😖": "confounded_face", "😘": "face_blowing_a_kiss",
+    "😙": "kissing_face_with_smiling_eyes", "😚": "kissing_face_with_closed_eyes", "😛": "face_with_tongue",
+    "😜": "winking_face_with_tongue", "😝": "squinting_face_with_tongue", "😞": "disappointed_face",
+    "😟": "worried_face", "😠": "angry_face", "😡": "enraged_face", "😢": "crying_face",
+    "😣": "persevering_face", "😤": "face_with_steam_from_nose", "😥": "sad_but_relieved_face",
+    "😦": "frowning_face_with_open_mouth", "😧": "anguished_face", "😨": "fearful_face", "😩": "weary_face",
+    "😪": "sleepy_face", "😫": "tired_face", "😬": "grimacing_face", "😭": "loudly_crying_face",
+    "😮": "face_with_open_mouth", "😯": "hushed_face", "😰": "anxious_face_with_sweat", "😱": "face_screaming_in_fear",
+    "😲": "astonished_face", "😳": "flushed_face", "😴": "sleeping_face", "😷": "face_with_medical_mask",
+    "🙂": "slightly_smiling_face", "🙁": "slightly_frowning_face", "🙃": "upside-down_face",
+    "🙄": "face_with_rolling_eyes", "🤔": "thinking_face", "🤣": "rolling_on_the_floor_laughing",
+    "👍": "thumbs_up", "👎": "thumbs_down", "👏": "clapping_hands", "🙏": "folded_hands", "🙌": "raising_hands",
+    "👌": "OK_hand", "💪": "flexed_biceps", "👀": "eyes", "🔥": "fire", "💔": "broken_heart", "💕": "two_hearts",
+    "💙": "blue_heart", "💜": "purple_heart", "💚": "green_heart", "💛": "yellow_heart", "🎉": "party_popper",
+    "💯": "hundred_points", "🎶": "musical_notes", "😻": "smiling_cat_with_heart-eyes", "💀": "skull",
+    "\U0001f3fb": "light_skin_tone", "\U0001f3fc": "medium-light_skin_tone", "\U0001f3fd": "medium_skin_tone",
+    "\U0001f3fe": "medium-dark_skin_tone", "\U0001f3ff": "dark_skin_tone",
 }
+SKIN_TONE = r":([^:\s]+)::((?:medium-)?(?:light|dark)_skin_tone|medium_skin_tone):"
 
 
 def _c(col: Column | str) -> Column:
@@ -102,23 +138,43 @@ def drop_urls_mentions(col: Column | str) -> Column:
 
 
 def hidden_html_pattern() -> str:
-    """Hidden elements and comments; one leading ``<`` rejects most positions."""
-    parts = [rf"{tag}\b[^>]*>.*?</{tag}\s*>" for tag in HIDDEN_ELEMENTS]
-    return "(?is)<(?:" + "|".join(parts) + "|!--.*?-->)"
+    """Hidden elements and comments, to their end or the text's; one leading ``<`` rejects most positions."""
+    parts = [rf"{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in HIDDEN_ELEMENTS]
+    return "(?is)<(?:" + "|".join(parts) + r"|!--.*?(?:-->|\z))"
+
+
+def entity_characters() -> dict[str, str]:
+    """All named character references of HTML, without their semicolon."""
+    return {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+
+
+def decode_entities(col: Column | str) -> Column:
+    """Character references, named or numeric, to their characters; unknown ones stay."""
+    named = F.from_json(F.lit(json.dumps(entity_characters())), "map<string,string>")
+
+    def char_of(name):
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(
+            name.startswith("#"), F.substring(name, 2, 8)).cast("bigint")
+        valid = (digits > 0) & (digits <= 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
+        numeric = F.when(valid, point).otherwise("\ufffd")
+        return F.when(name.startswith("#"), numeric).otherwise(
+            F.coalesce(F.try_element_at(named, name), F.concat(F.lit("&"), name, F.lit(";"))))
+
+    def rename(text):
+        found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
+        joined = F.zip_with(
+            F.split(text, ENTITY), found, lambda p, e: F.concat(p, F.coalesce(char_of(e), F.lit("")))
+        )
+        return F.when(F.rlike(text, F.lit(ENTITY)), F.array_join(joined, "")).otherwise(text)
+
+    return _once(_c(col), rename)
 
 
 def strip_html(col: Column | str) -> Column:
     """HTML fragment to visible text with patterns only (no Python worker)."""
     out = F.regexp_replace(_c(col), hidden_html_pattern(), "")
-    out = F.regexp_replace(out, r"(?s)</?[A-Za-z!?][^>]*>", "")
-
-    def decode(text):
-        decoded = text
-        for entity, char in ENTITIES:
-            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-        return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
-
-    return _once(out, decode)
+    return decode_entities(F.regexp_replace(out, f"(?s){TAG}", ""))
 
 
 def strip_html_exact(col: Column | str) -> Column:
@@ -168,14 +224,22 @@ def straighten_quotes(col: Column | str) -> Column:
     return F.translate(_c(col), "“”", '""')
 
 
+def _points(ranges: str) -> set[int]:
+    ends = [r.split("-") for r in ranges.split()]
+    return {c for e in ends for c in range(int(e[0], 16), int(e[-1], 16) + 1)}
+
+
 def emoji_names() -> dict[str, str]:
-    """Single-character emoji and their names, built from the character database."""
+    """Single-character emoji and their names; other symbols are no emoji.
+
+    Names not listed are the character's own; a table of short names can be passed to
+    :func:`demojize` instead.
+    """
     names = {}
-    for first, last in ((0x2600, 0x27BF), (0x1F300, 0x1FAFF)):
-        for code in range(first, last + 1):
-            name = unicodedata.name(chr(code), "")
-            if name:
-                names[chr(code)] = name.lower().replace(" ", "_").replace("-", "_")
+    for code in sorted(_points(EMOJI_RANGES) - _points(NOT_EMOJI_RANGES)):
+        name = unicodedata.name(chr(code), "")
+        if name:
+            names[chr(code)] = name.lower().replace(" ", "_")
     return {**names, **EMOJI_NAMES}
 
 
@@ -216,7 +280,8 @@ def demojize(col: Column | str, names: dict[str, str] | None = None) -> Column:
         joined = F.zip_with(
             F.split(plain, inside), emoji, lambda p, e: F.concat(p, F.coalesce(name_of(e), F.lit("")))
         )
-        return F.when(F.rlike(text, F.lit(inside)), F.array_join(joined, "")).otherwise(text)
+        named = F.regexp_replace(F.array_join(joined, ""), SKIN_TONE, ":$1_$2:")
+        return F.when(F.rlike(text, F.lit(inside)), named).otherwise(text)
 
     return _once(_c(col), rename)
 

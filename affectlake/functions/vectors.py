@@ -158,10 +158,21 @@ def linear_head(
 
 
 def _as_matrix(values, width):
+    """Arrays as rows of a matrix; a null array reads as zeros, see :func:`_absent`."""
     import numpy as np
 
-    flat = values.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype("float64").reshape(len(values), width)
+    known = np.asarray(values.is_valid())
+    flat = values.drop_null().flatten().to_numpy(zero_copy_only=False)
+    matrix = np.zeros((len(values), width))
+    matrix[known] = flat.astype("float64").reshape(-1, width)
+    return matrix
+
+
+def _absent(*columns):
+    """Rows in which one of the arrays is null: their result is null."""
+    import numpy as np
+
+    return np.any([np.asarray(c.is_null()) for c in columns], axis=0)
 
 
 def _activation(x, single):
@@ -208,10 +219,11 @@ def emd_loss(
         between = (step * step * weight).sum(axis=2)
         within = ((p - y) ** 2).sum(axis=2) / size
         loss = (between + within).mean(axis=1)
+        absent = _absent(logit_batch, gold_batch)
         if not parts:
-            return pa.array(loss)
+            return pa.array(loss, mask=absent)
         columns = [loss, *between.T, *within.T]
-        return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["loss", *names])
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["loss", *names], mask=pa.array(absent))
 
     return score(_c(logits), _c(gold))
 
@@ -230,15 +242,16 @@ def axis_cross_entropy(
         import numpy as np
         import pyarrow as pa
 
+        absent = _absent(logit_batch, gold_batch)
         x = _as_matrix(logit_batch, 3 * size).reshape(-1, 3, size)
         y = _as_matrix(gold_batch, size)[:, order]
         if single:
             top = x.max(axis=2)
             lse = top + np.log(np.exp(x - top[..., None]).sum(axis=2))
             at = np.take_along_axis(x, y.argmax(axis=2)[..., None], axis=2)[..., 0]
-            return pa.array((lse - at).sum(axis=1))
+            return pa.array((lse - at).sum(axis=1), mask=absent)
         terms = np.maximum(x, 0) - x * y + np.log1p(np.exp(-np.abs(x)))
-        return pa.array(terms.mean(axis=2).sum(axis=1))
+        return pa.array(terms.mean(axis=2).sum(axis=1), mask=absent)
 
     return score(_c(logits), _c(gold))
 
@@ -279,7 +292,7 @@ def vad_and_classes(
         ends = np.arange(0, (len(x) + 1) * width, width, dtype="int32")
         listed = pa.ListArray.from_arrays(ends, pa.array(classes.ravel().astype("int32")))
         return pa.StructArray.from_arrays(
-            [*[pa.array(e) for e in expected.T], listed], ["v", "a", "d", "classes"]
+            [*[pa.array(e) for e in expected.T], listed], ["v", "a", "d", "classes"], mask=pa.array(_absent(batch))
         )
 
     return score(_c(logits))

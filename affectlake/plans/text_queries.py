@@ -58,8 +58,20 @@ _over_documents("f6_urls_mentions", "text", T.drop_urls_mentions, "text", V.sql_
 _over_pages("f6_urls_mentions_pages", T.drop_urls_mentions, V.sql_urls, "concat(url, ' ', html, ' @a ', url)", "concat(url, ' ', html, ' @a ', url)")
 _over_pages("f7_html_text", T.strip_html, V.sql_html)
 _over_pages("f7_html_text_exact", T.strip_html_exact, V.sql_html)
+# Numeric and named references, a quoted ">", an element that is never closed.
+HARD_HTML = (
+    "concat('it&#8217;s &euro;5 &#233; &eacute; &unknown; <p title=\"a>b\">y</p> ', html, ' z<BUTTON class=b>hidden')"
+)
+_over_pages("f7_html_text_hard", T.strip_html, V.sql_html, HARD_HTML.replace('"', '\\"'), HARD_HTML)
 _over_documents("f8_straight_quotes", "concat('“', replace(text, ' ', '” '))", T.straighten_quotes, "concat('“', replace(text, ' ', '” '))", V.sql_straight)
 _over_documents("f9_demojize", _emojified("text"), T.demojize, _emojified("text"), _sql_demojize)
+# Symbols that are no emoji stay; a skin tone joins its emoji.
+SYMBOLS = "concat(text, ' 5 ★ hotel ✓ ♪ ☐ ⭐ ⏰ 😍 😘 🙏 👍🏽 ❤️')"
+_over_documents(
+    "f9_demojize_symbols", SYMBOLS, T.demojize,
+    "concat(text, ' 5 ★ hotel ✓ ♪ ☐ :star: :alarm_clock: :smiling_face_with_heart-eyes: :face_blowing_a_kiss: "
+    ":folded_hands: :thumbs_up_medium_skin_tone: :red_heart:')", lambda e: e,
+)
 _over_documents("f10_pad_emoji_names", _sql_demojize(_emojified("text")), T.pad_emoji_names, _sql_demojize(_emojified("text")), V.sql_emoji_pad)
 _over_documents(
     "f11_join_lines", "replace(text, '.\\n', 'á\\n')", T.join_statement_lines,

@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from affectlake.functions.rounding import round_even
-from affectlake.functions.text import (
-    ENTITIES, HIDDEN_ELEMENTS, PUNCTUATION, WHITESPACE, WS,
-)
+from affectlake.functions.text import PUNCTUATION, WHITESPACE, WS
 from affectlake.functions.vectors import linear_head
 from affectlake.operators.lexicon import LabelAxes, label_axes
 from affectlake.session import spread
@@ -86,11 +84,21 @@ def sql_urls(e: str) -> str:
     return sql_strip_space(f"regexp_replace({out}, '[{WS}]+', ' ', 'g')")
 
 
+# What the twin of the HTML cleaning hides and decodes, apart from the code under test.
+SQL_HIDDEN = ("script", "style", "textarea", "select", "button", "applet", "iframe", "frameset", "noframes")
+SQL_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#8217;", "’"), ("&#x27;", "'"),
+    ("&nbsp;", "\xa0"), ("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&eacute;", "é"), ("&#233;", "é"), ("&euro;", "€"),
+    ("&mdash;", "—"), ("&amp;", "&"),
+)
+
+
 def sql_html(e: str) -> str:
-    hidden = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in HIDDEN_ELEMENTS) + "|<!--.*?-->"
+    hidden = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in SQL_HIDDEN) + r"|<!--.*?(?:-->|\z)"
     out = f"regexp_replace({e}, {sql_text(hidden)}, '', 'gis')"
-    out = f"regexp_replace({out}, '</?[A-Za-z!?][^>]*>', '', 'gs')"
-    for entity, char in ENTITIES:
+    tag = r"""</?[A-Za-z!?](?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')?)*>"""
+    out = f"regexp_replace({out}, {sql_text(tag)}, '', 'gs')"
+    for entity, char in SQL_ENTITIES:
         out = f"replace({out}, {sql_text(entity)}, {sql_text(char)})"
     return out
 

@@ -108,3 +108,20 @@ def test_int_list_rejects_garbage(spark):
     assert rows.first()["i"] == [3, 17]
     with pytest.raises(Exception):
         spark.createDataFrame([("3,x",)], "t string").select(F.size(T.int_list("t")), T.int_list("t")).collect()
+
+
+def test_html_entities_and_tags(spark):
+    texts = {
+        "it&#8217;s &euro;5 &#233; &eacute; &#x1F600; &amp;lt; &nope; &#0;": "it’s €5 é é 😀 &lt; &nope; �",
+        "<p title='a>b'>y</p>": "y", "<a b=c'd>x</a>": "x", "a <button>never closed": "a ", "x<!-- open": "x",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "t string, want string")
+    for r in rows.select("want", T.strip_html("t").alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_symbols_are_no_emoji(spark):
+    text = "5 ★ hotel ✓ ♪ ☐ ⭐ ⏰ 😍 🙏 👍🏽 1 #"
+    got = spark.createDataFrame([(text,)], "t string").select(T.demojize("t").alias("o")).first().o
+    assert got == ("5 ★ hotel ✓ ♪ ☐ :star: :alarm_clock: :smiling_face_with_heart-eyes: :folded_hands: "
+                   ":thumbs_up_medium_skin_tone: 1 #")
