@@ -250,9 +250,28 @@ def a11(spark, sf):
     return out.select("axis", "n", V.r6("r").alias("r"))
 
 
-@query("a12_pearson_p_value")
+# The two-sided p-value of a correlation by the finite sums of Student's distribution
+# for even and for odd degrees of freedom; the code under test uses the beta function.
+P_VALUES = CORRELATION + """,
+    pc AS (SELECT 'v' AS axis, count(*) AS n, corr(e_v, gv) AS r FROM g
+           UNION ALL SELECT 'a', count(*), corr(e_a, ga) FROM g
+           UNION ALL SELECT 'd', count(*), corr(e_d, gd) FROM g),
+    ks AS (SELECT k, CASE WHEN k > 0 THEN ln((2 * k - 1) / (2 * k)::DOUBLE) ELSE 0 END AS le,
+             CASE WHEN k > 0 THEN ln(2 * k / (2 * k + 1)::DOUBLE) ELSE 0 END AS lo
+           FROM range(0, (SELECT max(n) FROM pc)) t(k)),
+    cs AS (SELECT k, sum(le) OVER (ORDER BY k) AS ce, sum(lo) OVER (ORDER BY k) AS co FROM ks),
+    sums AS (SELECT axis, n, r, sum(CASE
+               WHEN n % 2 = 0 AND k <= (n - 4) // 2 THEN exp(ce + k * ln(1 - r * r))
+               WHEN n % 2 = 1 AND k <= (n - 5) // 2 THEN exp(co + k * ln(1 - r * r)) ELSE 0 END) AS s
+             FROM pc CROSS JOIN cs GROUP BY axis, n, r)"""
+
+
+@query("a12_pearson_p_value", P_VALUES + f"""
+    SELECT axis, n, {V.sql_r6('r')} AS r, {V.sql_r6('''1 - CASE WHEN n % 2 = 0 THEN abs(r) * s
+      ELSE 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * s) END''')} AS p FROM sums""")
 def a12(spark, sf):
-    return metrics.pearson_with_p(_vad(spark, sf), ["v", "a", "d"], ["gv", "ga", "gd"])
+    out = metrics.pearson_with_p(_vad(spark, sf), ["v", "a", "d"], ["gv", "ga", "gd"])
+    return out.select("axis", "n", V.r6("r").alias("r"), V.r6("p").alias("p"))
 
 
 CLASSES = V.PRED + """,
