@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -31,6 +33,8 @@ SPACE_TABLE = bytes(
 #: there are fewer than HOT_SHARE such keys, whatever the input.
 HOT_SHARE = 2_000
 
+FILTER_BITS, FILTER_HASHES = 1 << 25, 3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,18 +48,70 @@ def lower_ascii(text: Column | str) -> Column:
 def join_hot(rows: DataFrame, counted: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per key, without a hot task.
 
-    ``counted`` holds in column ``n`` how many of the ``total`` rows have the key.
-    Keys above one part in HOT_SHARE, fewer than HOT_SHARE by count, are broadcast;
+    ``counted`` holds in column ``n`` how many of the ``total`` rows have the key; it is
+    read twice, so it should be a written table or cheap.  Keys above one part in
+    HOT_SHARE, fewer than HOT_SHARE by count, become a local table that is broadcast;
     every other key is too small to make a task large, and is shuffled.
     """
     keys = [key] if isinstance(key, str) else key
-    hot = counted.filter(F.col(n) * HOT_SHARE > total).drop(n)
+    listed = counted.filter(F.col(n) * HOT_SHARE > total).drop(n)
+    found = listed.toArrow()
+    if not found.num_rows:
+        return rows.join(counted.drop(n), keys)
+    hot = rows.sparkSession.createDataFrame(found, listed.schema)
     cold = counted.filter(F.col(n) * HOT_SHARE <= total).drop(n)
     return rows.join(F.broadcast(hot), keys).unionByName(
         rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     )
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """``(node, component)`` of a forest ``(parent, child)`` with one smaller parent a child.
+
+    Pointer doubling: every round a node points at its parent's parent, so a path of any
+    length needs the logarithm of its length in rounds, and stars need none.
+    """
+    now = saved(parents.select("parent", "child"))
+    while True:
+        above = now.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
+        table = saved(now.groupBy("parent").agg(F.count("*").alias("k")).join(above, "parent", "left").select(
+            "parent", "k", F.coalesce("above", "parent").alias("above")))
+        if table.filter("above <> parent").isEmpty():
+            break
+        now = saved(join_hot(now, table, "parent", "k", now.count()).select(F.col("above").alias("parent"), "child"))
+    return now.select(F.col("child").alias("node"), F.col("parent").alias("component")).unionByName(
+        table.select(F.col("parent").alias("node"), F.col("parent").alias("component")))
+
+
+def maybe_in(keys: DataFrame, key: str) -> Callable[[str], Column]:
+    """A test for a long column that every value of ``keys`` passes, and few others do.
+
+    A Bloom filter of FILTER_BITS bits, whatever the input, is built by aggregates and
+    travels to the tasks.  It only keeps rows from a shuffle before an exact join; as it
+    fills up, more rows take the shuffle and the result stays the same.
+    """
+
+    def places(column: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)]
+
+    words = keys.select(F.explode(F.array(*places(key))).alias("at")).select(
+        F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def test(*ats: pd.Series) -> pd.Series:
+        found = True
+        for at in ats:
+            place = at.to_numpy()
+            found &= (shared.value[place >> 6] >> (place & 63)) & 1 == 1
+        return pd.Series(found)
+
+    return lambda column: test(*places(column))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node on an edge ``(a, b)`` of longs.
 
@@ -71,12 +127,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             now.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        low = both.groupBy("u").agg(
+        low = saved(both.groupBy("u").agg(
             F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")
-        )
-        above = join_hot(both.filter("v > u"), low.filter("n > 0"), "u", "n", seen[0])
+        ).filter("n > 0"))
+        above = join_hot(both.filter("v > u"), low, "u", "n", seen[0])
         large = saved(_pairs(above.select(F.col("v").alias("a"), F.col("m").alias("b"))))
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         small = join_hot(large, low, "a", "n", large.count())
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
@@ -90,6 +146,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def joined_components(grouped: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components ``(node, component)`` after further edges ``(a, b)``, on the components alone."""
+    edges = saved(edges)
+    if edges.isEmpty():
+        return grouped
+
+    def root(end: str) -> DataFrame:
+        return grouped.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
+
+    between = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    merged = saved(connected_components(between))
+    table = saved(grouped.groupBy("component").agg(F.count("*").alias("k")).join(
+        merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left"))
+    moved = join_hot(grouped, table, "component", "k", grouped.count()).select(
+        "node", F.coalesce("new", "component").alias("component"))
+    return moved.unionByName(merged.join(grouped.select("node"), "node", "left_anti"))
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").distinct()
 

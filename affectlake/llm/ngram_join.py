@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from affectlake.llm.common import arrow_map, connected_components, join_hot
+from affectlake.llm.common import arrow_map, join_hot, joined_components, maybe_in, roots
 from affectlake.llm.shingles import fingerprint, mixed, overlap, shingle_set
 from affectlake.session import saved
 
@@ -45,7 +45,7 @@ SPARE = 2  # segments beyond need, so that an equal one is not empty
 CHUNK = 1_000  # sets compared with one copy of a leader
 LEAF = 128
 FANOUT = 8
-BITS_PER_TOKEN = 8
+BITS_PER_TOKEN = 4
 
 
 def allowed_difference(size_sum: int, percent: int) -> int:
@@ -111,25 +111,30 @@ def components(
     classes = saved(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")))
     total = filled.count()
 
-    keyed = join_hot(filled.select("doc_id", "f1", "f2", "marks"), classes, ["f1", "f2"], "k", total)
-    marks = keyed.filter("doc_id = rep").select(F.explode("marks").alias("mark"), F.col("rep").alias("id"))
+    # A text without copies is its class's representative; only possible copies are looked up.
+    copied = maybe_in(classes.filter("k > 1"), "f1")
+    single = filled.filter(~copied("f1") & F.col("doc_id").isNotNull()).select("marks", F.col("doc_id").alias("id"))
+    known = join_hot(filled.filter(copied("f1")).select("doc_id", "f1", "f2", "marks"), classes, ["f1", "f2"], "k", total)
+    marks = single.unionByName(known.filter("doc_id = rep").select("marks", F.col("rep").alias("id"))).select(
+        F.explode("marks").alias("mark"), "id")
     ordered = Window.partitionBy("mark").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     leader = F.first("id").over(ordered)
     shared = saved(marks.withColumn("leader", leader).filter("id <> leader"))
 
     members = shared.select("mark", "id").unionByName(shared.select("mark", F.col("leader").alias("id"))).distinct()
-    wanted = saved(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = saved(members.select(F.col("id").alias("doc_id")).distinct())
+    wanted = saved(texts.filter(maybe_in(ids, "doc_id")("doc_id")).join(ids, "doc_id", "left_semi")
                    .select(F.col("doc_id").alias("id"), "text"))
     votes = shared.groupBy("id", "leader").agg(F.count("*").alias("n"))
     first = votes.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     links = saved(_compared(first, wanted, shingle_words, percent))
-    grouped = saved(connected_components(links))
+    grouped = saved(roots(links.select(F.col("a").alias("parent"), F.col("b").alias("child")).distinct()))
 
-    found = links.select("a", "b")
+    more = links.select("a", "b").limit(0)
     open_groups = _open_groups(members, grouped)
     if not open_groups.isEmpty():
         pairs = _traversed(open_groups, wanted, shingle_words, percent)
-        found = found.unionByName(_compared(pairs, wanted, shingle_words, percent))
+        more = _compared(pairs, wanted, shingle_words, percent)
 
     # An id that stands for several classes, or is a copy in some, ties them together.
     ids = join_hot(filled.select("doc_id", "n", "f1", "f2"), classes, ["f1", "f2"], "k", total)
@@ -137,10 +142,10 @@ def components(
         F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     ties = ids.join(repeated.select("doc_id"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = saved(connected_components(found.unionByName(ties)))
+    final = joined_components(grouped, more.unionByName(ties))
 
-    of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "f1", "f2", "k", F.coalesce("component", "rep").alias("component_id"))
+    of_class = saved(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "f1", "f2", "k", F.coalesce("component", "rep").alias("component_id")))
     kept = join_hot(filled.select("doc_id", "n", "f1", "f2"), of_class, ["f1", "f2"], "k", total)
     alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return kept.select("doc_id", "n", "component_id").unionByName(alone).select(
@@ -171,7 +176,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: i
     spread over tasks; a task streams partners past one leader's sets.
     """
     pairs = saved(pairs.select("leader", "id"))
-    counts = pairs.groupBy("leader").agg(F.count("*").alias("k")).withColumn("chunks", F.ceil(F.col("k") / CHUNK))
+    counts = saved(pairs.groupBy("leader").agg(F.count("*").alias("k")).withColumn("chunks", F.ceil(F.col("k") / CHUNK)))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))
     partners = join_hot(pairs, counts, "leader", "k", pairs.count()).select("leader", "id", chunk.alias("chunk"))
     heads = counts.select("leader", F.col("leader").alias("id"), F.explode(F.sequence(
@@ -236,31 +241,18 @@ def _traversed(members: DataFrame, texts: DataFrame, shingle_words: int, percent
     own = texts.join(members.select("id").distinct(), "id", "left_semi")
     maps = saved(arrow_map(own, "text", work, fields).select("row.id", "n", "bits"))
     place = F.row_number().over(Window.partitionBy("mark").orderBy("component", "id")) - 1
-    leaf = F.floor(place / LEAF).alias("node")
+    placed = saved(members.select("mark", "id", "component", F.floor(place / LEAF).alias("node")))
     item = F.struct("id", "component", "n", "bits")
-    leaves = members.select("mark", "id", "component", leaf).join(maps, "id").groupBy("mark", "node").agg(
-        F.collect_list(item).alias("sets"), *_ranges("n", "n", "component", "component", "bits", "bits"))
-    levels = [saved(_combined(leaves).withColumn("parent", F.floor(F.col("node") / FANOUT)))]
-    while levels[-1].filter("node > 0").limit(1).count():
-        up = levels[-1].groupBy("mark", F.col("parent").alias("node")).agg(
-            *_ranges("n_lo", "n_hi", "c_lo", "c_hi", "some", "every"))
-        levels.append(saved(_combined(up).withColumn("parent", F.floor(F.col("node") / FANOUT))))
-
-    pairs = None
-    for level in reversed(levels):
-        x, y = (level.select("mark", *(F.col(c).alias(f"{c}_{s}") for c in level.columns if c not in ("mark", "sets")))
-                for s in ("x", "y"))
-        if pairs is None:
-            pairs = x.join(y, "mark")
-        else:
-            pairs = pairs.select("mark", F.col("node_x").alias("parent_x"), F.col("node_y").alias("parent_y")).join(
-                x, ["mark", "parent_x"]).join(y, ["mark", "parent_y"])
-        pairs = saved(pairs.filter(F.col("node_x") <= F.col("node_y")).filter(_possible(percent)))
-
-    sets = levels[0].select("mark", "node", "sets")
-    close = pairs.select("mark", "node_x", "node_y").join(
-        sets.select("mark", F.col("node").alias("node_x"), F.col("sets").alias("sx")), ["mark", "node_x"]).join(
-        sets.select("mark", F.col("node").alias("node_y"), F.col("sets").alias("sy")), ["mark", "node_y"])
+    leaves = saved(placed.join(maps, "id").groupBy("mark", "node").agg(F.collect_list(item).alias("sets")))
+    deep = saved(placed.filter("node > 0").select("mark").distinct())
+    close = leaves.join(deep, "mark", "left_anti").select(F.col("sets").alias("sx"), F.col("sets").alias("sy"))
+    if not deep.isEmpty():
+        inner = leaves.join(deep, "mark", "left_semi")
+        pairs = _leaf_pairs(inner, percent)
+        close = close.unionByName(
+            pairs.join(inner.select("mark", F.col("node").alias("node_x"), F.col("sets").alias("sx")), ["mark", "node_x"])
+            .join(inner.select("mark", F.col("node").alias("node_y"), F.col("sets").alias("sy")), ["mark", "node_y"])
+            .select("sx", "sy"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,15 +264,37 @@ def _traversed(members: DataFrame, texts: DataFrame, shingle_words: int, percent
     return close.select("sx", "sy").mapInArrow(match, "leader bigint, id bigint").distinct()
 
 
-def _ranges(n_lo: str, n_hi: str, c_lo: str, c_hi: str, some: str, every: str) -> list[Column]:
-    return [
-        F.min(n_lo).alias("n_lo"), F.max(n_hi).alias("n_hi"), F.min(c_lo).alias("c_lo"), F.max(c_hi).alias("c_hi"),
-        F.collect_list(some).alias("somes"), F.collect_list(every).alias("everys"),
-    ]
+def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
+    """Pairs of leaves ``(mark, node_x, node_y)`` that the dual traversal reaches."""
+    values = F.transform("sets", lambda s: s["bits"])
+    nodes = leaves.select(
+        "mark", "node", F.array_min(F.transform("sets", lambda s: s["n"])).alias("n_lo"),
+        F.array_max(F.transform("sets", lambda s: s["n"])).alias("n_hi"),
+        F.array_min(F.transform("sets", lambda s: s["component"])).alias("c_lo"),
+        F.array_max(F.transform("sets", lambda s: s["component"])).alias("c_hi"),
+        values.alias("somes"), values.alias("everys"))
+    levels = [saved(_combined(nodes))]
+    while not levels[-1].filter("node > 0").isEmpty():
+        up = levels[-1].groupBy("mark", F.col("parent").alias("node")).agg(
+            F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.min("c_lo").alias("c_lo"),
+            F.max("c_hi").alias("c_hi"), F.collect_list("some").alias("somes"), F.collect_list("every").alias("everys"))
+        levels.append(saved(_combined(up)))
+
+    pairs = None
+    for level in reversed(levels):
+        x, y = (level.select("mark", *(F.col(c).alias(f"{c}_{s}") for c in level.columns if c != "mark")) for s in "xy")
+        if pairs is None:  # one root a group
+            pairs = x.join(y, "mark")
+        else:
+            pairs = pairs.select("mark", F.col("node_x").alias("parent_x"), F.col("node_y").alias("parent_y")).join(
+                x, ["mark", "parent_x"]).join(y, ["mark", "parent_y"])
+        pairs = saved(pairs.filter(F.col("node_x") <= F.col("node_y")).filter(_possible(percent)).select(
+            "mark", "node_x", "node_y"))
+    return pairs
 
 
 def _combined(nodes: DataFrame) -> DataFrame:
-    """Nodes with the OR (``some``) and the AND (``every``) of their parts' bitmaps."""
+    """Nodes with their parent's number, and the OR (``some``) and AND (``every``) of their parts' bitmaps."""
 
     @F.pandas_udf("struct<some:binary,every:binary>")
     def combine(somes: pd.Series, everys: pd.Series) -> pd.DataFrame:
@@ -291,7 +305,8 @@ def _combined(nodes: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["some", "every"])
 
     return nodes.withColumn("made", combine("somes", "everys")).select(
-        *(c for c in nodes.columns if c not in ("somes", "everys")), "made.some", "made.every")
+        "mark", "node", "n_lo", "n_hi", "c_lo", "c_hi", "made.some", "made.every",
+        F.floor(F.col("node") / FANOUT).alias("parent"))
 
 
 def _and(parts: list[bytes], size: int) -> bytes:

@@ -86,7 +86,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     per_host = shapes.groupBy("host").agg(F.count("*").alias("k")).select(F.xxhash64("host").alias("host_key"), "k")
     keyed = shapes.withColumn("host_key", F.xxhash64("host"))
     n_shapes = shapes.count()
-    known = join_hot(keyed, per_host.join(wild, "host_key", "left"), "host_key", "k", n_shapes)
+    known = join_hot(keyed, saved(per_host.join(wild, "host_key", "left")), "host_key", "k", n_shapes)
     general = F.transform(
         "formed", lambda s, i: F.when(F.array_contains(F.coalesce("wild", F.array().cast("array<int>")), i), "{*}")
         .otherwise(s))
@@ -106,8 +106,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     all_allowed, all_labelled = shapes.agg(F.sum("allowed"), F.sum("labelled")).first()
     overall = all_allowed / all_labelled if all_labelled else 0.5
     children = nodes.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("c"))
-    parents = nodes.join(children, "node").select(
-        F.col("node").alias("parent"), "c", F.col("allowed").alias("a0"), F.col("labelled").alias("n0"))
+    parents = saved(nodes.join(children, "node").select(
+        F.col("node").alias("parent"), "c", F.col("allowed").alias("a0"), F.col("labelled").alias("n0")))
     inner = join_hot(nodes.filter("parent is not null"), parents, "parent", "c", nodes.count())
     tops = nodes.filter("parent is null").withColumn("a0", F.lit(int(all_allowed or 0))).withColumn(
         "n0", F.lit(int(all_labelled or 0)))
@@ -115,15 +115,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     gap = F.col("allowed") - F.col("labelled") * rate
     unlike = F.coalesce(gap * gap > CHI_SQUARE * F.col("labelled") * rate * (1 - rate), F.lit(False))
     purity = (F.col("allowed") + PRIOR * F.lit(overall)) / (F.col("labelled") + PRIOR)
-    branches = inner.unionByName(tops).select(
-        "node", "k", F.when(unlike, F.struct("depth", purity.alias("purity"))).alias("own"))
+    branches = saved(inner.unionByName(tops).select(
+        "node", "k", F.when(unlike, F.struct("depth", purity.alias("purity"))).alias("own")))
     decided = (
         join_hot(paths.select("shape", "node"), branches, "node", "k", paths.count())
         .groupBy("shape").agg(F.max("own").alias("own"))
         .select("shape", F.coalesce("own.purity", F.lit(overall)).alias("purity"))
     )
-    verdicts = known.join(decided, "shape").select(
-        "shape", "n", F.concat_ws("/", F.col("host"), F.array_join("segments", "/")).alias("template"), "purity")
+    verdicts = saved(known.join(decided, "shape").select(
+        "shape", "n", F.concat_ws("/", F.col("host"), F.array_join("segments", "/")).alias("template"), "purity"))
     judged = join_hot(urls.withColumn("shape", F.xxhash64("host", "formed")), verdicts, "shape", "n", total)
     learned = F.when(F.col("purity") < THRESHOLD, "block").otherwise("allow")
     return judged.select(
