@@ -27,7 +27,7 @@ BOILER_WORDS = set(
     "masthead topbar footer copyright comment comments disqus reply replies respond form login search toolbar "
     "pagination pager paywall tagcloud".split()
 )
-CONTENT_WORDS = set("article post entry content main story body title".split())
+CONTENT_WORDS = set("article post entry content story title".split())
 WRAPPERS = set("html body main".split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend",
                     "option", "title"}
@@ -68,11 +68,13 @@ def is_boiler(tag: str, attrs: dict[str, str]) -> bool:
     if (attrs.get("role") or "").lower() in BOILER_ROLES:
         return True
     named = words & BOILER_WORDS
-    if named & {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored"}:
-        return True
-    if tag == "article" or words & CONTENT_WORDS:
-        named = set()
-    return bool(named) or tag in BOILER_TAGS
+    if words & CONTENT_WORDS:  # the header of an article belongs to it
+        named -= {"header", "banner"}
+    if words & {"with", "has"}:  # a frame around an article and its sidebar
+        named -= {"sidebar"}
+    if tag == "article":
+        named &= {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "advertisement", "sponsored", "promo"}
+    return bool(named) or tag in BOILER_TAGS and not (tag == "header" and words & CONTENT_WORDS)
 
 
 class _Reader(HTMLParser):

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from affectlake.llm import html_extract as H
-from affectlake.llm.html_blocks import blocks_of
+from affectlake.llm.html_blocks import blocks_of, is_boiler
 from affectlake.llm.min_cut import content_side
 
 LONG = "This is a long sentence of the article with many words in it. And here is another one, longer still."
@@ -73,3 +73,13 @@ def test_cut_is_the_least_of_all_labellings():
 
         best = min(cost(k) for k in itertools.product([False, True], repeat=n))
         assert cost(content_side(content, boiler, edges)) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("tag,names,boiler", [
+    ("div", "main-nav", True), ("div", "article-header", False), ("div", "site-header", True), ("header", "", True),
+    ("header", "entry-header", False), ("div", "content with-sidebar", False), ("div", "main-sidebar", True),
+    ("article", "comment-body", True), ("article", "post related", False), ("div", "post-comments", True),
+    ("div", "article-footer", True), ("body", "has-sidebar menu", False), ("div", "reading", False),
+])
+def test_names_of_elements(tag, names, boiler):
+    assert is_boiler(tag, {"class": names}) is boiler
