@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from affectlake.session import saved
@@ -33,6 +34,9 @@ SPACE_TABLE = bytes(
 #: there are fewer than HOT_SHARE such keys, whatever the input.
 HOT_SHARE = 2_000
 
+#: Texts that a task holds as Python objects at a time.
+ROWS_AT_ONCE = 500
+
 FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 
 
@@ -193,10 +197,12 @@ def arrow_map(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
-            rows = batch.column(0)
-            texts = rows.field(at).cast(pa.large_binary()).to_pylist()
-            values = each(texts, *(rows.field(i).to_pylist() for i in others))
-            made = [pa.array(x, type=t) for x, t in zip(values, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([rows, *made], names=names)
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.column(0).slice(start, ROWS_AT_ONCE)
+                values = each(
+                    pc.struct_field(rows, at).cast(pa.large_binary()).to_pylist(),
+                    *(pc.struct_field(rows, i).to_pylist() for i in others))
+                made = [pa.array(x, type=t) for x, t in zip(values, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows, *made], names=names)
 
     return source.mapInArrow(run, schema)

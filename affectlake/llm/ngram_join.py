@@ -156,11 +156,12 @@ def _hashed(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """``(doc_id, n, f1, f2, marks)``: set size, set fingerprint, segment signatures."""
 
     def work():
-        def hash_all(batch: list) -> tuple[list, ...]:
-            sets = [shingle_set(t, shingle_words) for t in batch]
-            prints = [fingerprint(s) for s in sets]
-            return ([len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints],
-                    [signatures(s, percent) for s in sets])
+        def hash_one(text: bytes | None) -> tuple:
+            own = shingle_set(text, shingle_words)
+            return (len(own), *fingerprint(own), signatures(own, percent))
+
+        def hash_all(batch: list) -> list:
+            return list(zip(*map(hash_one, batch), strict=True))
 
         return hash_all
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from affectlake.llm import decontamination, language, ngram_join, secrets
+from affectlake.llm.common import maybe_in
 from affectlake.llm.mixing import mix
 from affectlake.session import saved
 
@@ -34,14 +35,16 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = ngram_join.components(docs)
-    kept = saved(linked.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    once = docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    linked = saved(ngram_join.components(docs))
+    marked = saved(linked.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")
+    ).filter("n > 1 or not stays"))
+    # Most documents are not marked; only possible ones are shuffled to the exact join.
+    possible = maybe_in(marked, "doc_id")("doc_id") & F.col("doc_id").isNotNull()
+    unmarked = docs.filter(~possible).unionByName(docs.filter(possible).join(marked, "doc_id", "left_anti"))
+    repeated = docs.filter(possible).join(marked.filter("stays").select("doc_id"), "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    nameless = docs.filter(F.col("doc_id").isNull())
-    return once.unionByName(repeated.withColumn("__first", first).filter("__first = 1").drop("__first")).unionByName(
-        nameless)
+    return unmarked.unionByName(repeated.withColumn("__first", first).filter("__first = 1").drop("__first"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
