@@ -23,6 +23,7 @@ ROWS_PER_HASH_BUCKET = 50_000
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 20
+GROUP = 4_096
 
 
 def hash_key(key: Column | str, seed: int | str = 42) -> Column:
@@ -80,8 +81,7 @@ def cut_keys(
     strata = list(strata)
     keyed = df.select(*strata, F.col(hashed).alias("__h")).withColumn("__b", hash_bucket("__h", hash_digits(rows)))
     counts = keyed.groupBy(*strata, "__b").agg(F.count("*").alias("__n"))
-    running = Window.partitionBy(*strata).orderBy("__b")
-    placed = counts.withColumn("__upto", F.sum("__n").over(running))
+    placed = _running_counts(counts, strata)
     if strata:
         hit = small_join(placed, cuts, strata, "inner")
     else:
@@ -105,6 +105,23 @@ def cut_keys(
     )
 
 
+def _running_counts(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """``__upto``: rows of a stratum in a bucket and those before it, summed in two levels.
+
+    Buckets are summed inside groups of GROUP buckets, and the groups' sums, at most
+    16 ** 6 / GROUP of a stratum, in a second window; no task sees all buckets.
+    """
+    grouped = counts.withColumn("__g", F.floor(F.col("__b") / GROUP))
+    inside = Window.partitionBy(*strata, "__g").orderBy("__b")
+    sums = grouped.groupBy(*strata, "__g").agg(F.sum("__n").alias("__sum"))
+    before = Window.partitionBy(*strata).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    within = grouped.withColumn("__inside", F.sum("__n").over(inside))
+    return small_join(within, starts, [*strata, "__g"], "inner").select(
+        *counts.columns, (F.col("__before") + F.col("__inside")).alias("__upto")
+    )
+
+
 def _bounds(df: DataFrame, key: str, buckets: int, rows: int) -> list:
     """Bucket borders from a bounded sample; they affect balance, never results."""
     share = min(1.0, SAMPLES_PER_BUCKET * buckets / max(rows, 1))

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL_ROWS = 100_000
+SMALL_BYTES = 32_000_000
 
 
 def local_session(cpus: int | str = 8, app: str = "affectlake") -> SparkSession:
@@ -35,7 +36,8 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path under the folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a local session
+    The cluster names it in ``spark.checkpoint.dir``, which must be a place that every
+    executor sees (a ``file:`` path only if it is a shared mount); only a local session
     without that setting (tests, laptops) gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,12 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
 def bounded(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Materialise ``df`` as a local relation if it really is small.
 
-    Returns ``(frame, True)`` when it has at most ``max_rows`` rows: the frame
-    is then computed once and safe to broadcast.  A larger frame comes back
-    untouched with ``False``, and the caller must use a shuffle join.
+    Returns ``(frame, True)`` when it has at most ``max_rows`` rows of together at
+    most SMALL_BYTES: the frame is then computed once and safe to broadcast.  A larger
+    frame comes back untouched with ``False``, and the caller must use a shuffle join.
     """
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > SMALL_BYTES:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
 

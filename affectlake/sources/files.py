@@ -53,7 +53,8 @@ def read_vad_corpus(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str, **options) -> DataFrame:
-    return delimited(spark, path, METADATA, sep="\t", **options)
+    """Ids and categories, which hold no newline: a large file splits by block."""
+    return delimited(spark, path, METADATA, sep="\t", **{"multi_line": False, **options})
 
 
 def read_raw_text(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -61,8 +62,8 @@ def read_raw_text(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Reader or writer perspective of the VAD corpus."""
-    return delimited(spark, path, ANNOTATIONS, **options)
+    """Reader or writer perspective of the VAD corpus: ids and numbers, so a file splits by block."""
+    return delimited(spark, path, ANNOTATIONS, **{"multi_line": False, **options})
 
 
 def _splits(spark: SparkSession, files: Mapping[str, str], read) -> DataFrame:

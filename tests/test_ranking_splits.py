@@ -151,3 +151,14 @@ def test_repeated_ids_at_a_cut_are_errors(spark):
     assert ranking.take_first(rows, "id", 20).count() == 20
     with pytest.raises(Exception, match="repeated"):
         splits.stratified_split(rows, "id", "s", 10, 10).collect()
+
+
+def test_bucket_sums_in_two_levels(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(600)], "id int, s string")
+    sizes = {"x": 100, "y": 150}
+    plain = splits.shuffled_split(rows, "id", sizes, "rest", 600).collect()
+    by_stratum = splits.stratified_split(rows, "id", "s", 60, 60).collect()
+    monkeypatch.setattr(ranking, "GROUP", 5)
+    assert sorted(splits.shuffled_split(rows, "id", sizes, "rest", 600).collect()) == sorted(plain)
+    assert sorted(splits.stratified_split(rows, "id", "s", 60, 60).collect()) == sorted(by_stratum)
+    assert Counter(r["split"] for r in plain) == {"x": 100, "y": 150, "rest": 350}
