@@ -7,8 +7,8 @@ probabilities are fitted by expectation-maximisation (forward and backward) on t
 words of at most SAMPLE_ROWS labelled texts per language, chosen by hash: that bound is
 the only sample here, and one language's sample is one task.
 
-Every text is scored whole.  A task keeps the scores of up to CACHE_WORDS distinct
-words; a word not kept is scored again.  The fitted table, at most one row per piece and
+Every text is scored whole.  A task keeps up to CACHE_CELLS scores of distinct words; a
+word not kept is scored again.  The fitted table, at most one row per piece and
 language, travels to the tasks.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with
@@ -18,8 +18,11 @@ RUN letters are scored in parts of RUN; labels that are null are not learned.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +38,8 @@ SMOOTHING = 0.01
 UNSEEN = 1e-7
 RUN = 60
 SCALE = 1e3
-CACHE_WORDS = 200_000
+CACHE_CELLS = 1_600_000
+GROUP_BYTES = 1_000_000
 UNDETERMINED = "und"
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -58,24 +62,46 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+class Finder:
+    """Finds all pieces in words at once."""
+
+    def __init__(self, listed: list[str]) -> None:
+        self.size = len(listed)
+        self.automaton = ahocorasick.Automaton()
+        for i, piece in enumerate(listed):
+            self.automaton.add_word(piece, i * 256 + len(piece))
+        if listed:
+            self.automaton.make_automaton()
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """``(word, from, to, piece)`` of every piece in every word, by word and end.
+
+        A character that is no piece itself is an edge of the piece number ``size``.
+        """
+        line = "".join(f"\n{START}{w}" for w in words)
+        found = itertools.chain.from_iterable(self.automaton.iter(line)) if self.size else ()
+        hits = np.fromiter(found, np.int64).reshape(-1, 2)
+        last, length, piece = hits[:, 0], hits[:, 1] % 256, hits[:, 1] // 256
+        begins = np.cumsum([0, *(len(w) + 2 for w in words)])[:-1]
+        known = np.zeros(len(line), bool)
+        known[last[length == 1]] = True
+        known[begins] = True
+        unknown = np.flatnonzero(~known)
+        last = np.concatenate([last, unknown])
+        length = np.concatenate([length, np.ones(len(unknown), np.int64)])
+        piece = np.concatenate([piece, np.full(len(unknown), self.size)])
+        order = np.argsort(last, kind="stable")
+        last, length, piece = last[order], length[order], piece[order]
+        word = np.searchsorted(begins, last, side="right") - 1
+        end = last - begins[word]
+        return word, end - length, end, piece
+
+
 class Lattice:
     """All ways to cut words into pieces, as edges (word, from, to, piece)."""
 
-    def __init__(self, words: list[str], index: dict[str, int], longest: int) -> None:
-        word, start, end, piece, unknown = [], [], [], [], len(index)
-        get = index.get
-        for w, text in enumerate(words):
-            marked = START + text
-            n = len(marked)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    k = get(marked[i:j], -1 if j > i + 1 else unknown)
-                    if k >= 0:
-                        word.append(w)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(k)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
+    def __init__(self, words: list[str], finder: Finder) -> None:
+        self.word, self.start, self.end, self.piece = finder.edges(words)
         self.lengths = np.array([len(w) + 1 for w in words], np.int64)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
@@ -108,10 +134,10 @@ class Lattice:
         return np.log(np.maximum(total, 1e-300)) - (self.lengths * np.log(SCALE))[:, None]
 
 
-def fit_pieces(words: list[str], counts: np.ndarray, index: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
+def fit_pieces(words: list[str], counts: np.ndarray, finder: Finder, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language; the last entry is for unknown characters."""
-    lattice = Lattice(words, index, max(map(len, index), default=1))
-    p = np.full((len(index) + 1, 1), 1.0 / (len(index) + 1))
+    lattice = Lattice(words, finder)
+    p = np.full((finder.size + 1, 1), 1.0 / (finder.size + 1))
     scale = SCALE ** (lattice.end - lattice.start)
     for _ in range(rounds):
         ahead, behind = lattice.forward(p)[..., 0], lattice.backward(p)[..., 0]
@@ -120,7 +146,7 @@ def fit_pieces(words: list[str], counts: np.ndarray, index: dict[str, int], roun
             ahead[lattice.word, lattice.start] * p[lattice.piece, 0] * scale * behind[lattice.word, lattice.end]
             / total[lattice.word] * counts[lattice.word]
         )
-        seen = np.bincount(lattice.piece, weights=share, minlength=len(index) + 1)
+        seen = np.bincount(lattice.piece, weights=share, minlength=finder.size + 1)
         p = ((seen + SMOOTHING) / (seen.sum() + SMOOTHING * len(seen)))[:, None]
     p[-1] = UNSEEN
     return p[:, 0]
@@ -147,11 +173,11 @@ def train(
     share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
     sample = labelled.filter(slot < share).withColumn("rank", rank).filter(F.col("rank") <= sample_rows)
-    index = {piece: i for i, piece in enumerate(pieces(vocabulary))}
+    listed = pieces(vocabulary)
 
     def fit(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         counts = pd.Series([w for text in rows["text"] for w in words_of(text)], dtype=object).value_counts(sort=False)
-        p = fit_pieces(list(counts.index), counts.to_numpy(float), index)
+        p = fit_pieces(list(counts.index), counts.to_numpy(float), Finder(listed))
         return pd.DataFrame({"lang": [lang[0]], "p": [p.astype("<f8").tobytes()]})
 
     fitted = sample.select("lang", "text").groupBy("lang").applyInPandas(fit, "lang string, p binary")
@@ -167,47 +193,60 @@ def predict(
     table = np.stack([model[n] for n in names], axis=1) if names else np.zeros((len(listed) + 1, 0))
 
     def work():
-        index = {piece: i for i, piece in enumerate(listed)}
-        longest = max(map(len, listed), default=1)
+        finder = Finder(listed)
+        room = max(1_000, CACHE_CELLS // max(1, len(names)))
         at_once = max(200, 20_000 // max(1, len(names)))
         place: dict[str, int] = {}
-        scores = np.zeros((0, len(names)))
+        scores = np.zeros((room, len(names)))
 
-        def learn(words: list[str]) -> None:
+        def learn(lists: list[list[str]]) -> None:
             nonlocal scores
-            new = [w for w in dict.fromkeys(words) if w not in place]
-            if len(place) + len(new) > CACHE_WORDS:
+            new = list({w: None for words in lists for w in words if w not in place})
+            if len(place) + len(new) > room:
                 place.clear()
-                scores = scores[:0]
-                new = list(dict.fromkeys(words))
-            made = [scores]
+                new = list({w: None for words in lists for w in words})
+            if len(new) > len(scores):  # one text alone has more words than are kept
+                scores = np.zeros((len(new), len(names)))
+            base = len(place)
             for i in range(0, len(new), at_once):
-                made.append(Lattice(new[i : i + at_once], index, longest).log_totals(table))
-            place.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
-            scores = np.concatenate(made)
+                part = new[i : i + at_once]
+                scores[base + i : base + i + len(part)] = Lattice(part, finder).log_totals(table)
+            place.update(zip(new, range(base, base + len(new)), strict=True))
+
+        def verdict(words: list[str]) -> tuple[str, float]:
+            if not words or not names:
+                return UNDETERMINED, 0.0
+            total = scores[[place[w] for w in words]].sum(axis=0)
+            odds = np.exp(total - total.max())
+            k = int(np.argmax(odds))
+            return names[k], float(odds[k] / odds.sum())
 
         def judge(texts: list) -> tuple[list, list]:
-            best, share = [], []
-            for text in texts:
-                words = words_of(text.decode()) if text else []
-                if not words or not names:
-                    best.append(UNDETERMINED)
-                    share.append(0.0)
-                    continue
-                if not all(w in place for w in words):
-                    learn(words)
-                total = scores[[place[w] for w in words]].sum(axis=0)
-                odds = np.exp(total - total.max())
-                k = int(np.argmax(odds))
-                best.append(names[k])
-                share.append(float(odds[k] / odds.sum()))
-            return best, share
+            made = []
+            for group in _groups(texts):
+                lists = [words_of(t.decode()) if t else [] for t in group]
+                learn(lists)
+                made += [verdict(words) for words in lists]
+            return [m[0] for m in made], [m[1] for m in made]
 
         return judge
 
     return arrow_map(docs, text_col, work, [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())])
 
 
+def _groups(texts: list) -> Iterator[list]:
+    """Runs of whole texts of about GROUP_BYTES."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text or b"")
+        if size > GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents whose crc32(id as text) mod 4 is 2; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
