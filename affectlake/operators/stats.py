@@ -89,13 +89,19 @@ def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*[kept if c == text else F.col(c) for c in df.columns])
 
 
-def corpus_stats(df: DataFrame, dataset: str, size: int) -> DataFrame:
-    """``(dataset, split, stat, label_idx, value)`` of a multi-hot corpus."""
+def single_counts(df: DataFrame, column: str, size: int) -> DataFrame:
+    """Rows per label index, zero classes included; an index outside the labels is an error."""
+    listed = df.sparkSession.range(size).select(F.col("id").cast("int").alias("label_idx"))
+    return index_counts(df, column, listed)
+
+
+def corpus_stats(df: DataFrame, dataset: str, size: int, kind: str = "multi") -> DataFrame:
+    """``(dataset, split, stat, label_idx, value)`` of a corpus with multi-hot or single labels."""
     sizes = split_sizes(df).select(
         "split", F.concat(F.lit("n_"), F.col("field")).alias("stat"),
         F.lit(None).cast("int").alias("label_idx"), F.col("n").cast("double").alias("value"),
     )
-    counts = multi_hot_counts(df, "label", size)
+    counts = single_counts(df, "label", size) if kind == "single" else multi_hot_counts(df, "label", size)
     labels = counts.select(
         F.lit("all").alias("split"), F.lit("label_count").alias("stat"),
         F.col("label_idx").cast("int"), F.col("n").cast("double").alias("value"),

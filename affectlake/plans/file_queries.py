@@ -143,6 +143,34 @@ def s6(spark, sf):
     return rows.select("text", *[T.is_own_name(name, name).alias(name) for name in L.STANCE_LABELS])
 
 
+_stance = "upper(event_type) || '-' || event_id"
+STANCE_SKIP = 10
+
+
+@query("s13_stance_corpus", f"""
+    WITH f AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS file FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) AS row_no FROM f),
+    k AS (SELECT *, file || ':' || row_no AS id FROM n WHERE file = 'test' OR row_no > {STANCE_SKIP}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY md5(id || '#42')) AS place, count(*) OVER (PARTITION BY file) AS total FROM k)
+    SELECT id, CASE WHEN file = 'test' THEN 'test' WHEN place <= ceil(0.2 * total) THEN 'valid' ELSE 'train' END AS split,
+      md5({V.sql_basic(_stance)}) AS text_md5, i::INT AS label_idx, ((event_id + i) % 3 = 0)::INT AS y
+    FROM r, range({len(L.STANCE_LABELS)}) t(i)""")
+def s13_stance(spark, sf):
+    """Two files whose order numbers their rows; leading rows skipped, a fifth of the rest held out."""
+    root = shared_folder(spark)
+    rows = V.table(spark, sf, "events").select("event_id", "event_type")
+    columns = [
+        F.when((F.col("event_id") + i) % 3 == 0, F.initcap(F.lit(name))).otherwise("---").alias(name)
+        for i, name in enumerate(L.STANCE_LABELS)
+    ]
+    for name, wanted in (("train", "event_id % 4 <> 0"), ("test", "event_id % 4 = 0")):
+        one = rows.filter(wanted).coalesce(1).sortWithinPartitions("event_id")
+        text = F.concat(F.upper("event_type"), F.lit("-"), F.col("event_id").cast("string")).alias("text")
+        _write(one.select(*columns, text), f"{root}/{files.STANCE_FILES[name]}", sep="\t", header=False)
+    corpus = registry.load_corpus(spark, "ssec", root, skip_first=STANCE_SKIP)
+    return corpus.select("id", "split", F.md5("text").alias("text_md5"), F.posexplode("label").alias("label_idx", "y"))
+
+
 @query("s7_forum_files", f"""
     SELECT doc_id::VARCHAR AS id, {SPLIT_OF.format(id='doc_id', valid='valid')} AS split, md5({V.sql_basic('text')}) AS text_md5,
       list_sort(list_distinct([doc_id % 28, (doc_id * 5 + 3) % 28]))::VARCHAR AS ids FROM documents""")

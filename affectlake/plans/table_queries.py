@@ -421,6 +421,24 @@ def corpus_statistics(spark, sf):
     return stats.corpus_stats(rows, "documents", 4).withColumn("value", V.r6("value"))
 
 
+LANGUAGES = ["de", "en", "es", "fr", "it"]
+
+
+@query("corpus_statistics_single", "WITH" + SP1_CTE + """,
+    sizes AS (SELECT coalesce(split, 'all') AS split, count(*)::DOUBLE AS n FROM sp GROUP BY GROUPING SETS ((split), ())),
+    names AS (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS lang, unnest([0, 1, 2, 3, 4])::INT AS i),
+    one AS (SELECT i, count(sp.doc_id)::DOUBLE AS n FROM names LEFT JOIN sp USING (lang) GROUP BY i),
+    p AS (SELECT n / sum(n) OVER () AS p FROM one)
+    SELECT 'documents' AS dataset, split, 'n_text' AS stat, NULL::INT AS label_idx, n AS value FROM sizes
+    UNION ALL SELECT 'documents', split, 'n_label', NULL, n FROM sizes
+    UNION ALL SELECT 'documents', 'all', 'label_count', i, n FROM one
+    UNION ALL SELECT 'documents', 'all', 'entropy', NULL, """ + V.sql_r6("-sum(p * ln(p))") + """ FROM p WHERE p > 0
+    UNION ALL SELECT 'documents', 'all', 'normalised', NULL, """ + V.sql_r6("-sum(p * ln(p)) / ln(5)") + " FROM p WHERE p > 0")
+def corpus_statistics_single(spark, sf):
+    rows = split_documents(spark, sf).select("split", "text", L.label_index("lang", LANGUAGES).alias("label"))
+    return stats.corpus_stats(rows, "documents", 5, "single").withColumn("value", V.r6("value"))
+
+
 # --------------------------------------------------------------------- encodings
 
 @query("e1_multi_hot", "WITH" + V.GOLD + " SELECT vec_id, label_idx, y FROM gold")
