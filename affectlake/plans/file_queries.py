@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from affectlake.functions import labels as L
 from affectlake.functions import text as T
-from affectlake.operators import annotators, metrics
+from affectlake.functions import vectors as X
+from affectlake.operators import annotators, jobs, metrics
 from affectlake.plans import views as V
 from affectlake.plans.registry import query
-from affectlake.plans.score_queries import CORRELATION, _vad, with_split
+from affectlake.plans.score_queries import CORRELATION, MULTI_EMD, _vad, predictions, with_split
 from affectlake.plans.table_queries import COMBINED, LEXICON, combined, raw_lexicon
 from affectlake.operators.lexicon import lexicon_scores
 from affectlake.session import shared_folder
@@ -232,13 +233,13 @@ _jobs = """
 def s12(spark, sf):
     """Job files, one per event, checked against the allowed values."""
     path = shared_folder(spark)
-    jobs = V.table(spark, sf, "events").select(
+    specs = V.table(spark, sf, "events").select(
         F.when(F.col("event_id") % 5 == 0, "clustering").otherwise("vad-regression").alias("task"),
         F.when(F.col("event_type") == "view", "lstm").otherwise("roberta").alias("model"),
         F.col("event_type").alias("dataset"), F.lit("pretrained_lm").alias("load_model"),
         F.lit("dimensional").alias("label_type"), F.lit("trans").alias("optimizer_type"),
     )
-    listed = jobs.select(F.to_json(F.struct("*")).alias("value"))
+    listed = specs.select(F.to_json(F.struct("*")).alias("value"))
     listed.write.text(path)
     bad = registry.job_violations(spark.read.schema(registry.read_job_schema()).json(path))
     return bad.groupBy("field", "value").agg(F.count("*").alias("n"))
@@ -264,3 +265,83 @@ def k3(spark, sf):
         results.log_evaluation(full, results.layout_of("vad", "emobank"), path)
     log = spark.read.schema(results.layout_schema("vad")).parquet(path)
     return log.select("epoch", "valid_size", "test_size", *[V.r6(f"{s}_{a}").alias(f"{s}_{a}") for s in ("valid", "test") for a in "vad"])
+
+
+# ------------------------------------------------- log rows of all layouts, with losses
+
+SPLIT_OF_VECTOR = "CASE vec_id % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'test' ELSE 'train' END"
+
+
+def _logged(kind, names=None):
+    """The log's columns from tables ``m`` (metrics) and ``l`` (loss, n), a row per split."""
+    names = names or results.METRIC_COLUMNS[kind]
+    cells = [f"max(l.n) FILTER (l.split = '{s}') AS {s}_size" for s in ("valid", "test")]
+    cells += [f"{V.sql_r6(f"max(l.loss) FILTER (l.split = '{s}')")} AS {s}_loss" for s in ("valid", "test")]
+    cells += [f"{V.sql_r6(f"max(m.{n}) FILTER (m.split = '{s}')")} AS {s}_{n}" for s in ("valid", "test") for n in names]
+    return " SELECT 1::INT AS epoch, " + ", ".join(cells) + " FROM m JOIN l USING (split)"
+
+
+def _read_log(spark, path, kind):
+    log = spark.read.schema(results.layout_schema(kind)).parquet(path)
+    rounded = [c for c in results.layout_columns(kind)[5:]]
+    return log.select("epoch", "valid_size", "test_size", *[V.r6(c).alias(c) for c in rounded])
+
+
+PRED_PARTS = V.PRED[V.PRED.index("pred AS ("):]
+PER_SPLIT = f""",
+    s AS (SELECT vec_id, {SPLIT_OF_VECTOR} AS split FROM embeddings)"""
+
+
+@query("k3_log_multi", MULTI_EMD + "," + PRED_PARTS + PER_SPLIT + """,
+    y AS (SELECT s.split, yp.* FROM yp JOIN s USING (vec_id)),
+    k AS (SELECT split, label_idx, sum(y * p)::DOUBLE AS tp, sum(p)::DOUBLE AS np, sum(y)::DOUBLE AS ng FROM y GROUP BY ALL),
+    f AS (SELECT *, coalesce(2 * tp / nullif(np + ng, 0), 0) AS f1, coalesce(tp / nullif(np + ng - tp, 0), 0) AS jaccard FROM k),
+    rw AS (SELECT split, vec_id, sum(y * p)::DOUBLE AS i, sum(p)::DOUBLE AS np, sum(y)::DOUBLE AS ng FROM y GROUP BY ALL),
+    m AS (SELECT split, 2 * sum(tp) / sum(np + ng) AS microF1, avg(f1) AS macroF1, sum(tp) / sum(np + ng - tp) AS jaccard_micro,
+            avg(jaccard) AS jaccard_macro, (SELECT avg(coalesce(i / nullif(rw.np + rw.ng - i, 0), 0)) FROM rw WHERE rw.split = f.split) AS acc
+          FROM f GROUP BY split),
+    e AS (SELECT vec_id, sum(between_ + within_) / 3 AS l FROM per GROUP BY vec_id),
+    l AS (SELECT split, avg(l) AS loss, count(*) AS n FROM e JOIN s USING (vec_id) GROUP BY split)""" + _logged("multi"))
+def k3_multi(spark, sf):
+    """Classes and distribution loss of the fixed head, logged in the multi-label layout."""
+    path, axes = shared_folder(spark), V.axes(spark, sf)
+    scored = with_split(predictions(spark, sf)).withColumn("classes", F.col("e.classes"))
+    loss = X.emd_loss("logits", "gold", axes.orders, axes.gaps)
+    jobs.log_epoch(scored, "multi", "gold", "classes", loss, path)
+    return _read_log(spark, path, "multi")
+
+
+@query("k3_log_single", V.PRED + PER_SPLIT + """,
+    x AS (SELECT s.split, e.label AS g, cls.c AS p FROM cls JOIN embeddings e USING (vec_id) JOIN s USING (vec_id)),
+    ids AS (SELECT split, g AS label_idx FROM x UNION SELECT split, p FROM x),
+    k AS (SELECT ids.split, label_idx, count(*) FILTER (g = label_idx AND p = label_idx)::DOUBLE AS tp,
+            count(*) FILTER (p = label_idx)::DOUBLE AS np, count(*) FILTER (g = label_idx)::DOUBLE AS ng
+          FROM ids JOIN x USING (split) GROUP BY ALL),
+    f AS (SELECT *, coalesce(2 * tp / nullif(np + ng, 0), 0) AS f1 FROM k),
+    m AS (SELECT split, avg(f1) AS macroF1, sum(f1 * ng) / sum(ng) AS weightF1,
+            (SELECT avg((g = p)::INT) FROM x WHERE x.split = f.split) AS acc FROM f GROUP BY split),
+    c AS (SELECT vec_id, ln(sum(exp(x))) - sum(CASE WHEN pos = label THEN x ELSE 0 END) AS l
+          FROM lg JOIN embeddings USING (vec_id) WHERE ax_no = 0 GROUP BY vec_id),
+    l AS (SELECT split, avg(l) AS loss, count(*) AS n FROM c JOIN s USING (vec_id) GROUP BY split)""" + _logged("single"))
+def k3_single(spark, sf):
+    """The single class of the fixed head and its cross-entropy, logged in the single-label layout."""
+    path = shared_folder(spark)
+    scored = with_split(predictions(spark, sf, "single")).withColumn("class", F.col("e.classes")[0])
+    loss = X.class_loss(X.axis_part("logits", 0, V.K), "label")
+    jobs.log_epoch(scored, "single", "label", "class", loss, path)
+    return _read_log(spark, path, "single")
+
+
+@query("k3_log_vad", CORRELATION + PER_SPLIT + """,
+    gs AS (SELECT g.*, s.split FROM g JOIN s USING (vec_id)),
+    m AS (SELECT split, corr(e_v, gv) AS v, corr(e_a, ga) AS a, corr(e_d, gd) AS d FROM gs GROUP BY split),
+    l AS (SELECT split, avg((pow(greatest(e_v, 0) - gv, 2) + pow(greatest(e_a, 0) - ga, 2) + pow(greatest(e_d, 0) - gd, 2)) / 3) AS loss,
+            count(*) AS n FROM gs GROUP BY split)""" + _logged("vad", ["v", "a", "d"]))
+def k3_vad(spark, sf):
+    """Scores and squared error of the fixed head, logged in the VAD layout; p-values are in a query of their own."""
+    path = shared_folder(spark)
+    scored = with_split(_vad(spark, sf))
+    loss = X.regression_loss([F.col(a) for a in "vad"], ["gv", "ga", "gd"])
+    jobs.log_epoch(scored, "vad", ["gv", "ga", "gd"], list("vad"), loss, path)
+    log = _read_log(spark, path, "vad")
+    return log.select(*[c for c in log.columns if not c.endswith("_p")])

@@ -177,3 +177,24 @@ def test_null_arrays_have_no_loss(spark):
                       X.vad_and_classes("z", orders, gaps).alias("c")).orderBy("i").collect()
     assert [r.a is None for r in got] == [False, True, True] and [r.b is None for r in got] == [False, True, True]
     assert [r.c is None for r in got] == [False, True, False]
+
+
+@pytest.mark.parametrize("task,kind,label", [
+    ("vad-regression", "vad", "s"), ("category-classification", "single", "c"), ("category-classification", "multi", "hot"),
+    ("vad-from-categories", "multi", "hot"),
+])
+def test_jobs_fill_the_logs(spark, clusters, axes, tmp_path, task, kind, label):
+    from affectlake.operators import jobs
+    from affectlake.sinks import results
+
+    split = F.when(F.col("id") % 5 == 0, "valid").when(F.col("id") % 5 == 1, "test").otherwise("train")
+    rows = clusters.withColumn("split", split).withColumn("s", F.struct("v", "a", "d"))
+    other = rows.drop("hot").withColumnRenamed("s", "scores").withColumnRenamed("scores", label)
+    jobs.run_job(task, kind, rows, "x", label, 3, str(tmp_path), axes, other)
+    logs = ["multi", "vad"] if task == "vad-from-categories" else [kind]
+    for log in logs:
+        (line,) = spark.read.schema(results.layout_schema(log)).parquet(f"{tmp_path}/{log}").collect()
+        assert line.valid_size == 48 and line.test_size == 48
+        assert all(line[c] is not None and math.isfinite(line[c]) for c in ("valid_loss", "test_loss"))
+    with pytest.raises(ValueError, match="unknown task"):
+        jobs.run_job("clustering", kind, rows, "x", label, 3, str(tmp_path))
