@@ -36,6 +36,7 @@ HOT_SHARE = 2_000
 
 #: Texts that a task holds as Python objects at a time.
 ROWS_AT_ONCE = 500
+BATCH_BYTES = 16_000_000
 
 FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 
@@ -177,6 +178,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most BATCH_BYTES: a task has several of them outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def arrow_map(
     docs: DataFrame, text_col: str, work: Callable[[], Callable], fields: Sequence[tuple[str, str, pa.DataType]],
     also: Sequence[str] = (),
@@ -188,6 +194,7 @@ def arrow_map(
     ``(name, SQL type, Arrow type)``.  Rows travel in Arrow batches and stay where they are: no shuffle, no state between
     tasks.  Input columns are kept inside ``row``, so their names cannot clash.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.struct("*").alias("row"))
     at, others = docs.columns.index(text_col), [docs.columns.index(c) for c in also]
     made_schema = T.StructType.fromDDL(", ".join(f"{name} {sql_type}" for name, sql_type, _ in fields))

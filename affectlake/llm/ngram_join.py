@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from affectlake.llm.common import arrow_map, join_hot, joined_components, maybe_in, roots
+from affectlake.llm.common import arrow_map, bound_batches, join_hot, joined_components, maybe_in, roots
 from affectlake.llm.shingles import fingerprint, mixed, overlap, shingle_set
 from affectlake.session import saved
 
@@ -105,6 +105,7 @@ def components(
     docs: DataFrame, shingle_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = saved(_hashed(texts, shingle_words, percent))
     filled = rows.filter("n > 0")
