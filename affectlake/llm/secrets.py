@@ -1,12 +1,13 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of at least LEAST key-like characters with a digit among them.  Its
-features are its length, its characters and their transitions, how much of it dictionary
-words cover, the path it stands in, and the words and signs around it.  The forest is
-Spark's and judges all but the formats of known issuers, which are secrets by form.  It is
-fitted on labelled findings: given ones, or those that ``weak_label`` is sure
-of (formats of known issuers and assigned random values, against addresses, numbers and
-dates) among at most SAMPLE_FINDINGS findings chosen by hash.
+A candidate is a run of at least LEAST key-like characters with a digit among them, or in
+the format of a known issuer.  Its features are its length, its characters and their
+transitions, how much of it dictionary words cover, the path it stands in, and the words
+and signs around it.  The forest is Spark's and judges all but the formats of known
+issuers, which are secrets by form.  It is fitted on labelled findings: given ones, or
+those that ``weak_label`` is sure of (formats of known issuers and assigned random
+values, against addresses, numbers and dates) among at most SAMPLE_FINDINGS findings
+chosen by hash.
 
 The fitted trees are saved in the shared folder and read back as a table of nodes, at
 most TREES * 2 ** (DEPTH + 1) rows, so that one scan finds, judges and masks candidates
@@ -53,6 +54,7 @@ ISSUED = re.compile(
     r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|"
     r"sk[-_][A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*"
 )
+ISSUED_STARTS = (b"AKIA", b"ASIA", b"gh", b"xox", b"AIza", b"sk", b"eyJ")
 HARMLESS = re.compile(
     r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|[0-9.+/_-]+|v?[0-9]+(\.[0-9]+)+[A-Za-z0-9.-]*|"
     r"(www\.)?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+(/[A-Za-z0-9_./-]*)?"
@@ -80,7 +82,8 @@ def candidates(text: bytes):
     """``(start, end, value, before, after)`` of each candidate, places in bytes."""
     for found in CANDIDATE.finditer(text):
         value = found.group().rstrip(b".-/@")
-        if len(value) >= LEAST and DIGIT.search(value):
+        issued = value.startswith(ISSUED_STARTS) and ISSUED.fullmatch(value.decode())
+        if len(value) >= LEAST and (issued or DIGIT.search(value)):
             start, end = found.start(), found.start() + len(value)
             yield (start, end, value.decode(), text[max(0, start - AROUND) : start].decode(errors="ignore"),
                    text[end : end + AROUND].decode(errors="ignore"))
@@ -217,6 +220,8 @@ def scan(
             parts += [gap, MASK if secret else value]
             chars += len(value)
             done = end
+        if not any(f["secret"] for f in findings):
+            return findings, None
         return findings, "".join([*parts, text[done:].decode()])
 
     def work():
@@ -227,7 +232,8 @@ def scan(
         return each
 
     fields = [("findings", f"array<{FINDING}>", pa.list_(FINDING_ARROW)), ("masked", "string", pa.string())]
-    return arrow_map(docs, text_col, work, fields, also=[path_col])
+    found = arrow_map(docs, text_col, work, fields, also=[path_col])  # texts without secrets do not travel twice
+    return found.withColumn("masked", F.coalesce("masked", F.col("row")[text_col].cast("string")))
 
 
 def secrets_only(findings: Column | str = "findings") -> Column:
