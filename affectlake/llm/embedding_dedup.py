@@ -22,7 +22,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from affectlake.llm.common import connected_components, join_hot
 from affectlake.llm.hnsw import Graph
@@ -31,18 +31,22 @@ from affectlake.session import saved
 SHARD_ROWS = 4_096
 BEAM = 16
 AUDITED = 256
-RECALL = 0.99
+RECALL = 0.999
 
 
-def unit(vector: Column) -> Column:
-    """The vector in doubles at length 1, or null if it has no direction."""
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    bad = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    largest = F.array_max(F.transform(doubles, F.abs))
-    scaled = F.transform(doubles, lambda x: x / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    # adding 0.0 makes -0.0 and 0.0 the same bits
-    return F.when(~bad & (largest > 0), F.transform(scaled, lambda x: x / norm + 0.0))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def unit(vectors: pd.Series) -> pd.Series:
+    """Vectors in doubles at length 1; null where there is no direction."""
+    out = []
+    for vector in vectors:
+        v = np.zeros(0) if vector is None else np.asarray(vector, np.float64)
+        largest = np.abs(v).max(initial=0.0)
+        if 0 < largest < np.inf:  # a null component reads as nan, which fails too
+            v = v / largest
+            out.append(v / np.sqrt(v @ v) + 0.0)
+        else:
+            out.append(None)
+    return pd.Series(out, dtype=object)
 
 
 def components(
@@ -52,7 +56,7 @@ def components(
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``embeddings``."""
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("raw"))
     same = F.transform("raw", lambda x: x.cast("double") + 0.0)
-    rows = rows.select("vec_id", unit(F.col("raw")).alias("v"), F.xxhash64(same).alias("f1"),
+    rows = rows.select("vec_id", unit(F.col("raw").cast("array<double>")).alias("v"), F.xxhash64(same).alias("f1"),
                        F.xxhash64(F.lit(1), same).alias("f2"))
     rows = saved(rows)
     valid = rows.filter("v is not null")
@@ -70,10 +74,10 @@ def components(
     grouped = connected_components(links.select("a", "b").unionByName(ties))
     degrees = links.select(F.col("a").alias("rep"), F.col("kb").alias("n")).unionByName(
         links.select(F.col("b").alias("rep"), F.col("ka").alias("n"))).groupBy("rep").agg(F.sum("n").alias("others"))
-    described = classes.select("f1", "f2", "rep", "k").join(degrees, "rep", "left").join(
+    described = saved(classes.select("f1", "f2", "rep", "k").join(degrees, "rep", "left").join(
         grouped.withColumnRenamed("node", "rep"), "rep", "left").select(
         "f1", "f2", "k", (F.coalesce("others", F.lit(0)) + F.col("k") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
+        F.coalesce("component", "rep").alias("component_id")))
     linked = join_hot(narrow, described, ["f1", "f2"], "k", total).select("vec_id", "n_links", "component_id")
     alone = rows.filter("v is null").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

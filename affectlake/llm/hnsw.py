@@ -2,17 +2,19 @@
 
 Nodes are taken in the order of a hash.  Each is linked, on every level up to its own, to
 diverse near neighbours among the nodes before it, and they to it, so that early nodes
-carry the long links.  Searches run for many queries in step.
+carry the long links.  Searches run for many queries in step, on single precision; what
+they find is checked in double precision.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LINKS = 16
+LINKS = 12
 CANDIDATES = 48
 AT_ONCE = 512
 EXPANDED = 4
+SLACK = 1e-4
 
 
 def levels_of(ids: np.ndarray) -> np.ndarray:
@@ -28,6 +30,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray]) -> None:
         self.vectors, self.nodes, self.links = vectors, nodes, links
+        self.short = vectors.astype(np.float32)
 
     @classmethod
     def build(cls, vectors: np.ndarray, ids: np.ndarray) -> Graph:
@@ -52,11 +55,13 @@ class Graph:
             width = min(beam, len(self.vectors))
             while len(open_):
                 ids, sims = self._search(queries[open_], width)
-                good = (sims >= least) & (ids >= 0)
+                good = (sims >= least - SLACK) & (ids >= 0)
                 full = good.all(axis=1) & (width < len(self.vectors))
                 q, c = np.nonzero(good & ~full[:, None])
-                found_q.append(open_[q])
-                found_n.append(ids[q, c])
+                q, node = open_[q], ids[q, c]
+                exact = np.einsum("ed,ed->e", queries[q], self.vectors[node]) >= least
+                found_q.append(q[exact])
+                found_n.append(node[exact])
                 open_, width = open_[full], min(2 * width, len(self.vectors))
         return np.concatenate(found_q or [np.zeros(0, int)]), np.concatenate(found_n or [np.zeros(0, int)])
 
@@ -91,8 +96,10 @@ class Graph:
         sims = np.full((count, width), -3.0)
         done = np.ones((count, width), bool)
         ids[:, 0], sims[:, 0], done[:, 0] = at, np.einsum("qd,qd->q", queries, self.vectors[at]), False
-        seen = np.zeros((count, len(self.vectors)), bool)
-        seen[rows, at] = True
+        seen = np.zeros(count * len(self.vectors), bool)
+        seen[rows * len(self.vectors) + at] = True
+        writer = np.empty(count * len(self.vectors), np.int32)
+        short_queries = queries.astype(np.float32)
         active = rows
         while len(active):
             own_ids, own_sims, own_done = ids[active], sims[active], done[active]
@@ -103,13 +110,15 @@ class Graph:
             own_done[line, pick] = True
             near = np.where(chosen[..., None], self.links[0][np.maximum(own_ids[line, pick], 0)], -1)
             near = near.reshape(len(active), -1)
-            fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-            q, c = np.nonzero(fresh)
+            q, c = np.nonzero(near >= 0)
             node = near[q, c]
-            _, first = np.unique(q * len(self.vectors) + node, return_index=True)
-            q, node = q[first], node[first]
-            seen[active[q], node] = True
-            value = np.einsum("ed,ed->e", queries[active[q]], self.vectors[node])
+            cell = active[q] * len(self.vectors) + node
+            turn = np.arange(len(cell), dtype=np.int32)
+            writer[cell] = turn  # of a node met twice in this step one entry is kept
+            fresh = (writer[cell] == turn) & ~seen[cell]
+            q, node, cell = q[fresh], node[fresh], cell[fresh]
+            seen[cell] = True
+            value = np.einsum("ed,ed->e", short_queries[active[q]], self.short[node])
             slot = np.arange(len(q)) - np.searchsorted(q, q)
             extra = int(slot.max(initial=-1)) + 1
             new_ids = np.full((len(active), extra), -1)
