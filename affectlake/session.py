@@ -77,10 +77,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     Costly per-row work (cleaning, Arrow functions) on a table below one split
     per core would run in few tasks, so its rows are hashed by ``key`` first.
-    Larger tables come back as they are: their splits already fill the cores.
+    Larger tables come back as they are: their splits already fill the cores.  ``df`` is
+    a scan with narrow steps, whose splits are known without running anything.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
