@@ -81,4 +81,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     a scan with narrow steps, whose splits are known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.select("*").rdd.getNumPartitions() < cores else df
