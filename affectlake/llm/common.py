@@ -36,7 +36,7 @@ HOT_SHARE = 2_000
 
 #: Texts that a task holds as Python objects at a time.
 ROWS_AT_ONCE = 500
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 
 FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 
