@@ -6,6 +6,8 @@ per document with the words it takes.  What a stage decides is in its result:
 1. Documents whose language cannot be told go: texts without a letter, or below
    LEAST_SCORE.  If no document is labelled, nothing can be told and all stay.
 2. Of each group of documents linked by their shingles the smallest id stays, once.
+   Two are linked if their sets of NEAR_WORDS-word shingles have a Jaccard similarity of
+   NEAR_PERCENT or more; op10_ngram_join has its own contract (3 words, 90 percent).
    Rows without id cannot be named by a group and stay.
 3. Documents that hold a benchmark passage go.
 4. Secrets are masked in the text, and ``n_chars`` follows the text.
@@ -24,6 +26,7 @@ from affectlake.llm.mixing import mix
 from affectlake.session import saved
 
 LEAST_SCORE = 0.5
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = saved(ngram_join.components(docs))
+    linked = saved(ngram_join.components(docs, NEAR_WORDS, NEAR_PERCENT))
     marked = saved(linked.filter("doc_id is not null").groupBy("doc_id").agg(
         F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")
     ).filter("n > 1 or not stays"))

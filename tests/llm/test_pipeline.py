@@ -45,6 +45,34 @@ def test_stages_decide_and_keep_clean_documents(spark, folder):
     assert docs.filter("text like '%SECRET%'").count() == 1
 
 
+def test_near_copies_as_five_word_brute_force(spark):
+    r = random.Random(5)
+    rows = []
+    for base in range(0, 80, 10):
+        words = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        for k in range(6):  # k scattered words changed: 1 and 2 are linked to the first, 3 and more are not
+            changed = {15 + 17 * j for j in range(k)}
+            rows.append((base + k, " ".join(f"c{r.randrange(10**6)}" if i in changed else w for i, w in enumerate(words))))
+
+    def shingles(text, n):
+        words = text.split()
+        return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+    def kept(n, least):
+        sets, root = {i: shingles(t, n) for i, t in rows}, {i: i for i, _ in rows}
+        for a in sorted(sets):
+            for b in sorted(sets):
+                if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                    low, high = sorted((root[a], root[b]))
+                    root = {k: low if v == high else v for k, v in root.items()}
+        return sorted(i for i in root if root[i] == i)
+
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "e", "z") for i, t in rows], SCHEMA)
+    got = sorted(x.doc_id for x in P.drop_near_copies(spark, docs, "").collect())
+    assert got == kept(5, 0.8)
+    assert set(got) < set(kept(3, 0.9))
+
+
 def test_run_returns_the_mix(spark, folder):
     got = P.run(spark, folder).collect()
     assert sorted(r.doc_id for r in got) == sorted([*range(60), 300])
