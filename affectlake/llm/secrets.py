@@ -1,10 +1,13 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of at least LEAST key-like characters with a digit among them, or in
-the format of a known issuer.  Its features are its length, its characters and their
+A candidate is a run of at least LEAST key-like characters with a digit among them, a part
+of a run in the format of a known issuer, or the whole value, quoted or not, that is
+assigned to a name with one of SECRET_WORDS, of any length and with any characters.
+Candidates may lie inside others; those inside a secret are not judged.  Its features are its length, its characters and their
 transitions, how much of it dictionary words cover, the path it stands in, and the words
 and signs around it.  The forest is Spark's and judges all but the formats of known
-issuers, which are secrets by form.  It is fitted on labelled findings: given ones, or
+issuers, which are secrets by form, and values that stand for another one (literals,
+templates, blanks, calls and references), which are none by form.  It is fitted on labelled findings: given ones, or
 those that ``weak_label`` is sure of (formats of known issuers and assigned random
 values, against addresses, numbers and dates) among at most SAMPLE_FINDINGS findings
 chosen by hash.
@@ -45,21 +48,50 @@ MASK = "[SECRET]"
 
 CANDIDATE = re.compile(rb"[A-Za-z0-9_+/.@-]{%d,}={0,2}" % LEAST)
 DIGIT = re.compile(rb"[0-9]")
-ASSIGNED = re.compile(r"([A-Za-z_-]{2,30})[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"'`]?$")
+ASSIGNED = re.compile(r"([A-Za-z0-9_-]{2,64})[\"'`\])\\]{0,4}\s{0,3}(?:=>|:=|={1,3}|:)\s{0,3}"
+                      r"(?:[Bb]earer |[Bb]asic )?[rbfuRBFU]{0,2}\\?[\"'`]?$")
 WORD = re.compile(r"[A-Za-z]+")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+# Assignments: the sign, the name before it (with or without a type), and the value after it.
+SIGN = re.compile(rb"=>|:=|={1,3}|:")
+NAME = re.compile(rb"([A-Za-z0-9_-]+)[\"'`\])\\]{0,4}[ \t]*$")
+TYPED_NAME = re.compile(rb"([A-Za-z0-9_-]+)[ \t]*:[ \t]*[A-Za-z_][A-Za-z0-9_.\[\]|?]*[ \t]*$")
+TYPE = re.compile(rb"[ \t]*[A-Za-z_][A-Za-z0-9_.\[\]|?]*[ \t]+=[ \t]")
+LEAD = re.compile(rb"[ \t]*(?:\r?\n[ \t]*(?=[\"'`]))?(?:[Bb]earer[ \t]+|[Bb]asic[ \t]+)?(?:[rbfuRBFU]{1,2}(?=[\"']))?")
+QUOTED = re.compile(
+    rb'"((?:[^"\\\n]++|\\.)*+)"|\'((?:[^\'\\\n]++|\\.)*+)\'|`((?:[^`\\\n]++|\\.)*+)`|'
+    rb'\\"((?:[^"\\\n]++|\\[^"\n])*+)\\"|\\\'((?:[^\'\\\n]++|\\[^\'\n])*+)\\\'')
+# Up to the next pair of the same run; a quote belongs to it inside a word and inside brackets.
+BARE = re.compile(rb"(?:[\[(](?:\"[^\"\n]*+\"|'[^'\n]*+')[^\s\"'`()\[\]]*+[\])]|"
+                  rb"(?![;,&][A-Za-z_][A-Za-z0-9_.-]*+=)[^\s\"'`]|(?<=[^\s\"'`=:])[\"'`](?=[A-Za-z0-9]))+")
+SPACES = re.compile(rb"[ \t\r\n]+")
+BRACKETS = [(b"(", b")"), (b"[", b"]"), (b"{", b"}"), (b"<", b">")]
+NAME_REACH = 128
 RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+")
 
 # Formats of issuers, forms that are no secrets, words that name secrets or examples.
+# Inside a run an issuer's sign must not be the end of a word ("risk_", "AKIA" in a longer upper-case run).
 ISSUED = re.compile(
-    r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|"
-    r"sk[-_][A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*"
+    r"(?<![0-9A-Z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|"
+    r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|(?<![A-Za-z0-9])sk[-_][A-Za-z0-9_-]{20,}|"
+    r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*"
 )
-ISSUED_STARTS = (b"AKIA", b"ASIA", b"gh", b"xox", b"AIza", b"sk", b"eyJ")
+ISSUED_BYTES = re.compile(ISSUED.pattern.encode())
 HARMLESS = re.compile(
     r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|[0-9.+/_-]+|v?[0-9]+(\.[0-9]+)+[A-Za-z0-9.-]*|"
     r"(www\.)?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+(/[A-Za-z0-9_./-]*)?"
 )
-RANDOM = re.compile(r"[0-9a-fA-F]{16,}|[A-Za-z0-9+/_-]{16,}={0,2}")
+# Assigned values that are no secrets by form: literals, templates and blanks; without quotes, calls and references
+# too, and words of a sentence ("the key: value of ...").
+STANDS_IN = re.compile(
+    r"(?i:true|false|null|none|nil|undefined)|\$[A-Z_][A-Z0-9_]*|\$\{[^{}]*\}|\$\([^()]*\)|\{\{.*\}\}|"
+    r"\{[A-Za-z_0-9.]*\}|<[^<>]*>|%\(?[A-Za-z_]*\)?[sdr]|%[A-Za-z_]+%|([*xX.#?_-])\1*", re.DOTALL)
+REFERENCE = re.compile(
+    r"[A-Za-z_][A-Za-z0-9_.]*(?:\(.*\)|\[.*\])|(?:self|this|args|os|config|settings|env|process|request|options)"
+    r"(?:\.[A-Za-z_][A-Za-z0-9_]*)+", re.DOTALL)
+SENTENCE = re.compile(r"[A-Z]?[a-z]+\s+[A-Za-z]")
+RANDOM = re.compile(r"(?=.*[0-9])(?:[0-9a-fA-F]{16,}|[A-Za-z0-9+/_-]{16,}={0,2})")
 SECRET_WORDS = set("password passwd pwd pass secret token key apikey auth authorization bearer credential credentials "
                    "private access".split())
 EXAMPLE_WORDS = set("example sample dummy test fake placeholder doc docs fixture mock changeme".split())
@@ -78,15 +110,75 @@ def dictionary(vocabulary: str = VOCABULARY) -> frozenset[str]:
     return frozenset(p[1:].lower() for p in pieces(vocabulary) if len(p) > 4 and p[0] == "▁" and p[1:].isalpha())
 
 
+def named_words(name: str) -> set[str]:
+    """The words of a name, by case too ("dbPassword"), in lower case."""
+    return {w.lower() for part in WORD.findall(name.replace("_", " ")) for w in (part, *NAME_WORD.findall(part))}
+
+
+def assigned_values(text: bytes):
+    """``(start, end, from)`` of each value of a name with a secret word; ``from`` is where the name begins."""
+    signs = []
+    for sign in SIGN.finditer(text):
+        low = max(0, sign.start() - NAME_REACH)
+        before = text[low : sign.start()]
+        found = [m for m in (NAME.search(before), sign.group() != b":" and TYPED_NAME.search(before)) if m]
+        named = [m for m in found if named_words(m.group(1).decode()) & SECRET_WORDS]
+        if named and not (sign.group() == b":" and TYPE.match(text, sign.end())):
+            signs.append((low + named[0].start(), sign.end()))
+    for at, (name, after) in enumerate(signs):
+        start = LEAD.match(text, after).end()
+        quoted = QUOTED.match(text, start)
+        if quoted:
+            start, end = quoted.span(quoted.lastindex)
+        else:
+            start += text[start : start + 1] in (b'"', b"'", b"`")  # a quote that is not closed
+            bare = BARE.match(text, start, signs[at + 1][0] if at + 1 < len(signs) else len(text))
+            end = start + len(_unclosed(bare.group())) if bare else start
+        if text[start:end].strip():
+            yield start, end, name
+
+
+def _unclosed(value: bytes) -> bytes:
+    """``value`` without the signs of the text around it: stops, and brackets it does not open."""
+    spare = {close: value.count(close) - value.count(open_) for open_, close in BRACKETS}
+    end = len(value)
+    while end:
+        last = value[end - 1 : end]
+        if last not in (b".", b",", b";", b":") and spare.get(last, 0) <= 0:
+            break
+        if last in spare:
+            spare[last] -= 1
+        end -= 1
+    return value[:end]
+
+
+def _parts(text: bytes, start: int, end: int):
+    """``(start, end)`` of the issued keys in a run, and of its other parts that are long enough and have a digit."""
+    at = start
+    for low, high in [*(k.span() for k in ISSUED_BYTES.finditer(text, start, end)), (end, end)]:
+        other = text[at:low].rstrip(b".-/@")
+        if len(other) >= LEAST and DIGIT.search(other):
+            yield at, at + len(other)
+        if low < high:
+            yield low, high
+        at = high
+
+
 def candidates(text: bytes):
-    """``(start, end, value, before, after)`` of each candidate, places in bytes."""
-    for found in CANDIDATE.finditer(text):
-        value = found.group().rstrip(b".-/@")
-        issued = value.startswith(ISSUED_STARTS) and ISSUED.fullmatch(value.decode())
-        if len(value) >= LEAST and (issued or DIGIT.search(value)):
-            start, end = found.start(), found.start() + len(value)
-            yield (start, end, value.decode(), text[max(0, start - AROUND) : start].decode(errors="ignore"),
-                   text[end : end + AROUND].decode(errors="ignore"))
+    """``(start, end, value, before, after)`` of each candidate, places in bytes.
+
+    In order of their starts, the longest first; one may lie inside another.
+    """
+    spans = {(start, end): name for start, end, name in assigned_values(text)}
+    for run in CANDIDATE.finditer(text):
+        for span in _parts(text, run.start(), run.start() + len(run.group().rstrip(b".-/@"))):
+            spans.setdefault(span, None)
+    for (start, end), name in sorted(spans.items(), key=lambda s: (s[0][0], -s[0][1])):
+        before = text[max(0, start - AROUND) : start]
+        if name is not None:
+            before = SPACES.sub(b" ", text[min(name, max(0, start - AROUND)) : start])
+        yield (start, end, text[start:end].decode(), before.decode(errors="ignore"),
+               text[end : end + AROUND].decode(errors="ignore"))
 
 
 def features(value: str, before: str, after: str, path: str, words: frozenset[str]) -> list[float]:
@@ -103,7 +195,7 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
             i += size or 1
     assigned = ASSIGNED.search(before)
     near = {w.lower() for w in WORD.findall(f"{before[-24:]} {after[:16]}")}
-    named = {w.lower() for w in WORD.findall(assigned.group(1).replace("_", " "))} if assigned else set()
+    named = named_words(assigned.group(1)) if assigned else set()
     return [
         float(n), sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n,
         sum(c.islower() for c in value) / n, len(counts) / n,
@@ -115,15 +207,22 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
     ]
 
 
-def weak_label(value: str, before: str) -> bool | None:
+def stands_in(value: str, before: str) -> bool:
+    """Whether a value is none of its own, by its form."""
+    return bool(STANDS_IN.fullmatch(value) or before[-1:] not in ("'", '"', "`") and REFERENCE.fullmatch(value))
+
+
+def weak_label(value: str, before: str, after: str = "") -> bool | None:
     """True or False where the form leaves no doubt, else None."""
-    if ISSUED.fullmatch(value):
+    if ISSUED.search(value):
         return True
     if HARMLESS.fullmatch(value):
         return False
     assigned = ASSIGNED.search(before)
-    if assigned and {w.lower() for w in WORD.findall(assigned.group(1).replace("_", " "))} & SECRET_WORDS:
-        return True if RANDOM.fullmatch(value) else None
+    if assigned and named_words(assigned.group(1)) & SECRET_WORDS:
+        if RANDOM.fullmatch(value):
+            return True
+        return False if stands_in(value, before) or before[-2:] == ": " and SENTENCE.match(value + after) else None
     return None
 
 
@@ -143,7 +242,7 @@ def labelled_findings(
             for text, path in zip(texts, paths, strict=True):
                 rows = []
                 for _, _, value, before, after in candidates(text or b""):
-                    label = weak_label(value, before)
+                    label = weak_label(value, before, after)
                     if label is not None:
                         rows.append({"label": float(label), "features": features(value, before, after, path or "", words)})
                 out.append(rows)
@@ -206,21 +305,25 @@ def scan(
     def judge(text: bytes | None, path: str) -> tuple[list[dict], str | None]:
         if text is None:
             return [], None
-        findings, parts, done, chars = [], [], 0, 0
+        findings, parts, done, at, chars = [], [], 0, 0, 0
         for start, end, value, before, after in candidates(text):
-            sure = weak_label(value, before)
+            if end <= done:  # inside a secret
+                continue
+            sure = weak_label(value, before, after)
             odds = score(trees, features(value, before, after, path, words)) if trees else float(bool(sure))
-            if ISSUED.fullmatch(value):
+            if ISSUED.search(value):
                 odds = 1.0
-            gap = text[done:start].decode()
-            chars += len(gap)
+            elif sure is False and stands_in(value, before):
+                odds = 0.0
+            chars += len(text[at:start].decode())
+            at = start
             secret = odds >= threshold
             findings.append({"start": chars, "end": chars + len(value), "score": odds, "secret": secret,
                              "value_sha256": hashlib.sha256(value.encode()).hexdigest()})
-            parts += [gap, MASK if secret else value]
-            chars += len(value)
-            done = end
-        if not any(f["secret"] for f in findings):
+            if secret:
+                parts += [text[done:start].decode(), MASK] if start >= done else []
+                done = end
+        if not parts:
             return findings, None
         return findings, "".join([*parts, text[done:].decode()])
 
