@@ -240,8 +240,10 @@ def a6(spark, sf):
     SELECT id, """ + ", ".join(V.sql_even(f"sum({c} * N) / sum(N)", 2) + f" AS {c}" for c in "VAD") + """
     FROM long GROUP BY id HAVING count(*) = 2""")
 def a6_long(spark, sf):
-    both = V.annotator_rows(spark, sf, "O").unionByName(V.annotator_rows(spark, sf, "F"))
-    return annotators.combine_raters(both, 2)
+    reader, writer = (
+        V.annotator_rows(spark, sf, status).withColumn("perspective", F.lit(name))
+        for name, status in (("reader", "O"), ("writer", "F")))
+    return annotators.combine_raters(reader.unionByName(writer), 2)
 
 
 @query("j3_attach_text", COMBINED + """

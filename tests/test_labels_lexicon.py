@@ -77,7 +77,10 @@ def test_combined_annotations(spark):
     both = annotators.combine_perspectives(reader, writer)
     got = {r["id"]: (r["V"], r["A"], r["D"]) for r in both.collect()}
     assert got == {"a": (2.8, 3.1, 2.8), "b": (3.44, 3.0, 3.0)}
-    assert {tuple(r) for r in annotators.combine_raters(reader.unionByName(writer), 2).collect()} == {tuple(r) for r in both.collect()}
+    long = reader.withColumn("perspective", F.lit("reader")).unionByName(writer.withColumn("perspective", F.lit("writer")))
+    assert {tuple(r) for r in annotators.combine_raters(long, 2).collect()} == {tuple(r) for r in both.collect()}
+    twice = long.unionByName(long.filter("id in ('a', 'c')"))  # two rows of one perspective are no second perspective
+    assert {tuple(r) for r in annotators.combine_raters(twice, 2).collect()} == {tuple(r) for r in both.collect()}
     raw = spark.createDataFrame([("a", "x"), ("b", None)], "id string, text string")
     assert {r["id"]: r["text"] for r in annotators.attach_text(both, raw).collect()} == {"a": "x", "b": None}
     with pytest.raises(Exception, match="no text for id"):
