@@ -81,7 +81,8 @@ def drop_repeated(
     marked = maybe_in(dropped, "doc_id")("doc_id")
     none = F.array().cast("array<struct<low:bigint,high:bigint>>").alias("drops")
     whole = named.filter(~marked).select("doc_id", "text", "row", none)
-    cut = named.filter(marked).join(dropped, "doc_id", "left").select("doc_id", "text", "row", F.coalesce("drops", none).alias("drops"))
+    # Always by shuffle, as at any other size: the lists to drop grow with the input.
+    cut = named.filter(marked).join(dropped.hint("merge"), "doc_id", "left").select("doc_id", "text", "row", F.coalesce("drops", none).alias("drops"))
     fields = [("n_lines", "bigint", pa.int64()), ("n_dropped", "bigint", pa.int64()), ("kept", "string", pa.string())]
     work = partial(_cutter, least_chars, hot)
     out = [arrow_map(part, "text", work, fields, ["doc_id", "drops"]) for part in (whole, cut)]
