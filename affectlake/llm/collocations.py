@@ -46,8 +46,10 @@ TABLE = byte_table(BLANKS, BREAKS)
 BITMAP_BITS = 25  # log2 of the bits that say "may be frequent"
 SKETCH_BITS = 24  # log2 of the saturated counters
 SLICE_BITS = 16
-FLUSH = 1 << 20  # distinct keys a task holds before it sends them on
-BLOCK = 1_000_000
+HELD_WORDS = 200_000  # distinct words, and phrases, that a task holds before it sends them on
+HELD_PHRASES = 500_000
+ROWS_SENT = 50_000
+BLOCK = 250_000
 GROUP = 2
 SEEDS = 8
 
@@ -112,25 +114,52 @@ def _words(texts: DataFrame) -> tuple[DataFrame, int]:
     """``(key, lang, word, n)`` of all words, and the seed under which no two share a key."""
 
     def start():
+        counts: dict[int, int] = {}
+        spelled: dict[int, tuple[str, bytes]] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            langs, words = zip(*spelled.values(), strict=True)
+            yield from _sliced([
+                pa.array(list(counts), pa.int64()), pa.array(langs, pa.string()),
+                pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
+                ["key", "lang", "word", "n"])
+            counts.clear()
+            spelled.clear()
+
         def each(words, langs):
-            keys, first, counts = np.unique(words.hashes, return_index=True, return_counts=True)
-            spelled = [words.word(i) for i in first.tolist()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys.view(np.int64)), pa.array([langs[o] for o in words.owners[first].tolist()], pa.string()),
-                pa.array(spelled, pa.binary()).cast(pa.string()), pa.array(counts)], names=["key", "lang", "word", "n"])
+            keys, first, n = np.unique(words.hashes.view(np.int64), return_index=True, return_counts=True)
+            for key, at, k in zip(keys.tolist(), first.tolist(), n.tolist(), strict=True):
+                if key in counts:
+                    counts[key] += k
+                else:
+                    counts[key] = k
+                    spelled[key] = (langs[words.owners[at]], words.word(at))
+            if len(counts) > HELD_WORDS:
+                yield from send()
 
-        return each, lambda: iter(())
+        def end():
+            if counts:
+                yield from send()
+
+        return each, end
 
     for seed in range(SEEDS):
         found = _scan(texts, seed, 0, "key bigint, lang string, word string, n bigint", start)
-        words = saved(found.groupBy("key").agg(
-            F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"),
-            ((F.min("word") < F.max("word")) | (F.min("lang") < F.max("lang"))).alias("shared")))
-        if words.filter("shared").isEmpty():
-            return words.drop("shared"), seed
+        # A task's words are combined before they leave it, so they are dealt by key at once.
+        spelled = found.repartition("key").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
+        words = saved(spelled.groupBy("key").agg(
+            F.first("lang").alias("lang"), F.first("word").alias("word"), F.sum("n").alias("n"), F.count("*").alias("spellings")))
+        if words.filter("spellings > 1").isEmpty():
+            return words.drop("spellings"), seed
     raise RuntimeError("no seed parts the words of this table")
 
 
+def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for at in range(0, whole.num_rows, ROWS_SENT):
+        yield whole.slice(at, ROWS_SENT)
+
+
 def _level(texts: DataFrame, seed: int, below: DataFrame, size: int, min_count: int, block: int) -> DataFrame:
     """``(ws, key, n)`` of all phrases of ``size`` words with ``min_count`` or more occurrences."""
     spark = texts.sparkSession
@@ -146,14 +175,17 @@ def _level(texts: DataFrame, seed: int, below: DataFrame, size: int, min_count:
 
     sketch = spark.sparkContext.broadcast(_sketch(texts, seed, size, min(min_count, 255), promising))
     listed = saved(_listed(texts, seed, size, promising, sketch, block))
+    frequent.destroy()
+    sketch.destroy()
     tries = saved(_tries(listed, size))
     counts = None
     blocks = [r.block for r in tries.select("block").orderBy("block").collect()]
     for at in range(0, len(blocks), GROUP):
         rows = tries.filter(F.col("block").isin(blocks[at : at + GROUP])).collect()
         # The numbers of a block's phrases are the order of the sorted phrases.
-        group = spark.sparkContext.broadcast([(r.block, r.phrases, zlib.compress(r.trie, 1)) for r in rows])
+        group = spark.sparkContext.broadcast([(r.block, r.phrases, bytes(r.trie)) for r in rows])
         part = saved(_tallied(texts, seed, size, group))
+        group.destroy()
         counts = part if counts is None else counts.unionByName(part)
     if counts is None:
         return below.limit(0)
@@ -252,16 +284,16 @@ def _listed(texts: DataFrame, seed: int, size: int, promising: Callable, sketch,
         def send() -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(held)
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.view(np.int64).T.copy()], names=names)
+            yield from _sliced([pa.array(c) for c in rows.view(np.int64).T.copy()], names)
 
         def each(words, langs):
             starts, keys = promising(words)
             sure = _marked_high(sketch.value, keys)
             starts, keys = starts[sure], keys[sure]
             held.append(_distinct(np.stack([*(words.hashes[starts + i] for i in range(size)), keys], axis=1)))
-            if sum(map(len, held)) > 2 * FLUSH:
+            if sum(map(len, held)) > 2 * HELD_PHRASES:
                 held[:] = [_distinct(np.concatenate(held))]
-                if len(held[0]) > FLUSH:
+                if len(held[0]) > HELD_PHRASES:
                     yield from send()
 
         def end():
@@ -301,7 +333,7 @@ def _tries(listed: DataFrame, size: int) -> DataFrame:
     def make(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_numpy() for c in names]
         rows = np.stack(columns, axis=1)[_sorted_phrases(columns)]
-        trie = pickle.dumps(tuple(vars(double_array.build(rows.view(np.uint64))).values()))
+        trie = zlib.compress(pickle.dumps(tuple(vars(double_array.build(rows.view(np.uint64))).values())), 1)
         return pa.table({"block": table.column("block")[:1], "phrases": [table.num_rows], "trie": pa.array([trie], pa.binary())})
 
     return listed.groupBy("block").applyInArrow(make, "block bigint, phrases bigint, trie binary")
@@ -335,8 +367,7 @@ def _tallied(texts: DataFrame, seed: int, size: int, group) -> DataFrame:
         def end():
             for block, _, counts in tries:
                 at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), block)), pa.array(at), pa.array(counts[at])], names=["block", "at", "n"])
+                yield from _sliced([pa.array(np.full(len(at), block)), pa.array(at), pa.array(counts[at])], ["block", "at", "n"])
 
         return each, end
 

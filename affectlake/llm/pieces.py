@@ -15,7 +15,7 @@ import xxhash
 
 from affectlake.llm.shingles import mixed
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SEEDED = np.random.default_rng(977)
 _CODE = _SEEDED.integers(0, 2**64, 256, np.uint64)
 _FACTOR = 0x9E3779B97F4A7C1B | 3
