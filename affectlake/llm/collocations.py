@@ -6,13 +6,14 @@ Words are counted first, then phrases of 2, 3, ... words, level by level:
    fixed size over the keys of the frequent ones tells which positions are worth a look,
    and a sketch of saturated counters over those positions, also of fixed size, tells
    which keys can reach ``min_count``.  Neither ever says no to a frequent phrase.
-2. The distinct phrases that pass are the candidates, dealt to blocks of at most about
-   BLOCK phrases by hash.  A task makes each block into a double-array trie.
-3. Tries are broadcast in groups of at most GROUP blocks; every task walks all positions
-   of its texts through them, counts the accepting states and emits a sum per candidate.
+2. Tasks list the phrases that pass, with how often they met them; phrases whose sum is too
+   small cannot be frequent.  The others are the candidates, dealt to blocks of at most
+   about BLOCK phrases by hash.  A task makes each block into a double-array trie.
+3. One trie is broadcast at a time; every task walks all positions of its texts through
+   it, counts the accepting states and emits a sum per candidate.
 
-So what is broadcast is bounded whatever the input: more candidates mean more scans, not
-larger ones.  Exact counts of candidates below ``min_count`` are dropped afterwards.
+So what is broadcast is bounded whatever the input: more candidates mean more scans, one
+per BLOCK frequent phrases and level, not larger ones.
 
 Words are 64-bit hashes of language and word.  The table of all words shows whether two
 words share one; then everything is hashed anew with another seed, so counts are exact.
@@ -44,13 +45,12 @@ BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 TABLE = byte_table(BLANKS, BREAKS)
 
 BITMAP_BITS = 25  # log2 of the bits that say "may be frequent"
-SKETCH_BITS = 24  # log2 of the saturated counters
+SKETCH_BITS = 25  # log2 of the saturated counters
 SLICE_BITS = 16
-HELD_WORDS = 200_000  # distinct words, and phrases, that a task holds before it sends them on
-HELD_PHRASES = 500_000
+HELD_WORDS = 150_000  # distinct words, and phrases, that a task holds before it sends them on
+HELD_PHRASES = 300_000
 ROWS_SENT = 50_000
-BLOCK = 250_000
-GROUP = 2
+BLOCK = 1_000_000
 SEEDS = 8
 
 UNKNOWN = "und"
@@ -174,18 +174,19 @@ def _level(texts: DataFrame, seed: int, below: DataFrame, size: int, min_count:
         return starts, phrase_keys(words.hashes, starts, size)
 
     sketch = spark.sparkContext.broadcast(_sketch(texts, seed, size, min(min_count, 255), promising))
-    listed = saved(_listed(texts, seed, size, promising, sketch, block))
+    listed = _listed(texts, seed, size, promising, sketch, min_count, block)
     frequent.destroy()
     sketch.destroy()
     tries = saved(_tries(listed, size))
     counts = None
     blocks = [r.block for r in tries.select("block").orderBy("block").collect()]
-    for at in range(0, len(blocks), GROUP):
-        rows = tries.filter(F.col("block").isin(blocks[at : at + GROUP])).collect()
+    for at in blocks:
+        (row,) = tries.filter(F.col("block") == at).collect()
         # The numbers of a block's phrases are the order of the sorted phrases.
-        group = spark.sparkContext.broadcast([(r.block, r.phrases, bytes(r.trie)) for r in rows])
-        part = saved(_tallied(texts, seed, size, group))
-        group.destroy()
+        trie = spark.sparkContext.broadcast((row.block, row.phrases, bytes(row.trie)))
+        del row
+        part = saved(_tallied(texts, seed, size, trie))
+        trie.destroy()
         counts = part if counts is None else counts.unionByName(part)
     if counts is None:
         return below.limit(0)
@@ -247,20 +248,19 @@ def _sketch(texts: DataFrame, seed: int, size: int, least: int, promising: Calla
         if now is not None:
             yield _slice(now, total)
 
-    schema = "slice bigint, counters binary"
-    slices = _scan(texts, seed, size - 1, schema, start)
-    rounds = slices.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("slice", "salt")
-    once = rounds.drop("salt").sortWithinPartitions("slice").mapInArrow(add, schema)
-    twice = once.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, schema)
-
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in add(batches):
             bits = [np.packbits(np.frombuffer(zlib.decompress(c), np.uint8) >= least, bitorder="little").tobytes()
                     for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["slice", "bits"])
 
+    schema = "slice bigint, counters binary"
+    slices = _scan(texts, seed, size - 1, schema, start)
+    rounds = slices.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("slice", "salt")
+    once = rounds.drop("salt").sortWithinPartitions("slice").mapInArrow(add, schema)
+    twice = once.repartition("slice").sortWithinPartitions("slice").mapInArrow(reach, "slice bigint, bits binary")
     out = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), (1 << SLICE_BITS) // 8), np.uint8)
-    for row in twice.mapInArrow(enough, "slice bigint, bits binary").toArrow().to_pylist():
+    for row in twice.toArrow().to_pylist():
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel().view(np.int64)
 
@@ -274,8 +274,10 @@ def _columns(size: int) -> list[str]:
     return [f"w{i}" for i in range(size)]
 
 
-def _listed(texts: DataFrame, seed: int, size: int, promising: Callable, sketch, block: int) -> DataFrame:
-    """``(w0, ..., key, block)``: the distinct phrases that can be frequent."""
+def _listed(
+    texts: DataFrame, seed: int, size: int, promising: Callable, sketch, min_count: int, block: int,
+) -> DataFrame:
+    """``(w0, ..., key, block)``: the phrases that can be frequent."""
     names = [*_columns(size), "key"]
 
     def start():
@@ -284,26 +286,28 @@ def _listed(texts: DataFrame, seed: int, size: int, promising: Callable, sketch,
         def send() -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(held)
             held.clear()
-            yield from _sliced([pa.array(c) for c in rows.view(np.int64).T.copy()], names)
+            yield from _sliced([pa.array(c) for c in rows.view(np.int64).T.copy()], [*names, "n"])
 
         def each(words, langs):
             starts, keys = promising(words)
             sure = _marked_high(sketch.value, keys)
             starts, keys = starts[sure], keys[sure]
-            held.append(_distinct(np.stack([*(words.hashes[starts + i] for i in range(size)), keys], axis=1)))
+            ones = np.ones(len(keys), np.uint64)
+            held.append(_combined(np.stack([*(words.hashes[starts + i] for i in range(size)), keys, ones], axis=1)))
             if sum(map(len, held)) > 2 * HELD_PHRASES:
-                held[:] = [_distinct(np.concatenate(held))]
+                held[:] = [_combined(np.concatenate(held))]
                 if len(held[0]) > HELD_PHRASES:
                     yield from send()
 
         def end():
             if held:
+                held[:] = [_combined(np.concatenate(held))]
                 yield from send()
 
         return each, end
 
-    found = _scan(texts, seed, size - 1, ", ".join(f"{c} bigint" for c in names), start).groupBy(*names).agg(F.lit(1).alias("one"))
-    listed = saved(found.drop("one"))
+    found = _scan(texts, seed, size - 1, ", ".join(f"{c} bigint" for c in [*names, "n"]), start)
+    listed = saved(found.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).drop("n"))
     blocks = -(-listed.count() // block)
     return listed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(blocks, 1))))
 
@@ -313,13 +317,17 @@ def _marked_high(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
 
 
-def _distinct(rows: np.ndarray) -> np.ndarray:
-    """Rows sorted by their last column, the key, without repeated ones.
+def _combined(rows: np.ndarray) -> np.ndarray:
+    """Rows sorted by key, the last column but one; equal ones are one row with the sum of their counts.
 
-    Different rows with one key all stay; so may a few repeated ones between them.
+    Different rows with one key all stay; so may a few equal ones between them.
     """
-    rows = rows[np.argsort(rows[:, -1], kind="stable")]
-    return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]]
+    rows = rows[np.argsort(rows[:, -2], kind="stable")]
+    first = np.flatnonzero(np.append(True, (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1))[: len(rows)])
+    out = rows[first]
+    if len(first):
+        out[:, -1] = np.add.reduceat(rows[:, -1], first)
+    return out
 
 
 def _sorted_phrases(columns: Sequence[np.ndarray]) -> np.ndarray:
@@ -352,22 +360,20 @@ def _numbered(listed: DataFrame, size: int) -> DataFrame:
         "block", "at", F.array(*names).alias("ws"), "key")
 
 
-def _tallied(texts: DataFrame, seed: int, size: int, group) -> DataFrame:
-    """``(block, at, n)``: a task's counts of the phrases of a group of tries."""
+def _tallied(texts: DataFrame, seed: int, size: int, sent) -> DataFrame:
+    """``(block, at, n)``: a task's counts of the phrases of a trie."""
 
     def start():
-        tries = [(block, double_array.Trie(*pickle.loads(zlib.decompress(trie))), np.zeros(phrases, np.int64)) for block, phrases, trie in group.value]
+        block, phrases, packed = sent.value
+        trie, counts = double_array.Trie(*pickle.loads(zlib.decompress(packed))), np.zeros(phrases, np.int64)
 
         def each(words, langs):
-            starts = phrase_starts(words, size)
-            for _, trie, counts in tries:
-                double_array.tally(trie, counts, words.hashes, starts)
+            double_array.tally(trie, counts, words.hashes, phrase_starts(words, size))
             return iter(())
 
         def end():
-            for block, _, counts in tries:
-                at = np.flatnonzero(counts)
-                yield from _sliced([pa.array(np.full(len(at), block)), pa.array(at), pa.array(counts[at])], ["block", "at", "n"])
+            at = np.flatnonzero(counts)
+            yield from _sliced([pa.array(np.full(len(at), block)), pa.array(at), pa.array(counts[at])], ["block", "at", "n"])
 
         return each, end
 
