@@ -1,17 +1,22 @@
 """Token sequences: vocabulary, windows of ids, masks, decoding and a bigram loss.
 
 Every token of every text is encoded.  A text longer than a window becomes several
-windows; the vocabulary holds every token of the corpus and stays a table: ids come by
-join, and nothing of it passes the driver.
+windows; the vocabulary holds every token of the corpus and stays a table.  Texts become
+dictionary-encoded blocks once; only a block's distinct tokens meet the vocabulary, and
+ids are put in place of codes, so no token is exploded, sorted or grouped back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from affectlake.functions.vectors import shift_left
+from affectlake.operators.blocks import encoded_blocks, expanded, listed_entries, with_found
 from affectlake.operators.ranking import ranked_by
 from affectlake.operators.stats import drop_empty
 from affectlake.session import saved
@@ -39,6 +44,10 @@ def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     counts = saved(
         df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     )
+    return _numbered(counts)
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
     key = F.concat(F.lpad((F.lit(10**18) - F.col("n")).cast("string"), 19, "0"), F.lit(" "), "token")
     ranked = ranked_by(counts.withColumn("__key", key), "__key", "__rank")
     return ranked.select("token", (F.col("__rank") + len(SPECIAL_TOKENS) - 1).alias("token_id"), "n")
@@ -58,42 +67,73 @@ def _looked_up(rows: DataFrame, vocab: DataFrame, key: str, value: str) -> DataF
     )
 
 
+def token_blocks(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """All rows with text as dictionary-encoded blocks of tokens, written once."""
+    return encoded_blocks(drop_empty(df, text), keys, tokens(text))
+
+
+def block_vocabulary(blocks: DataFrame) -> DataFrame:
+    """:func:`vocabulary` of the texts in blocks, from the blocks' own counts."""
+    entries = blocks.select(F.inline(F.arrays_zip(F.col("entries").alias("token"), F.col("counts").alias("k"))))
+    return _numbered(saved(entries.groupBy("token").agg(F.sum("k").alias("n"))))
+
+
 def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], window: int = WINDOW, text: str = "text") -> DataFrame:
     """``(*keys, window_no, input_ids, attention_mask)``: all tokens, in windows of ``window`` ids.
 
     A window holds a start mark, up to ``window - 2`` tokens, an end mark and padding.
-    ``keys`` name a row; rows without text are left out, as are null keys' claims to be
-    one row.  Tokens outside the vocabulary are ``<unk>``.
+    ``keys`` travel with their row, null or repeated ones too; rows without text are left
+    out.  Tokens outside the vocabulary are ``<unk>``.
     """
+    return encode_blocks(token_blocks(df, keys, text), vocab, window)
+
+
+def encode_blocks(blocks: DataFrame, vocab: DataFrame, window: int = WINDOW) -> DataFrame:
+    """:func:`encode` for blocks: their distinct tokens meet the vocabulary, ids replace codes in place."""
     body = window - 2
-    words = drop_empty(df, text).select(*keys, F.posexplode(tokens(text)).alias("__pos", "token"))
-    known = _looked_up(saved(words), vocab, "token", "token_id")
-    placed = known.select(
-        *keys, F.floor(F.col("__pos") / body).alias("window_no"),
-        F.struct("__pos", F.coalesce("token_id", F.lit(UNKNOWN)).cast("int").alias("id")).alias("__one"),
-    )
-    grouped = placed.groupBy(*keys, "window_no").agg(F.array_sort(F.collect_list("__one"))["id"].alias("__ids"))
-    marked = grouped.withColumn("__m", F.concat(F.array(F.lit(START)), "__ids", F.array(F.lit(END))))
-    real = F.size("__m")
-    blank = F.lit(window) - real
-    return marked.select(
-        *keys, "window_no",
-        F.concat("__m", F.array_repeat(F.lit(PAD), blank)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), blank)).alias("attention_mask"),
-    )
+    known = _looked_up(listed_entries(blocks, "token"), vocab, "token", "token_id")
+
+    def windows(sizes: np.ndarray, codes: np.ndarray, found: pa.Array) -> tuple:
+        ids = found.fill_null(UNKNOWN).to_numpy()[codes] if len(codes) else codes
+        first = np.cumsum(sizes) - sizes
+        parts = -(-sizes // body)
+        begins = np.cumsum(parts) - parts
+        place = np.repeat(np.arange(len(sizes)), parts)
+        number = np.arange(len(place)) - begins[place]
+        real = np.minimum(sizes[place] - number * body, body)
+        out = np.full((len(place), window), PAD, np.int32)
+        inside = np.arange(len(ids)) - np.repeat(first, sizes)
+        out[np.repeat(begins, sizes) + inside // body, inside % body + 1] = ids
+        out[:, 0] = START
+        out[np.arange(len(place)), real + 1] = END
+        mask = (np.arange(window) < (real + 2)[:, None]).astype(np.int32)
+        ends = pa.array(np.arange(len(place) + 1, dtype=np.int32) * window)
+        return place, [pa.array(number.astype(np.int64)), *(
+            pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (out, mask))]
+
+    return expanded(with_found(blocks, known, "token_id"),
+                    "window_no bigint, input_ids array<int>, attention_mask array<int>", windows)
 
 
 def decode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], ids: str = "input_ids", special: bool = True) -> DataFrame:
-    """``(*keys, text)``: ids back to a text; special tokens are shown unless ``special`` is off."""
-    names = F.array(*[F.lit(t) for t in SPECIAL_TOKENS])
-    flat = df.select(*keys, F.posexplode(ids).alias("__pos", "token_id"))
-    marks = flat.filter(F.col("token_id") < len(SPECIAL_TOKENS)).withColumn("token", F.get(names, F.col("token_id")))
-    words = _looked_up(flat.filter(F.col("token_id") >= len(SPECIAL_TOKENS)), vocab, "token_id", "token")
-    shown = words.unionByName(marks) if special else words
-    one = F.struct("__pos", "token").alias("__one")
-    return shown.select(*keys, one).groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list("__one"))["token"], " ").alias("text")
-    )
+    """``(*keys, text)``: the ids of every row back to a text.
+
+    Special tokens are shown unless ``special`` is off; ids that nothing names are left out.
+    """
+    shown = F.col(ids) if special else F.filter(ids, lambda i: i >= len(SPECIAL_TOKENS))
+    blocks = encoded_blocks(df, keys, F.transform(shown, lambda i: i.cast("bigint")))
+    marks = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id bigint")
+    names = vocab.select("token", "token_id").unionByName(marks)
+    known = _looked_up(listed_entries(blocks, "token_id"), names, "token_id", "token")
+
+    def joined(sizes: np.ndarray, codes: np.ndarray, found: pa.Array) -> tuple:
+        words = found.take(pa.array(codes))
+        named = words.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(named))[np.append(0, np.cumsum(sizes))].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), words.drop_null())
+        return np.arange(len(sizes)), [pc.binary_join(lists, " ")]
+
+    return expanded(with_found(blocks, known, "token"), "text string", joined)
 
 
 def bigram_counts(df: DataFrame, ids: str = "input_ids") -> DataFrame:
