@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from affectlake.functions.labels import STANCE_LABELS, TWEET_LABELS
 from affectlake.functions.rounding import round_even
 from affectlake.functions.text import HEAD_PATTERN, base_name, evaluation_head, utterance_id
+from affectlake.sources.records import read_quoted
 
 VAD_CORPUS = "id string, split string, V double, A double, D double, text string"
 METADATA = "id string, document string, category string, subcategory string"
@@ -32,18 +33,19 @@ def delimited(
     spark: SparkSession, path: str | list[str], schema: str, sep: str = ",",
     header: bool = True, multi_line: bool = True,
 ) -> DataFrame:
-    """Quoted delimited text.
+    """Quoted delimited text, read by as many tasks as the files have blocks.
 
-    With ``multi_line`` a field may hold newlines and a file is one task; turn
-    it off for large files without such fields, which then split by block.
+    With ``multi_line`` a field may hold newlines (see :mod:`affectlake.sources.records`);
+    files without such fields are read in one pass instead of two when it is off.
     """
+    if multi_line:
+        return read_quoted(spark, path, schema, sep, header)
     return (
         spark.read.schema(schema)
         .option("header", header)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multi_line)
         .csv(path)
     )
 
@@ -81,18 +83,21 @@ def read_tweets(spark: SparkSession, folder: str, labels: Sequence[str] = TWEET_
     return _splits(spark, files, lambda p: delimited(spark, p, schema, sep="\t", **options))
 
 
-def read_statements(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
-    """Text, numeric emotion id and emotion name of the exported statement sheet."""
+def read_statements(spark: SparkSession, path: str, form: str = "csv", places: bool = False) -> DataFrame:
+    """Text, numeric emotion id and emotion name of the exported statement sheet.
+
+    The columns are found by the names in the header.  ``places`` adds ``file`` and
+    ``row_no``, for sheets in CSV form.
+    """
     if form == "parquet":
         sheet = spark.read.parquet(path)
     else:
-        sheet = (
-            spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).csv(path)
-        )
+        head = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in head.columns])
+        sheet = read_quoted(spark, path, schema.toDDL(), places=places)
     return sheet.select(
         F.col("SIT").cast("string"), F.col("EMOT").cast("double").cast("int").alias("EMOT"),
-        F.col("Field1").cast("string"),
+        F.col("Field1").cast("string"), *(["file", "row_no"] if places else []),
     )
 
 
@@ -106,10 +111,12 @@ def read_stance_tweets(
     rows by their 1-based number.
     """
     schema = ", ".join(f"{name} string" for name in [*labels, "text"])
-    rows = delimited(spark, path, schema, sep="\t", header=False, multi_line=multi_line)
     if not skip_first and not skip_lines:
-        return rows
-    numbered = with_row_numbers(rows)
+        return delimited(spark, path, schema, sep="\t", header=False, multi_line=multi_line)
+    if multi_line:
+        numbered = read_quoted(spark, path, schema, "\t", header=False, places=True).drop("file")
+    else:
+        numbered = with_row_numbers(delimited(spark, path, schema, sep="\t", header=False, multi_line=False))
     dropped = [int(n) for n in skip_lines]
     kept = numbered.filter(F.col("row_no") > skip_first)
     if dropped:
@@ -117,8 +124,8 @@ def read_stance_tweets(
     return kept.drop("row_no")
 
 
-def with_row_numbers(rows: DataFrame) -> DataFrame:
-    """1-based ``row_no`` within each file, in file order.
+def with_row_numbers(rows: DataFrame, across: bool = False) -> DataFrame:
+    """1-based ``row_no`` within each file, in file order; ``across`` all files, by path, if wanted.
 
     A window orders the rows of one file block only; block counts, which are
     tiny, say how many rows come before it.
@@ -132,7 +139,8 @@ def with_row_numbers(rows: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("__at"),
     )
     counts = placed.groupBy(*block).agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.orderBy("__file", "__block") if across else Window.partitionBy("__file").orderBy("__block")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*block, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(*block).orderBy("__at"))
     numbered = placed.withColumn("__local", inside).join(starts, block, "inner")

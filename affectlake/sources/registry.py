@@ -30,13 +30,6 @@ def _long(df: DataFrame, dataset: str, id_col: str, text: Column, label: Column)
     return df.select(F.lit(dataset).alias("dataset"), F.col(id_col).cast("string").alias("id"), "split", text, label.alias("label"))
 
 
-def _with_row_ids(df: DataFrame) -> DataFrame:
-    """File name and row number as the id of rows that carry none."""
-    columns = df.columns
-    named = files.with_row_numbers(df.select(*columns, F.col("_metadata.file_name").alias("__name")))
-    return named.select(*columns, F.concat_ws(":", "__name", "row_no").alias("id"))
-
-
 def load_vad_corpus(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
     corpus = files.read_vad_corpus(spark, f"{path}/emobank.csv").filter(F.col("split").isin("train", "dev", "test"))
     corpus = corpus.withColumn("split", F.when(F.col("split") == "dev", "valid").otherwise(F.col("split")))
@@ -52,7 +45,9 @@ def load_tweets(spark: SparkSession, path: str, clean: bool = True, html: str =
 
 
 def load_statements(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
-    rows = saved(_with_row_ids(files.read_statements(spark, path)))
+    """Rows carry no id: it is the file's name and the row's number in it."""
+    sheet = files.read_statements(spark, path, places=True)
+    rows = saved(sheet.withColumn("id", F.concat_ws(":", "file", "row_no")).drop("file", "row_no"))
     split = stratified_split(rows, "id", "Field1", 0.15, 0.15)
     return _long(
         split, "isear", "id", _text("SIT", T.clean_statement, clean),
@@ -63,11 +58,11 @@ def load_statements(spark: SparkSession, path: str, clean: bool = True) -> DataF
 def load_stance_tweets(
     spark: SparkSession, path: str, clean: bool = True, skip_first: int = files.STANCE_SKIPPED
 ) -> DataFrame:
-    """Validation rows come from the training file only."""
+    """Validation rows come from the training file only, which may be a folder of parts in order."""
     def read(name, skip):
         rows = files.read_stance_tweets(spark, f"{path}/{files.STANCE_FILES[name]}")
         columns = rows.columns
-        numbered = files.with_row_numbers(rows).filter(F.col("row_no") > skip)
+        numbered = files.with_row_numbers(rows, across=True).filter(F.col("row_no") > skip)
         return numbered.select(*columns, F.concat(F.lit(f"{name}:"), "row_no").alias("id"))
 
     train = train_valid_split(saved(read("train", skip_first)), "id")
