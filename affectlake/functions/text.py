@@ -6,12 +6,16 @@ written so that they mean the same in Java and in RE2.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from html.entities import html5
 
-from pyspark.sql import Column, functions as F
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, functions as F
+
+from affectlake.session import bounded
 
 # The characters that count as Unicode white space.
 WHITESPACE = (
@@ -36,9 +40,11 @@ HIDDEN_ELEMENTS = (
     "script", "style", "textarea", "select", "button",
     "applet", "iframe", "frameset", "noframes",
 )
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-# A quote in a tag holds an attribute value only after "=", and may then hold ">".
-TAG = r"""</?[A-Za-z!?](?:(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,200}+>|[^>]*+>)"""
+ENTITY = r"&(#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]{1,31});"
+# A tag is read as a start and then, each where the last match ended, its attribute values:
+# a quote holds a value only after "=", and may then hold ">".  No loop, so no length is too long.
+TAG_PARTS = r"""(</?[A-Za-z!?][^>=]*+)|\G(?!\A)(=)\s*+(?:"[^"]*+"|'[^']*+')?+([^>=]*+)"""
+TAG = r"</?[A-Za-z!?][^>]*+>"
 # Code points with the Emoji property, as ranges, and the gaps within the long ones.
 EMOJI_RANGES = (
     "203c 2049 2122 2139 2194-2199 21a9-21aa 231a-231b 2328 23cf 23e9-23f3 23f8-23fa 24c2 25aa-25ab 25b6 25c0 "
@@ -86,6 +92,39 @@ EMOJI_NAMES = {
     "\U0001f3fb": "light_skin_tone", "\U0001f3fc": "medium-light_skin_tone", "\U0001f3fd": "medium_skin_tone",
     "\U0001f3fe": "medium-dark_skin_tone", "\U0001f3ff": "dark_skin_tone",
 }
+# Code points that make sequences of emoji.
+JOINER, VARIATION, KEYCAP, FIRST_REGIONAL = "\u200d", "\ufe0f", "\u20e3", 0x1F1E6
+SKIN_TONES = ("\U0001f3fb", "\U0001f3fc", "\U0001f3fd", "\U0001f3fe", "\U0001f3ff")
+# Roles by the sign joined to a person, what people with a gender sign do, and other sequences.
+ROLES = {
+    "⚕": "health_worker", "🎓": "student", "🏫": "teacher", "⚖": "judge", "🌾": "farmer", "🍳": "cook",
+    "🔧": "mechanic", "🏭": "factory_worker", "💼": "office_worker", "🔬": "scientist", "💻": "technologist",
+    "🎤": "singer", "🎨": "artist", "✈": "pilot", "🚀": "astronaut", "🚒": "firefighter",
+    "🦰": "red_hair", "🦱": "curly_hair", "🦳": "white_hair", "🦲": "bald",
+    "🦯": "with_white_cane", "🦼": "in_motorized_wheelchair", "🦽": "in_manual_wheelchair",
+}
+DOING = {
+    "🙍": "frowning", "🙎": "pouting", "🙅": "gesturing_NO", "🙆": "gesturing_OK", "💁": "tipping_hand",
+    "🙋": "raising_hand", "🧏": "deaf", "🙇": "bowing", "🤦": "facepalming", "🤷": "shrugging",
+    "👮": "police_officer", "🕵": "detective", "💂": "guard", "👷": "construction_worker", "👳": "wearing_turban",
+    "👱": "blond_hair", "🤵": "in_tuxedo", "👰": "with_veil", "🦸": "superhero", "🦹": "supervillain",
+    "🧙": "mage", "🧚": "fairy", "🧛": "vampire", "🧝": "elf", "💆": "getting_massage", "💇": "getting_haircut",
+    "🚶": "walking", "🧍": "standing", "🧎": "kneeling", "🏃": "running", "🧖": "in_steamy_room", "🧗": "climbing",
+    "🏌": "golfing", "🏄": "surfing", "🚣": "rowing_boat", "🏊": "swimming", "⛹": "bouncing_ball",
+    "🏋": "lifting_weights", "🚴": "biking", "🚵": "mountain_biking", "🤸": "cartwheeling",
+    "🤽": "playing_water_polo", "🤾": "playing_handball", "🤹": "juggling", "🧘": "in_lotus_position",
+}
+DOING_TOGETHER = {"👯": "with_bunny_ears", "🤼": "wrestling"}
+OTHER_SEQUENCES = {
+    "❤\u200d🔥": "heart_on_fire", "❤\u200d🩹": "mending_heart", "🏳\u200d🌈": "rainbow_flag",
+    "🏳\u200d⚧": "transgender_flag", "🏴\u200d☠": "pirate_flag", "👁\u200d🗨": "eye_in_speech_bubble",
+    "🐕\u200d🦺": "service_dog", "🐈\u200d⬛": "black_cat", "🐻\u200d❄": "polar_bear", "🐦\u200d⬛": "black_bird",
+    "😮\u200d💨": "face_exhaling", "😵\u200d💫": "face_with_spiral_eyes", "😶\u200d🌫": "face_in_clouds",
+    "🧑\u200d🎄": "mx_claus", "🧑\u200d🤝\u200d🧑": "people_holding_hands",
+    "🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f": "England",
+    "🏴\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f": "Scotland",
+    "🏴\U000e0067\U000e0062\U000e0077\U000e006c\U000e0073\U000e007f": "Wales",
+}
 SKIN_TONE = r":([^:\s]+)::((?:medium-)?(?:light|dark)_skin_tone|medium_skin_tone):"
 
 
@@ -153,8 +192,9 @@ def decode_entities(col: Column | str) -> Column:
     named = F.from_json(F.lit(json.dumps(entity_characters())), "map<string,string>")
 
     def char_of(name):
-        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(
-            name.startswith("#"), F.substring(name, 2, 8)).cast("bigint")
+        hexadecimal = F.regexp_extract(name, "^#[xX]0*+([0-9a-fA-F]{1,6})$", 1)
+        decimal = F.regexp_extract(name, "^#0*+([0-9]{1,7})$", 1)  # longer ones are beyond all code points
+        digits = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).otherwise("0").cast("bigint")
         valid = (digits > 0) & (digits <= 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
         point = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
         numeric = F.when(valid, point).otherwise("\ufffd")
@@ -172,8 +212,13 @@ def decode_entities(col: Column | str) -> Column:
 
 
 def strip_html(col: Column | str) -> Column:
-    """HTML fragment to visible text with patterns only (no Python worker)."""
+    """HTML fragment to visible text with patterns only (no Python worker).
+
+    Tags may have any number of attributes of any length, and their quoted values may
+    hold any character.  A tag that is never closed stays, without its quoted values.
+    """
     out = F.regexp_replace(_c(col), hidden_html_pattern(), "")
+    out = F.regexp_replace(out, f"(?s){TAG_PARTS}", "$1$2$3")
     return decode_entities(F.regexp_replace(out, f"(?s){TAG}", ""))
 
 
@@ -254,34 +299,105 @@ def _code_blocks(codes: list[int], gap: int = 256) -> list[tuple[int, int]]:
     return [(a, b) for a, b in blocks]
 
 
+def flag_names() -> dict[str, str]:
+    """Flags, two regional letters each, and the names of the regions, from the Java runtime's tables."""
+    locale = SparkContext._active_spark_context._jvm.java.util.Locale
+    names = {}
+    for code in [*locale.getISOCountries(), "EU", "UN", "XK"]:
+        region = locale("", code).getDisplayCountry(locale.ENGLISH)
+        names["".join(chr(FIRST_REGIONAL + ord(c) - ord("A")) for c in code)] = region.replace(" ", "_")
+    return names
+
+
+@functools.cache
+def emoji_sequences() -> dict[str, str]:
+    """Emoji of several code points and their names, without variation selectors.
+
+    Flags, keycaps, people with roles or genders in all skin tones, families, couples,
+    and the sequences listed in OTHER_SEQUENCES.
+    """
+    names = {**flag_names(), **OTHER_SEQUENCES}
+    names.update({f"{c}{KEYCAP}": f"keycap_{c}" for c in "0123456789#*"})
+    tones = {"": "", **{tone: f"_{EMOJI_NAMES[tone]}" for tone in SKIN_TONES}}
+    for tone, toned in tones.items():
+        for person, who in {"👨": "man_", "👩": "woman_", "🧑": ""}.items():
+            for sign, role in ROLES.items():
+                names[f"{person}{tone}{JOINER}{sign}"] = f"{who}{role}{toned}"
+        for sign, who in {"♂": "man", "♀": "woman"}.items():
+            for base, doing in DOING.items():
+                names[f"{base}{tone}{JOINER}{sign}"] = f"{who}_{doing}{toned}"
+    for sign, who in {"♂": "men", "♀": "women"}.items():
+        names.update({f"{base}{JOINER}{sign}": f"{who}_{doing}" for base, doing in DOING_TOGETHER.items()})
+    grown, young = {"👨": "man", "👩": "woman"}, {"👦": "boy", "👧": "girl"}
+    parents = [[a] for a in grown] + [["👨", "👩"], ["👨", "👨"], ["👩", "👩"]]
+    children = [["👦"], ["👧"], ["👧", "👦"], ["👦", "👦"], ["👧", "👧"]]
+    for family in (p + c for p in parents for c in children):
+        names[JOINER.join(family)] = "_".join(["family", *({**grown, **young}[x] for x in family)])
+    for a, b in (("👩", "👨"), ("👨", "👨"), ("👩", "👩")):
+        names[JOINER.join([a, "❤", b])] = f"couple_with_heart_{grown[a]}_{grown[b]}"
+        names[JOINER.join([a, "❤", "💋", b])] = f"kiss_{grown[a]}_{grown[b]}"
+    return names
+
+
+def trie_pattern(sequences: Iterable[str]) -> str:
+    """A pattern that matches the longest of the sequences, as a trie of code points."""
+    root: dict = {}
+    for sequence in sequences:
+        node = root
+        for char in sequence:
+            node = node.setdefault(char, {})
+        node[None] = None
+
+    def shown(node: dict) -> str:
+        kids = [rf"\x{{{ord(c):x}}}{shown(kid)}" for c, kid in sorted((c, k) for c, k in node.items() if c)]
+        return f"(?:{'|'.join(kids)}){'?' if None in node else ''}" if kids else ""
+
+    return shown(root)
+
+
+def names_from(table: DataFrame, emoji: str = "emoji", name: str = "name") -> dict[str, str]:
+    """A table of emoji, of one code point or more, and names, for :func:`demojize`."""
+    rows, small = bounded(table.select(emoji, name))
+    if not small:
+        raise ValueError("a table of emoji names is a small one")
+    return {r[0].replace(VARIATION, ""): r[1] for r in rows.collect()}
+
+
 def demojize(col: Column | str, names: dict[str, str] | None = None) -> Column:
-    """Emoji (single characters) to ``:name:``.
+    """Emoji to ``:name:``; of several that begin at one place the longest is taken.
 
     Only texts that hold one are taken apart: the pieces between emoji, and the
-    emoji, whose names stand at their code points in constant tables.
+    emoji.  Names of single code points stand at their places in constant tables, those of
+    sequences in a map.  ``names`` takes the place of all built-in names.
     """
-    names = emoji_names() if names is None else names
-    if any(len(k) != 1 for k in names):
-        raise ValueError("emoji keys must be single characters")
-    blocks = _code_blocks([ord(k) for k in names])
-    inside = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in blocks) + "]"
-
-    def name_of(char):
-        code, out = F.ascii(char), char
+    names = {**emoji_names(), **emoji_sequences()} if names is None else names
+    singles, longer = [k for k in names if len(k) == 1], {k: f":{v}:" for k, v in names.items() if len(k) > 1}
+    blocks = _code_blocks([ord(k) for k in singles])
+    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in blocks)
+    found = "|".join([trie_pattern(longer)] * bool(longer) + [f"[{ranges}]"] * bool(singles))
+    # What an emoji can begin with; all other places are passed over at once.
+    starts = ranges + "".join(rf"\x{{{ord(c):x}}}" for c in sorted({k[0] for k in longer}))
+    inside = f"(?=[{starts}])(?:{found})" if names else "(?!)"
+
+    def name_of(emoji):
+        code, out = F.ascii(emoji), emoji
         for a, b in blocks:
             shown = [f":{names[c]}:" if c in names else c for c in map(chr, range(a, b + 1))]
             table = F.split(F.lit("\n".join(shown)), "\n")
             out = F.when(code.between(a, b), F.get(table, code - a)).otherwise(out)
-        return out
+        if not longer:
+            return out
+        mapped = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
+        return F.when(F.char_length(emoji) > 1, F.try_element_at(mapped, emoji)).otherwise(out)
 
     def rename(text):
-        plain = F.replace(text, F.lit("\ufe0f"), F.lit(""))
+        plain = F.replace(text, F.lit(VARIATION), F.lit(""))
         emoji = F.regexp_extract_all(plain, F.lit(f"({inside})"), F.lit(1))
         joined = F.zip_with(
             F.split(plain, inside), emoji, lambda p, e: F.concat(p, F.coalesce(name_of(e), F.lit("")))
         )
         named = F.regexp_replace(F.array_join(joined, ""), SKIN_TONE, ":$1_$2:")
-        return F.when(F.rlike(text, F.lit(inside)), named).otherwise(text)
+        return F.when(F.rlike(plain, F.lit(inside)), named).otherwise(text)
 
     return _once(_c(col), rename)
 

@@ -63,6 +63,13 @@ HARD_HTML = (
     "concat('it&#8217;s &euro;5 &#233; &eacute; &unknown; <p title=\"a>b\">y</p> ', html, ' z<BUTTON class=b>hidden')"
 )
 _over_pages("f7_html_text_hard", T.strip_html, V.sql_html, HARD_HTML.replace('"', '\\"'), HARD_HTML)
+# Ten thousand quoted attributes with ">" in them, and references of any length.
+_over_pages(
+    "f7_html_text_long", T.strip_html,
+    lambda e: f"concat('zA\u00e9\ufffd <', {V.sql_html('html')}, '!')",
+    "concat('<p', repeat(' a=\"x>y\"', 10000), '>z', '&#', repeat('0', 500), '65;&#x', repeat('0', 500), 'e9;&#', repeat('9', 50), "
+    "'; <', html, '<b c=\"', repeat('>', 5000), '\">!')",
+)
 _over_documents("f8_straight_quotes", "concat('“', replace(text, ' ', '” '))", T.straighten_quotes, "concat('“', replace(text, ' ', '” '))", V.sql_straight)
 _over_documents("f9_demojize", _emojified("text"), T.demojize, _emojified("text"), _sql_demojize)
 # Symbols that are no emoji stay; a skin tone joins its emoji.
@@ -72,6 +79,25 @@ _over_documents(
     "concat(text, ' 5 ★ hotel ✓ ♪ ☐ :star: :alarm_clock: :smiling_face_with_heart-eyes: :face_blowing_a_kiss: "
     ":folded_hands: :thumbs_up_medium_skin_tone: :red_heart:')", lambda e: e,
 )
+# Flags, keycaps, joined people with tones, families; a lone regional letter stays.
+_over_documents(
+    "f9_demojize_sequences", "concat('🇫🇷', text, ' 🇺🇸🇯🇵 1️⃣ 👩🏽‍⚕️ 🤷‍♀️ 👨‍👩‍👧‍👦 🏳️‍🌈 ❤️‍🔥 🇫')", T.demojize,
+    "concat(':France:', text, ' :United_States::Japan: :keycap_1: :woman_health_worker_medium_skin_tone: :woman_shrugging: "
+    ":family_man_woman_girl_boy: :rainbow_flag: :heart_on_fire: 🇫')", lambda e: e,
+)
+
+
+@query("f9_demojize_table", """
+    SELECT doc_id, text || ' :' || n_name || ':!' AS out FROM documents JOIN nation ON n_nationkey = doc_id % 25""")
+def f9_table(spark, sf):
+    """Sequences and their names from a table: two regional letters stand for a nation."""
+    letters = "decode(unhex(lpad(hex(127462 + {}), 8, '0')), 'UTF-32')"
+    both = F.expr(f"concat({letters.format('n_nationkey div 5')}, {letters.format('n_nationkey % 5')})")
+    table = V.table(spark, sf, "nation").select("n_nationkey", both.alias("emoji"), F.col("n_name").alias("name"))
+    texts = V.table(spark, sf, "documents").join(F.broadcast(table), F.col("doc_id") % 25 == F.col("n_nationkey"))
+    return texts.select("doc_id", T.demojize(F.concat("text", F.lit(" "), "emoji", F.lit("!")), T.names_from(table)).alias("out"))
+
+
 _over_documents("f10_pad_emoji_names", _sql_demojize(_emojified("text")), T.pad_emoji_names, _sql_demojize(_emojified("text")), V.sql_emoji_pad)
 _over_documents(
     "f11_join_lines", "replace(text, '.\\n', 'á\\n')", T.join_statement_lines,

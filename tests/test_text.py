@@ -86,8 +86,29 @@ def test_exact_html_handles_what_patterns_cannot(spark):
 def test_emoji_table_is_pluggable(spark):
     out = column(spark, ["x★y", "none"], lambda c: T.demojize(c, {"★": "star"}))
     assert out == ["x:star:y", "none"]
-    with pytest.raises(ValueError):
-        T.demojize("t", {"ab": "two"})
+    longest = {"ab": "two", "abc": "three", "abcde": "five", "a": "one", "x": "single"}
+    out = column(spark, ["abcd abab xabcdea b", "bc", None], lambda c: T.demojize(c, longest))
+    assert out == [":three:d :two::two: :single::five::one: b", "bc", None]
+    assert column(spark, ["ab a"], lambda c: T.demojize(c, {"ab": "two"})) == [":two: a"]
+
+
+def test_emoji_sequences(spark):
+    texts = {
+        "🇫🇷 🇺🇸🇯🇵 🇧🇦": ":France: :United_States::Japan: :Bosnia_&_Herzegovina:", "🇫 x": "🇫 x",
+        "1️⃣ #⃣ 1 #": ":keycap_1: :keycap_#: 1 #", "👩🏽‍⚕️👨‍💻 🧑‍🎓": ":woman_health_worker_medium_skin_tone::man_technologist: :student:",
+        "🤷‍♀️ 🏃🏿‍♂️": ":woman_shrugging: :man_running_dark_skin_tone:", "👨‍👩‍👧‍👦 👩‍❤️‍👨": ":family_man_woman_girl_boy: :couple_with_heart_woman_man:",
+        "🏳️‍🌈 🏴‍☠️ ❤️‍🔥": ":rainbow_flag: :pirate_flag: :heart_on_fire:", "🏴\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f": ":Scotland:",
+        "😀\u200d😀": ":grinning_face:\u200d:grinning_face:", "👍🏽": ":thumbs_up_medium_skin_tone:",
+        "🇫🇷" * 3_000: ":France:" * 3_000,
+    }
+    assert column(spark, list(texts), T.demojize) == list(texts.values())
+
+
+def test_names_from_a_table(spark):
+    table = spark.createDataFrame([("❤\ufe0f\u200d🔥", "burning"), ("❤", "heart")], "emoji string, name string")
+    assert column(spark, ["❤️‍🔥❤️🔥"], lambda c: T.demojize(c, T.names_from(table))) == [":burning::heart:🔥"]
+    with pytest.raises(ValueError, match="small"):
+        T.names_from(spark.range(200_000).select(F.col("id").cast("string").alias("emoji"), F.lit("x").alias("name")))
 
 
 def test_cleaning_uses_no_python_worker(spark):
@@ -114,6 +135,10 @@ def test_html_entities_and_tags(spark):
     texts = {
         "it&#8217;s &euro;5 &#233; &eacute; &#x1F600; &amp;lt; &nope; &#0;": "it’s €5 é é 😀 &lt; &nope; �",
         "<p title='a>b'>y</p>": "y", "<a b=c'd>x</a>": "x", "a <button>never closed": "a ", "x<!-- open": "x",
+        "&#0000000000065;&#x00000000041;&#99999999999;&#x110000;&#xD800;&#x1F6000;": "AA\ufffd\ufffd\ufffd\ufffd",
+        "<p" + " a=\"x>y\"" * 10_000 + ">z</p>": "z", "<p" + " a = '<b>'" * 10_000 + " c=d>z</p> = \"<i>q</i>\"": "z = \"q\"",
+        "a = \"<b>x</b>\" > y": "a = \"x\" > y", "<b>=\"<i>\"</b>": "=\"\"", "1 <2 <a b='c>' d": "1 <2 <a b= d",
+        "<a b='it>x</a>": "x", "<a =\"q>\" =r=\"s>\">x<br/>y": "xy", "<p title=" + "x" * 100_000 + ">z": "z",
     }
     rows = spark.createDataFrame(list(texts.items()), "t string, want string")
     for r in rows.select("want", T.strip_html("t").alias("got")).collect():
