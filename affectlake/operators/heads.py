@@ -7,11 +7,15 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from affectlake.functions.vectors import EPSILON, axis_part, relu, sigmoid
 from affectlake.operators.lexicon import LabelAxes
+from affectlake.operators.solvers import binomials, least_squares, multinomial, summed
+from affectlake.operators.splits import epoch_order
+from affectlake.session import shared_folder
+
+RIDGE = 1e-6
 
 
 def as_features(df: DataFrame, vector: str, name: str = "features") -> DataFrame:
@@ -59,22 +63,42 @@ def multi_label_weights(models: Sequence[LogisticRegressionModel]) -> tuple[np.n
     )
 
 
-def fit_vad_regression(df: DataFrame, vector: str, gold: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Least squares per axis by the normal equations: one pass each."""
-    rows = as_features(df, vector).select("features", *gold).persist()
+def fit_vad_regression(df: DataFrame, vector: str, gold: Sequence[str], ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares of all axes by the normal equations: one pass, one matrix."""
+    rows = df.select(vector, *gold)
+    return least_squares(rows, vector_width(rows, vector), len(gold), ridge)
+
+
+def vector_width(df: DataFrame, vector: str) -> int:
+    found = df.select(F.size(vector).alias("n")).first()
+    if found is None:
+        raise ValueError("there are no rows to fit on")
+    return found["n"]
+
+
+def fit_binomials(
+    df: DataFrame, vector: str, gold: str, labels: int, ridge: float = 1e-3, steps: int = 30,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """One binary classifier per label of a 0/1 array, as :func:`fit_multinomial`."""
+    rows = df.select(vector, F.col(gold).cast("array<double>").alias("__gold")).persist()
     try:
-        fits = [
-            LinearRegression(solver="normal", regParam=1e-6, labelCol=g, standardization=False).fit(rows)
-            for g in gold
-        ]
+        return binomials(rows, vector_width(rows, vector), labels, ridge, steps)
     finally:
         rows.unpersist()
-    return np.array([f.coefficients.toArray() for f in fits]), np.array([f.intercept for f in fits])
 
 
-# ------------------------------------------------------------- gradient descent
+def fit_multinomial(
+    df: DataFrame, vector: str, label: str, classes: int, ridge: float = 1e-3, steps: int = 30,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Multinomial classifier as a dense head, to full precision: ``(weights, bias, gradient norm)``."""
+    rows = df.select(vector, label).persist()
+    try:
+        return multinomial(rows, vector_width(rows, vector), classes, ridge, steps)
+    finally:
+        rows.unpersist()
 
-SUM_TASKS = 16
+
+# ------------------------------------------------------------- gradient descent
 
 def descend(
     df: DataFrame,
@@ -85,10 +109,9 @@ def descend(
 ) -> tuple[np.ndarray, list[float]]:
     """Full-batch gradient descent; returns the best parameters and every step's loss.
 
-    Every column of ``df`` is a number or an equal-length array.  A task sums the loss
-    and the gradient of its rows into one array; those arrays are summed in SUM_TASKS
-    tasks and last on the driver, which sees SUM_TASKS arrays and never rows.  A step
-    that makes the loss worse is taken back and the rate halved.
+    Every column of ``df`` is a number or an equal-length array; sums are made as in
+    :mod:`affectlake.operators.solvers`.  A step that makes the loss worse is taken back
+    and the rate halved.
     """
     rows = df.count()
     if not rows:
@@ -98,27 +121,13 @@ def descend(
     for _ in range(steps + 1):
         point = trial
 
-        def partial(batches, point=point):
+        def work(columns, point=point):
             import numpy as np
-            import pyarrow as pa
-
-            total = np.zeros(len(point) + 1)
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                columns = []
-                for column in batch.columns:
-                    if pa.types.is_list(column.type):
-                        flat = column.flatten().to_numpy(zero_copy_only=False)
-                        columns.append(flat.astype("float64").reshape(batch.num_rows, -1))
-                    else:
-                        columns.append(column.to_numpy(zero_copy_only=False).astype("float64"))
-                loss, gradient = loss_and_gradient(point, columns)
-                total += np.concatenate([[loss], gradient])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-        parts = df.mapInArrow(partial, "sums binary").repartition(SUM_TASKS).mapInArrow(_summed, "sums binary")
-        total = np.sum([np.frombuffer(r["sums"]) for r in parts.collect()], axis=0)
+            loss, gradient = loss_and_gradient(point, columns)
+            return np.concatenate([[loss], gradient])
+
+        total = summed(df, len(point) + 1, work)
         loss = float(total[0] / rows)
         if best_gradient is None and not np.isfinite(loss):
             raise ValueError(f"the loss at the start is {loss}")
@@ -131,20 +140,6 @@ def descend(
     return best, losses
 
 
-def _summed(batches):
-    """One array: the sum of a task's arrays."""
-    import numpy as np
-    import pyarrow as pa
-
-    total = None
-    for batch in batches:
-        for value in batch.column(0):
-            one = np.frombuffer(value.as_py())
-            total = one if total is None else total + one
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-
 def emd_loss_and_gradient(axes: LabelAxes, width: int, kind: str = "multi"):
     """Sum of the distribution losses of a batch and its gradient in the head.
 
@@ -225,19 +220,11 @@ def regression_loss_and_gradient(size: int, width: int):
 def axis_regression(df: DataFrame, logits: str, gold: Sequence[str], size: int) -> np.ndarray:
     """Frozen stage: least squares of each axis on its K label probabilities, no bias."""
     parts = [sigmoid(axis_part(logits, i, size)).alias(f"p{i}") for i in range(3)]
-    rows = df.select(*parts, *gold)
-    rows = rows.select(*[array_to_vector(f"p{i}").alias(f"f{i}") for i in range(3)], *gold).persist()
+    rows = df.select(*parts, *gold).persist()
     try:
-        fits = [
-            LinearRegression(
-                solver="normal", fitIntercept=False, regParam=1e-6, standardization=False,
-                featuresCol=f"f{i}", labelCol=g,
-            ).fit(rows)
-            for i, g in enumerate(gold)
-        ]
+        return np.array([least_squares(rows.select(f"p{i}", g), size, 1, RIDGE, intercept=False)[0][0] for i, g in enumerate(gold)])
     finally:
         rows.unpersist()
-    return np.array([f.coefficients.toArray() for f in fits])
 
 
 def fit_two_stage(
@@ -257,6 +244,78 @@ def fit_two_stage(
     return fitted[:, :-1], fitted[:, -1], point[cut:].reshape(3, size), losses
 
 
+# ----------------------------------------------------------------- mini-batches
+
+def batch_schedule(rows: int, batch_size: int, epochs: int, freeze_epochs: int, rate: float, unfrozen_rate: float) -> list[dict]:
+    """One entry per epoch: its steps, all steps up to its end, whether the head is frozen, the rate.
+
+    The rate switches once, when the first epoch after the frozen ones begins.
+    """
+    steps = -(-rows // batch_size)
+    return [
+        {"epoch": e + 1, "steps": steps, "n_updates": steps * (e + 1), "frozen": e < freeze_epochs,
+         "rate": rate if e < freeze_epochs else unfrozen_rate}
+        for e in range(epochs)
+    ]
+
+
+def descend_batches(
+    df: DataFrame, id_col: str, start: np.ndarray,
+    loss_and_gradient: Callable[[np.ndarray, list[np.ndarray]], tuple[float, np.ndarray]],
+    schedule: Sequence[dict], batch_size: int, frozen: np.ndarray, seed: int = 42,
+) -> tuple[np.ndarray, list[float]]:
+    """Gradient descent by mini-batches: the parameters and the mean loss of every epoch's steps.
+
+    Every epoch has its own exact order of the rows and is written once, a folder per
+    batch, so a step reads its batch only.  ``frozen`` marks parameters that stay as they
+    are in the frozen epochs.  For batches that are worth a job each; the losses are those
+    before each step.
+    """
+    point, losses = np.asarray(start, dtype="float64"), []
+    values = [c for c in df.columns if c != id_col]
+    for entry in schedule:
+        path = shared_folder(df.sparkSession)
+        batch = F.floor((F.col("position") - 1) / batch_size).cast("int")
+        placed = epoch_order(df, id_col, entry["epoch"], seed).withColumn("batch", batch)
+        placed.select("batch", *values).repartition("batch").write.partitionBy("batch").parquet(path)
+        stored, total = df.sparkSession.read.schema(placed.select(*values, "batch").schema).parquet(path), 0.0
+        for step in range(entry["steps"]):
+            def work(columns, point=point):
+                import numpy as np
+
+                loss, gradient = loss_and_gradient(point, columns)
+                return np.concatenate([[loss, len(columns[0])], gradient])
+
+            sums = summed(stored.filter(F.col("batch") == step).select(*values), len(point) + 2, work)
+            gradient = sums[2:] / sums[1]
+            point = point - entry["rate"] * np.where(frozen & entry["frozen"], 0.0, gradient)
+            total += sums[0] / sums[1]
+        losses.append(total / entry["steps"])
+    return point, losses
+
+
+def fit_two_stage_batches(
+    df: DataFrame, id_col: str, vector: str, gold: Sequence[str], head: np.ndarray, bias: np.ndarray, axis: np.ndarray,
+    size: int, batch_size: int, epochs: int, freeze_epochs: int, rate: float, unfrozen_rate: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+    """Scores from categories by mini-batches: first the axis weights alone, then everything.
+
+    Returns head, bias, axis weights and the schedule with the ``loss`` of every epoch.
+    """
+    rows = df.select(id_col, vector, F.array(*[F.col(g).cast("double") for g in gold]).alias("__gold")).persist()
+    try:
+        width, cut = head.shape[1], 3 * size * (head.shape[1] + 1)
+        schedule = batch_schedule(rows.count(), batch_size, epochs, freeze_epochs, rate, unfrozen_rate)
+        start = np.concatenate([np.hstack([head, bias[:, None]]).ravel(), axis.ravel()])
+        point, losses = descend_batches(
+            rows, id_col, start, regression_loss_and_gradient(size, width), schedule, batch_size, np.arange(len(start)) < cut)
+    finally:
+        rows.unpersist()
+    fitted = point[:cut].reshape(3 * size, width + 1)
+    logged = [{**entry, "loss": loss} for entry, loss in zip(schedule, losses, strict=True)]
+    return fitted[:, :-1], fitted[:, -1], point[cut:].reshape(3, size), logged
+
+
 # --------------------------------------------------------------------- scoring
 
 def score_batches(

@@ -25,9 +25,9 @@ def cleaned_turns(spark, sf):
 
 
 def encoded_turns(spark, sf):
-    rows = saved(cleaned_turns(spark, sf))
-    vocab = saved(sequences.vocabulary(rows))
-    return sequences.encode(rows, vocab, KEYS, WINDOW), vocab
+    blocks = sequences.token_blocks(cleaned_turns(spark, sf), KEYS)
+    vocab = saved(sequences.block_vocabulary(blocks))
+    return sequences.encode_blocks(blocks, vocab, WINDOW), vocab
 
 
 TURN_TEXT = V.sql_dialogue("replace(text, chr(10), ' ')")
@@ -54,6 +54,11 @@ def t1_vocabulary(spark, sf):
     return sequences.vocabulary(cleaned_turns(spark, sf))
 
 
+@query("t1_block_vocabulary", SEQUENCE + " SELECT token, token_id, n FROM vocab")
+def t1_block_vocabulary(spark, sf):
+    return sequences.block_vocabulary(sequences.token_blocks(cleaned_turns(spark, sf), KEYS))
+
+
 @query("t1_input_ids", SEQUENCE + " SELECT conv_id, turn, window_no, pos, id FROM seq")
 def t1(spark, sf):
     rows, _ = encoded_turns(spark, sf)
@@ -144,6 +149,129 @@ def vectors(spark, sf):
     return rows.select("vec_id", "label", V.gold_array().alias("gold"), vector, part.alias("split"), *gold)
 
 
+# Twins of the fitted heads: the same rows in SQL, sums of products, and elimination.
+SQL_ROWS = f"""
+WITH rw AS (
+  SELECT vec_id, label, CASE vec_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split,
+    embedding[1:10]::DOUBLE[] || embedding[14:{V.WIDTH}]::DOUBLE[] || [1.0::DOUBLE] AS x,
+    [3 + 4 * embedding[11]::DOUBLE, 3 + 4 * embedding[12]::DOUBLE, 3 + 4 * embedding[13]::DOUBLE] AS y
+  FROM embeddings)"""
+PLACES = V.WIDTH - 2  # components but three, and the bias
+
+
+def sql_solved(size: int) -> str:
+    """From ``gram (key, i, j, v)``, symmetric in the first ``size`` columns, to ``solved (key, m)``."""
+    return f""",
+m0 AS (SELECT key, list(r ORDER BY i) AS m FROM (SELECT key, i, list(v ORDER BY j) AS r FROM gram GROUP BY key, i) GROUP BY key),
+solved AS (SELECT key, m FROM (
+  WITH RECURSIVE e AS (
+    SELECT key, 1 AS k, m FROM m0
+    UNION ALL SELECT key, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k])
+      ELSE list_transform(r, lambda x, j: x - r[k] / m[k][k] * m[k][j]) END) FROM e WHERE k <= {size})
+  SELECT * FROM e) WHERE k = {size + 1})"""
+
+
+@query("g2_vad_scores", SQL_ROWS + f""",
+    z AS (SELECT x || y AS z FROM rw WHERE split = 'train'),
+    gram AS (SELECT 0 AS key, i, j, sum(z[i] * z[j]) + CASE WHEN i = j AND i < {PLACES} THEN count(*) * 1e-6 ELSE 0 END AS v
+      FROM z, range(1, {PLACES + 1}) a(i), range(1, {PLACES + 4}) b(j) GROUP BY i, j)""" + sql_solved(PLACES) + """
+    SELECT vec_id, """ + ", ".join(
+        V.sql_r6(f"greatest(list_sum(list_transform(x, lambda e, i: e * m[i][{PLACES + t + 1}])), 0)") + f" AS {a}"
+        for t, a in enumerate("vad")) + " FROM rw, solved")
+def g2_scores(spark, sf):
+    """Scores of all rows by least squares on the train rows."""
+    rows = vectors(spark, sf)
+    weights, bias = heads.fit_vad_regression(rows.filter("split = 'train'"), "vector", ["gv", "ga", "gd"])
+    scored = rows.select("vec_id", X.linear_head("vector", weights, bias).alias("o"))
+    return scored.select("vec_id", *[V.r6(X.relu(F.col("o")[i])).alias(a) for i, a in enumerate("vad")])
+
+
+@query("g4_frozen_stage", "WITH" + V.PROBS + f""",
+    pl AS (SELECT vec_id, ax_no, list(p ORDER BY pos) || [any_value(3 + 4 * embedding[11 + ax_no]::DOUBLE)] AS z
+           FROM pr JOIN embeddings USING (vec_id) GROUP BY vec_id, ax_no),
+    gram AS (SELECT ax_no AS key, i, j, sum(z[i] * z[j]) + CASE WHEN i = j THEN count(*) * 1e-6 ELSE 0 END AS v
+      FROM pl, range(1, {V.K + 1}) a(i), range(1, {V.K + 2}) b(j) WHERE vec_id % 5 > 1 GROUP BY ax_no, i, j)""" + sql_solved(V.K) + f"""
+    SELECT key::INT AS axis, (i - 1)::INT AS label_idx, {V.sql_r6(f'm[i][{V.K + 1}]')} AS weight FROM solved, range(1, {V.K + 1}) t(i)""")
+def g4_frozen(spark, sf):
+    """Axis weights on the label probabilities of the fixed head, which stays frozen."""
+    rows = vectors(spark, sf).select("vec_id", "split", "gv", "ga", "gd").join(V.logit_rows(spark, sf).select("vec_id", "logits"), "vec_id")
+    axis = heads.axis_regression(rows.filter("split = 'train'"), "logits", ["gv", "ga", "gd"], V.K)
+    cells = [(i, j, float(w)) for i, row in enumerate(axis) for j, w in enumerate(row)]
+    return spark.createDataFrame(cells, "axis int, label_idx int, weight double").select("axis", "label_idx", V.r6("weight").alias("weight"))
+
+
+RIDGE = 1e-3
+
+
+def _class_moments(rows, weights, bias, probabilities):
+    """Mean product of every class's probability with every component, plus what the penalty adds.
+
+    At the best weights this is the mean over the rows that have the class.
+    """
+    listed = [[float(v) for v in (*w * RIDGE, 0.0)] for w in weights]
+    z = X.linear_head("vector", weights, bias)
+    p = rows.select(F.concat("vector", F.array(F.lit(1.0))).alias("x"), probabilities(z).alias("p"))
+    one = p.select("x", F.posexplode("p").alias("class_idx", "p")).select("class_idx", "p", F.posexplode("x").alias("place", "x"))
+    penalty = F.get(F.get(F.lit(listed), F.col("class_idx")), F.col("place"))
+    means = one.groupBy("class_idx", "place").agg(F.avg(F.col("p") * F.col("x")).alias("m"))
+    return means.select("class_idx", "place", V.r6(F.col("m") + penalty).alias("moment"))
+
+
+def _sql_class_moments(rows: str, has: str) -> str:
+    return f"""
+    SELECT c::INT AS class_idx, (j - 1)::INT AS place, {V.sql_r6(f"sum(CASE WHEN {has} THEN x[j] ELSE 0 END) / count(*)")} AS moment
+    FROM {rows}, range({V.K}) k(c), range(1, {PLACES + 1}) t(j) GROUP BY c, j"""
+
+
+def _fitted_moments(rows):
+    weights, bias, norm = heads.fit_multinomial(rows, "vector", "label", V.K, RIDGE)
+    if norm > 1e-9:
+        raise RuntimeError(f"the fit did not end: gradient {norm}")
+    return _class_moments(rows, weights, bias, X.softmax)
+
+
+@query("g1_single_label_moments", SQL_ROWS + _sql_class_moments("(FROM rw WHERE split = 'train')", "label = c"))
+def g1_moments(spark, sf):
+    """The fitted classifier's moments, which are those of the labels only at the best weights."""
+    return _fitted_moments(vectors(spark, sf).filter("split = 'train'"))
+
+
+@query("g5_few_shot_moments", SQL_ROWS + """,
+    few AS (SELECT * FROM rw WHERE split = 'train' QUALIFY row_number() OVER (ORDER BY vec_id) <= floor(0.2 * count(*) OVER ()))""" +
+    _sql_class_moments("few", "label = c"))
+def g5_moments(spark, sf):
+    """The same on the first fifth of the training rows."""
+    return _fitted_moments(splits.few_shot(vectors(spark, sf).filter("split = 'train'"), "vec_id", 0.2))
+
+
+@query("g1_multi_label_moments", SQL_ROWS + _sql_class_moments("(FROM rw WHERE split = 'train')", "label = c OR (vec_id * 7 + c * 13) % 10 < 2"))
+def g1_multi_moments(spark, sf):
+    rows = vectors(spark, sf).filter("split = 'train'")
+    weights, bias, norm = heads.fit_binomials(rows, "vector", "gold", V.K, RIDGE)
+    if norm > 1e-9:
+        raise RuntimeError(f"the fit did not end: gradient {norm}")
+    return _class_moments(rows, weights, bias, X.sigmoid)
+
+
+BATCH, EPOCHS, FROZEN = 2_000, 4, 2
+
+
+@query("g4_batched_stages", f"""
+    WITH n AS (SELECT ceil(count(*) / {BATCH}::DOUBLE)::INT AS steps FROM embeddings WHERE vec_id % 5 > 1)
+    SELECT e::INT AS epoch, steps, (steps * e)::INT AS n_updates, e <= {FROZEN} AS frozen,
+      CASE WHEN e <= {FROZEN} THEN 0.05 ELSE 0.02 END::DOUBLE AS rate, e > 1 AS lower FROM n, range(1, {EPOCHS + 1}) t(e)""")
+def g4_batched(spark, sf):
+    """Mini-batches, frozen epochs, the switched rate: a row per epoch, and that its loss is below the first one's."""
+    axes = V.axes(spark, sf)
+    rows = vectors(spark, sf).filter("split = 'train'").select("vec_id", "vector", "gv", "ga", "gd")
+    head, bias = np.zeros((3 * V.K, V.WIDTH - 3)), np.zeros(3 * V.K)
+    axis = np.array([axes.scores[i] for i in range(3)])
+    *_, logged = heads.fit_two_stage_batches(
+        rows, "vec_id", "vector", ["gv", "ga", "gd"], head, bias, axis, V.K, BATCH, EPOCHS, FROZEN, 0.05, 0.02)
+    listed = [(e["epoch"], e["steps"], e["n_updates"], e["frozen"], e["rate"], bool(e["loss"] < logged[0]["loss"])) for e in logged]
+    return spark.createDataFrame(listed, "epoch int, steps int, n_updates int, frozen boolean, rate double, lower boolean")
+
+
 @query("g1_single_label_head")
 def g1(spark, sf):
     """Class index from the vector; accuracy and F1 per split."""
