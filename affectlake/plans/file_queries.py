@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from affectlake.functions import labels as L
@@ -9,10 +11,13 @@ from affectlake.functions import text as T
 from affectlake.functions import vectors as X
 from affectlake.operators import annotators, jobs, metrics
 from affectlake.plans import views as V
+from affectlake.plans.model_queries import sql_solved
 from affectlake.plans.registry import query
 from affectlake.plans.score_queries import CORRELATION, MULTI_EMD, _vad, predictions, with_split
 from affectlake.plans.table_queries import COMBINED, LEXICON, combined, raw_lexicon
-from affectlake.operators.lexicon import lexicon_scores
+from affectlake.plans.text_queries import DIALOGUE_SQL, SCORE_SQL, evaluation_files, transcript_rows
+from affectlake.operators.lexicon import label_axes, lexicon_scores
+from affectlake.operators.ranking import ranked_by
 from affectlake.session import shared_folder
 from affectlake.sinks import results
 from affectlake.sources import files, registry
@@ -145,7 +150,7 @@ def s6(spark, sf):
 
 
 _stance = "upper(event_type) || '-' || event_id"
-STANCE_SKIP = 10
+STANCE_SKIP, ROWS_PER_FILE = 10, 4_000
 
 
 @query("s13_stance_corpus", f"""
@@ -157,7 +162,7 @@ STANCE_SKIP = 10
       md5({V.sql_basic(_stance)}) AS text_md5, i::INT AS label_idx, ((event_id + i) % 3 = 0)::INT AS y
     FROM r, range({len(L.STANCE_LABELS)}) t(i)""")
 def s13_stance(spark, sf):
-    """Two files whose order numbers their rows; leading rows skipped, a fifth of the rest held out."""
+    """Two corpora of many files whose order numbers their rows; leading rows skipped, a fifth of the rest held out."""
     root = shared_folder(spark)
     rows = V.table(spark, sf, "events").select("event_id", "event_type")
     columns = [
@@ -165,9 +170,12 @@ def s13_stance(spark, sf):
         for i, name in enumerate(L.STANCE_LABELS)
     ]
     for name, wanted in (("train", "event_id % 4 <> 0"), ("test", "event_id % 4 = 0")):
-        one = rows.filter(wanted).coalesce(1).sortWithinPartitions("event_id")
+        one = ranked_by(rows.filter(wanted), "event_id", "__rank")
+        part = F.floor((F.col("__rank") - 1) / ROWS_PER_FILE).cast("int")
         text = F.concat(F.upper("event_type"), F.lit("-"), F.col("event_id").cast("string")).alias("text")
-        _write(one.select(*columns, text), f"{root}/{files.STANCE_FILES[name]}", sep="\t", header=False)
+        ordered = one.withColumn("part", part).repartition("part").sortWithinPartitions("part", "__rank")
+        writer = ordered.select(*columns, text, F.format_string("%06d", "part").alias("part")).write.partitionBy("part")
+        writer.option("sep", "\t").option("header", False).csv(f"{root}/{files.STANCE_FILES[name]}")
     corpus = registry.load_corpus(spark, "ssec", root, skip_first=STANCE_SKIP)
     return corpus.select("id", "split", F.md5("text").alias("text_md5"), F.posexplode("label").alias("label_idx", "y"))
 
@@ -263,7 +271,7 @@ def k3(spark, sf):
             F.lit(None).cast("double").alias("valid_loss"), F.lit(None).cast("double").alias("test_loss"), "*",
         )
         results.log_evaluation(full, results.layout_of("vad", "emobank"), path)
-    log = spark.read.schema(results.layout_schema("vad")).parquet(path)
+    log = results.read_log(spark, "vad", path)
     return log.select("epoch", "valid_size", "test_size", *[V.r6(f"{s}_{a}").alias(f"{s}_{a}") for s in ("valid", "test") for a in "vad"])
 
 
@@ -282,7 +290,7 @@ def _logged(kind, names=None):
 
 
 def _read_log(spark, path, kind):
-    log = spark.read.schema(results.layout_schema(kind)).parquet(path)
+    log = results.read_log(spark, kind, path)
     rounded = [c for c in results.layout_columns(kind)[5:]]
     return log.select("epoch", "valid_size", "test_size", *[V.r6(c).alias(c) for c in rounded])
 
@@ -345,3 +353,183 @@ def k3_vad(spark, sf):
     jobs.log_epoch(scored, "vad", ["gv", "ga", "gd"], list("vad"), loss, path)
     log = _read_log(spark, path, "vad")
     return log.select(*[c for c in log.columns if not c.endswith("_p")])
+
+
+# ------------------------------------------- corpora without splits, read by their loaders
+
+def _statement_sheet(spark, sf):
+    root = shared_folder(spark)
+    _write(_sheet(spark, sf), root)
+    return registry.load_corpus(spark, "isear", root)
+
+
+def _sheet(spark, sf):
+    names = F.array(*[F.lit(x) for x in L.STATEMENT_LABELS])
+    return V.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ID"), F.col("text").alias("SIT"), (F.col("doc_id") % 7).cast("double").alias("EMOT"),
+        F.get(names, (F.col("doc_id") % 7).cast("int")).alias("Field1"),
+    )
+
+
+@query("e7_statement_corpus", f"SELECT 'isear' AS dataset, (doc_id % 7)::INT AS label, md5({V.sql_statement('text')}) AS text_md5 FROM documents")
+def e7_statements(spark, sf):
+    """Texts with newlines and quotes, from a sheet in many blocks."""
+    return _statement_sheet(spark, sf).select("dataset", F.col("label").cast("int").alias("label"), F.md5("text").alias("text_md5"))
+
+
+@query("e7_statement_splits", """
+    WITH n AS (SELECT count(*) AS n, ceil(0.3 * count(*))::BIGINT AS held FROM documents)
+    SELECT 'test' AS split, ceil(0.5 * held)::BIGINT AS n FROM n
+    UNION ALL SELECT 'valid', held - ceil(0.5 * held)::BIGINT FROM n UNION ALL SELECT 'train', n - held FROM n""")
+def e7_statement_splits(spark, sf):
+    return _statement_sheet(spark, sf).groupBy("split").agg(F.count("*").alias("n"))
+
+
+def _dialogue_folders(spark, sf):
+    """Session folders with an evaluation and a transcript file per conversation, named as their loaders expect."""
+    root, parts = shared_folder(spark), shared_folder(spark)
+    session = (F.substring("file", 4, 8).cast("int") % 5 + 1).alias("session")
+    heads = evaluation_files(spark, sf).withColumn("turn", F.regexp_extract("value", "_T([0-9]{3})", 1))
+    lines = transcript_rows(spark, sf).select("file", F.format_string("%09d", "line_no").alias("turn"), F.col("line").alias("value"))
+    for kind, rows in (("evaluations", heads), ("transcripts", lines)):
+        in_order = F.array_sort(F.collect_list(F.struct("turn", "value")))["value"]
+        one = rows.groupBy("file").agg(F.array_join(in_order, "\n").alias("value"))
+        one.select(F.lit(kind).alias("kind"), session, "file", "value").repartition("file").write.mode("append").partitionBy(
+            "kind", "session", "file").text(parts)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.FileSystem.get(spark._jvm.java.net.URI(root), spark._jsc.hadoopConfiguration())
+    for kind in ("evaluations", "transcripts"):
+        for number, folder in enumerate(files.dialogue_folders(root, kind), 1):
+            system.mkdirs(hadoop.Path(folder))
+            for found in system.globStatus(hadoop.Path(f"{parts}/kind={kind}/session={number}/file=*/part-*")):
+                name = found.getPath().getParent().getName().removeprefix("file=")
+                system.rename(found.getPath(), hadoop.Path(f"{folder}/{name}.txt"))
+    return root
+
+
+DIALOGUE_ROWS = DIALOGUE_SQL.replace("code, text FROM", f"code, text, {SCORE_SQL}::DOUBLE AS s FROM") + f""",
+    k AS (SELECT t.id, m.word, t.s, md5({V.sql_dialogue("replace(t.text, chr(10), ' ')")}) AS text_md5 FROM t JOIN m USING (code)),
+    r AS (SELECT *, row_number() OVER (ORDER BY md5(id || '#42')) AS place, count(*) OVER () AS n FROM k),
+    sp AS (SELECT *, CASE WHEN place <= floor(0.8 * n) THEN 'train' WHEN place <= floor(0.8 * n) + floor(0.1 * n) THEN 'valid' ELSE 'test' END AS split FROM r)"""
+
+
+@query("e7_dialogue_categories", DIALOGUE_ROWS + " SELECT id, split, word AS label, text_md5 FROM sp")
+def e7_categories(spark, sf):
+    """The walk over five sessions' folders, evaluations joined to transcripts, 80/10/10."""
+    corpus = registry.load_corpus(spark, "iemocap-cat", _dialogue_folders(spark, sf))
+    return corpus.select("id", "split", "label", F.md5("text").alias("text_md5"))
+
+
+@query("e7_dialogue_vad", DIALOGUE_ROWS + " SELECT id, split, s AS v, 2.5::DOUBLE AS a, s AS d, text_md5 FROM sp")
+def e7_vad(spark, sf):
+    corpus = registry.load_corpus(spark, "iemocap-vad", _dialogue_folders(spark, sf))
+    return corpus.select("id", "split", "label.v", "label.a", "label.d", F.md5("text").alias("text_md5"))
+
+
+@query("c5_uncleaned_corpus", f"""
+    SELECT doc_id::VARCHAR AS id, {SPLIT_OF.format(id='doc_id', valid='valid')} AS split, md5(text) AS text_md5,
+      md5({V.sql_basic('text')}) AS clean_md5 FROM documents""")
+def c5(spark, sf):
+    """The same corpus with and without cleaning."""
+    root = shared_folder(spark)
+    results.write_split_corpus(_documents_corpus(spark, sf), f"{root}/emobank.csv")
+    raw, clean = (registry.load_corpus(spark, "emobank", root, clean=c) for c in (False, True))
+    return raw.select("id", "split", F.md5("text").alias("text_md5")).join(clean.select("id", F.md5("text").alias("clean_md5")), "id")
+
+
+@query("k4_layout_choice", """
+    WITH n AS (SELECT count(*) FILTER (vec_id % 3 = 0) AS valid_size, count(*) FILTER (vec_id % 3 = 1) AS test_size FROM embeddings)
+    SELECT layout, n_columns::INT AS n_columns, valid_size, test_size FROM n, (VALUES ('vad', 19), ('single', 13), ('multi', 17)) t(layout, n_columns)""")
+def k4(spark, sf):
+    """The layout follows from what is predicted and the dataset; an evaluation that lacks its metrics logs nothing."""
+    root = shared_folder(spark)
+    vad = with_split(_vad(spark, sf))
+    multi = with_split(predictions(spark, sf)).withColumn("classes", F.col("e.classes"))
+    single = with_split(predictions(spark, sf, "single")).withColumn("class", F.col("e.classes")[0])
+    runs = [
+        ("vad", "emobank", "vad", vad, ["gv", "ga", "gd"], list("vad")),
+        ("cat", "isear", "single", single, "label", "class"),
+        ("cat", "semeval", "multi", multi, "gold", "classes"),
+        ("cat", "semeval", "single", single, "label", "class"),  # metrics of one label do not fill the layout of many
+    ]
+    run = [F.lit(v).alias(n) for n, v in (("epoch", 1), ("file_name", "run"), ("n_updates", 0))]
+    found = None
+    for at, (prediction, dataset, kind, scored, gold, predicted) in enumerate(runs):
+        layout, path = results.layout_of(prediction, dataset), f"{root}/{at}"
+        row = jobs.evaluation_row(scored, kind, gold, predicted, F.lit(0.0)).select(*run, "*")
+        results.log_evaluation(row, layout, path)
+        log = results.read_log(spark, layout, path)
+        one = log.select(F.lit(layout).alias("layout"), F.lit(len(log.columns)).alias("n_columns"), "valid_size", "test_size")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+# ------------------------------------------------------------------ from job files to the log
+
+LETTERS = "etaoinshr"
+N_LETTERS = len(LETTERS)
+SHARES = ", ".join(f"(length(t) - length(replace(t, '{c}', ''))) / (1 + length(t))::DOUBLE" for c in LETTERS)
+SCORED = ", ".join(
+    f"greatest(list_sum(list_transform(x, lambda e, i: e * m[i][{N_LETTERS + 2 + t}])), 0) AS {a}" for t, a in enumerate("vad"))
+SIDES = [(s, a) for s in ("valid", "test") for a in "vad"]
+CORRELATIONS = ", ".join(V.sql_r6(f"corr({a}, g{a}) FILTER (split = '{s}')") + f" AS {s}_{a}" for s, a in SIDES)
+NO_SCORES = ", ".join(["NULL"] * 6)
+
+
+def _letter_shares(corpus):
+    """A small vector of a text that SQL can compute too."""
+    n = F.length("text")
+    return corpus.withColumn("vector", F.array(*[
+        ((n - F.length(F.replace("text", F.lit(c), F.lit("")))) / (1 + n)).cast("double") for c in LETTERS]))
+
+
+@query("s12_job_graph", f"""
+    WITH c AS (SELECT doc_id, {SPLIT_OF.format(id='doc_id', valid='valid')} AS split, {V.sql_basic('text')} AS t,
+        1 + n_chars % 41 / 10::DOUBLE AS gv, 1 + n_chars % 31 / 10::DOUBLE AS ga, 1 + n_chars % 21 / 10::DOUBLE AS gd FROM documents),
+    f AS (SELECT split, gv, ga, gd, [{SHARES}] || [1.0::DOUBLE] AS x FROM c),
+    z AS (SELECT x || [gv, ga, gd] AS z FROM f WHERE split = 'train'),
+    gram AS (SELECT 0 AS key, i, j, sum(z[i] * z[j]) + CASE WHEN i = j AND i <= {N_LETTERS} THEN count(*) * 1e-6 ELSE 0 END AS v
+      FROM z, range(1, {N_LETTERS + 2}) a(i), range(1, {N_LETTERS + 5}) b(j) GROUP BY i, j)""" + sql_solved(N_LETTERS + 1) + f""",
+    p AS (SELECT f.*, {SCORED} FROM f, solved),
+    s AS (SELECT count(*) FILTER (split = 'valid') AS valid_size, count(*) FILTER (split = 'test') AS test_size, {CORRELATIONS} FROM p),
+    e AS (SELECT unnest([1, 2])::INT AS epoch)
+    SELECT 'scores' AS file_name, 'vad' AS layout, epoch, valid_size, test_size, {', '.join(f'{s}_{a}' for s, a in SIDES)} FROM s, e
+    UNION ALL SELECT 'zero', layout, epoch, valid_size, test_size, {NO_SCORES} FROM s, e, (VALUES ('vad'), ('multi')) t(layout)
+    UNION ALL SELECT 'sheet', 'single', epoch, held - ceil(0.5 * held)::BIGINT, ceil(0.5 * held)::BIGINT, {NO_SCORES}
+      FROM e, (SELECT ceil(0.3 * count(*))::BIGINT AS held FROM documents)""")
+def s12_graph(spark, sf):
+    """Three job files, one per task, to the rows of their logs; run again, nothing is left to do.
+
+    Scores fitted in closed form are checked in SQL, the others by their rows.
+    """
+    root = shared_folder(spark)
+    docs = V.table(spark, sf, "documents")
+    results.write_split_corpus(_documents_corpus(spark, sf), f"{root}/emobank/emobank.csv")
+    rows = docs.withColumn("split", _split("doc_id", "valid"))
+    ids = F.concat_ws(",", (F.col("doc_id") % 7).cast("string"), ((F.col("doc_id") * 3 + 1) % 7).cast("string"))
+    for split, part in files.FORUM_FILES.items():
+        _write(rows.filter(F.col("split") == split).select("text", ids.alias("l"), "doc_id"), f"{root}/ekman/{part}.tsv", sep="\t", header=False)
+    _write(_sheet(spark, sf), f"{root}/isear")
+    common = {"model": "bert", "load_model": "pretrained_lm", "label_type": "categorical", "optimizer_type": "trans",
+              "max_epoch": 2, "train_batch_size": 32}
+    specs = [{**common, "task": task, "dataset": dataset, "csv_file_name": name} for task, dataset, name in (
+        ("vad-regression", "emobank", "scores"), ("vad-from-categories", "ekman", "zero"), ("category-classification", "isear", "sheet"))]
+    for spec in specs:
+        spark.createDataFrame([(json.dumps(spec),)], "value string").write.mode("append").text(f"{root}/jobs")
+    places = [(i, n, 0.1 * i, 0.5 + 0.07 * (i * 3 % 7), 0.2 + 0.1 * (i * 2 % 7)) for i, n in enumerate(L.EKMAN_LABELS)]
+    labels = spark.createDataFrame(places, "label_idx int, label string, v double, a double, d double")
+
+    def run():
+        folders = {n: f"{root}/{n}" for n in ("emobank", "ekman", "isear")}
+        return jobs.run_jobs(spark, f"{root}/jobs", folders, f"{root}/logs", _letter_shares, lambda _: label_axes(labels))
+
+    if len(run()) != 6 or run():
+        raise RuntimeError("six epochs run once")
+    found = None
+    for layout in ("vad", "multi", "single"):
+        log = results.read_log(spark, layout, f"{root}/logs/{layout}")
+        closed = F.col("file_name") == "scores"
+        scores = [(F.when(closed, V.r6(f"{s}_{a}")) if layout == "vad" else F.lit(None).cast("double")).alias(f"{s}_{a}") for s, a in SIDES]
+        one = log.select("file_name", F.lit(layout).alias("layout"), "epoch", "valid_size", "test_size", *scores)
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 META_COLUMNS = ("document", "category", "subcategory")
 
-# Column layouts of the result log, in order.
+# Column layouts of the result log, in order, and what names a row.
 RUN_COLUMNS = ["epoch", "file_name", "n_updates", "valid_size", "test_size", "valid_loss", "test_loss"]
+LOG_KEYS = ("file_name", "epoch")
 METRIC_COLUMNS = {
     "vad": ["v", "v_p", "a", "a_p", "d", "d_p"],
     "multi": ["microF1", "macroF1", "jaccard_micro", "jaccard_macro", "acc"],
@@ -82,14 +84,34 @@ def layout_schema(layout: str) -> str:
 
 
 def log_evaluation(row: DataFrame, layout: str, path: str, form: str = "parquet") -> bool:
-    """Append one typed row to a result log; an evaluation without metrics is skipped."""
+    """Put one typed row into a result log; an evaluation without metrics is skipped.
+
+    The log has a folder per run (``file_name``) and epoch, and a row takes the place of
+    an earlier one of its run and epoch: an append that is tried again adds nothing.
+    CSV parts carry no header; :func:`export_log` makes one file with one header.
+    """
     names = layout_columns(layout)
     if any(c not in row.columns for c in names):
         return False
     types = dict(part.rsplit(" ", 1) for part in layout_schema(layout).split(", "))
     typed = row.select(*[F.col(c).cast(types[c]).alias(c) for c in names]).coalesce(1)
-    if form == "csv":
-        _csv(typed, path, False, "append")
-    else:
-        typed.write.mode("append").parquet(path)
+    writer = typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LOG_KEYS)
+    writer.format(form).save(path)
     return True
+
+
+def read_log(spark: SparkSession, layout: str, path: str, form: str = "parquet") -> DataFrame:
+    """The log's rows in the order of its columns; a log that nothing was written to is empty."""
+    schema = layout_schema(layout)
+    try:
+        stored = spark.read.schema(schema).format(form).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], schema)
+    return stored.select(*layout_columns(layout))
+
+
+def export_log(log: DataFrame, path: str) -> None:
+    """A result log, a row per run and epoch, as one CSV file with one header."""
+    _csv(log.orderBy(*LOG_KEYS).coalesce(1), path, False, "overwrite")

@@ -163,8 +163,17 @@ def test_result_log(spark, tmp_path):
     path = str(tmp_path / "log")
     names = results.layout_columns("single")
     row = spark.range(1).select(*[F.lit(1).alias(c) if c != "file_name" else F.lit("f").alias(c) for c in names])
-    assert results.log_evaluation(row, "single", path) and results.log_evaluation(row, "single", path)
-    assert spark.read.schema(results.layout_schema("single")).parquet(path).count() == 2
+    assert results.read_log(spark, "single", path).collect() == []
+    for form in ("parquet", "csv"):
+        log = f"{path}-{form}"
+        for epoch in (2, 1, 2, 2):  # a retried append takes the place of the first
+            assert results.log_evaluation(row.withColumn("epoch", F.lit(epoch)), "single", log, form)
+        stored = results.read_log(spark, "single", log, form)
+        assert stored.columns == names and sorted((r.file_name, r.epoch, r.valid_acc) for r in stored.collect()) == [("f", 1, 1.0), ("f", 2, 1.0)]
+        assert results.log_evaluation(row.withColumn("file_name", F.lit("g")), "single", log, form)
+        assert results.read_log(spark, "single", log, form).count() == 3
     assert not results.log_evaluation(row.drop("valid_acc"), "single", path)
-    assert results.log_evaluation(row, "single", path + "-csv", "csv") and results.log_evaluation(row, "single", path + "-csv", "csv")
-    assert spark.read.schema(results.layout_schema("single")).option("header", True).csv(path + "-csv").count() == 2
+    results.export_log(results.read_log(spark, "single", f"{path}-csv", "csv"), str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("part*.csv")
+    lines = part.read_text().splitlines()
+    assert lines[0] == ",".join(names) and [x.split(",")[:2] for x in lines[1:]] == [["1", "f"], ["2", "f"], ["1", "g"]]

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -5,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from affectlake.functions import vectors as X
-from affectlake.operators import heads, lexicon, sequences
+from affectlake.operators import heads, jobs, lexicon, sequences, solvers, splits
+from affectlake.sinks import results
+from affectlake.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -149,6 +152,46 @@ def test_decoding(texts):
     assert plain == {0: "a b a c", 1: "a b", 4: "b z"}
 
 
+def test_blocks_of_any_size_encode_the_same(spark):
+    rows = [(i, None if i % 7 == 3 else " ".join(f"w{j % (i + 1)}" for j in range(i * 3 % 40)), "k") for i in range(60)]
+    rows += [(5, "w1 w2", None), (None, "w1  new ", "k"), (5, "   ", "k"), (70, "w1 " * 3_000, "k")]
+    df = spark.createDataFrame(rows, "id int, text string, key string")
+    vocab = sequences.vocabulary(df.filter("id <= 60")).cache()
+    number = {r["token"]: r["token_id"] for r in vocab.collect()}
+
+    def brute(window):
+        out = []
+        for i, text, key in rows:
+            words = [w for w in (text or "").split(" ") if w]
+            for at in range(0, len(words), window - 2):
+                ids = [2, *(number.get(w, 1) for w in words[at : at + window - 2]), 3]
+                out.append((i, key, at // (window - 2), tuple(ids + [0] * (window - len(ids))), tuple([1] * len(ids) + [0] * (window - len(ids)))))
+        return sorted(out, key=str)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for records in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+            got = sequences.encode(df, vocab, ["id", "key"], 9).collect()
+            assert sorted([(r.id, r.key, r.window_no, tuple(r.input_ids), tuple(r.attention_mask)) for r in got], key=str) == brute(9)
+            back = sequences.decode(spark.createDataFrame(got), vocab, ["id", "key", "window_no"], special=False).collect()
+            spelled = {v: k for k, v in number.items()}
+            want = [(i, k, n, " ".join(spelled[x] for x in ids if x > 3)) for i, k, n, ids, _ in brute(9)]
+            assert sorted([tuple(r) for r in back], key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sequences.encode(df.limit(0), vocab, ["id"], 9).collect() == []
+    same = sequences.block_vocabulary(sequences.token_blocks(df, ["id"])).collect()
+    assert sorted(same) == sorted(sequences.vocabulary(df).collect())
+
+
+def test_no_token_is_exploded(texts):
+    """Tokens travel as codes: the plan explodes blocks' distinct tokens only."""
+    vocab = sequences.vocabulary(texts)
+    plan = sequences.encode(texts, vocab, ["id"], 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(entries") == plan.count("Generate")
+
+
 def test_bigram_loss(texts):
     vocab = sequences.vocabulary(texts)
     rows = sequences.encode(texts, vocab, ["id"], 6)
@@ -193,8 +236,106 @@ def test_jobs_fill_the_logs(spark, clusters, axes, tmp_path, task, kind, label):
     jobs.run_job(task, kind, rows, "x", label, 3, str(tmp_path), axes, other)
     logs = ["multi", "vad"] if task == "vad-from-categories" else [kind]
     for log in logs:
-        (line,) = spark.read.schema(results.layout_schema(log)).parquet(f"{tmp_path}/{log}").collect()
+        (line,) = results.read_log(spark, log, f"{tmp_path}/{log}").collect()
         assert line.valid_size == 48 and line.test_size == 48
         assert all(line[c] is not None and math.isfinite(line[c]) for c in ("valid_loss", "test_loss"))
     with pytest.raises(ValueError, match="unknown task"):
         jobs.run_job("clustering", kind, rows, "x", label, 3, str(tmp_path))
+
+
+def test_least_squares_and_moments(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(200, 4)), rng.normal(size=(200, 2))
+    rows = spark.createDataFrame([(a.tolist(), *b.tolist()) for a, b in zip(x, y)], "x array<double>, p double, q double").repartition(7)
+    full = solvers.moments(rows, 6)
+    z = np.column_stack([x, y, np.ones(200)])
+    assert np.allclose(full, z.T @ z)
+    weights, bias = solvers.least_squares(rows, 4, 2, 0.0)
+    want = np.linalg.lstsq(np.column_stack([x, np.ones(200)]), y, rcond=None)[0]
+    assert np.allclose(np.column_stack([weights, bias]), want.T)
+    plain, zero = solvers.least_squares(rows, 4, 2, 0.1, intercept=False)
+    assert np.allclose(plain.T, np.linalg.solve(x.T @ x + 200 * 0.1 * np.eye(4), x.T @ y)) and not zero.any()
+    with pytest.raises(ValueError, match="no rows"):
+        solvers.least_squares(rows.limit(0), 4, 2, 0.1)
+    twice = rows.select(F.concat("x", "x").alias("x"), "p")
+    with pytest.raises(ValueError, match="depend"):
+        solvers.least_squares(twice, 8, 1, 0.0)
+
+
+def test_newton_fits_end_where_the_gradient_is_zero(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3))
+    label = (x @ rng.normal(size=(3, 4)) + rng.gumbel(size=(300, 4))).argmax(axis=1)
+    hot = (x @ rng.normal(size=(3, 2)) + rng.normal(size=(300, 2)) > 0).astype(int)
+    rows = spark.createDataFrame([(a.tolist(), int(b), c.tolist()) for a, b, c in zip(x, label, hot)], "x array<double>, c int, hot array<int>").repartition(5)
+    w, b, norm = heads.fit_multinomial(rows, "x", "c", 4, 0.01)
+    z = np.exp(x @ w.T + b)
+    off = z / z.sum(axis=1, keepdims=True) - np.eye(4)[label]
+    assert norm < 1e-9 and np.abs(off.T @ x / 300 + 0.01 * w).max() < 1e-9 and np.abs(off.mean(axis=0)).max() < 1e-9
+    assert abs(b.sum()) < 1e-6
+    w, b, norm = heads.fit_binomials(rows, "x", "hot", 2, 0.01)
+    off = 1 / (1 + np.exp(-(x @ w.T + b))) - hot
+    assert norm < 1e-9 and np.abs(off.T @ x / 300 + 0.01 * w).max() < 1e-9
+    one, _, _ = heads.fit_multinomial(rows.coalesce(1), "x", "c", 4, 0.01)
+    assert np.allclose(one, heads.fit_multinomial(rows.repartition(6), "x", "c", 4, 0.01)[0])
+
+
+def test_mini_batches_as_a_plain_loop(clusters, axes):
+    rows = clusters.select("id", "x", F.array("v", "a", "d").alias("g")).coalesce(2)
+    fn = heads.regression_loss_and_gradient(3, 3)
+    start = np.concatenate([np.hstack([np.vstack([np.eye(3)] * 3), np.zeros((9, 1))]).ravel(), np.full(9, 0.5)])
+    frozen = np.arange(len(start)) < 36
+    schedule = heads.batch_schedule(240, 100, 3, 1, 0.1, 0.05)
+    assert [(e["epoch"], e["steps"], e["n_updates"], e["frozen"], e["rate"]) for e in schedule] == [
+        (1, 3, 3, True, 0.1), (2, 3, 6, False, 0.05), (3, 3, 9, False, 0.05)]
+    got, losses = heads.descend_batches(rows, "id", start, fn, schedule, 100, frozen)
+    point, data = start, {r.id: r for r in rows.collect()}
+    for entry, want in zip(schedule, losses):
+        order = [r.id for r in splits.epoch_order(rows, "id", entry["epoch"]).orderBy("position").collect()]
+        total = 0
+        for at in range(0, 240, 100):
+            part = [data[i] for i in order[at : at + 100]]
+            loss, gradient = fn(point, [np.array([r.x for r in part]), np.array([r.g for r in part])])
+            point = point - entry["rate"] * np.where(frozen & entry["frozen"], 0, gradient / len(part))
+            total += loss / len(part)
+        assert math.isclose(total / 3, want, rel_tol=1e-9)
+    assert np.allclose(got, point)
+
+
+def test_jobs_go_on_where_they_ended(spark, tmp_path, write, axes):
+    """Job files of two tasks; a finished epoch is not run again, a broken log is completed."""
+    rows = [(i, "train" if i % 5 > 1 else "dev" if i % 5 else "test", 1 + i % 7 / 2, 1 + i % 5 / 2, 2.0 + i % 3, "abc"[i % 3] * (i % 4 + 1) + "xyz"[: i % 3]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "id int, split string, V double, A double, D double, text string")
+    results.write_split_corpus(corpus, str(tmp_path / "emobank" / "emobank.csv"))
+    for part in files.FORUM_FILES.values():
+        corpus.select("text", F.concat_ws(",", F.col("id") % 7, (F.col("id") * 3 + 1) % 7).alias("l"), F.concat(F.lit(part), "id").alias("i")).write.option("sep", "\t").csv(str(tmp_path / "ekman" / f"{part}.tsv"))
+    job = {"model": "bert", "load_model": "pretrained_lm", "label_type": "dimensional", "optimizer_type": "trans", "max_epoch": 2, "train_batch_size": 10}
+    write("jobs/a.json", json.dumps({**job, "task": "vad-regression", "dataset": "emobank", "csv_file_name": "scores"}))
+    write("jobs/b.json", json.dumps({**job, "task": "vad-from-categories", "dataset": "ekman", "csv_file_name": "zero", "few_shot_ratio": 0.5}))
+    labels = spark.createDataFrame([(i, f"l{i}", 0.1 * i, 0.5 + 0.07 * (i * 3 % 7), 0.2 + 0.1 * (i * 2 % 7)) for i in range(7)], "label_idx int, label string, v double, a double, d double")
+
+    def vectorise(df):
+        return df.withColumn("vector", F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in "abcxyz"]))
+
+    def run():
+        return jobs.run_jobs(spark, str(tmp_path / "jobs"), {n: str(tmp_path / n) for n in ("emobank", "ekman")}, str(tmp_path / "out"),
+                             vectorise, lambda name: lexicon.label_axes(labels))
+
+    def logged():
+        return {log: sorted(tuple(r) for r in results.read_log(spark, log, str(tmp_path / "out" / log)).collect()) for log in ("vad", "multi")}
+
+    assert run() == [("scores", 1), ("scores", 2), ("zero", 1), ("zero", 2)]
+    first = logged()
+    assert [(r[0], r[1]) for r in first["vad"]] == [(1, "scores"), (1, "zero"), (2, "scores"), (2, "zero")] and len(first["multi"]) == 2
+    assert run() == [] and logged() == first
+    results.read_log(spark, "vad", str(tmp_path / "out" / "vad")).filter("not (file_name = 'zero' and epoch = 2)").write.partitionBy(
+        "file_name", "epoch").parquet(str(tmp_path / "out" / "kept"))
+    (tmp_path / "out" / "vad").rename(tmp_path / "out" / "whole")
+    (tmp_path / "out" / "kept").rename(tmp_path / "out" / "vad")
+    assert run() == [("zero", 2)]
+    again = logged()
+    numbers = lambda row: np.array(row[2:], dtype=float)
+    assert all(np.allclose(numbers(a), numbers(b), equal_nan=True) for log in first for a, b in zip(first[log], again[log]))
+    write("jobs/c.json", json.dumps({**job, "task": "clustering", "dataset": "emobank", "csv_file_name": "bad"}))
+    with pytest.raises(ValueError, match="task=clustering"):
+        run()
