@@ -12,14 +12,21 @@ word not kept is scored again.  The fitted table, at most one row per piece and
 language, travels to the tasks.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with
-nothing to learn from every text is; equal scores go to the smaller name; runs of over
-RUN letters are scored in parts of RUN; labels that are null are not learned.
+nothing to learn from every text is; equal scores go to the smaller name; labels that
+are null are not learned; an empty table gives no rows; very long texts are scored whole,
+a letter run of any length over all its segmentations.  Only the fit reads runs of over
+RUN letters in parts of RUN, as so many words of its sample.  Letters are the code points
+of the Unicode classes L, with those of the classes M that follow them.  Other columns
+stay inside ``row``, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -42,10 +49,21 @@ CACHE_CELLS = 1_600_000
 GROUP_BYTES = 1_000_000
 UNDETERMINED = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 
 
+@functools.cache
+def letters() -> re.Pattern:
+    """Runs of letters (Unicode classes L) and of marks (M) behind the first of them."""
+
+    def ranges(classes: str) -> str:
+        codes = np.array([c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in classes])
+        starts = np.flatnonzero(np.diff(codes, prepend=-2) > 1)
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(codes[starts], codes[np.append(starts[1:], len(codes)) - 1]))
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
 def pieces(path: str = VOCABULARY) -> list[str]:
     """The vocabulary's pieces, without its control and byte entries."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -56,10 +74,7 @@ def pieces(path: str = VOCABULARY) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > RUN for w in found):
-        found = [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
-    return found
+    return letters().findall(text.lower())
 
 
 class Finder:
@@ -134,6 +149,29 @@ class Lattice:
         return np.log(np.maximum(total, 1e-300)) - (self.lengths * np.log(SCALE))[:, None]
 
 
+def long_log_total(word: str, finder: Finder, p: np.ndarray) -> np.ndarray:
+    """Log probability of one long word in each language, over all its segmentations.
+
+    The forward sums of the places that the longest piece reaches back to are carried
+    along and rescaled at every place, so memory does not grow with the word.
+    """
+    _, starts, ends, pieces_at = finder.edges([word])
+    size = len(word) + 1
+    bounds = np.searchsorted(ends, np.arange(size + 2))
+    reach = int((ends - starts).max(initial=1))
+    sums = np.zeros((reach + 1, p.shape[1]))  # the place's sums in row place % (reach + 1)
+    sums[0] = 1.0
+    logs = np.zeros(p.shape[1])
+    for place in range(1, size + 1):
+        own = slice(bounds[place], bounds[place + 1])
+        now = (sums[starts[own] % (reach + 1)] * p[pieces_at[own]]).sum(axis=0)
+        scale = np.maximum(now, 1e-300)
+        logs += np.log(scale)
+        sums /= scale
+        sums[place % (reach + 1)] = 1.0
+    return logs
+
+
 def fit_pieces(words: list[str], counts: np.ndarray, finder: Finder, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language; the last entry is for unknown characters."""
     lattice = Lattice(words, finder)
@@ -176,7 +214,8 @@ def train(
     listed = pieces(vocabulary)
 
     def fit(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        counts = pd.Series([w for text in rows["text"] for w in words_of(text)], dtype=object).value_counts(sort=False)
+        parts = (w[i : i + RUN] for text in rows["text"] for w in words_of(text) for i in range(0, len(w), RUN))
+        counts = pd.Series(list(parts), dtype=object).value_counts(sort=False)
         p = fit_pieces(list(counts.index), counts.to_numpy(float), Finder(listed))
         return pd.DataFrame({"lang": [lang[0]], "p": [p.astype("<f8").tobytes()]})
 
@@ -210,7 +249,13 @@ def predict(
             base = len(place)
             for i in range(0, len(new), at_once):
                 part = new[i : i + at_once]
-                scores[base + i : base + i + len(part)] = Lattice(part, finder).log_totals(table)
+                short = [j for j, w in enumerate(part) if len(w) <= RUN]
+                if len(short) == len(part):
+                    scores[base + i : base + i + len(part)] = Lattice(part, finder).log_totals(table)
+                    continue
+                scores[[base + i + j for j in short]] = Lattice([part[j] for j in short], finder).log_totals(table)
+                for j in sorted(set(range(len(part))) - set(short)):
+                    scores[base + i + j] = long_log_total(part[j], finder, table)
             place.update(zip(new, range(base, base + len(new)), strict=True))
 
         def verdict(words: list[str]) -> tuple[str, float]:

@@ -36,6 +36,30 @@ def test_all_segmentations_are_summed(listed):
         assert got[:, k] == pytest.approx([plain(w, p[:, k], index) for w in words])
 
 
+def test_long_runs_are_summed_whole(listed):
+    index = {piece: i for i, piece in enumerate(listed)}
+    p = np.random.default_rng(3).random((len(listed) + 1, 2)) / 500
+    finder = L.Finder(listed)
+    for word in ("segmentation" * 4, "überlänge" * 12, "日本語の文章" * 15, "x" * (L.RUN + 1)):
+        got = L.long_log_total(word, finder, p)
+        assert got == pytest.approx([plain(word, p[:, k], index) for k in (0, 1)])
+    assert np.isfinite(L.long_log_total("the" * 30_000, finder, p)).all()
+
+
+def test_letters_by_unicode_class():
+    assert L.words_of("½ ² Ⅷ ① 12 _ ًٌ") == []
+    assert L.words_of("हिन्दी Größe_x ǅ कि") == ["हिन्दी", "größe", "x", "ǆ", "कि"]
+    assert L.words_of("a" * 500) == ["a" * 500]
+
+
+def test_long_runs_in_texts(spark, listed):
+    texts = ["thisisonelongrunofletterswithoutanyblankbetweenitswords" * 9, "the", "½²Ⅷ"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts * 3, ["en", "en", "de"] * 3))], "doc_id long, text string, lang string")
+    model = L.train(docs)
+    got = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in L.predict(docs, model).collect()}
+    assert got[0][0] == "en" and got[2] == (L.UNDETERMINED, 0.0)
+
+
 def test_fitted_pieces_raise_the_likelihood(listed):
     finder, words, counts = L.Finder(listed), ["the", "then", "other", "thermal"], np.array([9.0, 3, 2, 1])
     totals = []
