@@ -145,9 +145,11 @@ def scan(
                 line = b" " + b" ".join(words) + b" "
                 starts, labels = [], set()
                 for phrase, label in phrases:
-                    at = line.find(phrase)
+                    at, before, blanks = line.find(phrase), 0, 0
                     while at >= 0:
-                        starts.append(line.count(b" ", 0, at))
+                        blanks += line.count(b" ", before, at)
+                        before = at
+                        starts.append(blanks)
                         labels.add(label)
                         at = line.find(phrase, at + 1)
                 found = match_templates(words)
