@@ -95,7 +95,7 @@ def neighbours(conversations: DataFrame) -> DataFrame:
     conversation is in exactly one pair, and no key gathers more than two.
     """
     return conversations.select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
+        F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"),
         F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"),
         "conv_id", "turn", "role", "text",
     )
