@@ -87,10 +87,13 @@ def _spans(text: bytes, line: bytes, hits: list) -> list[dict]:
     inside = np.concatenate([[0], np.cumsum(step)[:-1] > 0, [0]]).astype(np.int8)
     begins, stops = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
     places = [m.span() for m in WORD_BYTES.finditer(text)]
-    return [
-        {"first": a, "last": b, "start": len(text[: places[a][0]].decode()), "end": len(text[: places[b - 1][1]].decode())}
-        for a, b in zip(begins.tolist(), stops.tolist(), strict=True)
-    ]
+    spans, at, chars = [], 0, 0
+    for a, b in zip(begins.tolist(), stops.tolist(), strict=True):
+        start, end = places[a][0], places[b - 1][1]
+        before = chars + len(text[at:start].decode())
+        chars, at = before + len(text[start:end].decode()), end
+        spans.append({"first": a, "last": b, "start": before, "end": chars})
+    return spans
 
 
 def find_passages(
