@@ -9,8 +9,9 @@ and signs around it.  The forest is Spark's and judges all but the formats of kn
 issuers, which are secrets by form, and values that stand for another one (literals,
 templates, blanks, calls and references), which are none by form.  It is fitted on labelled findings: given ones, or
 those that ``weak_label`` is sure of (formats of known issuers and assigned random
-values, against addresses, numbers and dates) among at most SAMPLE_FINDINGS findings
-chosen by hash.
+values, against addresses, numbers and dates).  All documents are searched for findings;
+the forest is fitted on at most SAMPLE_FINDINGS of them, half for each label, chosen by
+hash: that bound is the only sample here.
 
 The fitted trees are saved in the shared folder and read back as a table of nodes, at
 most TREES * 2 ** (DEPTH + 1) rows, so that one scan finds, judges and masks candidates
@@ -32,15 +33,14 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from affectlake.llm.common import arrow_map
 from affectlake.llm.language import VOCABULARY, pieces
-from affectlake.session import shared_folder
+from affectlake.session import saved, shared_folder
 
 LEAST = 8
 SAMPLE_FINDINGS = 20_000
-SAMPLE_DOCS = 40_000
 TREES, DEPTH, SEED = 20, 6, 7
 THRESHOLD = 0.5
 AROUND = 48
@@ -228,12 +228,13 @@ def weak_label(value: str, before: str, after: str = "") -> bool | None:
 
 def labelled_findings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source",
-    vocabulary: str = VOCABULARY, sample: int = SAMPLE_FINDINGS, sample_docs: int = SAMPLE_DOCS,
+    vocabulary: str = VOCABULARY, sample: int = SAMPLE_FINDINGS,
 ) -> DataFrame:
-    """``(label, features)`` of at most ``sample`` findings that are sure, from documents taken by hash."""
+    """``(label, features)`` of the sure findings of all documents, at most half of ``sample`` per label, by hash.
+
+    Written once: counting them and every pass of the fit read the findings, not the texts.
+    """
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("#secrets")))
-    slot = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(16**8)
-    share = min(1.0, sample_docs / max(1, docs.count()))
     words = dictionary(vocabulary)
 
     def work():
@@ -251,12 +252,12 @@ def labelled_findings(
         return find
 
     kind = pa.list_(pa.struct([("label", pa.float64()), ("features", pa.list_(pa.float64()))]))
-    chosen = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"),
-                         F.col(path_col).cast("string").alias("path")).filter(slot <= share)
+    chosen = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))
     found = arrow_map(chosen, "text", work, [("found", "array<struct<label:double,features:array<double>>>", kind)],
                       also=["path"])
-    return found.select("row.key", F.posexplode("found").alias("at", "one")).orderBy("key", "at", "one.label").limit(
-        sample).select("one.label", "one.features")
+    listed = found.filter(F.size("found") > 0).select("row.key", F.posexplode("found").alias("at", "one")).select("key", "at", "one.*")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("key", "at", "features"))
+    return saved(listed.withColumn("place", place).filter(F.col("place") <= max(sample // 2, 1)).select("label", "features"))
 
 
 def train(findings: DataFrame) -> list[list[tuple]]:
