@@ -12,11 +12,15 @@ from affectlake.operators.ranking import small_join
 AXES = ("v", "a", "d")
 
 
-def lexicon_scores(raw: DataFrame, line: str = "line_no") -> DataFrame:
+def lexicon_scores(raw: DataFrame, line: str = "line_no", only: DataFrame | None = None) -> DataFrame:
     """One row per word with scores rounded to three places; the last line wins.
 
-    Three aggregates of plain numbers hash; one of a struct would sort all lines.
+    Three aggregates of plain numbers hash; one of a struct would sort all lines.  With
+    ``only``, a table of labels, other words are left out in the scan: nothing but the
+    lines of those labels is aggregated or shuffled.
     """
+    if only is not None:
+        raw = small_join(raw, only.select(F.col("label").alias("word")).distinct(), ["word"], "left_semi")
     last = [F.max_by(a, line).alias(a) for a in AXES]
     return raw.groupBy("word").agg(*last).select("word", *[round_even(a, 3).alias(a) for a in AXES])
 

@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from affectlake.operators.ranking import (
-    cut_keys, hash_key, ranked_by, small_join, skip_first, take_first,
+    cut_keys, hash_key, rank_threshold, ranked_by, small_join, skip_first, take_first,
 )
 from affectlake.session import bounded
 
@@ -22,16 +22,35 @@ from affectlake.session import bounded
 def held_out_quotas(sizes: DataFrame, stratum: str, held_out: int, total: int, name: str) -> DataFrame:
     """Largest-remainder shares of ``held_out`` among strata with ``left`` rows each.
 
-    Whole-number arithmetic; equal remainders go to the smaller stratum value.
-    ``sizes`` has one row per stratum, so its window is label-sized.
+    Whole-number arithmetic; equal remainders go to the smaller stratum value.  Few strata
+    are ranked in one window.  Of many, the one at the last place that gets a row more is
+    found by :func:`rank_threshold`: strata may be as many as rows, and no task sees them all.
     """
+    sizes, few = bounded(sizes)
     shares = sizes.withColumn("__base", F.expr(f"(left * {held_out}) div {total}"))
-    shares = shares.withColumn("__rest", F.expr(f"(left * {held_out}) % {total}"))
-    missing = F.lit(held_out) - F.sum("__base").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.desc("__rest"), F.asc(stratum)))
-    return shares.withColumn(
-        name, F.col("__base") + F.when(place <= missing, 1).otherwise(0)
-    ).drop("__base", "__rest")
+    rest = F.expr(f"(left * {held_out}) % {total}")
+    if few:
+        ranked = shares.withColumn("__rest", rest)
+        missing = F.lit(held_out) - F.sum("__base").over(Window.partitionBy())
+        place = F.row_number().over(Window.orderBy(F.desc("__rest"), F.asc(stratum)))
+        return ranked.withColumn(name, F.col("__base") + F.when(place <= missing, 1).otherwise(0)).drop("__base", "__rest")
+    # Larger remainders first, then null, then the strata in order.
+    order = F.concat(F.lpad((F.lit(total) - rest).cast("string"), 19, "0"), F.when(F.col(stratum).isNull(), "0").otherwise("1"),
+                     F.coalesce(_sortable(shares.schema[stratum].dataType, F.col(stratum)), F.lit("")))
+    shares = shares.withColumn("__order", order)
+    missing = held_out - (shares.agg(F.sum("__base")).first()[0] or 0)
+    edge = rank_threshold(shares, "__order", missing) if missing else None
+    more = F.lit(0) if edge is None else F.when(F.col("__order") <= edge, 1).otherwise(0)
+    return shares.withColumn(name, F.col("__base") + more).drop("__base", "__order")
+
+
+def _sortable(kind: T.DataType, stratum: Column) -> Column:
+    """A text in the order of the values: whole numbers shifted and padded, texts as they are."""
+    if isinstance(kind, T.IntegralType):
+        return F.lpad((stratum.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    if isinstance(kind, (T.StringType, T.BooleanType, T.DateType, T.TimestampType)):
+        return stratum.cast("string")
+    raise ValueError(f"many strata must be texts, whole numbers or dates, not {kind.simpleString()}")
 
 
 def _assign(

@@ -537,7 +537,9 @@ def frequent_words(spark, sf):
 
 @query("j5_label_coordinates", LEXICON + LABEL_WORDS + " SELECT label_idx::INT AS label_idx, label, v, a, d FROM named JOIN lex ON label = word")
 def j5(spark, sf):
-    return lexicon.label_coordinates(frequent_words(spark, sf), s11(spark, sf)).select("label_idx", "label", "v", "a", "d")
+    labels = frequent_words(spark, sf)
+    scores = lexicon.lexicon_scores(raw_lexicon(spark, sf), only=labels)
+    return lexicon.label_coordinates(labels, scores).select("label_idx", "label", "v", "a", "d")
 
 
 @query("j5_unknown_labels", LEXICON + """, named AS (SELECT DISTINCT p_type AS t, lower(p_type) AS label FROM part)

@@ -201,10 +201,19 @@ def dialogue_folders(root: str, kind: str, sessions: Sequence[str] = SESSIONS) -
 
 # --------------------------------------------------------------------- lexicon
 
-def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """``(word, v, a, d)`` rounded to three places; the last of equal words wins."""
+def read_lexicon(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(word, v, a, d)`` rounded to three places; the last of equal words wins, in the order of the paths.
+
+    A line's place is one number, file, block and line in it, so the aggregate hashes.
+    """
     raw = delimited(spark, path, LEXICON, sep="\t", multi_line=False)
-    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    scores: Column = F.struct(*[round_even(a, 3).alias(a) for a in "vad"])
-    placed = raw.select("word", scores.alias("s"), at.alias("at"))
-    return placed.groupBy("word").agg(F.max_by("s", "at").alias("s")).select("word", "s.*")
+    names = sorted(raw.inputFiles())
+    file = F.array_position(F.lit(names), F.col("_metadata.file_path")) if len(names) > 1 else F.lit(0)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    at = F.expr("cast(file as decimal(8,0)) * 100000000000000000000 + cast(block as decimal(20,0))") * F.lit(10_000_000_000).cast(
+        "decimal(11,0)") + F.col("local").cast("decimal(11,0)")
+    scores: list[Column] = [round_even(a, 3).alias(a) for a in "vad"]
+    placed = raw.select(
+        "word", *scores, file.alias("file"), F.col("_metadata.file_block_start").alias("block"), local.alias("local")
+    ).select("word", *"vad", at.cast("decimal(38,0)").alias("at"))
+    return placed.groupBy("word").agg(*[F.max_by(a, "at").alias(a) for a in "vad"])

@@ -177,3 +177,12 @@ def test_result_log(spark, tmp_path):
     (part,) = (tmp_path / "out").glob("part*.csv")
     lines = part.read_text().splitlines()
     assert lines[0] == ",".join(names) and [x.split(",")[:2] for x in lines[1:]] == [["1", "f"], ["2", "f"], ["1", "g"]]
+
+
+def test_lexicon_of_several_files(spark, write):
+    write("lex/a.tsv", "word\tv\ta\td\njoy\t0.1\t0.2\t0.3\nfear\t0.5\t0.5\t0.12345\njoy\t0.4\t0.5\t0.6\n")
+    path = write("lex/b.tsv", "word\tv\ta\td\nfear\t0.7\t0.8\t0.9\n")
+    got = {r.word: (r.v, r.a, r.d) for r in files.read_lexicon(spark, path.rsplit("/", 1)[0]).collect()}
+    assert got == {"joy": (0.4, 0.5, 0.6), "fear": (0.7, 0.8, 0.9)}
+    plan = files.read_lexicon(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,33 @@ def test_bucket_sums_in_two_levels(spark, monkeypatch):
     assert sorted(splits.shuffled_split(rows, "id", sizes, "rest", 600).collect()) == sorted(plain)
     assert sorted(splits.stratified_split(rows, "id", "s", 60, 60).collect()) == sorted(by_stratum)
     assert Counter(r["split"] for r in plain) == {"x": 100, "y": 150, "rest": 350}
+
+
+def test_quotas_of_many_strata_need_no_single_task(spark):
+    """A million strata; the plans deal them to many tasks, and the shares are exact."""
+    sizes = spark.range(1_000_000).select(F.col("id").alias("s"), (F.col("id") % 7 + 1).alias("left"))
+    total = sizes.agg(F.sum("left")).first()[0]
+    held = total // 3
+    got = splits.held_out_quotas(sizes, "s", held, total, "n")
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    left = np.arange(1_000_000) % 7 + 1
+    base, rest = left * held // total, left * held % total
+    order = np.lexsort((np.arange(1_000_000), -rest))
+    base[order[: held - base.sum()]] += 1
+    rows = got.select("s", "n").toArrow()
+    found = np.empty(1_000_000, np.int64)
+    found[rows.column("s").to_numpy()] = rows.column("n").to_numpy()
+    assert (found == base).all() and found.sum() == held
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_quotas_order_equal_remainders(spark, monkeypatch, few):
+    monkeypatch.setattr(splits, "bounded", lambda df: (df, few))
+    for values in ([None, "a", "b", "ä"], [None, -5, 3, 10]):
+        kind = "string" if isinstance(values[1], str) else "int"
+        sizes = spark.createDataFrame([(v, 10) for v in values], f"s {kind}, left long")
+        got = {r.s: r.n for r in splits.held_out_quotas(sizes, "s", 6, 40, "n").collect()}
+        assert [got[v] for v in values] == [2, 2, 1, 1]
+    if not few:
+        with pytest.raises(ValueError, match="strata"):
+            splits.held_out_quotas(spark.createDataFrame([(1.5, 10)], "s double, left long"), "s", 6, 10, "n")
