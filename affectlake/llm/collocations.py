@@ -50,7 +50,9 @@ SLICE_BITS = 16
 HELD_WORDS = 150_000  # distinct words, and phrases, that a task holds before it sends them on
 HELD_PHRASES = 300_000
 ROWS_SENT = 50_000
+SHARDS = 4
 BLOCK = 1_000_000
+TOP_GROUPS = 64
 SEEDS = 8
 
 UNKNOWN = "und"
@@ -81,10 +83,17 @@ def collocations(
 
 
 def ranked(found: DataFrame, first: int) -> DataFrame:
-    """The ``first`` phrases of every language, with ``rank`` from 1."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first).withColumn(
-        "rank", F.col("rank").cast("bigint"))
+    """The ``first`` phrases of every language, with ``rank`` from 1.
+
+    They are chosen in TOP_GROUPS groups of a language first, so the last choice reads
+    that many times ``first`` rows at most, whatever a language's share.
+    """
+    best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    group = F.pmod(F.xxhash64("phrase"), F.lit(TOP_GROUPS))
+    inside = F.row_number().over(Window.partitionBy("lang", "group").orderBy(*best))
+    few = found.withColumn("group", group).withColumn("rank", inside).filter(F.col("rank") <= first).drop("group")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*best))
+    return few.withColumn("rank", place).filter(F.col("rank") <= first).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _scan(texts: DataFrame, seed: int, reach: int, schema: str, start: Callable) -> DataFrame:
@@ -277,8 +286,14 @@ def _columns(size: int) -> list[str]:
 def _listed(
     texts: DataFrame, seed: int, size: int, promising: Callable, sketch, min_count: int, block: int,
 ) -> DataFrame:
-    """``(w0, ..., key, block)``: the phrases that can be frequent."""
+    """``(w0, ..., key, block)``: the phrases that can be frequent.
+
+    A task packs its phrases and their counts into one row per shard, by the phrases'
+    keys; the rows of a shard stream past one task, which adds them up.  There are
+    SHARDS shards per task of the scan, so a shard does not grow with the input.
+    """
     names = [*_columns(size), "key"]
+    shards = SHARDS * max(1, texts.rdd.getNumPartitions())
 
     def start():
         held: list[np.ndarray] = []
@@ -286,12 +301,18 @@ def _listed(
         def send() -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(held)
             held.clear()
-            yield from _sliced([pa.array(c) for c in rows.view(np.int64).T.copy()], [*names, "n"])
+            shard = (rows[:, -2] % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            first = np.flatnonzero(np.diff(shard[order], prepend=-1))
+            packs = [part.tobytes() for part in np.split(rows[order], first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[order][first]), pa.array(packs, pa.binary())], names=["shard", "pack"])
 
         def each(words, langs):
             starts, keys = promising(words)
             sure = _marked_high(sketch.value, keys)
             starts, keys = starts[sure], keys[sure]
+            if not len(keys):
+                return
             ones = np.ones(len(keys), np.uint64)
             held.append(_combined(np.stack([*(words.hashes[starts + i] for i in range(size)), keys, ones], axis=1)))
             if sum(map(len, held)) > 2 * HELD_PHRASES:
@@ -306,12 +327,40 @@ def _listed(
 
         return each, end
 
-    found = _scan(texts, seed, size - 1, ", ".join(f"{c} bigint" for c in [*names, "n"]), start)
-    listed = saved(found.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).drop("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent() -> Iterator[pa.RecordBatch]:
+            rows = _summed(np.concatenate(held))
+            rows = rows[rows[:, -1] >= min_count]
+            yield from _sliced([pa.array(c) for c in rows[:, :-1].view(np.int64).T.copy()], names)
+
+        now, held = None, []
+        for batch in batches:
+            for shard, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != now and held:
+                    yield from frequent()
+                    held = []
+                now = shard
+                held.append(np.frombuffer(pack, np.uint64).reshape(-1, size + 2))
+                if sum(map(len, held)) > 2 * max(HELD_PHRASES, len(held[0])):
+                    held = [_summed(np.concatenate(held))]
+        if held:
+            yield from frequent()
+
+    packs = _scan(texts, seed, size - 1, "shard bigint, pack binary", start)
+    listed = saved(packs.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, ", ".join(f"{c} bigint" for c in names)))
     blocks = -(-listed.count() // block)
     return listed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(blocks, 1))))
 
 
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows with the sums of their last column, in the order of all their columns."""
+    rows = rows[np.lexsort(rows[:, :-1].T)]
+    first = np.flatnonzero(np.append(True, (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)))
+    out = rows[first]
+    out[:, -1] = np.add.reduceat(rows[:, -1], first)
+    return out
+
+
 def _marked_high(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     place = (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
