@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -207,8 +208,9 @@ def read_lexicon(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A line's place is one number, file, block and line in it, so the aggregate hashes.
     """
     raw = delimited(spark, path, LEXICON, sep="\t", multi_line=False)
-    names = sorted(raw.inputFiles())
-    file = F.array_position(F.lit(names), F.col("_metadata.file_path")) if len(names) > 1 else F.lit(0)
+    names = sorted(re.sub("^([^:]+):/+", r"\1:/", name) for name in raw.inputFiles())  # one way to write a local path
+    own = F.regexp_replace("_metadata.file_path", "^([^:]+):/+", "$1:/")
+    file = F.array_position(F.lit(names), own) if len(names) > 1 else F.lit(0)
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     at = F.expr("cast(file as decimal(8,0)) * 100000000000000000000 + cast(block as decimal(20,0))") * F.lit(10_000_000_000).cast(
         "decimal(11,0)") + F.col("local").cast("decimal(11,0)")
