@@ -10,7 +10,7 @@ Words are counted first, then phrases of 2, 3, ... words, level by level:
    small cannot be frequent.  The others are the candidates, dealt to blocks of at most
    about BLOCK phrases by hash.  A task makes each block into a double-array trie.
 3. One trie is broadcast at a time; every task walks all positions of its texts through
-   it, counts the accepting states and emits a sum per candidate.
+   it and counts the accepting states; the tasks' counts are added up.
 
 So what is broadcast is bounded whatever the input: more candidates mean more scans, one
 per BLOCK frequent phrases and level, not larger ones.
@@ -50,6 +50,7 @@ SLICE_BITS = 16
 HELD_WORDS = 150_000  # distinct words, and phrases, that a task holds before it sends them on
 HELD_PHRASES = 300_000
 ROWS_SENT = 50_000
+COUNTS_SENT = 1 << 15
 SHARDS = 4
 BLOCK = 1_000_000
 TOP_GROUPS = 64
@@ -194,13 +195,12 @@ def _level(texts: DataFrame, seed: int, below: DataFrame, size: int, min_count:
         # The numbers of a block's phrases are the order of the sorted phrases.
         trie = spark.sparkContext.broadcast((row.block, row.phrases, bytes(row.trie)))
         del row
-        part = saved(_tallied(texts, seed, size, trie))
+        part = saved(_tallied(texts, seed, size, trie, min_count))
         trie.destroy()
         counts = part if counts is None else counts.unionByName(part)
     if counts is None:
         return below.limit(0)
-    sums = counts.groupBy("block", "at").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    return saved(_numbered(listed, size).join(sums, ["block", "at"]).select("ws", "key", "n"))
+    return saved(_numbered(listed, size).join(counts, ["block", "at"]).select("ws", "key", "n"))
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -409,8 +409,12 @@ def _numbered(listed: DataFrame, size: int) -> DataFrame:
         "block", "at", F.array(*names).alias("ws"), "key")
 
 
-def _tallied(texts: DataFrame, seed: int, size: int, sent) -> DataFrame:
-    """``(block, at, n)``: a task's counts of the phrases of a trie."""
+def _tallied(texts: DataFrame, seed: int, size: int, sent, min_count: int) -> DataFrame:
+    """``(block, at, n)``: how often the phrases of a trie occur, those that are frequent.
+
+    A task sends its counts in slices; slices are added up in two rounds, like those of
+    the sketch.
+    """
 
     def start():
         block, phrases, packed = sent.value
@@ -421,12 +425,45 @@ def _tallied(texts: DataFrame, seed: int, size: int, sent) -> DataFrame:
             return iter(())
 
         def end():
-            at = np.flatnonzero(counts)
-            yield from _sliced([pa.array(np.full(len(at), block)), pa.array(at), pa.array(counts[at])], ["block", "at", "n"])
+            for at in range(0, phrases, COUNTS_SENT):
+                part = counts[at : at + COUNTS_SENT]
+                if part.any():
+                    yield one(block, at, part)
 
         return each, end
 
-    return _scan(texts, seed, size - 1, "block bigint, at bigint, n bigint", start)
+    def one(block: int, at: int, counts: np.ndarray) -> pa.RecordBatch:
+        packed = pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at]), packed], names=["block", "first", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        now, total = None, None
+        for batch in batches:
+            for block, at, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                part = np.frombuffer(zlib.decompress(packed), np.int64)
+                if (block, at) == now:
+                    total = total + part
+                else:
+                    if now is not None:
+                        yield *now, total
+                    now, total = (block, at), part
+        if now is not None:
+            yield *now, total
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, at, total in added(batches):
+            yield one(block, at, total)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, at, total in added(batches):
+            own = np.flatnonzero(total >= min_count)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(own), block)), pa.array(at + own), pa.array(total[own])], names=["block", "at", "n"])
+
+    schema, keys = "block bigint, first bigint, counts binary", ["block", "first"]
+    slices = _scan(texts, seed, size - 1, schema, start).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    once = slices.repartition(*keys, "salt").drop("salt").sortWithinPartitions(*keys).mapInArrow(add, schema)
+    return once.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(listed, "block bigint, at bigint, n bigint")
 
 
 def _outer(candidates: DataFrame, max_words: int, percent: int) -> DataFrame:
