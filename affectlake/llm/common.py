@@ -81,9 +81,10 @@ def roots(parents: DataFrame) -> DataFrame:
         above = now.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
         table = saved(now.groupBy("parent").agg(F.count("*").alias("k")).join(above, "parent", "left").select(
             "parent", "k", F.coalesce("above", "parent").alias("above")))
-        if table.filter("above <> parent").isEmpty():
+        total, deep = table.agg(F.sum("k"), F.count_if(F.col("above") != F.col("parent"))).first()
+        if not deep:
             break
-        now = saved(join_hot(now, table, "parent", "k", now.count()).select(F.col("above").alias("parent"), "child"))
+        now = saved(join_hot(now, table, "parent", "k", total).select(F.col("above").alias("parent"), "child"))
     return now.select(F.col("child").alias("node"), F.col("parent").alias("component")).unionByName(
         table.select(F.col("parent").alias("node"), F.col("parent").alias("component")))
 
@@ -138,7 +139,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         above = join_hot(both.filter("v > u"), low, "u", "n", seen[0])
         large = saved(_pairs(above.select(F.col("v").alias("a"), F.col("m").alias("b"))))
         low = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        small = join_hot(large, low, "a", "n", large.count())
+        small = join_hot(large, low, "a", "n", seen[0])  # large has no more rows than the edges had
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
         )

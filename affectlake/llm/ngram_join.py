@@ -45,7 +45,7 @@ SPARE = 2  # segments beyond need, so that an equal one is not empty
 CHUNK = 1_000  # sets compared with one copy of a leader
 LEAF = 128
 FANOUT = 8
-BITS_PER_TOKEN = 4
+BITS_PER_TOKEN = 1  # unrelated sets still differ in twice the bits that linked ones may
 
 
 def allowed_difference(size_sum: int, percent: int) -> int:
@@ -118,32 +118,34 @@ def components(
     known = join_hot(filled.filter(copied("f1")).select("doc_id", "f1", "f2", "marks"), classes, ["f1", "f2"], "k", total)
     marks = single.unionByName(known.filter("doc_id = rep").select("marks", F.col("rep").alias("id"))).select(
         F.explode("marks").alias("mark"), "id")
-    ordered = Window.partitionBy("mark").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    leader = F.first("id").over(ordered)
-    shared = saved(marks.withColumn("leader", leader).filter("id <> leader"))
-
-    members = shared.select("mark", "id").unionByName(shared.select("mark", F.col("leader").alias("id"))).distinct()
+    ordered = Window.partitionBy("mark").orderBy("id")
+    leader = F.first("id").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    members = saved(marks.select("mark", "id", leader.alias("leader"), F.lead("id").over(ordered).alias("after")).filter(
+        "id <> leader or after is not null").drop("after"))
     ids = saved(members.select(F.col("id").alias("doc_id")).distinct())
     wanted = saved(texts.filter(maybe_in(ids, "doc_id")("doc_id")).join(ids, "doc_id", "left_semi")
                    .select(F.col("doc_id").alias("id"), "text"))
-    votes = shared.groupBy("id", "leader").agg(F.count("*").alias("n"))
+    votes = members.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
     first = votes.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     links = saved(_compared(first, wanted, shingle_words, percent))
     grouped = saved(roots(links.select(F.col("a").alias("parent"), F.col("b").alias("child")).distinct()))
 
     more = links.select("a", "b").limit(0)
-    open_groups = _open_groups(members, grouped)
+    open_groups = _open_groups(members.drop("leader"), grouped)
     if not open_groups.isEmpty():
         pairs = _traversed(open_groups, wanted, shingle_words, percent)
         more = _compared(pairs, wanted, shingle_words, percent)
 
     # An id that stands for several classes, or is a copy in some, ties them together.
-    ids = join_hot(filled.select("doc_id", "n", "f1", "f2"), classes, ["f1", "f2"], "k", total)
-    repeated = ids.filter("doc_id is not null").groupBy("doc_id").agg(
-        F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    ties = ids.join(repeated.select("doc_id"), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = joined_components(grouped, more.unionByName(ties))
+    shown = filled.select("doc_id", "f1", "f2")
+    both_prints = F.struct("f1", "f2")
+    repeated = shown.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.min(both_prints).alias("lo"), F.max(both_prints).alias("hi")).filter("lo < hi")
+    tied = saved(shown.join(repeated.select("doc_id"), "doc_id", "left_semi"))
+    if not tied.isEmpty():
+        more = more.unionByName(join_hot(tied, classes, ["f1", "f2"], "k", total).select(
+            F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    final = joined_components(grouped, more)
 
     of_class = saved(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "f1", "f2", "k", F.coalesce("component", "rep").alias("component_id")))
