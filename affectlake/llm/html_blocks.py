@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -27,6 +28,10 @@ BOILER_WORDS = set(
     "masthead topbar footer copyright comment comments disqus reply replies respond form login search toolbar "
     "pagination pager paywall tagcloud".split()
 )
+COMMENT_WORDS = set("comment comments disqus reply replies respond".split())
+# Words that make a name a state or a kind of something else: no-comments, has-sidebar, share-enabled, long-form.
+STATE_STARTS = set("no non not without with has hide long short free".split())
+STATE_ENDS = set("enabled disabled allowed off".split())
 CONTENT_WORDS = set("article post entry content story title".split())
 WRAPPERS = set("html body main".split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend",
@@ -47,6 +52,8 @@ class Node:
     boiler: bool
     silent: bool
     content: bool
+    firm: bool = False
+    holds: bool = False  # an element inside, or the element itself, says that it is the article
 
 
 @dataclass
@@ -57,12 +64,26 @@ class Block:
     tag: str
     boiler: bool
     content: bool
-    parts: list[str] = field(default_factory=list, repr=False)
+    inside: tuple[Node, ...] = field(default=(), repr=False)  # open elements that name themselves boilerplate
+
+    def is_prose(self) -> bool:
+        return len(self.text) >= 60 and self.linked * 2 < len(self.text) and any(c in self.text for c in ".!?")
+
+
+def names_of(attrs: dict[str, str]) -> set[str]:
+    """Words of an element's class and id, without names that are a state of the element."""
+    out = set()
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+        words = WORDS.findall(name)
+        if len(words) > 1 and (words[0] in STATE_STARTS or words[-1] in STATE_ENDS):
+            continue
+        out.update(words)
+    return out
 
 
 def is_boiler(tag: str, attrs: dict[str, str]) -> bool:
     """Whether an element names itself as something other than the article."""
-    words = set(WORDS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+    words = names_of(attrs)
     if tag in WRAPPERS:
         return False
     if (attrs.get("role") or "").lower() in BOILER_ROLES:
@@ -70,8 +91,6 @@ def is_boiler(tag: str, attrs: dict[str, str]) -> bool:
     named = words & BOILER_WORDS
     if words & CONTENT_WORDS:  # the header of an article belongs to it
         named -= {"header", "banner"}
-    if words & {"with", "has"}:  # a frame around an article and its sidebar
-        named -= {"sidebar"}
     if tag == "article":
         named &= {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "advertisement", "sponsored", "promo"}
     return bool(named) or tag in BOILER_TAGS and not (tag == "header" and words & CONTENT_WORDS)
@@ -85,22 +104,51 @@ class _Reader(HTMLParser):
         self.count = 0
         self.parts: list[str] = []
         self.linked = 0
-        self.place: list[Node] | None = None
+        self.place: tuple | None = None
+        # Kept beside the stack, so that a piece of text costs the same at any depth.
+        self.open: Counter[str] = Counter()
+        self.path: list[int] = []
+        self.last: list[str] = []
+        self.boilers: list[Node] = []
+        self.silent = self.content = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            nodes = [n for n in self.place if n.tag in BLOCK]
-            last = nodes[-1].tag if nodes else ""
-            self.blocks.append(Block(
-                text, min(self.linked, len(text)), tuple(n.number for n in nodes), last,
-                any(n.boiler for n in self.place), any(n.content for n in self.place)))
+            path, last, inside, content = self.place
+            self.blocks.append(Block(text, min(self.linked, len(text)), path, last, bool(inside), content, inside))
         self.parts, self.linked, self.place = [], 0, None
 
     def pop_to(self, index: int) -> None:
         if any(n.tag in BLOCK for n in self.stack[index:]):
             self.flush()
-        del self.stack[index:]
+        while len(self.stack) > index:
+            node = self.stack.pop()
+            self.open[node.tag] -= 1
+            self.silent -= node.silent
+            self.content -= node.content
+            if node.boiler:
+                self.boilers.pop()
+            if node.tag in BLOCK:
+                self.path.pop()
+                self.last.pop()
+
+    def push(self, node: Node, says_article: bool) -> None:
+        self.stack.append(node)
+        self.open[node.tag] += 1
+        self.silent += node.silent
+        self.content += node.content
+        if node.boiler:
+            node.holds = says_article
+            self.boilers.append(node)
+        elif says_article:
+            for outer in reversed(self.boilers):
+                if outer.holds:
+                    break
+                outer.holds = True
+        if node.tag in BLOCK:
+            self.path.append(node.number)
+            self.last.append(node.tag)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("br", "wbr", "hr", "img"):
@@ -120,10 +168,14 @@ class _Reader(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         hidden = "hidden" in values or re.search(r"display\s*:\s*none", values.get("style", ""))
         self.count += 1
-        self.stack.append(Node(tag, self.count, is_boiler(tag, values), tag in SILENT or bool(hidden),
-                               tag in ("article", "main")))
+        words = names_of(values)
+        says_article = tag in ("article", "main") or bool(words & CONTENT_WORDS)
+        self.push(Node(tag, self.count, is_boiler(tag, values), tag in SILENT or bool(hidden),
+                       tag in ("article", "main"), bool(words & COMMENT_WORDS)), says_article)
 
     def close_open(self, tags: set[str], scope: set[str]) -> None:
+        if not any(self.open[tag] for tag in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag in tags:
                 self.pop_to(i)
@@ -135,23 +187,30 @@ class _Reader(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
                 self.pop_to(i)
                 return
 
     def handle_data(self, data: str) -> None:
-        if any(n.silent for n in self.stack):
+        if self.silent:
             return
         if self.place is None and data.strip():
-            self.place = list(self.stack)
+            self.place = (tuple(self.path), self.last[-1] if self.last else "", tuple(self.boilers), self.content > 0)
         self.parts.append(data)
-        if any(n.tag == "a" for n in self.stack):
+        if self.open["a"]:
             self.linked += len(data.strip())
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks in page order; an unfinished tag at the end of the page is no text."""
+    """Blocks in page order; an unfinished tag at the end of the page is no text.
+
+    If all prose of a page stands inside elements that name themselves boilerplate, the
+    names of those around an article are not believed, unless they are of comments: a
+    form or a panel around the whole page does not take the article with it.
+    """
     reader = _Reader()
     cut = html.rfind("<")
     if cut >= 0 and html.find(">", cut) < 0 and re.match(r"</?[a-zA-Z!]|<$|</$", html[cut : cut + 3]):
@@ -159,4 +218,7 @@ def blocks_of(html: str) -> list[Block]:
     reader.feed(html)
     reader.close()
     reader.flush()
+    if not any(b.is_prose() and not b.boiler for b in reader.blocks):
+        for block in reader.blocks:
+            block.boiler = any(n.firm or not n.holds for n in block.inside)
     return reader.blocks

@@ -13,8 +13,9 @@ page says, so that form alone decides where a page says nothing.
 
 Defined results: null or empty html, and pages without content, have an empty text;
 unfinished tags at the end are dropped; rows that repeat are read each; with nothing to
-learn from the classifier keeps its prior weights; an empty table gives no rows; other
-columns stay inside ``row``.
+learn from the classifier keeps its prior weights; an empty table gives no rows; a very
+long page is read whole; of cuts of equal cost the one with the fewest content blocks
+counts; other columns stay inside ``row``, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -92,7 +93,6 @@ def label(blocks: list[Block], weights: list[float]) -> list[bool]:
     """Which blocks are content."""
     scores = [sum(a * b for a, b in zip(features(block), weights, strict=True)) for block in blocks]
     share = [min(1 - LEAST_SHARE, max(LEAST_SHARE, 1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))) for s in scores]
-    share = [LEAST_SHARE if b.boiler else p for b, p in zip(blocks, share, strict=True)]
     edges, last_under = [], {}
     for i, block in enumerate(blocks):
         tied = set()

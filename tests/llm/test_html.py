@@ -54,6 +54,31 @@ def test_long_page_and_empty_table(spark):
     assert H.fit(empty) == H.PRIOR
 
 
+@pytest.mark.parametrize("start,end", [
+    ('<div class="long-form story">', "</div>"), ('<div class="post no-comments">', "</div>"),
+    ('<div class="entry-content share-enabled">', "</div>"), ('<form id="aspnet"><div class="content">', "</div></form>"),
+    ('<div class="story promo">', "</div>"),
+])
+def test_names_do_not_take_the_article(spark, start, end):
+    body = f"{start}<p>{LONG}</p><p>{LONG}</p>{end}"
+    page = f"<body><nav><a href=x>Home</a></nav>{body}<div class=footer>Imprint of the site.</div></body>"
+    assert texts(spark, [page]) == [f"{LONG} {LONG}"]
+
+
+def test_names_of_boilerplate_are_believed_beside_an_article(spark):
+    comments = f'<section id="comments"><div class="comment-content"><p>{LONG} {LONG}</p></div></section>'
+    assert texts(spark, [comments, f"<div><p>{LONG}</p></div>{comments}"]) == ["", LONG]
+    related = f'<aside><div class="post"><p>{LONG} {LONG}</p></div></aside>'
+    assert texts(spark, [f"<main><p>{LONG}</p></main>{related}"]) == [LONG]
+
+
+def test_deep_nesting_takes_linear_steps():
+    pages = ["<div>" * n + "x" + "</div>y" * n for n in (1_000, 3_000)]
+    assert [len(blocks_of(page)) for page in pages] == [1_001, 3_001]
+    deep = blocks_of("<div class=ad>" + "<div>" * 500 + "in" + "</div>" * 501 + "<a>out</a>")
+    assert [(b.boiler, b.linked) for b in deep] == [(True, 0), (False, 3)]
+
+
 def test_block_places():
     one, two = blocks_of("<div><p>a <a>b</a><p>c</div>")
     assert (one.text, one.linked, two.text) == ("a b", 1, "c")
