@@ -186,9 +186,9 @@ def bound_batches(spark: SparkSession) -> None:
 
 def arrow_map(
     docs: DataFrame, text_col: str, work: Callable[[], Callable], fields: Sequence[tuple[str, str, pa.DataType]],
-    also: Sequence[str] = (),
+    also: Sequence[str] = (), keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``row`` (all columns of ``docs``) beside what ``work`` makes of each text.
+    """``row`` (all columns of ``docs``, or those in ``keep``) beside what ``work`` makes of each text.
 
     ``work()`` runs once per task and returns a function from a list of texts, as
     UTF-8 bytes or None, and the values of the columns in ``also``, to one list per field
@@ -199,7 +199,9 @@ def arrow_map(
     source = docs.select(F.struct("*").alias("row"))
     at, others = docs.columns.index(text_col), [docs.columns.index(c) for c in also]
     made_schema = T.StructType.fromDDL(", ".join(f"{name} {sql_type}" for name, sql_type, _ in fields))
-    schema = T.StructType([*source.schema.fields, *made_schema.fields])
+    kept = [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
+    row_type = T.StructType([source.schema["row"].dataType.fields[i] for i in kept])
+    schema = T.StructType([T.StructField("row", row_type, False), *made_schema.fields])
     names, types = ["row", *(f[0] for f in fields)], [f[2] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +213,9 @@ def arrow_map(
                     pc.struct_field(rows, at).cast(pa.large_binary()).to_pylist(),
                     *(pc.struct_field(rows, i).to_pylist() for i in others))
                 made = [pa.array(x, type=t) for x, t in zip(values, types, strict=True)]
+                if keep is not None:  # a text that is not needed any more does not travel back
+                    rows = pa.StructArray.from_arrays(
+                        [pc.struct_field(rows, i) for i in kept], fields=[rows.type.field(i) for i in kept])
                 yield pa.RecordBatch.from_arrays([rows, *made], names=names)
 
     return source.mapInArrow(run, schema)

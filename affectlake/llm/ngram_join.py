@@ -170,7 +170,7 @@ def _hashed(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
 
     fields = [("n", "bigint", pa.int64()), ("f1", "bigint", pa.int64()), ("f2", "bigint", pa.int64()),
               ("marks", "array<bigint>", pa.list_(pa.int64()))]
-    return arrow_map(texts, "text", work, fields).select("row.doc_id", "n", "f1", "f2", "marks")
+    return arrow_map(texts, "text", work, fields, keep=["doc_id"]).select("row.doc_id", "n", "f1", "f2", "marks")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -243,7 +243,7 @@ def _traversed(members: DataFrame, texts: DataFrame, shingle_words: int, percent
 
     fields = [("n", "bigint", pa.int64()), ("bits", "binary", pa.binary())]
     own = texts.join(members.select("id").distinct(), "id", "left_semi")
-    maps = saved(arrow_map(own, "text", work, fields).select("row.id", "n", "bits"))
+    maps = saved(arrow_map(own, "text", work, fields, keep=["id"]).select("row.id", "n", "bits"))
     place = F.row_number().over(Window.partitionBy("mark").orderBy("component", "id")) - 1
     placed = saved(members.select("mark", "id", "component", F.floor(place / LEAF).alias("node")))
     item = F.struct("id", "component", "n", "bits")
