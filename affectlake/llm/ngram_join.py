@@ -45,7 +45,7 @@ SPARE = 2  # segments beyond need, so that an equal one is not empty
 CHUNK = 1_000  # sets compared with one copy of a leader
 LEAF = 128
 FANOUT = 8
-BITS_PER_TOKEN = 1  # unrelated sets still differ in twice the bits that linked ones may
+BITS_PER_TOKEN = 4  # with fewer, pairs just below the threshold are not told from links
 
 
 def allowed_difference(size_sum: int, percent: int) -> int:
