@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterable
 from html.entities import html5
 
@@ -141,6 +142,20 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _looked_up(key: Column, table: dict[str, str], per_map: int = 4) -> Column:
+    """The entry of a constant table, or null.
+
+    A map is searched entry by entry, so the table is an array of small maps, and the
+    key's crc32 says which one may hold it.
+    """
+    n = max(len(table) // per_map, 1)
+    maps: list[dict[str, str]] = [{} for _ in range(n)]
+    for name, value in table.items():
+        maps[zlib.crc32(name.encode()) % n][name] = value
+    listed = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")
+    return F.try_element_at(F.get(listed, (F.crc32(key) % n).cast("int")), key)
+
+
 # ---------------------------------------------------------------- single steps
 
 def strip_space(col: Column | str) -> Column:
@@ -189,8 +204,6 @@ def entity_characters() -> dict[str, str]:
 
 def decode_entities(col: Column | str) -> Column:
     """Character references, named or numeric, to their characters; unknown ones stay."""
-    named = F.from_json(F.lit(json.dumps(entity_characters())), "map<string,string>")
-
     def char_of(name):
         hexadecimal = F.regexp_extract(name, "^#[xX]0*+([0-9a-fA-F]{1,6})$", 1)
         decimal = F.regexp_extract(name, "^#0*+([0-9]{1,7})$", 1)  # longer ones are beyond all code points
@@ -199,14 +212,15 @@ def decode_entities(col: Column | str) -> Column:
         point = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
         numeric = F.when(valid, point).otherwise("\ufffd")
         return F.when(name.startswith("#"), numeric).otherwise(
-            F.coalesce(F.try_element_at(named, name), F.concat(F.lit("&"), name, F.lit(";"))))
+            F.coalesce(_looked_up(name, entity_characters()), F.concat(F.lit("&"), name, F.lit(";"))))
 
     def rename(text):
         found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
         joined = F.zip_with(
             F.split(text, ENTITY), found, lambda p, e: F.concat(p, F.coalesce(char_of(e), F.lit("")))
         )
-        return F.when(F.rlike(text, F.lit(ENTITY)), F.array_join(joined, "")).otherwise(text)
+        held = F.contains(text, F.lit("&")) & F.rlike(text, F.lit(ENTITY))
+        return F.when(held, F.array_join(joined, "")).otherwise(text)
 
     return _once(_c(col), rename)
 
@@ -217,9 +231,12 @@ def strip_html(col: Column | str) -> Column:
     Tags may have any number of attributes of any length, and their quoted values may
     hold any character.  A tag that is never closed stays, without its quoted values.
     """
-    out = F.regexp_replace(_c(col), hidden_html_pattern(), "")
-    out = F.regexp_replace(out, f"(?s){TAG_PARTS}", "$1$2$3")
-    return decode_entities(F.regexp_replace(out, f"(?s){TAG}", ""))
+    def without_tags(text):
+        out = F.regexp_replace(text, hidden_html_pattern(), "")
+        out = F.regexp_replace(out, f"(?s){TAG_PARTS}", "$1$2$3")
+        return F.when(F.contains(text, F.lit("<")), F.regexp_replace(out, f"(?s){TAG}", "")).otherwise(text)
+
+    return decode_entities(_once(_c(col), without_tags))
 
 
 def strip_html_exact(col: Column | str) -> Column:
@@ -266,7 +283,7 @@ def strip_html_exact(col: Column | str) -> Column:
 
 
 def straighten_quotes(col: Column | str) -> Column:
-    return F.translate(_c(col), "“”", '""')
+    return F.replace(F.replace(_c(col), F.lit("“"), F.lit('"')), F.lit("”"), F.lit('"'))
 
 
 def _points(ranges: str) -> set[int]:
@@ -299,6 +316,25 @@ def _code_blocks(codes: list[int], gap: int = 256) -> list[tuple[int, int]]:
     return [(a, b) for a, b in blocks]
 
 
+def _in_class(blocks: Iterable[tuple[int, int]]) -> str:
+    """A pattern's class; Java tests single ASCII characters together, but every range by itself."""
+    singly = [(c, c) for a, b in blocks for c in range(a, min(b, 127) + 1)]
+    ranges = singly + [(max(a, 128), b) for a, b in blocks if b >= 128]
+    return "[" + "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in ranges) + "]"
+
+
+def _code_class(chars: Iterable[str]) -> str:
+    """Exactly these characters, as the inside of a pattern's class."""
+    return _in_class(_code_blocks([ord(c) for c in chars], 1))[1:-1]
+
+
+def _wide_blocks(chars: Iterable[str], blocks: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Few ranges that hold the characters and the blocks, but no other ASCII."""
+    ends = [*map(ord, chars), *(code for block in blocks for code in block)]
+    ascii_codes = {c for c in ends if c < 128} | {c for a, b in blocks for c in range(a, min(b, 127) + 1)}
+    return _code_blocks([*ascii_codes], 1) + _code_blocks([max(c, 128) for c in ends if c >= 128], 4096)
+
+
 def flag_names() -> dict[str, str]:
     """Flags, two regional letters each, and the names of the regions, from the Java runtime's tables."""
     locale = SparkContext._active_spark_context._jvm.java.util.Locale
@@ -366,40 +402,30 @@ def names_from(table: DataFrame, emoji: str = "emoji", name: str = "name") -> di
 def demojize(col: Column | str, names: dict[str, str] | None = None) -> Column:
     """Emoji to ``:name:``; of several that begin at one place the longest is taken.
 
-    Only texts that hold one are taken apart: the pieces between emoji, and the
-    emoji.  Names of single code points stand at their places in constant tables, those of
-    sequences in a map.  ``names`` takes the place of all built-in names.
+    Only texts that hold one are taken apart, in one scan: the emoji, and the pieces
+    between them.  ``names`` takes the place of all built-in names.
     """
     names = {**emoji_names(), **emoji_sequences()} if names is None else names
-    singles, longer = [k for k in names if len(k) == 1], {k: f":{v}:" for k, v in names.items() if len(k) > 1}
+    shown = {k: f":{v}:" for k, v in names.items()}
+    singles, longer = [k for k in names if len(k) == 1], [k for k in names if len(k) > 1]
     blocks = _code_blocks([ord(k) for k in singles])
-    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in blocks)
-    found = "|".join([trie_pattern(longer)] * bool(longer) + [f"[{ranges}]"] * bool(singles))
-    # What an emoji can begin with; all other places are passed over at once.
-    starts = ranges + "".join(rf"\x{{{ord(c):x}}}" for c in sorted({k[0] for k in longer}))
-    inside = f"(?=[{starts}])(?:{found})" if names else "(?!)"
-
-    def name_of(emoji):
-        code, out = F.ascii(emoji), emoji
-        for a, b in blocks:
-            shown = [f":{names[c]}:" if c in names else c for c in map(chr, range(a, b + 1))]
-            table = F.split(F.lit("\n".join(shown)), "\n")
-            out = F.when(code.between(a, b), F.get(table, code - a)).otherwise(out)
-        if not longer:
-            return out
-        mapped = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
-        return F.when(F.char_length(emoji) > 1, F.try_element_at(mapped, emoji)).otherwise(out)
-
-    def rename(text):
-        plain = F.replace(text, F.lit(VARIATION), F.lit(""))
-        emoji = F.regexp_extract_all(plain, F.lit(f"({inside})"), F.lit(1))
-        joined = F.zip_with(
-            F.split(plain, inside), emoji, lambda p, e: F.concat(p, F.coalesce(name_of(e), F.lit("")))
-        )
-        named = F.regexp_replace(F.array_join(joined, ""), SKIN_TONE, ":$1_$2:")
-        return F.when(F.rlike(plain, F.lit(inside)), named).otherwise(text)
-
-    return _once(_c(col), rename)
+    firsts, seconds = (_code_class({k[i] for k in longer}) for i in (0, 1))
+    found = "|".join([f"(?=[{firsts}][{seconds}]){trie_pattern(longer)}"] * bool(longer) + [_in_class(blocks)] * bool(singles))
+    # Few wide ranges hold all that an emoji can begin with; all other places are passed over at once.
+    wide = _in_class(_wide_blocks({k[0] for k in longer}, blocks))
+    inside = f"(?={wide})(?:{found})" if names else "(?!)"
+    pieces = f"(?s){inside}|[^{wide[1:-1]}]++|." if names else "(?s).++"
+
+    def rename(plain, text):
+        named = F.transform(
+            F.regexp_extract_all(plain, F.lit(pieces), F.lit(0)), lambda p: F.coalesce(_looked_up(p, shown), p))
+        toned = F.regexp_replace(F.array_join(named, ""), SKIN_TONE, ":$1_$2:")
+        return F.when(F.rlike(plain, F.lit(inside)), toned).otherwise(text)
+
+    def without_variations(text):
+        return _once(F.replace(text, F.lit(VARIATION), F.lit("")), lambda plain: rename(plain, text))
+
+    return _once(_c(col), without_variations)
 
 
 def pad_emoji_names(col: Column | str) -> Column:

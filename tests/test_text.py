@@ -150,3 +150,28 @@ def test_symbols_are_no_emoji(spark):
     got = spark.createDataFrame([(text,)], "t string").select(T.demojize("t").alias("o")).first().o
     assert got == ("5 ★ hotel ✓ ♪ ☐ :star: :alarm_clock: :smiling_face_with_heart-eyes: :folded_hands: "
                    ":thumbs_up_medium_skin_tone: 1 #")
+
+
+def test_tables_of_names_are_searched_in_small_maps(spark):
+    names = {**T.emoji_names(), **T.emoji_sequences()}
+    rows = spark.createDataFrame([*names.items(), ("no", None)], "k string, want string")
+    found = T._looked_up(F.col("k"), names)
+    assert not rows.select("want", found.alias("got")).filter("not (want <=> got)").count()
+    plan = rows.select(T.demojize("k"), T.decode_entities("k"))._jdf.queryExecution().analyzed().toString()
+    assert "map<string,string>" not in plan.replace("array<map<string,string>>", "")
+
+
+def test_texts_are_split_by_no_pattern_of_names(spark):
+    """``split`` compiles its pattern for every row."""
+    plan = spark.createDataFrame([("a",)], "t string").select(T.demojize("t"))._jdf.queryExecution().analyzed().toString()
+    assert "split(" not in plan and "regexp_extract_all(" in plan
+
+
+def test_pieces_between_emoji_stay_whole(spark):
+    texts = {
+        "a#b*1 1️⃣2😂→️∑日本\n5\u20e3\u200d😂": "a#b*1 :keycap_1:2:face_with_tears_of_joy:→∑日本\n:keycap_5:\u200d:face_with_tears_of_joy:",
+        "∑️ plain": None, "1️ 2": None, "": "", "👩🏽\u200d": ":woman_medium_skin_tone:\u200d", "𝒳😂𝒳\U000e0067": "𝒳:face_with_tears_of_joy:𝒳\U000e0067",
+    }
+    got = column(spark, list(texts), T.demojize)
+    assert got == [t if want is None else want for t, want in texts.items()]
+    assert column(spark, ["a😂️", None], lambda c: T.demojize(c, {})) == ["a😂️", None]
