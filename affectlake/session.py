@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SMALL_ROWS = 100_000
 SMALL_BYTES = 32_000_000
@@ -76,9 +76,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a table over all cores if its scan cannot fill them.
 
     Costly per-row work (cleaning, Arrow functions) on a table below one split
-    per core would run in few tasks, so its rows are hashed by ``key`` first.
-    Larger tables come back as they are: their splits already fill the cores.  ``df`` is
-    a scan with narrow steps, whose splits are known without running anything.
+    per core would run in few tasks, so its rows are hashed by ``key`` first.  So are those
+    of a table whose rows lie in few of its splits: a block of a file is read by one task,
+    however many splits it touches.  Other tables come back as they are.  ``df`` is a scan
+    with narrow steps; the rows of its splits are counted without reading a column.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.select("*").rdd.getNumPartitions() < cores else df
+    splits = df.select("*").rdd.getNumPartitions()
+    if splits < cores:
+        return df.repartition(cores, key)
+    held = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return df.repartition(splits, key) if held[0] and held[0] * cores > 2 * held[1] else df
