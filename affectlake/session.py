@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SMALL_ROWS = 100_000
 SMALL_BYTES = 32_000_000
+FEW_ROWS = 1_000
 
 
 def local_session(cpus: int | str = 8, app: str = "affectlake") -> SparkSession:
@@ -78,7 +79,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Costly per-row work (cleaning, Arrow functions) on a table below one split
     per core would run in few tasks, so its rows are hashed by ``key`` first.  So are those
     of a table whose rows lie in few of its splits: a block of a file is read by one task,
-    however many splits it touches.  Other tables come back as they are.  ``df`` is a scan
+    however many splits it touches; FEW_ROWS are no long task.  Other tables come back as they are.  ``df`` is a scan
     with narrow steps; the rows of its splits are counted without reading a column.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -86,4 +87,5 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if splits < cores:
         return df.repartition(cores, key)
     held = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
-    return df.repartition(splits, key) if held[0] and held[0] * cores > 2 * held[1] else df
+    uneven = held[0] is not None and held[0] > FEW_ROWS and held[0] * cores > 2 * held[1]
+    return df.repartition(splits, key) if uneven else df
