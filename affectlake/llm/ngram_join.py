@@ -16,7 +16,9 @@ out in levels so that no task, and nothing on the driver, holds more than a node
    with the OR and the AND of their bitmaps, their size range and their components, and
    parents over FANOUT nodes.  The traversal starts at the root pair and goes down by
    joins; a pair of nodes is dropped if sizes, overlap bound or a common component rule
-   out a new link.  Pairs of sets that survive at the leaves are compared exactly.
+   out a new link.  A set is in many groups, so its copies there are coarse bitmaps.
+5. Pairs of sets that survive, at the leaves or with a leader, meet once more with fine
+   bitmaps; texts travel for the pairs that are left, and these are compared exactly.
 
 Every bound is a proof, not an estimate: no link between different texts is lost.
 Comparison is on 64-bit shingle hashes of whole texts.
@@ -43,9 +45,11 @@ from affectlake.session import saved
 BAND_RATIO = 1.5
 SPARE = 2  # segments beyond need, so that an equal one is not empty
 CHUNK = 1_000  # sets compared with one copy of a leader
-LEAF = 128
+LEAF = 1_024  # most signature groups are one leaf, which no join copies
 FANOUT = 8
 BITS_PER_TOKEN = 4  # with fewer, pairs just below the threshold are not told from links
+COARSER = 4  # a coarse bitmap has so many times fewer bits
+FINE_BYTES = 8_192  # of the largest fine bitmap, as hot leaders' are broadcast
 
 
 def allowed_difference(size_sum: int, percent: int) -> int:
@@ -96,6 +100,13 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(marked, bitorder="little").tobytes()
 
 
+def both_bitmaps(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """The coarse and the fine bitmap of a set."""
+    bits = bitmap(shingles)
+    sizes = max(8, len(bits) // COARSER), min(len(bits), FINE_BYTES)
+    return tuple(folded(bits, size).tobytes() for size in sizes)
+
+
 def folded(bits: bytes, size: int) -> np.ndarray:
     """The bitmap of the same tokens with ``size`` bytes, as words."""
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
@@ -107,34 +118,35 @@ def components(
     """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = saved(_hashed(texts, shingle_words, percent))
+    hashed = _hashed(texts, shingle_words, percent)
+    rows = saved(hashed.drop("marks"))
     filled = rows.filter("n > 0")
     classes = saved(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")))
     total = filled.count()
 
-    # A text without copies is its class's representative; only possible copies are looked up.
+    # Signatures are many more bytes than texts: they are made again rather than written.  A text without copies
+    # stands for its class; a copy that passes the filter beside its representative is linked to it like any other.
     copied = maybe_in(classes.filter("k > 1"), "f1")
-    single = filled.filter(~copied("f1") & F.col("doc_id").isNotNull()).select("marks", F.col("doc_id").alias("id"))
-    known = join_hot(filled.filter(copied("f1")).select("doc_id", "f1", "f2", "marks"), classes, ["f1", "f2"], "k", total)
-    marks = single.unionByName(known.filter("doc_id = rep").select("marks", F.col("rep").alias("id"))).select(
-        F.explode("marks").alias("mark"), "id")
+    shown = classes.filter(copied("f1") & F.col("rep").isNotNull()).select(F.xxhash64("rep", "f1", "f2").alias("own"))
+    stands = maybe_in(shown, "own")
+    own = hashed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).withColumn("own", F.xxhash64("doc_id", "f1", "f2"))
+    marks = own.filter(~copied("f1") | stands("own")).select(F.explode("marks").alias("mark"), F.col("doc_id").alias("id"))
     ordered = Window.partitionBy("mark").orderBy("id")
     leader = F.first("id").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     members = saved(marks.select("mark", "id", leader.alias("leader"), F.lead("id").over(ordered).alias("after")).filter(
         "id <> leader or after is not null").drop("after"))
     ids = saved(members.select(F.col("id").alias("doc_id")).distinct())
-    wanted = saved(texts.filter(maybe_in(ids, "doc_id")("doc_id")).join(ids, "doc_id", "left_semi")
-                   .select(F.col("doc_id").alias("id"), "text"))
+    maps = saved(_bitmaps(_of_ids(texts, ids), shingle_words))
     votes = members.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
     first = votes.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    links = saved(_compared(first, wanted, shingle_words, percent))
+    links = saved(_compared(_fitting(first, maps, percent), texts, shingle_words, percent))
     grouped = saved(roots(links.select(F.col("a").alias("parent"), F.col("b").alias("child")).distinct()))
 
     more = links.select("a", "b").limit(0)
     open_groups = _open_groups(members.drop("leader"), grouped)
     if not open_groups.isEmpty():
-        pairs = _traversed(open_groups, wanted, shingle_words, percent)
-        more = _compared(pairs, wanted, shingle_words, percent)
+        pairs = _fitting(_traversed(open_groups, maps, percent), maps, percent)
+        more = _compared(pairs, texts, shingle_words, percent)
 
     # An id that stands for several classes, or is a copy in some, ties them together.
     shown = filled.select("doc_id", "f1", "f2")
@@ -173,6 +185,47 @@ def _hashed(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     return arrow_map(texts, "text", work, fields, keep=["doc_id"]).select("row.doc_id", "n", "f1", "f2", "marks")
 
 
+def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, text)`` of the texts with one of the ids ``doc_id``, and few others."""
+    return texts.filter(F.col("doc_id").isNotNull() & maybe_in(ids, "doc_id")("doc_id")).select(
+        F.col("doc_id").alias("id"), "text")
+
+
+def _bitmaps(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """``(id, n, coarse, fine)``: set sizes and bitmaps."""
+
+    def work():
+        def mark_all(batch: list) -> list[list]:
+            sets = [shingle_set(t, shingle_words) for t in batch]
+            return [[len(s) for s in sets], *map(list, zip(*map(both_bitmaps, sets), strict=True))]
+
+        return mark_all
+
+    fields = [("n", "bigint", pa.int64()), ("coarse", "binary", pa.binary()), ("fine", "binary", pa.binary())]
+    return arrow_map(texts, "text", work, fields, keep=["id"]).select("row.id", "n", "coarse", "fine")
+
+
+def _fitting(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(leader, id)`` that sizes and fine bitmaps leave possible."""
+
+    @F.pandas_udf("boolean")
+    def fit(n_x: pd.Series, x: pd.Series, n_y: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for n, bits_x, bits_y in zip(n_x + n_y, x, y, strict=True):
+            size = min(len(bits_x), len(bits_y))
+            apart = np.bitwise_count(folded(bits_x, size) ^ folded(bits_y, size)).sum()
+            out.append(bool(apart <= allowed_difference(int(n), percent)))
+        return pd.Series(out, dtype=bool)
+
+    pairs = saved(pairs.select("leader", "id"))
+    x, y = (maps.select(F.col("id").alias(key), F.col("n").alias(f"n_{s}"), F.col("fine").alias(s))
+            for key, s in (("leader", "x"), ("id", "y")))
+    leaders = saved(pairs.groupBy("leader").agg(F.count("*").alias("k")).join(x, "leader"))
+    both = join_hot(pairs, leaders, "leader", "k", pairs.count()).join(y, "id")
+    sizes = (F.col("n_x") * percent <= F.col("n_y") * 100) & (F.col("n_y") * percent <= F.col("n_x") * 100)
+    return both.filter(sizes & fit("n_x", "x", "n_y", "y")).select("leader", "id").distinct()
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` among pairs ``(leader, id)``, by exact intersection.
 
@@ -186,7 +239,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: i
     heads = counts.select("leader", F.col("leader").alias("id"), F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
     both = heads.withColumn("side", F.lit(0)).unionByName(partners.withColumn("side", F.lit(1)))
-    streams = both.join(texts, "id").repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "side")
+    ids = saved(pairs.select(F.explode(F.array("leader", "id")).alias("doc_id")).distinct())
+    streams = both.join(_of_ids(texts, ids), "id").repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heads = None, []
@@ -231,27 +285,20 @@ def _open_groups(members: DataFrame, grouped: DataFrame) -> DataFrame:
     return saved(join_hot(placed, chosen, "mark", "k", placed.count()))
 
 
-def _traversed(members: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+def _traversed(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(leader, id)`` of sets in different components that the tree cannot rule out."""
-
-    def work():
-        def mark_all(batch: list) -> tuple[list, list]:
-            sets = [shingle_set(t, shingle_words) for t in batch]
-            return [len(s) for s in sets], [bitmap(s) for s in sets]
-
-        return mark_all
-
-    fields = [("n", "bigint", pa.int64()), ("bits", "binary", pa.binary())]
-    own = texts.join(members.select("id").distinct(), "id", "left_semi")
-    maps = saved(arrow_map(own, "text", work, fields, keep=["id"]).select("row.id", "n", "bits"))
     place = F.row_number().over(Window.partitionBy("mark").orderBy("component", "id")) - 1
     placed = saved(members.select("mark", "id", "component", F.floor(place / LEAF).alias("node")))
-    item = F.struct("id", "component", "n", "bits")
-    leaves = saved(placed.join(maps, "id").groupBy("mark", "node").agg(F.collect_list(item).alias("sets")))
     deep = saved(placed.filter("node > 0").select("mark").distinct())
-    close = leaves.join(deep, "mark", "left_anti").select(F.col("sets").alias("sx"), F.col("sets").alias("sy"))
+
+    def leaves(rows: DataFrame) -> DataFrame:
+        item = F.struct("id", "component", "n", F.col("coarse").alias("bits"))
+        return rows.join(maps.select("id", "n", "coarse"), "id").groupBy("mark", "node").agg(F.collect_list(item).alias("sets"))
+
+    close = leaves(placed.join(deep, "mark", "left_anti")).withColumn("others", F.lit(None).cast("array<struct<"
+        "id:bigint,component:bigint,n:bigint,bits:binary>>")).select(F.col("sets").alias("sx"), F.col("others").alias("sy"))
     if not deep.isEmpty():
-        inner = leaves.join(deep, "mark", "left_semi")
+        inner = saved(leaves(placed.join(deep, "mark", "left_semi")))
         pairs = _leaf_pairs(inner, percent)
         close = close.unionByName(
             pairs.join(inner.select("mark", F.col("node").alias("node_x"), F.col("sets").alias("sx")), ["mark", "node_x"])
@@ -261,7 +308,8 @@ def _traversed(members: DataFrame, texts: DataFrame, shingle_words: int, percent
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = _close_sets(xs.as_py(), ys.as_py(), percent)
+                x = xs.as_py()  # a leaf without another meets itself
+                a, b = _close_sets(x, ys.as_py() if ys.is_valid else x, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                                  names=["leader", "id"])
 
@@ -349,5 +397,5 @@ def _close_sets(xs: list[dict], ys: list[dict], percent: int) -> tuple[list[int]
         apart[i] = np.bitwise_count(x[i] ^ y).sum(axis=1)
     fits = apart <= allowed_difference(n_x + n_y.T, percent)
     fits &= (np.minimum(n_x, n_y.T) * 100 >= percent * np.maximum(n_x, n_y.T)) & (c_x != c_y.T)
-    i, j = np.nonzero(fits)
+    i, j = np.nonzero(np.triu(fits) if xs is ys else fits)
     return np.minimum(id_x[i], id_y[j]).tolist(), np.maximum(id_x[i], id_y[j]).tolist()

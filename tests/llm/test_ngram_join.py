@@ -106,3 +106,24 @@ def test_linked_sets_share_a_signature(n):
         b = np.unique(np.concatenate([a[lost // 2 :], r.integers(0, 2**63, lost - lost // 2).astype(np.uint64)]))
         if J._linked(a, b, 90) and len(np.setxor1d(a, b)):
             assert len(np.intersect1d(J.signatures(a, 90), J.signatures(b, 90)))
+
+
+def test_copies_in_groups_are_coarse_and_lose_no_link():
+    r = np.random.default_rng(7)
+    for n in (1, 40, 300, 5_000, 70_000):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], r.integers(0, 2**63, n // 10).astype(np.uint64)]))
+        for x, y in zip(J.both_bitmaps(a), J.both_bitmaps(b), strict=True):
+            size = min(len(x), len(y))
+            assert np.bitwise_count(J.folded(x, size) ^ J.folded(y, size)).sum() <= len(np.setxor1d(a, b))
+        coarse, fine = J.both_bitmaps(a)
+        assert 8 * len(coarse) <= max(64, 2 * n) and len(fine) <= J.FINE_BYTES
+
+
+def test_pairs_apart_are_dropped_before_texts_travel(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = {1: words, 2: [*words[:-2], "x", "y"], 3: [f"v{i}" for i in range(300)], 4: words[:100]}
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3)], "leader long, id long")
+    left = J._fitting(pairs, J._bitmaps(rows, 3), 90)
+    assert [tuple(r) for r in left.collect()] == [(1, 2)]
