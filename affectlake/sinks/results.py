@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -60,6 +65,29 @@ def write_split_corpus(df: DataFrame, path: str, form: str = "csv", mode: str =
         _csv(out, path, False, mode)
 
 
+def write_named_files(rows: DataFrame) -> None:
+    """Every row ``(folder, name, value)`` as a text file of its own, written by the task that holds the row.
+
+    Folders are on a mount that all executors share.  A file gets its name once it is whole,
+    so a task that is tried again, or runs twice, leaves the same files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
+        for batch in batches:
+            for folder, name, value in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                part = f"{folder}/_{uuid.uuid4().hex}"
+                with open(part, "wb") as out:
+                    out.write(value.encode() + b"\n")
+                os.replace(part, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select("folder", "name", "value").mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 def write_combined_corpus(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Combined annotations with all fields quoted."""
     _csv(df.select("id", "V", "A", "D", "text"), path, True, mode)

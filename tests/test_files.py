@@ -186,3 +186,27 @@ def test_lexicon_of_several_files(spark, write):
     assert got == {"joy": (0.4, 0.5, 0.6), "fear": (0.7, 0.8, 0.9)}
     plan = files.read_lexicon(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_named_files_are_written_where_the_rows_are(spark, tmp_path):
+    root = tmp_path / "s"
+    rows = [(str(root / f"d{i % 2}"), f"f{i}.txt", f"é {i}\nend") for i in range(20)]
+    for _ in range(2):  # a second run takes the place of the first
+        results.write_named_files(spark.createDataFrame(rows, "folder string, name string, value string").repartition(3))
+    assert sorted(str(p.relative_to(root)) for p in root.rglob("*.*")) == sorted(f"d{i % 2}/f{i}.txt" for i in range(20))
+    assert (root / "d1/f3.txt").read_bytes() == "é 3\nend\n".encode()
+    read = files.read_whole_files(spark, [str(root / "d0"), str(root / "d1")])
+    assert {tuple(r) for r in read.collect()} == {(f"f{i}", f"é {i}\nend\n") for i in range(20)}
+
+
+def test_dialogue_folders_hold_a_file_per_conversation(spark, tmp_path):
+    from affectlake.plans.file_queries import _dialogue_folders
+
+    ids = [1, 2, 2, 7, None, -12345678]  # the last two have no session
+    rows = [(i, n, "user", f"t {n}", 1) for n, i in enumerate(ids)]
+    made = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, n_chars int")
+    made.write.parquet(f"{tmp_path}/conversations.parquet")
+    root = _dialogue_folders(spark, str(tmp_path))
+    for kind in ("evaluations", "transcripts"):
+        read = files.read_whole_files(spark, files.dialogue_folders(root, kind))
+        assert sorted(r["file"] for r in read.collect()) == ["Ses00000001", "Ses00000002", "Ses00000007"]
