@@ -12,13 +12,15 @@ out in levels so that no task, and nothing on the driver, holds more than a node
 3. Inside a group with an equal signature, every set is first compared with the group's
    leader it shares most signatures with.  That is linear in the copies, and joins
    groups of copies into components, whose inner pairs need no further look.
-4. Groups that still span several components get the lower tree: leaves of LEAF sets
-   with the OR and the AND of their bitmaps, their size range and their components, and
-   parents over FANOUT nodes.  The traversal starts at the root pair and goes down by
-   joins; a pair of nodes is dropped if sizes, overlap bound or a common component rule
-   out a new link.  A set is in many groups, so its copies there are coarse bitmaps.
-5. Pairs of sets that survive, at the leaves or with a leader, meet once more with fine
-   bitmaps; texts travel for the pairs that are left, and these are compared exactly.
+4. Linked sets agree in more segments than one, so a set leaves its most common
+   signatures out.  Groups that still span several components are merged by their leader
+   and get the lower tree: leaves of LEAF sets with the OR and the AND of their bitmaps,
+   their size range and their components, and parents over FANOUT nodes.  The traversal
+   starts at the root pair and goes down by joins; a pair of nodes is dropped if sizes,
+   overlap bound or a common component rule out a new link.  Nodes are coarse bitmaps,
+   leaves that meet are fine ones.
+5. Texts travel only for pairs that fine bitmaps leave possible, at the leaves or with a
+   leader, and these are compared exactly.
 
 Every bound is a proof, not an estimate: no link between different texts is lost.
 Comparison is on 64-bit shingle hashes of whole texts.
@@ -44,6 +46,8 @@ from affectlake.session import saved
 
 BAND_RATIO = 1.5
 SPARE = 2  # segments beyond need, so that an equal one is not empty
+SPARE_SHARE, MOST_SPARE = 4, 1_000  # and one for so many needed, up to so many: a set leaves its most common ones out
+BAND_STEP = 10_000  # above the spare ones
 CHUNK = 1_000  # sets compared with one copy of a leader
 LEAF = 1_024  # most signature groups are one leaf, which no join copies
 FANOUT = 8
@@ -70,26 +74,41 @@ def band_tops(largest: int, percent: int) -> list[int]:
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Segment signatures of a set, for its own band and those of larger partners."""
+    return placed_signatures(shingles, percent)[0]
+
+
+def placed_signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment signatures, and beside each its band and how many of that band the set may leave out.
+
+    Two linked sets agree in more than ``spare`` segments of a band, of which at most as
+    many are empty as one of them has empty ones.  So if each leaves out as many as it has
+    spare ones that are not empty, and all sets choose by one order of the signatures, the
+    last of the common ones in that order is left out by neither.
+    """
     n = len(shingles)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     reach = n * 100 // percent
     tops = np.array(band_tops(reach, percent))
     own, last = np.searchsorted(tops, [n, reach])
-    out = []
+    out, places = [], []
     for band in range(max(own, 1), last + 1):  # below band 1 only equal sets are linked
-        m = allowed_difference(2 * int(tops[band]), percent) + 1 + SPARE
+        allowed = allowed_difference(2 * int(tops[band]), percent)
+        spare = SPARE + min(allowed // SPARE_SHARE, MOST_SPARE)
+        m = allowed + 1 + spare
         segment = ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         salt = mixed(np.array([band], np.uint64))
         order = np.argsort(segment, kind="stable")
         starts = np.flatnonzero(np.diff(segment[order], prepend=-1))
         sums = np.add.reduceat(mixed(shingles[order] ^ salt), starts)
         filled = segment[order][starts]
-        if m - len(filled) > SPARE:  # so many are empty that equal ones may all be
+        loose = max(0, spare - (m - len(filled)))
+        if m - len(filled) > spare:  # so many are empty that equal ones may all be
             empty = np.setdiff1d(np.arange(m), filled)
             filled, sums = np.concatenate([filled, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
         out.append(mixed(sums + mixed(filled.astype(np.uint64) * np.uint64(1_000_003) + salt)).view(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        places.append(np.full(len(filled), band * BAND_STEP + loose))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out, places))
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -119,7 +138,7 @@ def components(
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = _hashed(texts, shingle_words, percent)
-    rows = saved(hashed.drop("marks"))
+    rows = saved(hashed.drop("marks", "places"))
     filled = rows.filter("n > 0")
     classes = saved(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")))
     total = filled.count()
@@ -130,10 +149,12 @@ def components(
     shown = classes.filter(copied("f1") & F.col("rep").isNotNull()).select(F.xxhash64("rep", "f1", "f2").alias("own"))
     stands = maybe_in(shown, "own")
     own = hashed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).withColumn("own", F.xxhash64("doc_id", "f1", "f2"))
-    marks = own.filter(~copied("f1") | stands("own")).select(F.explode("marks").alias("mark"), F.col("doc_id").alias("id"))
+    both = F.explode(F.arrays_zip("marks", "places")).alias("at")
+    marks = own.filter(~copied("f1") | stands("own")).select(both, F.col("doc_id").alias("id")).select(
+        F.col("at.marks").alias("mark"), "id", F.col("at.places").alias("place"))
     ordered = Window.partitionBy("mark").orderBy("id")
     leader = F.first("id").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    members = saved(marks.select("mark", "id", leader.alias("leader"), F.lead("id").over(ordered).alias("after")).filter(
+    members = saved(marks.select("mark", "id", "place", leader.alias("leader"), F.lead("id").over(ordered).alias("after")).filter(
         "id <> leader or after is not null").drop("after"))
     ids = saved(members.select(F.col("id").alias("doc_id")).distinct())
     maps = saved(_bitmaps(_of_ids(texts, ids), shingle_words))
@@ -143,7 +164,7 @@ def components(
     grouped = saved(roots(links.select(F.col("a").alias("parent"), F.col("b").alias("child")).distinct()))
 
     more = links.select("a", "b").limit(0)
-    open_groups = _open_groups(members.drop("leader"), grouped)
+    open_groups = _open_groups(_needed(members), grouped)
     if not open_groups.isEmpty():
         pairs = _fitting(_traversed(open_groups, maps, percent), maps, percent)
         more = _compared(pairs, texts, shingle_words, percent)
@@ -173,7 +194,7 @@ def _hashed(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     def work():
         def hash_one(text: bytes | None) -> tuple:
             own = shingle_set(text, shingle_words)
-            return (len(own), *fingerprint(own), signatures(own, percent))
+            return (len(own), *fingerprint(own), *placed_signatures(own, percent))
 
         def hash_all(batch: list) -> list:
             return list(zip(*map(hash_one, batch), strict=True))
@@ -181,8 +202,8 @@ def _hashed(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
         return hash_all
 
     fields = [("n", "bigint", pa.int64()), ("f1", "bigint", pa.int64()), ("f2", "bigint", pa.int64()),
-              ("marks", "array<bigint>", pa.list_(pa.int64()))]
-    return arrow_map(texts, "text", work, fields, keep=["doc_id"]).select("row.doc_id", "n", "f1", "f2", "marks")
+              ("marks", "array<bigint>", pa.list_(pa.int64())), ("places", "array<int>", pa.list_(pa.int32()))]
+    return arrow_map(texts, "text", work, fields, keep=["doc_id"]).select("row.doc_id", "n", "f1", "f2", "marks", "places")
 
 
 def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -269,20 +290,33 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both * 100 >= percent * (len(a) + len(b) - both)
 
 
+def _needed(members: DataFrame) -> DataFrame:
+    """Members ``(mark, id, leader)`` without each set's most common marks, as many of a band as it may leave out."""
+    counts = saved(members.groupBy("mark").agg(F.count("*").alias("k")))
+    sized = join_hot(members, counts.withColumn("size", F.col("k")), "mark", "k", members.count())
+    common = Window.partitionBy("id", F.floor(F.col("place") / BAND_STEP)).orderBy(F.desc("size"), F.desc("mark"))
+    return saved(sized.withColumn("at", F.row_number().over(common)).filter(
+        F.col("at") > F.col("place") % BAND_STEP).select("mark", "id", "leader"))
+
+
 def _open_groups(members: DataFrame, grouped: DataFrame) -> DataFrame:
     """Members ``(mark, id, component)`` of groups that span components.
 
-    Groups with the same members say the same; one of them is kept.
+    Groups with the same members say the same; one of them is kept.  Those that are left
+    and have one leader become one group, known by it, that holds a set once: near copies
+    share most of their marks, but these have few leaders.  A leader has as many marks as
+    it has segments, so that many groups at most become one.
     """
     placed = saved(members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select(
-        "mark", "id", F.coalesce("component", "id").alias("component")))
+        "mark", "id", "leader", F.coalesce("component", "id").alias("component")))
     groups = placed.groupBy("mark").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"),
         F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"),
         F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2"),
     ).filter("lo < hi")
     chosen = saved(groups.groupBy("k", "s1", "s2").agg(F.min("mark").alias("mark")).select("mark", "k"))
-    return saved(join_hot(placed, chosen, "mark", "k", placed.count()))
+    return saved(join_hot(placed, chosen, "mark", "k", placed.count()).select(
+        F.col("leader").alias("mark"), "id", "component").distinct())
 
 
 def _traversed(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -291,15 +325,15 @@ def _traversed(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     placed = saved(members.select("mark", "id", "component", F.floor(place / LEAF).alias("node")))
     deep = saved(placed.filter("node > 0").select("mark").distinct())
 
-    def leaves(rows: DataFrame) -> DataFrame:
-        item = F.struct("id", "component", "n", F.col("coarse").alias("bits"))
-        return rows.join(maps.select("id", "n", "coarse"), "id").groupBy("mark", "node").agg(F.collect_list(item).alias("sets"))
+    def leaves(rows: DataFrame, bits: str) -> DataFrame:
+        item = F.struct("id", "component", "n", F.col(bits).alias("bits"))
+        return rows.join(maps.select("id", "n", bits), "id").groupBy("mark", "node").agg(F.collect_list(item).alias("sets"))
 
-    close = leaves(placed.join(deep, "mark", "left_anti")).withColumn("others", F.lit(None).cast("array<struct<"
+    close = leaves(placed.join(deep, "mark", "left_anti"), "fine").withColumn("others", F.lit(None).cast("array<struct<"
         "id:bigint,component:bigint,n:bigint,bits:binary>>")).select(F.col("sets").alias("sx"), F.col("others").alias("sy"))
     if not deep.isEmpty():
-        inner = saved(leaves(placed.join(deep, "mark", "left_semi")))
-        pairs = _leaf_pairs(inner, percent)
+        below = placed.join(deep, "mark", "left_semi")
+        pairs, inner = _leaf_pairs(leaves(below, "coarse"), percent), saved(leaves(below, "fine"))
         close = close.unionByName(
             pairs.join(inner.select("mark", F.col("node").alias("node_x"), F.col("sets").alias("sx")), ["mark", "node_x"])
             .join(inner.select("mark", F.col("node").alias("node_y"), F.col("sets").alias("sy")), ["mark", "node_y"])
@@ -386,16 +420,33 @@ def _possible(percent: int) -> Column:
 
 
 def _close_sets(xs: list[dict], ys: list[dict], percent: int) -> tuple[list[int], list[int]]:
-    """Pairs of sets of two leaves that sizes and bitmaps leave possible, across components."""
-    size = min(len(s["bits"]) for s in [*xs, *ys])
-    x, y = (np.stack([folded(s["bits"], size) for s in side]) for side in (xs, ys))
+    """Pairs of sets of two leaves that sizes and bitmaps leave possible, across components.
+
+    Linked sets' bitmaps differ by few lengths, so each two lengths meet by themselves.
+    """
+    a, b = [], []
+    parts_x, parts_y = ({k: [s for s in side if len(s["bits"]) == k] for k in {len(s["bits"]) for s in side}}
+                        for side in (xs, ys))
+    for k, some in parts_x.items():
+        for other, more in parts_y.items():
+            if xs is ys and other < k:
+                continue  # met the other way round
+            i, j = _close_rows(some, more, min(k, other), percent, xs is ys and other == k)
+            a += np.minimum(i, j).tolist()
+            b += np.maximum(i, j).tolist()
+    return a, b
+
+
+def _close_rows(xs: list[dict], ys: list[dict], size: int, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of these pairs among sets that are compared with ``size`` bytes."""
     n_x, n_y = (np.array([s["n"] for s in side])[:, None] for side in (xs, ys))
     c_x, c_y = (np.array([s["component"] for s in side])[:, None] for side in (xs, ys))
     id_x, id_y = (np.array([s["id"] for s in side]) for side in (xs, ys))
-    apart = np.empty((len(xs), len(ys)), np.int64)
+    fits = (np.minimum(n_x, n_y.T) * 100 >= percent * np.maximum(n_x, n_y.T)) & (c_x != c_y.T)
+    if not fits.any():
+        return id_x[:0], id_y[:0]
+    x, y = (np.stack([folded(s["bits"], size) for s in side]) for side in (xs, ys))
     for i in range(len(xs)):
-        apart[i] = np.bitwise_count(x[i] ^ y).sum(axis=1)
-    fits = apart <= allowed_difference(n_x + n_y.T, percent)
-    fits &= (np.minimum(n_x, n_y.T) * 100 >= percent * np.maximum(n_x, n_y.T)) & (c_x != c_y.T)
-    i, j = np.nonzero(np.triu(fits) if xs is ys else fits)
-    return np.minimum(id_x[i], id_y[j]).tolist(), np.maximum(id_x[i], id_y[j]).tolist()
+        fits[i] &= np.bitwise_count(x[i] ^ y).sum(axis=1) <= allowed_difference(n_x[i] + n_y[:, 0], percent)
+    i, j = np.nonzero(np.triu(fits) if same else fits)
+    return id_x[i], id_y[j]

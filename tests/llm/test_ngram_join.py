@@ -127,3 +127,60 @@ def test_pairs_apart_are_dropped_before_texts_travel(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3)], "leader long, id long")
     left = J._fitting(pairs, J._bitmaps(rows, 3), 90)
     assert [tuple(r) for r in left.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("n,percent", [(5, 80), (13, 90), (40, 80), (300, 80), (300, 90), (2_000, 90)])
+def test_linked_sets_share_a_signature_that_neither_leaves_out(n, percent):
+    r = np.random.default_rng(n)
+
+    def kept(shingles):  # the common order is that of the numbers
+        marks, places = J.placed_signatures(shingles, percent)
+        parts = [(np.sort(marks[places == p]), p % J.BAND_STEP) for p in np.unique(places)]
+        return np.concatenate([part[: max(0, len(part) - loose)] for part, loose in parts])
+
+    linked = 0
+    for _ in range(200):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        lost = r.integers(0, J.allowed_difference(2 * n, percent) + 1)
+        b = np.unique(np.concatenate([a[lost // 2 :], r.integers(0, 2**63, lost - lost // 2).astype(np.uint64)]))
+        if J._linked(a, b, percent) and len(np.setxor1d(a, b)):
+            linked += 1
+            assert len(np.intersect1d(kept(a), kept(b)))
+    assert linked or n == 5
+
+
+def test_near_copies_that_are_not_linked_make_few_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    base, rows, made = [f"w{i}" for i in range(300)], [], []
+    for i in range(60):
+        now = list(base)
+        for at in r.sample(range(300), 5):
+            now[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(now), 0))
+    traversed = J._traversed
+
+    def counted(members, *rest):
+        pairs = traversed(members, *rest)
+        made.append((members.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(J, "_traversed", counted)
+    assert result(J.components(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    [(places, pairs)] = made
+    assert pairs <= len(rows), (places, pairs)
+
+
+def test_groups_of_one_leader_hold_a_set_once(spark):
+    members = spark.createDataFrame(
+        [(m, i, 1) for m, ids in ((10, (1, 2)), (11, (1, 2, 3)), (12, (1, 3)), (13, (1, 4))) for i in ids],
+        "mark long, id long, leader long")
+    grouped = spark.createDataFrame([(1, 1), (4, 1)], "node long, component long")
+    assert sorted(tuple(r) for r in J._open_groups(members, grouped).collect()) == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
+
+
+def test_small_sets_in_a_leaf_do_not_make_others_coarse():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (300, 8)]
+    other = np.unique(np.concatenate([sets[0][60:], r.integers(0, 2**63, 60).astype(np.uint64)]))
+    leaf = [{"id": i, "component": i, "n": len(s), "bits": J.bitmap(s)} for i, s in enumerate([*sets, other, sets[0][2:]])]
+    assert J._close_sets(leaf, leaf, 90) == ([0], [3])
