@@ -154,8 +154,8 @@ def components(
         F.col("at.marks").alias("mark"), "id", F.col("at.places").alias("place"))
     ordered = Window.partitionBy("mark").orderBy("id")
     leader = F.first("id").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    members = saved(marks.select("mark", "id", "place", leader.alias("leader"), F.lead("id").over(ordered).alias("after")).filter(
-        "id <> leader or after is not null").drop("after"))
+    size = F.count("*").over(Window.partitionBy("mark"))
+    members = saved(marks.select("mark", "id", "place", leader.alias("leader"), size.alias("size")).filter("size > 1"))
     ids = saved(members.select(F.col("id").alias("doc_id")).distinct())
     maps = saved(_bitmaps(_of_ids(texts, ids), shingle_words))
     votes = members.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
@@ -292,11 +292,9 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _needed(members: DataFrame) -> DataFrame:
     """Members ``(mark, id, leader)`` without each set's most common marks, as many of a band as it may leave out."""
-    counts = saved(members.groupBy("mark").agg(F.count("*").alias("k")))
-    sized = join_hot(members, counts.withColumn("size", F.col("k")), "mark", "k", members.count())
     common = Window.partitionBy("id", F.floor(F.col("place") / BAND_STEP)).orderBy(F.desc("size"), F.desc("mark"))
-    return saved(sized.withColumn("at", F.row_number().over(common)).filter(
-        F.col("at") > F.col("place") % BAND_STEP).select("mark", "id", "leader"))
+    return members.repartition("id").withColumn("at", F.row_number().over(common)).filter(
+        F.col("at") > F.col("place") % BAND_STEP).select("mark", "id", "leader")
 
 
 def _open_groups(members: DataFrame, grouped: DataFrame) -> DataFrame:
