@@ -6,7 +6,6 @@ import os
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -36,7 +35,7 @@ HOT_SHARE = 2_000
 
 #: Texts that a task holds as Python objects at a time.
 ROWS_AT_ONCE = 500
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 
@@ -107,13 +106,13 @@ def maybe_in(keys: DataFrame, key: str) -> Callable[[str], Column]:
     filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(filled)
 
-    @F.pandas_udf("boolean")
-    def test(*ats: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def test(*ats: pa.Array) -> pa.Array:
         found = True
         for at in ats:
-            place = at.to_numpy()
+            place = at.to_numpy(zero_copy_only=False)
             found &= (shared.value[place >> 6] >> (place & 63)) & 1 == 1
-        return pd.Series(found)
+        return pa.array(found)
 
     return lambda column: test(*places(column))
 

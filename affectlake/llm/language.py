@@ -9,7 +9,8 @@ the only sample here, and one language's sample is one task.
 
 Every text is scored whole.  A task keeps up to CACHE_CELLS scores of distinct words; a
 word not kept is scored again.  The fitted table, at most one row per piece and
-language, travels to the tasks.
+language, travels to the tasks.  Lattices are made of few words at a time, in the fit
+too: Spark keeps Python workers for later tasks, and with them the most they ever held.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with
 nothing to learn from every text is; equal scores go to the smaller name; labels that
@@ -27,11 +28,11 @@ import itertools
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -45,8 +46,9 @@ SMOOTHING = 0.01
 UNSEEN = 1e-7
 RUN = 60
 SCALE = 1e3
-CACHE_CELLS = 1_600_000
-GROUP_BYTES = 1_000_000
+CACHE_CELLS = 400_000
+LATTICE_CELLS = 4_000
+GROUP_BYTES = 250_000
 UNDETERMINED = "und"
 
 START = "▁"
@@ -143,6 +145,16 @@ class Lattice:
             sums[word[first], place] += np.add.reduceat(flow, first, axis=0)
         return sums
 
+    def shares(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """How often each edge is expected, in one language, if the words occur ``counts`` times."""
+        ahead, behind = self.forward(p)[..., 0], self.backward(p)[..., 0]
+        total = np.maximum(ahead[np.arange(len(self.lengths)), self.lengths], 1e-300)
+        scale = SCALE ** (self.end - self.start)
+        return (
+            ahead[self.word, self.start] * p[self.piece, 0] * scale * behind[self.word, self.end]
+            / total[self.word] * counts[self.word]
+        )
+
     def log_totals(self, p: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
         total = self.forward(p)[np.arange(len(self.lengths)), self.lengths]
@@ -174,17 +186,13 @@ def long_log_total(word: str, finder: Finder, p: np.ndarray) -> np.ndarray:
 
 def fit_pieces(words: list[str], counts: np.ndarray, finder: Finder, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language; the last entry is for unknown characters."""
-    lattice = Lattice(words, finder)
+    starts = range(0, len(words), LATTICE_CELLS)
+    lattices = [Lattice(words[i : i + LATTICE_CELLS], finder) for i in starts]
+    piece = np.concatenate([np.zeros(0, np.int64), *(lattice.piece for lattice in lattices)])
     p = np.full((finder.size + 1, 1), 1.0 / (finder.size + 1))
-    scale = SCALE ** (lattice.end - lattice.start)
     for _ in range(rounds):
-        ahead, behind = lattice.forward(p)[..., 0], lattice.backward(p)[..., 0]
-        total = np.maximum(ahead[np.arange(len(words)), lattice.lengths], 1e-300)
-        share = (
-            ahead[lattice.word, lattice.start] * p[lattice.piece, 0] * scale * behind[lattice.word, lattice.end]
-            / total[lattice.word] * counts[lattice.word]
-        )
-        seen = np.bincount(lattice.piece, weights=share, minlength=finder.size + 1)
+        shares = [lattice.shares(p, counts[i : i + LATTICE_CELLS]) for i, lattice in zip(starts, lattices, strict=True)]
+        seen = np.bincount(piece, weights=np.concatenate([np.zeros(0), *shares]), minlength=finder.size + 1)
         p = ((seen + SMOOTHING) / (seen.sum() + SMOOTHING * len(seen)))[:, None]
     p[-1] = UNSEEN
     return p[:, 0]
@@ -213,13 +221,14 @@ def train(
     sample = labelled.filter(slot < share).withColumn("rank", rank).filter(F.col("rank") <= sample_rows)
     listed = pieces(vocabulary)
 
-    def fit(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = (w[i : i + RUN] for text in rows["text"] for w in words_of(text) for i in range(0, len(w), RUN))
-        counts = pd.Series(list(parts), dtype=object).value_counts(sort=False)
-        p = fit_pieces(list(counts.index), counts.to_numpy(float), Finder(listed))
-        return pd.DataFrame({"lang": [lang[0]], "p": [p.astype("<f8").tobytes()]})
+    def fit(lang: tuple, rows: pa.Table) -> pa.Table:
+        texts = (text.as_py() for text in rows.column("text"))
+        parts = (w[i : i + RUN] for text in texts for w in words_of(text) for i in range(0, len(w), RUN))
+        counts = Counter(parts)
+        p = fit_pieces(list(counts), np.array(list(counts.values()), float), Finder(listed))
+        return pa.table({"lang": pa.array([lang[0].as_py()], pa.string()), "p": pa.array([p.astype("<f8").tobytes()], pa.binary())})
 
-    fitted = sample.select("lang", "text").groupBy("lang").applyInPandas(fit, "lang string, p binary")
+    fitted = sample.select("lang", "text").groupBy("lang").applyInArrow(fit, "lang string, p binary")
     return {r["lang"]: np.frombuffer(r["p"], "<f8") for r in sorted(fitted.collect(), key=lambda r: r["lang"])}
 
 
@@ -234,7 +243,7 @@ def predict(
     def work():
         finder = Finder(listed)
         room = max(1_000, CACHE_CELLS // max(1, len(names)))
-        at_once = max(200, 20_000 // max(1, len(names)))
+        at_once = max(200, LATTICE_CELLS // max(1, len(names)))
         place: dict[str, int] = {}
         scores = np.zeros((room, len(names)))
 

@@ -36,7 +36,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -229,14 +228,14 @@ def _bitmaps(texts: DataFrame, shingle_words: int) -> DataFrame:
 def _fitting(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(leader, id)`` that sizes and fine bitmaps leave possible."""
 
-    @F.pandas_udf("boolean")
-    def fit(n_x: pd.Series, x: pd.Series, n_y: pd.Series, y: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def fit(n_x: pa.Array, x: pa.Array, n_y: pa.Array, y: pa.Array) -> pa.Array:
         out = []
-        for n, bits_x, bits_y in zip(n_x + n_y, x, y, strict=True):
+        for *ns, bits_x, bits_y in zip(*(column.to_pylist() for column in (n_x, n_y, x, y)), strict=True):
             size = min(len(bits_x), len(bits_y))
             apart = np.bitwise_count(folded(bits_x, size) ^ folded(bits_y, size)).sum()
-            out.append(bool(apart <= allowed_difference(int(n), percent)))
-        return pd.Series(out, dtype=bool)
+            out.append(bool(apart <= allowed_difference(sum(ns), percent)))
+        return pa.array(out, pa.bool_())
 
     pairs = saved(pairs.select("leader", "id"))
     x, y = (maps.select(F.col("id").alias(key), F.col("n").alias(f"n_{s}"), F.col("fine").alias(s))
@@ -380,13 +379,14 @@ def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
 def _combined(nodes: DataFrame) -> DataFrame:
     """Nodes with their parent's number, and the OR (``some``) and AND (``every``) of their parts' bitmaps."""
 
-    @F.pandas_udf("struct<some:binary,every:binary>")
-    def combine(somes: pd.Series, everys: pd.Series) -> pd.DataFrame:
-        out = []
-        for parts, alls in zip(somes, everys, strict=True):
+    @F.arrow_udf("struct<some:binary,every:binary>")
+    def combine(somes: pa.Array, everys: pa.Array) -> pa.Array:
+        some, every = [], []
+        for parts, alls in zip(somes.to_pylist(), everys.to_pylist(), strict=True):
             size = min(map(len, [*parts, *alls]))
-            out.append((np.bitwise_or.reduce([folded(p, size) for p in parts]).tobytes(), _and(alls, size)))
-        return pd.DataFrame(out, columns=["some", "every"])
+            some.append(np.bitwise_or.reduce([folded(p, size) for p in parts]).tobytes())
+            every.append(_and(alls, size))
+        return pa.StructArray.from_arrays([pa.array(some, pa.binary()), pa.array(every, pa.binary())], names=["some", "every"])
 
     return nodes.withColumn("made", combine("somes", "everys")).select(
         "mark", "node", "n_lo", "n_hi", "c_lo", "c_hi", "made.some", "made.every",
@@ -401,15 +401,15 @@ def _and(parts: list[bytes], size: int) -> bytes:
 def _possible(percent: int) -> Column:
     """Whether two nodes can hold a link between components."""
 
-    @F.pandas_udf("boolean")
-    def overlaps(ns: pd.Series, sx: pd.Series, ex: pd.Series, sy: pd.Series, ey: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def overlaps(ns: pa.Array, sx: pa.Array, ex: pa.Array, sy: pa.Array, ey: pa.Array) -> pa.Array:
         out = []
-        for total, some_x, every_x, some_y, every_y in zip(ns, sx, ex, sy, ey, strict=True):
+        for total, some_x, every_x, some_y, every_y in zip(*(x.to_pylist() for x in (ns, sx, ex, sy, ey)), strict=True):
             size = min(len(some_x), len(some_y))
             some_x, every_x, some_y, every_y = (folded(b, size) for b in (some_x, every_x, some_y, every_y))
             apart = np.bitwise_count(every_x & ~some_y).sum() + np.bitwise_count(every_y & ~some_x).sum()
-            out.append(bool(apart <= allowed_difference(int(total), percent)))
-        return pd.Series(out)
+            out.append(bool(apart <= allowed_difference(total, percent)))
+        return pa.array(out, pa.bool_())
 
     one = (F.col("c_lo_x") == F.col("c_hi_x")) & (F.col("c_lo_x") == F.col("c_lo_y")) & (
         F.col("c_lo_y") == F.col("c_hi_y"))

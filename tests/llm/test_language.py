@@ -1,6 +1,10 @@
 """Language ID: the forward sum against a plain one, held-out accuracy, odd inputs."""
 
 import math
+import subprocess
+import sys
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -99,3 +103,25 @@ def test_nothing_to_learn(spark):
     assert L.train(docs) == {}
     assert [r.lang_pred for r in L.predict(docs, {}).collect()] == ["und"]
     assert L.predict(docs.limit(0), {}).collect() == []
+
+
+def test_fit_holds_the_sums_of_few_words_only():
+    alphabet = "abcdefghij"
+    words = [f"{i:05d}".translate(str.maketrans("0123456789", alphabet)) * 12 for i in range(20_000)]
+    counts = 1.0 + np.arange(len(words)) % 7
+    finder = L.Finder([L.START, *alphabet, "ab", "bc", "cde"])
+    whole = L.Lattice(words, finder)
+    p = np.full((finder.size + 1, 1), 1.0 / (finder.size + 1))
+    seen = np.bincount(whole.piece, weights=whole.shares(p, counts), minlength=finder.size + 1)
+    tracemalloc.start()
+    fitted = L.fit_pieces(words, counts, finder, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    edges = len(whole.piece) * 8
+    assert fitted[:-1].tolist() == ((seen + L.SMOOTHING) / (seen.sum() + L.SMOOTHING * len(seen)))[:-1].tolist()
+    assert peak < 8.5 * edges  # the sums of all words at once take over 9
+
+
+def test_workers_of_the_pipeline_load_no_pandas():
+    code = "import sys, corpus_pipeline; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], check=False).returncode == 0
