@@ -13,6 +13,7 @@ import numpy as np
 LINKS = 12
 CANDIDATES = 48
 AT_ONCE = 512
+CELLS = 1 << 22
 EXPANDED = 4
 SLACK = 1e-4
 
@@ -46,12 +47,13 @@ class Graph:
     def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) found with a product of at least ``least``.
 
-        A beam filled with such nodes may hide more: those queries go on with twice the
-        beam, up to the whole shard.
+        A beam filled with such nodes may hide more: those queries go on with the whole
+        shard, whose products cost less than the search with a wider beam.
         """
         found_q, found_n = [], []
-        for start in range(0, len(queries), AT_ONCE):
-            open_ = np.arange(start, min(start + AT_ONCE, len(queries)))
+        step = _at_once(len(self.vectors))
+        for start in range(0, len(queries), step):
+            open_ = np.arange(start, min(start + step, len(queries)))
             width = min(beam, len(self.vectors))
             while len(open_):
                 ids, sims = self._search(queries[open_], width)
@@ -62,7 +64,7 @@ class Graph:
                 exact = np.einsum("ed,ed->e", queries[q], self.vectors[node]) >= least
                 found_q.append(q[exact])
                 found_n.append(node[exact])
-                open_, width = open_[full], min(2 * width, len(self.vectors))
+                open_, width = open_[full], len(self.vectors)
         return np.concatenate(found_q or [np.zeros(0, int)]), np.concatenate(found_n or [np.zeros(0, int)])
 
     def _search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +94,8 @@ class Graph:
 
     def _beam(self, queries: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         count, rows = len(queries), np.arange(len(queries))
-        ids = np.full((count, width), -1)
-        sims = np.full((count, width), -3.0)
+        ids = np.full((count, width), -1, np.int32)
+        sims = np.full((count, width), -3.0, np.float32)
         done = np.ones((count, width), bool)
         ids[:, 0], sims[:, 0], done[:, 0] = at, np.einsum("qd,qd->q", queries, self.vectors[at]), False
         seen = np.zeros(count * len(self.vectors), bool)
@@ -103,7 +105,7 @@ class Graph:
         active = rows
         while len(active):
             own_ids, own_sims, own_done = ids[active], sims[active], done[active]
-            rank = np.where(own_done, -4.0, own_sims)
+            rank = np.where(own_done, np.float32(-4.0), own_sims)
             pick = np.argpartition(-rank, min(EXPANDED, width) - 1, axis=1)[:, :EXPANDED]
             line = np.arange(len(active))[:, None]
             chosen = ~own_done[line, pick]
@@ -121,8 +123,8 @@ class Graph:
             value = np.einsum("ed,ed->e", short_queries[active[q]], self.short[node])
             slot = np.arange(len(q)) - np.searchsorted(q, q)
             extra = int(slot.max(initial=-1)) + 1
-            new_ids = np.full((len(active), extra), -1)
-            new_sims = np.full((len(active), extra), -3.0)
+            new_ids = np.full((len(active), extra), -1, np.int32)
+            new_sims = np.full((len(active), extra), -3.0, np.float32)
             new_ids[q, slot], new_sims[q, slot] = node, value
             all_ids = np.concatenate([own_ids, new_ids], axis=1)
             all_sims = np.concatenate([own_sims, new_sims], axis=1)
@@ -135,46 +137,66 @@ class Graph:
         return ids, sims
 
 
+def _at_once(nodes: int) -> int:
+    """Rows whose products with all nodes a task holds: fewer, the larger the shard."""
+    return max(16, min(AT_ONCE, CELLS // max(nodes, 1)))
+
+
 def _linked(vectors: np.ndarray, most: int) -> np.ndarray:
     """Neighbours of every node, by place: diverse ones among earlier nodes, and back."""
     n = len(vectors)
-    near: list[list[int]] = [[] for _ in range(n)]
-    for start in range(0, n, AT_ONCE):
-        stop = min(start + AT_ONCE, n)
+    near, step = np.full((n, LINKS), -1), _at_once(n)
+    for start in range(0, n, step):
+        stop = min(start + step, n)
         sims = vectors[start:stop] @ vectors[:stop].T
         sims[np.arange(stop)[None, :] >= np.arange(start, stop)[:, None]] = -2
         k = min(CANDIDATES, stop)
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        for i in range(start, stop):
-            candidates = top[i - start][sims[i - start][top[i - start]] > -2]
-            if len(candidates):
-                near[i] = _diverse(vectors, i, candidates, LINKS)
-    back: list[list[int]] = [list(x) for x in near]
-    for i, own in enumerate(near):
-        for j in own:
-            back[j].append(i)
-    out = np.full((n, most), -1)
-    for i, own in enumerate(back):
-        if len(own) > most:
-            own = _diverse(vectors, i, np.array(own), most)
-        out[i, : len(own)] = own
+        top[sims[np.arange(stop - start)[:, None], top] <= -2] = -1
+        near[start:stop] = _diverse(vectors, np.arange(start, stop), top, LINKS)
+    i, c = np.nonzero(near >= 0)
+    ends = np.append(i, near[i, c]), np.append(near[i, c], i)
+    order = np.argsort(ends[0], kind="stable")
+    other, counts = ends[1][order], np.bincount(ends[0], minlength=n)
+    starts, out = np.cumsum(counts) - counts, np.full((n, most), -1)
+    by_size = np.argsort(counts, kind="stable")
+    at = int((counts[by_size] <= most).sum())
+    few = by_size[:at]
+    slots = starts[few][:, None] + np.arange(most)
+    out[few] = np.where(np.arange(most) < counts[few][:, None], other[np.minimum(slots, max(len(other) - 1, 0))] if len(other) else -1, -1)
+    while at < n:
+        width = int(counts[by_size[min(at + step, n) - 1]])
+        now = by_size[at : at + max(1, min(step, CELLS // (width * width)))]
+        slots = starts[now][:, None] + np.arange(width)
+        held = np.where(np.arange(width) < counts[now][:, None], other[np.minimum(slots, len(other) - 1)], -1)
+        out[now] = _diverse(vectors, now, held, most)
+        at += len(now)
     return out
 
 
-def _diverse(vectors: np.ndarray, i: int, candidates: np.ndarray, most: int) -> list[int]:
-    """Nearest first, each nearer to ``i`` than to any kept before; the rest fills up."""
-    to_i = vectors[candidates] @ vectors[i]
-    order = np.argsort(-to_i, kind="stable")
-    candidates, to_i = candidates[order], to_i[order]
-    among = vectors[candidates] @ vectors[candidates].T
-    nearest_kept = np.full(len(candidates), -2.0, np.float32)
-    kept, left = [], []
-    for c in range(len(candidates)):
-        if len(kept) == most:
-            break
-        if to_i[c] > nearest_kept[c]:
-            kept.append(c)
-            np.maximum(nearest_kept, among[c], out=nearest_kept)
-        else:
-            left.append(c)
-    return candidates[kept + left[: most - len(kept)]].tolist()
+def _diverse(vectors: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, most: int) -> np.ndarray:
+    """For every node its candidates (padded with -1), nearest first, each nearer to it than to any kept before.
+
+    The rest fills up to ``most``.
+    """
+    out = np.full((len(nodes), most), -1)
+    width = candidates.shape[1]
+    step = max(1, CELLS // (width * (width + vectors.shape[1])))
+    for start in range(0, len(nodes), step):
+        held = candidates[start : start + step]
+        to_node = np.einsum("ncd,nd->nc", vectors[held], vectors[nodes[start : start + step]])
+        to_node[held < 0] = -3
+        order = np.argsort(-to_node, axis=1, kind="stable")
+        held, to_node = np.take_along_axis(held, order, axis=1), np.take_along_axis(to_node, order, axis=1)
+        among = vectors[held]
+        among = among @ among.transpose(0, 2, 1)
+        nearest_kept = np.full(held.shape, -2.0, np.float32)
+        kept, count = np.zeros(held.shape, bool), np.zeros(len(held), int)
+        for c in range(width):
+            now = np.flatnonzero((to_node[:, c] > nearest_kept[:, c]) & (held[:, c] >= 0) & (count < most))
+            kept[now, c] = True
+            count[now] += 1
+            nearest_kept[now] = np.maximum(nearest_kept[now], among[now, c])
+        first = np.argsort(np.where(held < 0, 2, np.where(kept, 0, 1)), axis=1, kind="stable")[:, :most]
+        out[start : start + step, : first.shape[1]] = np.take_along_axis(held, first, axis=1)
+    return out

@@ -71,3 +71,65 @@ def test_graph_recall_and_audit():
     q, n = E.audited(graph, x, 0.9, 4)
     assert len(set(zip(q.tolist(), n.tolist(), strict=True))) == len(q)
     assert want[q, n].all() and len(q) >= 0.99 * want.sum()
+
+
+def test_links_near_the_threshold_between_shards(spark):
+    """Copies in half precision leave these pairs undecided; ids in two classes, and lengths in a few rows, beside them."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        v, u = (x / np.linalg.norm(x) for x in r.normal(size=(2, 16)))
+        u = u - (u @ v) * v
+        u /= np.linalg.norm(u)
+        sim = 0.9 + r.choice([-3e-4, -1e-6, 1e-6, 3e-4])
+        rows += [(2 * i, v.tolist(), 0), (2 * i + 1, (sim * v + np.sqrt(1 - sim * sim) * u).tolist(), 0)]
+    rows += [(1_000 + i, [1.0, float(i)], 0) for i in range(12)]
+    table = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    got = E.components(table, shard_rows=8).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute64(rows)
+
+
+def brute64(rows, threshold=0.9):
+    lengths = [np.linalg.norm(v) for _, v, _ in rows]
+    near = [[j for j in range(len(rows)) if j != i and len(rows[i][1]) == len(rows[j][1])
+             and np.dot(rows[i][1], rows[j][1]) / lengths[i] / lengths[j] >= threshold] for i in range(len(rows))]
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [j for j in near[todo.pop()] if j not in seen and not seen.add(j)]
+        out.append((rows[i][0], len(near[i]), min(rows[j][0] for j in seen)))
+    return sorted(out)
+
+
+def test_vectors_are_not_sent_to_every_shard(spark):
+    """Before, every shard's vectors and graph went to a task with those of every other shard."""
+    r = np.random.default_rng(2)
+    centres = np.repeat(np.eye(32)[:24], 40, axis=0)
+    x = centres + r.normal(size=centres.shape) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    router = E.Router({32: (np.arange(24), x[::40])})
+    homes = router.homes(x)
+    q, _ = router.visits(x, homes, np.sqrt(0.05))
+    assert len(q) < len(x)
+    want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if homes[a] != homes[b]}
+    q, c = router.visits(x, homes, np.sqrt(0.05))
+    sent = set(zip(q.tolist(), c.tolist(), strict=True))
+    assert all((a, homes[b]) in sent or (b, homes[a]) in sent for a, b in want)
+    y = r.normal(size=(400, 6))  # at the widest reach no link is lost, wherever the pivots lie
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    router = E.Router({6: (np.arange(20), y[:20])})
+    homes = router.homes(y)
+    sent = set(zip(*(z.tolist() for z in router.visits(y, homes, np.sqrt(0.05))), strict=True))
+    assert all(homes[a] == homes[b] or (a, homes[b]) in sent or (b, homes[a]) in sent
+               for a, b in zip(*np.nonzero(y @ y.T >= 0.9), strict=True))
+
+
+def test_beside_a_shard_nothing_grows_with_the_square(spark):
+    """The rows that reach the shards' tasks: each vector once, and to few shards more."""
+    r = np.random.default_rng(4)
+    x = np.repeat(np.eye(64), 20, axis=0) + r.normal(size=(1_280, 64)) * 0.02
+    vectors = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "rep long, k long, raw array<double>")
+    linked = E.linked_classes(vectors, len(x), 0.9, 32, 16)
+    assert linked.count() < 12_160 // 2  # counts and roots; there are 12,160 links
+    assert sum(row.n for row in linked.collect()) == 2 * 12_160
