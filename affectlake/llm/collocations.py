@@ -6,14 +6,14 @@ Words are counted first, then phrases of 2, 3, ... words, level by level:
    fixed size over the keys of the frequent ones tells which positions are worth a look,
    and a sketch of saturated counters over those positions, also of fixed size, tells
    which keys can reach ``min_count``.  Neither ever says no to a frequent phrase.
-2. Tasks list the phrases that pass, with how often they met them; phrases whose sum is too
-   small cannot be frequent.  The others are the candidates, dealt to blocks of at most
-   about BLOCK phrases by hash.  A task makes each block into a double-array trie.
-3. One trie is broadcast at a time; every task walks all positions of its texts through
-   it and counts the accepting states; the tasks' counts are added up.
+2. Tasks list the phrases that pass, with how often they met them, packed by shard.  Phrases
+   whose sum is too small cannot be frequent.  The others are the shard's candidates; they
+   are made into double-array tries of at most BLOCK phrases.
+3. The lists of a shard advance through its tries letter by letter, and the accepting states
+   add up how often their phrases were met.
 
-So what is broadcast is bounded whatever the input: more candidates mean more scans, one
-per BLOCK frequent phrases and level, not larger ones.
+So a level reads the texts twice whatever the number of its frequent phrases, no trie is
+broadcast, and what a task holds of a shard does not grow with the input.
 
 Words are 64-bit hashes of language and word.  The table of all words shows whether two
 words share one; then everything is hashed anew with another seed, so counts are exact.
@@ -26,9 +26,8 @@ blocks, and a word of any length is one word; other columns are not read.
 
 from __future__ import annotations
 
-import pickle
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +49,8 @@ SLICE_BITS = 16
 HELD_WORDS = 150_000  # distinct words, and phrases, that a task holds before it sends them on
 HELD_PHRASES = 300_000
 ROWS_SENT = 50_000
-COUNTS_SENT = 1 << 15
 SHARDS = 4
-BLOCK = 1_000_000
+BLOCK = 1_000_000  # phrases of a trie
 TOP_GROUPS = 64
 SEEDS = 8
 
@@ -184,23 +182,10 @@ def _level(texts: DataFrame, seed: int, below: DataFrame, size: int, min_count:
         return starts, phrase_keys(words.hashes, starts, size)
 
     sketch = spark.sparkContext.broadcast(_sketch(texts, seed, size, min(min_count, 255), promising))
-    listed = _listed(texts, seed, size, promising, sketch, min_count, block)
+    counted = _counted(texts, seed, size, promising, sketch, min_count, block)
     frequent.destroy()
     sketch.destroy()
-    tries = saved(_tries(listed, size))
-    counts = None
-    blocks = [r.block for r in tries.select("block").orderBy("block").collect()]
-    for at in blocks:
-        (row,) = tries.filter(F.col("block") == at).collect()
-        # The numbers of a block's phrases are the order of the sorted phrases.
-        trie = spark.sparkContext.broadcast((row.block, row.phrases, bytes(row.trie)))
-        del row
-        part = saved(_tallied(texts, seed, size, trie, min_count))
-        trie.destroy()
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        return below.limit(0)
-    return saved(_numbered(listed, size).join(counts, ["block", "at"]).select("ws", "key", "n"))
+    return counted
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -283,16 +268,17 @@ def _columns(size: int) -> list[str]:
     return [f"w{i}" for i in range(size)]
 
 
-def _listed(
+def _counted(
     texts: DataFrame, seed: int, size: int, promising: Callable, sketch, min_count: int, block: int,
 ) -> DataFrame:
-    """``(w0, ..., key, block)``: the phrases that can be frequent.
+    """``(ws, key, n)``: the frequent phrases.
 
-    A task packs its phrases and their counts into one row per shard, by the phrases'
-    keys; the rows of a shard stream past one task, which adds them up.  There are
-    SHARDS shards per task of the scan, so a shard does not grow with the input.
+    A task packs its phrases and how often it met them into one row per shard, by the
+    phrases' keys.  The rows of a shard meet in one task, which makes tries of those that
+    can be frequent and counts with them.  There are SHARDS shards per task of the scan, so
+    a shard does not grow with the input.
     """
-    names = [*_columns(size), "key"]
+    names = [*_columns(size), "key", "n"]
     shards = SHARDS * max(1, texts.rdd.getNumPartitions())
 
     def start():
@@ -329,9 +315,10 @@ def _listed(
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def frequent() -> Iterator[pa.RecordBatch]:
-            rows = _summed(np.concatenate(held))
-            rows = rows[rows[:, -1] >= min_count]
-            yield from _sliced([pa.array(c) for c in rows[:, :-1].view(np.int64).T.copy()], names)
+            rows = np.concatenate(held)
+            found = _tallied(rows, _candidates(rows, min_count), size, block)
+            found = found[found[:, -1] >= min_count]
+            yield from _sliced([pa.array(c) for c in found.view(np.int64).T.copy()], names)
 
         now, held = None, []
         for batch in batches:
@@ -347,9 +334,27 @@ def _listed(
             yield from frequent()
 
     packs = _scan(texts, seed, size - 1, "shard bigint, pack binary", start)
-    listed = saved(packs.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, ", ".join(f"{c} bigint" for c in names)))
-    blocks = -(-listed.count() // block)
-    return listed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(blocks, 1))))
+    added = packs.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, ", ".join(f"{c} bigint" for c in names))
+    return saved(added.select(F.array(*_columns(size)).alias("ws"), "key", "n"))
+
+
+def _candidates(rows: np.ndarray, min_count: int) -> np.ndarray:
+    """The distinct phrases ``(words, key)`` whose counts reach ``min_count`` together."""
+    rows = _summed(rows)
+    return rows[rows[:, -1] >= min_count, :-1]
+
+
+def _tallied(rows: np.ndarray, candidates: np.ndarray, size: int, block: int) -> np.ndarray:
+    """Candidates ``(words, key, n)`` with how often the rows ``(words, key, times)`` met them.
+
+    The rows are walked through a trie per ``block`` candidates.
+    """
+    hashes, times = np.ascontiguousarray(rows[:, :size]).ravel(), np.repeat(rows[:, -1].astype(np.int64), size)
+    starts, counts = np.arange(len(rows)) * size, np.zeros(len(candidates), np.int64)
+    for at in range(0, len(candidates), block):
+        trie = double_array.build(np.ascontiguousarray(candidates[at : at + block, :size]))
+        double_array.tally(trie, counts[at : at + block], hashes, starts, times)
+    return np.column_stack([candidates, counts.astype(np.uint64)])
 
 
 def _summed(rows: np.ndarray) -> np.ndarray:
@@ -379,93 +384,6 @@ def _combined(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_phrases(columns: Sequence[np.ndarray]) -> np.ndarray:
-    return np.lexsort(columns[::-1])
-
-
-def _tries(listed: DataFrame, size: int) -> DataFrame:
-    """``(block, phrases, trie)``: one double array per block of candidates."""
-    names = _columns(size)
-
-    def make(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_numpy() for c in names]
-        rows = np.stack(columns, axis=1)[_sorted_phrases(columns)]
-        trie = zlib.compress(pickle.dumps(tuple(vars(double_array.build(rows.view(np.uint64))).values())), 1)
-        return pa.table({"block": table.column("block")[:1], "phrases": [table.num_rows], "trie": pa.array([trie], pa.binary())})
-
-    return listed.groupBy("block").applyInArrow(make, "block bigint, phrases bigint, trie binary")
-
-
-def _numbered(listed: DataFrame, size: int) -> DataFrame:
-    """``(block, at, ws, key)``: candidates with their number in the block's trie."""
-    names = _columns(size)
-
-    def number(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(_sorted_phrases([table.column(c).to_numpy() for c in names])))
-        return table.append_column("at", pa.array(np.arange(table.num_rows)))
-
-    schema = ", ".join(f"{c} bigint" for c in [*names, "key", "block", "at"])
-    return listed.groupBy("block").applyInArrow(number, schema).select(
-        "block", "at", F.array(*names).alias("ws"), "key")
-
-
-def _tallied(texts: DataFrame, seed: int, size: int, sent, min_count: int) -> DataFrame:
-    """``(block, at, n)``: how often the phrases of a trie occur, those that are frequent.
-
-    A task sends its counts in slices; slices are added up in two rounds, like those of
-    the sketch.
-    """
-
-    def start():
-        block, phrases, packed = sent.value
-        trie, counts = double_array.Trie(*pickle.loads(zlib.decompress(packed))), np.zeros(phrases, np.int64)
-
-        def each(words, langs):
-            double_array.tally(trie, counts, words.hashes, phrase_starts(words, size))
-            return iter(())
-
-        def end():
-            for at in range(0, phrases, COUNTS_SENT):
-                part = counts[at : at + COUNTS_SENT]
-                if part.any():
-                    yield one(block, at, part)
-
-        return each, end
-
-    def one(block: int, at: int, counts: np.ndarray) -> pa.RecordBatch:
-        packed = pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at]), packed], names=["block", "first", "counts"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-        now, total = None, None
-        for batch in batches:
-            for block, at, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), np.int64)
-                if (block, at) == now:
-                    total = total + part
-                else:
-                    if now is not None:
-                        yield *now, total
-                    now, total = (block, at), part
-        if now is not None:
-            yield *now, total
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, at, total in added(batches):
-            yield one(block, at, total)
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, at, total in added(batches):
-            own = np.flatnonzero(total >= min_count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(own), block)), pa.array(at + own), pa.array(total[own])], names=["block", "at", "n"])
-
-    schema, keys = "block bigint, first bigint, counts binary", ["block", "first"]
-    slices = _scan(texts, seed, size - 1, schema, start).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    once = slices.repartition(*keys, "salt").drop("salt").sortWithinPartitions(*keys).mapInArrow(add, schema)
-    return once.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(listed, "block bigint, at bigint, n bigint")
-
-
 def _outer(candidates: DataFrame, max_words: int, percent: int) -> DataFrame:
     """Candidates that no longer one with at least ``percent`` of their count holds."""
     size = F.size("ws")

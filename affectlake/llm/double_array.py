@@ -103,6 +103,11 @@ def _placed(parents, kids, base, check, random) -> tuple[np.ndarray, np.ndarray]
 
 def walk(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Numbers of the phrases that begin at ``starts``: all positions advance level by level."""
+    return trie.accepts[_ends(trie, hashes, starts)[0]]
+
+
+def _ends(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The accepting states that are reached, and the starts they are reached from."""
     place = np.searchsorted(trie.alphabet, hashes)
     place[place == len(trie.alphabet)] = 0
     known = trie.alphabet[place] == hashes
@@ -115,11 +120,14 @@ def walk(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
             np.clip(slot, 0, len(trie.base) - 1, out=slot)
             live = trie.check[slot] == state
             state, at = slot[live], at[live]
-    return trie.accepts[state]
+    return state, at
 
 
-def tally(trie: Trie, counts: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> None:
-    """Add to ``counts`` how often each phrase begins at one of ``starts``."""
-    found = walk(trie, hashes, starts)
-    if len(found):
-        counts += np.bincount(found, minlength=len(counts))
+def tally(trie: Trie, counts: np.ndarray, hashes: np.ndarray, starts: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Add to ``counts`` how often each phrase begins at one of ``starts``.
+
+    ``times`` says of every place in ``hashes`` how often a phrase was met that begins there.
+    """
+    state, at = _ends(trie, hashes, starts)
+    if len(state):
+        np.add.at(counts, trie.accepts[state], 1 if times is None else times[at])

@@ -75,6 +75,24 @@ def test_collocations_as_brute_force(spark):
     assert got_phrases(docs.filter("text = ''")) == []
 
 
+@pytest.mark.parametrize("block", [1, 10**6])
+def test_texts_are_read_as_often_for_many_tries_as_for_one(spark, monkeypatch, block):
+    """Before, every block of frequent phrases was one more scan of all texts."""
+    rows = [(i, f"w{i % 9} x{i % 9} y{i % 9} z{i % 9}. common pair", "en") for i in range(120)]
+    scans, scan = [], collocations._scan
+    monkeypatch.setattr(collocations, "_scan", lambda *a: scans.append(1) or scan(*a))
+    assert got_phrases(docs_of(spark, rows), block=block) == brute_phrases(rows)
+    assert len(scans) == 5  # words, then a sketch and a list for two words and for three
+
+
+def test_tries_add_up_what_lists_have_met():
+    rows = np.array([[1, 2, 9, 4], [5, 6, 8, 3], [1, 2, 9, 7], [1, 6, 7, 9], [5, 6, 8, 8]], np.uint64)
+    found = collocations._candidates(rows, 10)
+    assert sorted(map(tuple, found.tolist())) == [(1, 2, 9), (5, 6, 8)]
+    for block in (1, 2, 5):
+        assert sorted(collocations._tallied(rows, found, 2, block)[:, -1].tolist()) == [11, 11]
+
+
 def test_collocations_of_long_texts(spark):
     text = ("a b c " * 400_000) + "w" * (pieces.BLOCK + 5) + " a b " + "w" * (pieces.BLOCK + 5)
     rows = [(1, text, "en")]
