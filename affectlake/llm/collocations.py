@@ -4,8 +4,9 @@ Words are counted first, then phrases of 2, 3, ... words, level by level:
 
 1. A phrase can be frequent only if both phrases of one word less in it are.  A bitmap of
    fixed size over the keys of the frequent ones tells which positions are worth a look,
-   and a sketch of saturated counters over those positions, also of fixed size, tells
-   which keys can reach ``min_count``.  Neither ever says no to a frequent phrase.
+   and a sketch of saturated counters over those positions tells which keys can reach
+   ``min_count``: tasks send the counters they met, and bits of fixed size come back.
+   Neither ever says no to a frequent phrase.
 2. Tasks list the phrases that pass, with how often they met them, packed by shard.  Phrases
    whose sum is too small cannot be frequent.  The others are the shard's candidates; they
    are made into double-array tries of at most BLOCK phrases.
@@ -44,8 +45,10 @@ BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 TABLE = byte_table(BLANKS, BREAKS)
 
 BITMAP_BITS = 25  # log2 of the bits that say "may be frequent"
-SKETCH_BITS = 25  # log2 of the saturated counters
-SLICE_BITS = 16
+PLACE_BITS = 32  # log2 of the saturated counters
+SLICE_BITS = 9  # log2 of their slices
+MARK_BITS = 27  # log2 of the bits that say "a counter here reaches the threshold"
+HELD_PLACES = 1 << 21  # counters that a task holds before it sends them on
 HELD_WORDS = 150_000  # distinct words, and phrases, that a task holds before it sends them on
 HELD_PHRASES = 300_000
 ROWS_SENT = 50_000
@@ -205,63 +208,72 @@ def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _sketch(texts: DataFrame, seed: int, size: int, least: int, promising: Callable) -> np.ndarray:
-    """A bit per counter that reaches ``least``.
+    """A bit per MARK_BITS of a key, set if a counter under it reaches ``least``.
 
-    Counters stop at 255, in tasks and in sums; that never hides one that reaches
-    ``least``.  Tasks send slices of counters, which are added up in two rounds, so
-    that no task holds more than a slice or reads all of them.
+    There is a counter for every PLACE_BITS of a key, so that they stay apart in large
+    inputs.  Tasks send the counters that they met, up to 255 of each, by slices; one task
+    holds a slice at a time, and gives bits of fixed size.
     """
 
     def start():
-        counters = np.zeros(1 << SKETCH_BITS, np.uint8)
+        held: list[np.ndarray] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            places, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            ends = np.searchsorted(places, np.arange(1 << SLICE_BITS, dtype=np.uint64) << np.uint64(PLACE_BITS - SLICE_BITS))
+            parts = zip(np.split(places, ends[1:]), np.split(np.minimum(n, 255).astype(np.uint8), ends[1:]), strict=True)
+            packed = [(at, _packed(*part)) for at, part in enumerate(parts) if len(part[0])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at for at, _ in packed]), pa.array([x for _, x in packed], pa.binary())], names=["slice", "counters"])
 
         def each(words, langs):
-            places, n = np.unique(promising(words)[1] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            places = places.astype(np.int64)
-            counters[places] = np.minimum(counters[places] + n, 255)
-            return iter(())
+            held.append((promising(words)[1] >> np.uint64(64 - PLACE_BITS)).astype(np.uint32))
+            if sum(map(len, held)) > HELD_PLACES:
+                yield from send()
 
         def end():
-            for at, part in enumerate(counters.reshape(-1, 1 << SLICE_BITS)):
-                if part.any():
-                    yield _slice(at, part)
+            if sum(map(len, held)):
+                yield from send()
 
         return each, end
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marked() -> pa.RecordBatch:
+            bits = (total.reshape(-1, 1 << (PLACE_BITS - MARK_BITS)) >= least).any(axis=1)
+            bits = np.packbits(bits, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits], pa.binary())], names=["slice", "bits"])
+
         now, total = None, None
         for batch in batches:
             for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(part), np.uint8).astype(np.int64)
                 if at != now:
                     if now is not None:
-                        yield _slice(now, total)
-                    now, total = at, part
-                else:
-                    total = np.minimum(total + part, 255)
+                        yield marked()
+                    now, total = at, np.zeros(1 << (PLACE_BITS - SLICE_BITS), np.int32)
+                places, n = _unpacked(part)
+                total[places] = np.minimum(total[places] + n, 255)
         if now is not None:
-            yield _slice(now, total)
+            yield marked()
 
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in add(batches):
-            bits = [np.packbits(np.frombuffer(zlib.decompress(c), np.uint8) >= least, bitorder="little").tobytes()
-                    for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["slice", "bits"])
-
-    schema = "slice bigint, counters binary"
-    slices = _scan(texts, seed, size - 1, schema, start)
-    rounds = slices.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("slice", "salt")
-    once = rounds.drop("salt").sortWithinPartitions("slice").mapInArrow(add, schema)
-    twice = once.repartition("slice").sortWithinPartitions("slice").mapInArrow(reach, "slice bigint, bits binary")
-    out = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), (1 << SLICE_BITS) // 8), np.uint8)
-    for row in twice.toArrow().to_pylist():
+    slices = _scan(texts, seed, size - 1, "slice bigint, counters binary", start)
+    reached = slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(reach, "slice bigint, bits binary")
+    out = np.zeros((1 << SLICE_BITS, (1 << (MARK_BITS - SLICE_BITS)) // 8), np.uint8)
+    for row in reached.toArrow().to_pylist():
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel().view(np.int64)
 
 
-def _slice(at: int, counters: np.ndarray) -> pa.RecordBatch:
-    packed = zlib.compress(counters.astype(np.uint8).tobytes(), 1)
-    return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([packed], pa.binary())], names=["slice", "counters"])
+def _packed(places: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending places of one slice and their counts: byte by byte of the steps between them."""
+    steps = np.diff(places & np.uint32((1 << (PLACE_BITS - SLICE_BITS)) - 1), prepend=np.uint32(0)).astype(np.uint32)
+    return zlib.compress(np.concatenate([steps.view(np.uint8).reshape(-1, 4).T.ravel(), n]).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(5, -1)
+    steps = np.ascontiguousarray(rows[:4].T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.int64), rows[4].astype(np.int32)
 
 
 def _columns(size: int) -> list[str]:
@@ -367,7 +379,7 @@ def _summed(rows: np.ndarray) -> np.ndarray:
 
 
 def _marked_high(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    place = (keys >> np.uint64(64 - MARK_BITS)).astype(np.int64)
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
 
 

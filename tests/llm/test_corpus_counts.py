@@ -85,6 +85,31 @@ def test_texts_are_read_as_often_for_many_tries_as_for_one(spark, monkeypatch, b
     assert len(scans) == 5  # words, then a sketch and a list for two words and for three
 
 
+def test_sketch_tells_rare_phrases_apart_in_large_inputs(spark):
+    """Before, 2**25 counters held all positions, so in large inputs nearly all reached the threshold."""
+    text = " ".join(f"w{i % 7_001}" for i in range(40_000))
+    texts = docs_of(spark, [(i, text, "en") for i in range(2)]).select("lang", "text")
+
+    def promising(words):  # 10 positions of a counter of before each, in other counters now
+        starts = pieces.phrase_starts(words, 2)
+        keys = (np.arange(len(starts), dtype=np.uint64) // np.uint64(10) << np.uint64(39)) + (
+            np.arange(len(starts), dtype=np.uint64) % np.uint64(10) << np.uint64(32))
+        return starts, keys
+
+    rare = collocations._sketch(texts, 0, 2, 10, promising)
+    assert not rare.any()
+    often = collocations._sketch(texts, 0, 2, 2, promising)  # each of them twice
+    keys = promising(next(pieces.words_of([text.encode()], collocations.TABLE, np.zeros(1, np.uint64), 1)))[1]
+    assert collocations._marked_high(often, keys).all()
+
+
+def test_sketch_packs():
+    places = np.array([3, 4, 70_000, (1 << 23) - 1], np.uint32)
+    for shift in (0, 511 << 23):
+        got = collocations._unpacked(collocations._packed(places + np.uint32(shift), np.array([1, 255, 9, 10], np.uint8)))
+        assert got[0].tolist() == places.tolist() and got[1].tolist() == [1, 255, 9, 10]
+
+
 def test_tries_add_up_what_lists_have_met():
     rows = np.array([[1, 2, 9, 4], [5, 6, 8, 3], [1, 2, 9, 7], [1, 6, 7, 9], [5, 6, 8, 8]], np.uint64)
     found = collocations._candidates(rows, 10)
